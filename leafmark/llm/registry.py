@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.llm import decontaminate
+from leafmark.llm import decontaminate, langid, secrets
 
-_MODULES = (decontaminate,)
+_MODULES = (secrets, langid, decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
