@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.llm import decontaminate, langid, media, quality, secrets, warc
+from leafmark.llm import decontaminate, langid, media, packing, quality, secrets, warc
 
-_MODULES = (warc, secrets, langid, media, quality, decontaminate)
+_MODULES = (warc, secrets, langid, media, quality, packing, decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
