@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.llm import decontaminate, langid, media, neardup, packing, quality, secrets, warc
+from leafmark.llm import decontaminate, langid, media, neardup, packing, quality, repeats, secrets, warc
 
-_MODULES = (warc, neardup, secrets, langid, media, quality, packing, decontaminate)
+_MODULES = (warc, neardup, secrets, langid, media, quality, packing, decontaminate, repeats)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
