@@ -66,3 +66,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[object, list[dict]]]:
+    """Lists of rows that share the value of a column, from batches that are sorted by it."""
+    held: list[dict] = []
+    value = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[name] != value:
+                yield value, held
+                held = []
+            value = row[name]
+            held.append(row)
+    if held:
+        yield value, held
