@@ -80,7 +80,8 @@ def parse(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarra
     last = np.append(first[1:], len(at)) - 1
     at = at[first]
     phrase = _mix((total[last + length] - total[first]) * down[first]) ^ _mix((at - first).astype(np.uint64) * np.uint64(_BASE) + (last - first).astype(np.uint64))
-    return first, last, at, h[at], phrase
+    # least hashes have low upper bits; mixed once more they can be dealt out by them
+    return first, last, at, _mix(h[at] * np.uint64(_BASE)), phrase
 
 
 def _pack(*columns: np.ndarray) -> bytes:
