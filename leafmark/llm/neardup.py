@@ -10,11 +10,12 @@ shingle weighs 1 and that is the plain Jaccard similarity; with "count" it weigh
 `bands` of `rows` registers give each text its bucket keys; at the threshold 0.8 a pair misses every bucket with
 probability (1 - 0.8^7)^48, about 1 in 90,000, and less the more alike it is. Texts that are equal are one
 node. Candidates are verified by the exact similarity:
-1. in every bucket each text against the bucket's least node; the links give components;
-2. in every bucket that still holds several components, every pair of texts of different components
-   (with weight "set", pairs whose sizes allow the threshold). Pairs inside a component cannot change it.
-So every bucket pair is either verified or already joined by links, no link between classes is lost, and groups of
-many copies cost one verification a member and not one a pair.
+1. in every bucket each text against two of the bucket's nodes that its key draws; the links give components;
+2. of the texts in buckets that still hold several components, every pair of different components that can
+   reach the threshold: with weight "set" by prefix filtering (such a pair shares one of the rarest shingles of
+   each, early enough for the overlap it needs, and the sizes are near), with weight "count" every pair that shares a bucket.
+Pairs inside a component cannot change it. So every bucket pair is verified, excluded by a bound, or joined by links
+already: no link between classes is lost, while many copies cost a few verifications each, not one a pair.
 
 A node is 64 bits of the text's digest: n texts collide with probability n^2 / 2^65.
 
@@ -38,6 +39,8 @@ from leafmark.llm.components import components
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
+#: Counters by which shingles are ordered for the last step.
+COUNTERS = 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(64)], np.uint64)
 
 
@@ -178,29 +181,89 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, weight: str)
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def _sizes_allow(n: str, m: str, threshold: float, weight: str):
+    return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9 if weight == "set" else F.lit(True)
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """a, b, n_shingles: every node of a bucket with two heads that the bucket's key draws."""
+    drawn = F.col("node").bitwiseXOR(F.col("key"))
+    heads = buckets.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
+    heads = heads.select(F.col("key").alias("head_key"), F.explode(F.array(F.col("low").bitwiseXOR(F.col("key")), F.col("high").bitwiseXOR(F.col("key")))).alias("b"))
+    return buckets.join(heads, F.col("key") == F.col("head_key")).select(F.col("node").alias("a"), "b", "n_shingles").where("a != b").distinct()
+
+
+def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component."""
+    held = buckets.join(joined, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("key").alias("mixed"))
+    return written(held.join(mixed, F.col("key") == F.col("mixed")).drop("mixed"), "open-buckets")
+
+
+def _cross(rows: DataFrame, threshold: float, weight: str) -> DataFrame:
+    """The pairs (a, b) of nodes of different components that share a key, and whose sizes allow the threshold."""
+    p, q = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "pq")
+    on = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") < F.col("component_q")) & _sizes_allow("n_shingles_p", "n_shingles_q", threshold, weight)
+    if "place" in rows.columns:  # the first shingle that a pair shares: what follows it must do for the overlap
+        on &= F.least(F.col("n_shingles_p") - F.col("place_p"), F.col("n_shingles_q") - F.col("place_q")) * (1 + threshold) >= threshold * (F.col("n_shingles_p") + F.col("n_shingles_q")) - 1e-6
+    return p.join(q, on).select(F.greatest("node_p", "node_q").alias("a"), F.least("node_p", "node_q").alias("b")).distinct()
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The rows (key, place, node, n_shingles, component) with the shingles of the nodes' prefixes as keys, where components share one.
+
+    Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any common order. Rare ones come
+    first: the order is by a counter of the shingle's hash class, then by the shingle.
+    """
+    nodes = open_.select("node", "n_shingles", "component").distinct()
+    rows = sets.select(F.col("node").alias("set_node"), "ids").join(nodes, F.col("set_node") == F.col("node")).select("node", "n_shingles", "component", "ids")
+    rows = written(rows, "open-sets")
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for ids in column(batch, "ids"):
+                total += np.bincount((np.frombuffer(ids.as_py(), np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["at", "n"])
+
+    counted = np.zeros(COUNTERS, np.int64)
+    for at, n in rows.select("ids").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n")).collect():  # COUNTERS rows at most
+        counted[at] = n
+    held = open_.sparkSession.sparkContext.broadcast(counted)
+
+    def prefix(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids = np.frombuffer(column(batch, "ids")[k].as_py(), np.uint64)
+                order = np.lexsort((ids, held.value[(ids & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                first = ids[order[: len(ids) - math.ceil(threshold * len(ids) - 1e-9) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(range(len(first)), pa.int32()), *(pa.array([column(batch, c)[k].as_py()] * len(first), t) for c, t in (("node", pa.int64()), ("n_shingles", pa.int32()), ("component", pa.int64())))], names=["key", "place", "node", "n_shingles", "component"])
+
+    keyed = written(rows.mapInArrow(prefix, "key bigint, place int, node bigint, n_shingles int, component bigint"), "prefixes")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("key").alias("mixed"))
+    return keyed.join(mixed, F.col("key") == F.col("mixed")).drop("mixed")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weight: str = "set") -> DataFrame:
     """doc_id, class_id (the least document id of the class) and class_size, for every row."""
     found = written(sketches(docs, id_col, text, width, bands, rows, weight), "sketches")
     keyed = found.where("node is not null").select("node", "n_shingles", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head != tail").select(F.col("key").alias("shared"), "head")
-    buckets = written(keyed.join(shared, F.col("key") == F.col("shared")).select("key", "node", "n_shingles", "head").distinct(), "buckets")
-
-    stars = written(buckets.where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star-pairs")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select(F.col("key").alias("shared"))
+    buckets = written(keyed.join(shared, F.col("key") == F.col("shared")).select("key", "node", "n_shingles").distinct(), "buckets")
     wanted = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
     sets = written(_sets(docs, wanted, id_col, text, width), "sets")
+    sizes = buckets.select(F.col("node").alias("sized"), F.col("n_shingles").alias("n_head")).distinct()
+
+    stars = _stars(buckets).join(sizes, F.col("b") == F.col("sized")).where(_sizes_allow("n_shingles", "n_head", threshold, weight))
+    stars = written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-pairs")
     links = written(_verified(stars, sets, threshold, weight), "links")
     joined = components(links)
 
-    held = buckets.join(joined, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("key").alias("mixed"))
-    open_ = written(held.join(mixed, F.col("key") == F.col("mixed")).drop("mixed"), "open-buckets")
-    p, q = (open_.select(*(F.col(c).alias(f"{c}_{s}") for c in open_.columns)) for s in "pq")
-    cross = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") < F.col("component_q"))
-    if weight == "set":
-        cross &= (F.least("n_shingles_p", "n_shingles_q") >= threshold * F.greatest("n_shingles_p", "n_shingles_q") - 1e-9)
-    pairs = p.join(q, cross).select(F.greatest("node_p", "node_q").alias("a"), F.least("node_p", "node_q").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
-    more = written(_verified(pairs, sets, threshold, weight), "cross-links")
+    open_ = _open(buckets, joined)
+    rest = _cross(_prefixes(open_, sets, threshold) if weight == "set" else open_, threshold, weight)
+    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    more = written(_verified(rest, sets, threshold, weight), "cross-links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
 
@@ -211,9 +274,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class (that with the least id), with its columns."""
+    """One document of each class (that with the least id), with its columns. Rows that repeat as a whole count once;
+    rows without an id stay."""
     kept = classes(docs, id_col=id_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("kept"), "left_semi")
+    chosen = docs.join(kept, F.col(id_col) == F.col("kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return chosen
+    return chosen.distinct()
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
