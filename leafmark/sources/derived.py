@@ -63,7 +63,7 @@ PAGE_WIDTH = 1000
 OCR_LINE = """
 SELECT doc_id, idx, text, confidence, x, y, x + w AS x2, y + h AS y2, CAST(greatest(n, 1) * 40 AS INT) AS page_height FROM (
   SELECT doc_id, idx, CASE WHEN idx % 5 = 3 THEN upper(replace(substr(replace(replace(text, 'ß', 'ss'), ' ', '<'), 1, 40), '.', '<')) || CAST(doc_id % 10 AS STRING) ELSE replace(text, 'ß', 'ss') END AS text,
-    0.30 + ((doc_id * 31 + idx * 17) % 70) / 100.0 AS confidence,
+    (30 + ((doc_id * 31 + idx * 17) % 70)) / 100e0 AS confidence,
     CAST(20 + doc_id % 7 + (idx % 3) * 5 AS INT) AS x, CAST(40 * idx - CASE WHEN idx % 4 = 3 THEN 30 ELSE 0 END AS INT) AS y,
     CAST(least(8 * length(text), 900) AS INT) AS w, 24 AS h, n
   FROM ({lines}) AS l
