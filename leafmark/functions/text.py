@@ -67,11 +67,11 @@ def url_quote(path: Column) -> Column:
 
 
 def format_rate(rate: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", rate * 100), F.lit("N/A"))
+    return F.when(rate.isNotNull(), F.format_string("%.1f%%", rate * 100)).otherwise("N/A")
 
 
 def format_elapsed(ms: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f s", ms / 1000), F.lit("N/A"))
+    return F.when(ms.isNotNull(), F.format_string("%.2f s", ms / 1000)).otherwise("N/A")
 
 
 def relocated(path: Column, root: str) -> Column:

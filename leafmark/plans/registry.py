@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.plans import lines, mrz
+from leafmark.plans import lines, mrz, profiles, records, validate
 
-_MODULES = (mrz, lines)
+_MODULES = (mrz, lines, validate, profiles, records)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
