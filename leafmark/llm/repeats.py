@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import column, slices, table, written
+from leafmark.llm.common import column, grouped_rows, slices, table, written
 
 LENGTH = 200
 SEED = 64
@@ -148,25 +148,11 @@ def _parsed(docs: DataFrame, shards: int, length: int, seed: int) -> DataFrame:
     return written(docs.mapInArrow(run, f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, block bigint, shard int, blob binary"), "parsed")
 
 
-def _runs(batches, name: str):
-    """Lists of rows (dicts) that share the value of a column, from batches that are sorted by it."""
-    held, value = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[name] != value:
-                yield value, held
-                held = []
-            value = row[name]
-            held.append(row)
-    if held:
-        yield value, held
-
-
 def _decide(entries: DataFrame, shards: int) -> DataFrame:
     """For each block the intervals that repeat whole (r), those to be compared (m), and phrases to be sent for comparison (s)."""
 
     def run(batches):
-        for _, rows in _runs(batches, "shard"):
+        for _, rows in grouped_rows(batches, "shard"):
             parts = [_unpack(r["blob"], "<u8", "<u8", "<u4", "<u4", "u1") for r in rows]
             trigger, phrase, owner, place, twice = (np.concatenate([p[k] for p in parts]) for k in range(5))
             block = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
@@ -191,7 +177,7 @@ def _decide(entries: DataFrame, shards: int) -> DataFrame:
                     out[k].append(_pack(owner[pick], place[pick]) if len(pick) else None)
             yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in "rms")], names=["block", "r", "m", "s"])
 
-    rows = entries.select("shard", "block", "blob").repartition(shards, "shard").sortWithinPartitions("shard")
+    rows = entries.select("shard", "block", "blob").repartitionById(shards, "shard").sortWithinPartitions("shard")
     return rows.mapInArrow(run, "block bigint, r binary, m binary, s binary")
 
 
@@ -201,7 +187,7 @@ def _by_text(parsed: DataFrame, decided: DataFrame) -> DataFrame:
     answers = decided.select("block", F.lit(None).cast("binary").alias("key"), "r", "m", "s")
 
     def run(batches):
-        for _, rows in _runs(batches, "block"):
+        for _, rows in grouped_rows(batches, "block"):
             keys = next(r["key"] for r in rows if r["key"] is not None)
             lists: dict[int, dict[str, np.ndarray]] = {}
             for k in "rms":
@@ -277,7 +263,7 @@ def _compared(phrases: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         cols: list[list] = [[], [], []]
-        for _, rows in _runs(batches, "trigger"):
+        for _, rows in grouped_rows(batches, "trigger"):
             if any(r["asked"] for r in rows):
                 for r, found in zip(rows, repeated_windows([(r["phrase"], r["before"]) for r in rows], length)):
                     if r["asked"] and found:
@@ -319,7 +305,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     phrases = _phrases(docs, wanted, length, seed)
     compared = written(_compared(phrases, length), "compared")
     more = compared.groupBy(F.col("key").alias("more_key")).agg(F.collect_list("start").alias("more_starts"), F.collect_list("end").alias("more_ends"))
-    held = phrases.where("kind = 't'").select("key", "text", "starts", "ends").join(more, F.col("key") == F.col("more_key"), "left").drop("more_key")
+    held = phrases.where("kind = 't'").select("key", "text", "starts", "ends")
+    if not held.groupBy("key").count().where("count > 1").isEmpty():  # rows that repeat as a whole
+        held = held.dropDuplicates(["key"])
+    held = held.join(more, F.col("key") == F.col("more_key"), "left").drop("more_key")
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):
