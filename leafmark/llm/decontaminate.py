@@ -136,13 +136,13 @@ def without_words(text: str, positions: list[int]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents with their columns, the hit words cut out of their texts."""
-    found = hits(docs, benchmark, text=text, **options)
+    found, names = hits(docs, benchmark, text=text, **options), docs.columns
 
     def cut(batches):
         for batch in batches:
             texts, hit = column(batch, text).to_pylist(), column(batch, "hit_words").to_pylist()
             new = pa.array([without_words(t, h) if t and h else t for t, h in zip(texts, hit)], pa.string())
-            yield pa.RecordBatch.from_arrays([new if c == text else column(batch, c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([new if c == text else column(batch, c) for c in names], names=names)
 
     return found.mapInArrow(cut, docs.schema)
 

@@ -89,6 +89,8 @@ class Trees:
         self.rows: list[np.ndarray] = []
         self.escape_keys: list[HashIndex] = []
         self.escape: list[np.ndarray] = []
+        if not width:
+            return
         for order in range(ORDER + 1):
             mask = np.uint32((1 << (8 * (order + 1))) - 1)
             counts = [np.unique(s & mask, return_counts=True) for s in seen]

@@ -10,7 +10,7 @@ frames on. A pair gives the code bin1 * 2**15 + bin2 * 2**6 + frames between, st
 array. Frames are transformed in blocks of a fixed number, so memory does not grow with a text, and equal files
 have equal fingerprints wherever they stand.
 
-Edge cases: null and empty texts give 64 silent bytes and no pair; a null media column gives nulls; repeated
+Edge cases: null and empty texts give 64 bytes 0; a null media column gives nulls; repeated
 rows repeat; an empty table gives an empty one; extra columns are ignored.
 """
 
