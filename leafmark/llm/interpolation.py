@@ -201,7 +201,7 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
                 out.append((-1, "n", np.array([every.sum(), (every > 0).sum(), kept.sum(), (kept > 0).sum()], "<i8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out]), pa.array([shard] * len(out), pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "kind", "shard", "blob"])
 
-    rows = requests.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    rows = requests.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
     return written(rows.mapInArrow(run, requests.schema), "ngram-answers")
 
 
