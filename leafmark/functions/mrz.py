@@ -39,24 +39,36 @@ def all_allowed(text: Column) -> Column:
     return text.rlike(r"\A[A-Z0-9<]+\z")
 
 
-def character_value(c: Column) -> Column:
-    return F.when(c == "<", 0).when(c.between("0", "9"), F.ascii(c) - 48).when(c.between("A", "Z"), F.ascii(c) - 55)
+#: Values of the characters, modulo 10 (0-9, then A as 10 to Z as 35; a filler is 0).
+_CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
+_VALUES = "0123456789" + "0123456789" * 2 + "012345" + "0"
 
 
 def check_digit(text: Column) -> Column:
-    """The digit for weights 7, 3, 1 in turn, null if a character has no value."""
-    weight = lambda i: F.element_at(F.array(F.lit(1), F.lit(7), F.lit(3)), (i % 3 + 1).cast("int"))
-    terms = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: character_value(F.substr(text, i, F.lit(1))) * weight(i))
-    return F.when(F.length(text) == 0, F.lit("0")).otherwise((F.aggregate(terms, F.lit(0), lambda a, x: a + x) % 10).cast("string"))
+    """The digit for weights 7, 3, 1 in turn, null if a character has no value.
+
+    Only the last digit of the sum counts, so characters become digits, every third digit is multiplied by its weight as
+    a character map, and the digits are summed by counting each: a few string operations for any length.
+    """
+    digits = F.translate(text, _CHARACTERS, _VALUES)
+    padded = F.concat(digits, F.lit("00"))  # two zeros at most stay over
+    third = lambda n: F.regexp_replace(padded, "(.)(.)(.)", f"${n}")
+    weighted = F.concat(F.translate(third(1), "123456789", "741852963"), F.translate(third(2), "123456789", "369258147"), third(3))
+
+    def total(s: Column) -> Column:
+        out = F.lit(0)
+        for k in range(1, 10):
+            out = out + k * (F.length(s) - F.length(F.translate(s, str(k), "")))
+        return (out % 10).cast("string")
+
+    return F.when(digits.rlike(r"\A[0-9]*\z"), F.transform(F.array(weighted), total)[0])
 
 
 def td3_checks(second: Column) -> Column:
     """array<struct<field, value, expected, valid>>: value is the digit that the row has."""
-    out = []
-    for field, parts, at in CHECKED:
-        value, expected = cut(second, at, at + 1), check_digit(F.concat(*(cut(second, a, b) for a, b in parts)))
-        out.append(F.struct(F.lit(field).alias("field"), value.alias("value"), expected.alias("expected"), F.coalesce(value == expected, F.lit(False)).alias("valid")))
-    return F.array(*out)
+    parts = [F.struct(F.lit(f).alias("field"), cut(second, at, at + 1).alias("value"), F.concat(*(cut(second, a, b) for a, b in slices)).alias("part")) for f, slices, at in CHECKED]
+    found = F.transform(F.array(*parts), lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), check_digit(c["part"]).alias("expected")))
+    return F.transform(found, lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), c["expected"].alias("expected"), F.coalesce(c["value"] == c["expected"], F.lit(False)).alias("valid")))
 
 
 def all_valid(checks: Column) -> Column:

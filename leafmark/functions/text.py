@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Every code point that counts as white space when words are parted (fixed values).
-SPACES = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-ALLOWED = "[A-Z0-9<]"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+ALLOWED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789<"
 
 
 def compact(text: Column) -> Column:
     """Upper case, without any white space."""
-    return F.upper(F.regexp_replace(text, f"[{SPACES}]+", ""))
+    return F.upper(F.translate(text, SPACES, ""))
 
 
 def sanitize(text: Column) -> Column:
@@ -22,7 +22,7 @@ def sanitize(text: Column) -> Column:
 
 def allowed_ratio(text: Column) -> Column:
     """Share of MRZ characters; 0 for the empty text."""
-    return F.regexp_count(text, F.lit(ALLOWED)) / F.greatest(F.lit(1), F.length(text))
+    return (F.length(text) - F.length(F.translate(text, ALLOWED, ""))) / F.greatest(F.lit(1), F.length(text))
 
 
 def stem(path: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import mrz as M
+from leafmark.functions.text import sanitize
 from leafmark.operators import mrz as P
 from leafmark.operators.export import crew_list
 from leafmark.sources import derived
@@ -16,7 +17,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.view(spark, sf_dir, "mrz_input").where("row_index = 2").select("doc_id", M.sanitize(F.col("raw_text")).alias("row")).where("length(row) = 44")
+    rows = derived.view(spark, sf_dir, "mrz_input").where("row_index = 2").select("doc_id", sanitize(F.col("raw_text")).alias("row")).where("length(row) = 44")
     return rows.select("doc_id", F.explode(M.td3_checks(F.col("row"))).alias("c")).select("doc_id", "c.field", "c.value", "c.expected", "c.valid")
 
 

@@ -74,7 +74,7 @@ SELECT doc_id, idx, text, confidence, x, y, x + w AS x2, y + h AS y2, CAST(great
 def lines(dialect: str) -> str:
     """doc_id, idx (from 0), text and the number of lines n of the documents."""
     if dialect == "spark":
-        return "SELECT doc_id, CAST(pos AS BIGINT) AS idx, col AS text, size(parts) AS n FROM (SELECT doc_id, split(text, '\\n') AS parts FROM {documents}) AS d LATERAL VIEW posexplode(parts) AS pos, col"
+        return "SELECT doc_id, CAST(pos AS BIGINT) AS idx, col AS text, n FROM (SELECT doc_id, parts, size(parts) AS n FROM (SELECT doc_id, split(text, '\\n') AS parts FROM {documents}) AS d) AS c LATERAL VIEW posexplode(parts) AS pos, col"
     return "SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, parts[i] AS text, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {documents}) AS d) AS e"
 
 
