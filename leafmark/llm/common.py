@@ -31,6 +31,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafmark-scratch/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what operators have written to the shared folder; for when their results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmark-scratch")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage."""
     spark = df.sparkSession

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import column, table, written
 
 WIDTH = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -41,15 +41,20 @@ class WindowSet:
     def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
         self.width = width
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
+        self.windows: dict[int, dict[bytes, tuple[str, ...]]] = {}
         for item, text in items:
             found = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             if not found:
                 continue
             n = min(width, len(found))
-            row = np.array(found, np.int32)
+            row, own, held = np.array(found, np.int32), (item,), self.windows.setdefault(n, {})
             for i in range(len(found) - n + 1):
-                self.windows.setdefault(n, {}).setdefault(row[i : i + n].tobytes(), set()).add(item)
+                key = row[i : i + n].tobytes()
+                names = held.get(key)
+                if names is None:
+                    held[key] = own
+                elif item not in names:
+                    held[key] = names + own
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
         """The number of words, the sorted positions of the hit words, the items found."""
@@ -73,7 +78,7 @@ class WindowSet:
                     if hit is not None:
                         marks = np.zeros(len(row), bool) if marks is None else marks
                         marks[at : at + n] = True
-                        items |= hit
+                        items.update(hit)
         return len(row), np.flatnonzero(marks) if marks is not None else np.zeros(0, np.int64), items
 
 

@@ -234,11 +234,16 @@ def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def prefix(batches):
         for batch in batches:
+            ids, firsts = column(batch, "ids"), []
             for k in range(batch.num_rows):
-                ids = np.frombuffer(column(batch, "ids")[k].as_py(), np.uint64)
-                order = np.lexsort((ids, held.value[(ids & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                first = ids[order[: len(ids) - math.ceil(threshold * len(ids) - 1e-9) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(range(len(first)), pa.int32()), *(pa.array([column(batch, c)[k].as_py()] * len(first), t) for c, t in (("node", pa.int64()), ("n_shingles", pa.int32()), ("component", pa.int64())))], names=["key", "place", "node", "n_shingles", "component"])
+                own = np.frombuffer(ids[k].as_py(), np.uint64)
+                order = np.lexsort((own, held.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                firsts.append(own[order[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]])
+            sizes = [len(x) for x in firsts]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
+            key = np.concatenate([x.view(np.int64) for x in firsts] or [np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), *(column(batch, c).take(at) for c in ("node", "n_shingles", "component"))], names=["key", "place", "node", "n_shingles", "component"])
 
     keyed = written(rows.mapInArrow(prefix, "key bigint, place int, node bigint, n_shingles int, component bigint"), "prefixes")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("key").alias("mixed"))

@@ -34,6 +34,7 @@ from leafmark.llm.common import column, slices, table, written
 
 LENGTH = 2048
 END_ID = 1
+CLASSES = 4096
 #: How byte-level tokenizers of this kind split a text.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes engines could differ; all others are plain Latin ones.
@@ -191,8 +192,14 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str, int] | None =
         every = totals.agg(F.sum("total")).first()[0] or 0
         own = F.col("total") * length >= 2 * every
     # the queues to plan for: those named, or those that get two tokens a window (length / 2 at most); all others in a row
-    lump = Window.partitionBy("lump").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
-    lumped = totals.withColumn("lump", F.when(own, F.col("queue")).otherwise("")).withColumn("lump_before", F.coalesce(F.sum("total").over(lump), F.lit(0)))
+    # (in order of a hash class, so that no task sums up all of them)
+    lumped = totals.withColumn("lump", F.when(own, F.col("queue")).otherwise("")).withColumn("class", F.pmod(F.xxhash64("queue"), F.lit(CLASSES)))
+    classes = lumped.groupBy("lump", "class").agg(F.sum("total").alias("class_total"))
+    up = Window.partitionBy("lump").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("lump", "class", F.coalesce(F.sum("class_total").over(up), F.lit(0)).alias("class_before"))
+    lump = Window.partitionBy("lump", "class").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    lumped = lumped.withColumn("own_before", F.coalesce(F.sum("total").over(lump), F.lit(0))).join(classes, ["lump", "class"])
+    lumped = lumped.select("queue", "total", "lump", (F.col("own_before") + F.col("class_before")).alias("lump_before"))
     planned = phases([tuple(r) for r in lumped.groupBy("lump").agg(F.sum("total")).collect()], named, length)
     plans = docs.sparkSession.createDataFrame(list(planned.items()), "lump string, plan array<struct<begun:bigint,low:bigint,high:bigint,all:bigint,base:bigint>>")
     bounds = lumped.join(F.broadcast(plans), "lump").select("queue", "lump_before", "plan")

@@ -35,6 +35,8 @@ from leafmark.llm.common import column, scratch_path, table, written
 
 LEAST_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
+#: Index rows that a merging task holds, on average.
+RANGE_ROWS = 200_000
 EPOCH = 1_700_000_000
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -254,7 +256,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         out = held.take(pa.array(order, pa.int64())).append_column("rank", pa.array(range(len(order)), pa.int64()))
         yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
-    dealt = runs.repartitionByRange("url_key", "seconds", "page_id", "run", "pos")
+    ranges = max(8, -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(ranges, "url_key", "seconds", "page_id", "run", "pos")
     return dealt.mapInArrow(run, _RUN + ", rank bigint")
 
 
