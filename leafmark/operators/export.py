@@ -35,7 +35,11 @@ def crew_list(parsed: DataFrame, nationalities: dict[str, tuple[str, str]] = NAT
     field = lambda c: F.when(good, F.col(f"fields.{c}"))
     code = F.translate(F.upper(field("nationality")), "01", "OI")
     rows = parsed.withColumn("code", code).join(names, F.col("code") == F.col("alpha3"), "left")
-    number = F.row_number().over(Window.orderBy("document", "page_number"))
+    # numbers over all pages: those of the documents before, of which there are fewer, and the place in the document
+    before = F.coalesce(F.sum("pages").over(Window.orderBy("document").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    documents = parsed.groupBy("document").agg(F.count(F.lit(1)).alias("pages")).select("document", before.alias("before"))
+    rows = rows.join(documents, "document")
+    number = F.col("before") + F.row_number().over(Window.partitionBy("document").orderBy("page_number"))
     blank = lambda c: F.nullif(c, F.lit(""))
     empty = F.lit(None).cast("string")
     return rows.select(

@@ -38,7 +38,7 @@ def mrz_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mrz_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parsed(spark, sf_dir).withColumns({"document": F.lit("crew"), "page_number": F.col("doc_id")})
+    rows = parsed(spark, sf_dir).withColumns({"document": F.concat(F.lit("crew "), (F.col("doc_id") % 97).cast("string")), "page_number": F.col("doc_id")})
     return crew_list(rows)
 
 
@@ -146,7 +146,7 @@ WITH {_TEXTS}, {_FIELDS_SQL}, code AS (
     try_strptime(CASE WHEN CAST(date_of_birth[1:2] AS INT) >= 50 THEN '19' ELSE '20' END || date_of_birth, '%Y%m%d') AS born
   FROM fields
 ), named AS (SELECT *, CASE c3 WHEN 'FRA' THEN 'FR' WHEN 'ESP' THEN 'ES' WHEN 'GBR' THEN 'GB' ELSE c3 END AS c2 FROM code)
-SELECT row_number() OVER (ORDER BY doc_id) AS seq,
+SELECT row_number() OVER (ORDER BY 'crew ' || CAST(doc_id % 97 AS VARCHAR), doc_id) AS seq,
   CASE WHEN good THEN array_to_string(list_filter([surname, given_names], lambda x: x <> ''), ' ') ELSE '' END AS name,
   CASE WHEN good THEN CASE sex_code WHEN 'M' THEN '1-男' WHEN 'F' THEN '0-女' END END AS sex,
   CASE WHEN good THEN CASE c2 WHEN 'FR' THEN 'FR-法国' WHEN 'ES' THEN 'ES-西班牙' WHEN 'GB' THEN 'GB-英国' ELSE nullif(c2, '') END END AS nationality,

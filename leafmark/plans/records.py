@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
@@ -74,8 +74,6 @@ def next_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last eight distinct artifacts of each job (a top-k report)."""
     seen = I.latest(derived.view(spark, sf_dir, "job_event").where("type = 'artifact'"), ["job_id", "item"], "seq")
-    from pyspark.sql import Window
-
     return seen.withColumn("k", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where("k <= 8").select("job_id", "item", "seq")
 
 
@@ -89,7 +87,7 @@ def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dictionary joins at volume: orders by nation and region, with counts and sums."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     nations = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
-    rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # 25 nations
+    rows = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
 
 
