@@ -193,3 +193,41 @@ def test_run_folders(spark, tmp_path):
     assert report["summary"] == {"pages": 2} and [p["page"] for p in report["pages"]] == [1, 2]
     sinks.write_pages(pages, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_configuration_is_strict():
+    from leafmark.operators.scores import merged_config
+
+    known = {"a": 1, "b": {"c": 2, "d": 3}}
+    assert merged_config(known, {"b": {"d": 9}}) == {"a": 1, "b": {"c": 2, "d": 9}}
+    with pytest.raises(ValueError, match="b.x"):
+        merged_config(known, {"b": {"x": 1}})
+
+
+def test_acceptance_cases(spark):
+    """Scores of known cases: (portrait, mrz, layout, final, eye, lines) and the path taken."""
+    from leafmark.operators import decide
+
+    cases = [
+        (100.0, 0.0, 67.0, 57.5, None, None, "strong_portrait_layout_fallback"), (55.0, 0.0, 60.0, 57.5, None, None, "low_confidence"), (90.0, 0.0, 68.0, 54.0, 0.9, None, "verified_face_layout_fallback"),
+        (90.0, 0.0, 68.0, 54.0, 0.0, None, "low_confidence"), (97.0, 0.0, 78.0, 66.0, 0.0, 84.0, "narrative_page_rejection"), (0.0, 0.0, 0.0, 58.0, None, None, "standard_threshold"),
+    ]
+    frame = spark.createDataFrame(cases, "portrait double, mrz_texture double, layout double, final double, eye_quality double, line_count double, want string")
+    rows = decide.acceptance(frame).collect()
+    assert len(rows) == len(cases) and all(r.path == r.want for r in rows)
+
+
+def test_streams(spark, tmp_path):
+    from leafmark.streaming import jobs
+
+    rows = [(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (2, 4, "a"), (1, 5, "a")]
+    for k, part in enumerate((rows[:2], rows[2:])):  # a change back counts, across batches too
+        spark.createDataFrame(part, "key int, seq int, mark string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.event_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    out = jobs.run_available(jobs.changed(stream, "key", "seq", "mark"), "changes_test", str(tmp_path / "c"))
+    assert sorted(r.seq for r in out.collect()) == [1, 3, 4, 5]
+    timed = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:20:00", "x"), ("2024-01-01 05:00:00", "y")], "at string, kind string").selectExpr("cast(at as timestamp) at", "kind")
+    timed.write.parquet(str(tmp_path / "t"))
+    counts = jobs.counts_by_type(jobs.event_stream(spark, str(tmp_path / "t")), "at", "kind")
+    got = jobs.run_available(counts, "counts_test", str(tmp_path / "d"), "complete").collect()
+    assert sorted((r.kind, r.n) for r in got) == [("x", 2), ("y", 1)]
