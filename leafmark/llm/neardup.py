@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, width: int, bands: int, ro
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
     """node, ids binary, counts binary: the shingles of one document for each wanted node (wanted: doc_id, node)."""
-    rows = docs.select(F.col(id_col).alias("text_id"), F.col(text).alias("text")).join(wanted, F.col("text_id") == F.col("doc_id")).select("node", "text")
+    rows = docs.select(F.col(id_col).alias("text_id"), F.col(text).alias("text")).join(wanted, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
     def run(batches):
         for batch in slices(batches, "text", 2 << 20):

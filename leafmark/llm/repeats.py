@@ -212,7 +212,7 @@ def _by_text(parsed: DataFrame, decided: DataFrame) -> DataFrame:
 
 def _phrases(docs: DataFrame, wanted: DataFrame, length: int, seed: int) -> DataFrame:
     """One table of two kinds of rows: t texts with the spans that are known to repeat; p phrases to be compared."""
-    rows = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id") == F.col("wanted_id")).select("text", "key", "r", "m", "s")
+    rows = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "key", "r", "m", "s")
     names = ["kind", "key", "text", "starts", "ends", "trigger", "phrase", "start", "before", "asked"]
     ints = pa.list_(pa.int64())
 
