@@ -4,6 +4,8 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from leafmark.llm import neardup
 from leafmark.llm.components import components
 from tests.llm.helpers import awkward, frame, prose
@@ -106,3 +108,13 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in (100, 150, 200)} == {100} and {got[500 + k] for k in range(30)} == {500}
     assert 300 not in got
+
+
+def test_null_ids_are_documents_too(spark):
+    rnd = random.Random(8)
+    same = prose(rnd, 50)
+    near = _edited(rnd, same, 1)
+    docs = frame(spark, [same, prose(rnd, 40)]).unionByName(frame(spark, [near, same]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = sorted((r.doc_id is None, r.class_id, r.class_size) for r in neardup.classes(docs).collect())
+    assert got == [(False, 0, 3), (False, 1, 1), (True, 0, 3), (True, 0, 3)]
+    assert neardup.without_copies(docs).count() == 4

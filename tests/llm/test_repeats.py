@@ -78,3 +78,12 @@ def test_suffix_order_finds_repeats():
     phrases = [(text[i : i + 60], 20) for i in (0, 3, 3 + 7)] + [(text[0:60], 20)]
     got = rp.repeated_windows(phrases, 30)
     assert got[0] == got[3] == list(range(0, 21))
+
+
+def test_null_ids_are_documents_too(spark):
+    from pyspark.sql import functions as F
+
+    text = "".join(map(str, range(200)))
+    docs = frame(spark, ["a" + text]).unionByName(frame(spark, [text + "b", "short"]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    got = sorted((r.n_bytes, r.n_removed) for r in rp.repeats(docs).collect())
+    assert got == [(5, 0), (len(text) + 1, len(text)), (len(text) + 1, len(text))]
