@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code of a nationality in the list and its printed name (fixed values; others pass through as their code).
-NATIONALITIES = {
-    "CHN": ("CN", "中国"), "DEU": ("DE", "德国"), "ESP": ("ES", "西班牙"), "FRA": ("FR", "法国"), "GBR": ("GB", "英国"), "IDN": ("ID", "印度尼西亚"), "IND": ("IN", "印度"),
-    "JPN": ("JP", "日本"), "KOR": ("KR", "韩国"), "MMR": ("MM", "缅甸"), "PHL": ("PH", "菲律宾"), "RUS": ("RU", "俄罗斯"), "UKR": ("UA", "乌克兰"), "USA": ("US", "美国"), "VNM": ("VN", "越南"),
-}
+from leafmark.functions.nations import ALPHA2, NAMES
+
 #: Printed values of the list (fixed values).
 SEX = {"M": "1-男", "F": "0-女"}
 KIND = {"P<": "14-普通护照", "PM": "17-海员证"}
@@ -27,14 +24,16 @@ def birth_serial(text: Column) -> Column:
     return F.datediff(day, F.lit("1899-12-30").cast("date"))
 
 
-def crew_list(parsed: DataFrame, nationalities: dict[str, tuple[str, str]] = NATIONALITIES) -> DataFrame:
+def crew_list(parsed: DataFrame, alpha2: dict[str, str] = ALPHA2, names: dict[str, str] = NAMES) -> DataFrame:
     """One row per page, numbered by document and page; fields only of valid and partial pages. parsed: document, page_number, status, fields."""
     spark = parsed.sparkSession
-    names = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in nationalities.items()], "alpha3 string, alpha2 string, printed string"))  # a fixed list
+    codes = F.broadcast(spark.createDataFrame(list(alpha2.items()), "alpha3 string, alpha2 string"))  # fixed lists
+    printed = F.broadcast(spark.createDataFrame(list(names.items()), "named string, printed string"))
     good = F.col("status").isin("valid", "partial")
     field = lambda c: F.when(good, F.col(f"fields.{c}"))
     code = F.translate(F.upper(field("nationality")), "01", "OI")
-    rows = parsed.withColumn("code", code).join(names, F.col("code") == F.col("alpha3"), "left")
+    rows = parsed.withColumn("code", code).join(codes, F.col("code") == F.col("alpha3"), "left").withColumn("short", F.coalesce("alpha2", "code"))
+    rows = rows.join(printed, F.col("short") == F.col("named"), "left")
     # numbers over all pages: those of the documents before, of which there are fewer, and the place in the document
     before = F.coalesce(F.sum("pages").over(Window.orderBy("document").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     documents = parsed.groupBy("document").agg(F.count(F.lit(1)).alias("pages")).select("document", before.alias("before"))
@@ -46,7 +45,7 @@ def crew_list(parsed: DataFrame, nationalities: dict[str, tuple[str, str]] = NAT
         number.cast("bigint").alias("seq"),
         F.concat_ws(" ", blank(field("surname")), blank(field("given_names"))).alias("name"),
         _choice(F.upper(field("sex_code")), SEX).alias("sex"),
-        F.coalesce(F.concat("alpha2", F.lit("-"), "printed"), blank(F.col("code"))).alias("nationality"),
+        F.coalesce(F.concat("short", F.lit("-"), "printed"), blank(F.col("short"))).alias("nationality"),
         empty.alias("duty"),
         birth_serial(field("date_of_birth")).alias("birth_serial"),
         empty.alias("birth_place"),

@@ -231,3 +231,16 @@ def test_streams(spark, tmp_path):
     counts = jobs.counts_by_type(jobs.event_stream(spark, str(tmp_path / "t")), "at", "kind")
     got = jobs.run_available(counts, "counts_test", str(tmp_path / "d"), "complete").collect()
     assert sorted((r.kind, r.n) for r in got) == [("x", 2), ("y", 1)]
+
+
+def test_crew_list(spark):
+    from leafmark.operators.export import birth_serial, crew_list
+
+    fields = "struct<surname:string,given_names:string,sex_code:string,nationality:string,date_of_birth:string,document_code:string,passport_number:string>"
+    rows = [("b", 1, "valid", ("A", "", "M", "1ND", "000229", "P<", "X1")), ("a", 2, "partial", ("B", "C", "<", "ZMB", "490230", "PM", "")), ("a", 1, "invalid", ("D", "E", "F", "FRA", "500101", "P<", "Z"))]
+    got = crew_list(spark.createDataFrame(rows, f"document string, page_number int, status string, fields {fields}")).orderBy("seq").collect()
+    assert [(r.seq, r.name, r.sex, r.nationality, r.document_kind, r.document_number, r.remark) for r in got] == [
+        (1, "", None, None, None, None, None), (2, "B C", None, "ZM", "17-海员证", None, "MRZ校验需复核"), (3, "A", "1-男", "IN-印度", "14-普通护照", "X1", None),
+    ]
+    assert [r.birth_serial for r in got] == [None, None, 36585]
+    assert _value(spark, birth_serial(F.lit("500101"))) == 18264 and _value(spark, birth_serial(F.lit("5001"))) is None
