@@ -15,7 +15,6 @@ counted once; an empty benchmark hits nothing; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
