@@ -274,7 +274,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
 
     placed = found.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     named = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    several = named.where("class_size > 1").select(F.col("component").alias("c"), "class_id", "class_size")
+    # written, so that the join below reads two plain exchanges, of which adaptive execution can split the copies of a large class
+    several = written(named.where("class_size > 1").select(F.col("component").alias("c"), "class_id", "class_size"), "classes")
     return placed.join(several, F.col("component") == F.col("c"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
