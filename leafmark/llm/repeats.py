@@ -301,7 +301,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     decided = _decide(parsed.where("kind = 'e'"), shards)
     texts = written(_by_text(parsed, decided), "repeating-texts")
     each = parsed.where("kind = 'd'")
-    wanted = each.select("key", "doc_id").join(texts.select("key"), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(texts, "key")
+    wanted = each.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(texts, "key")
     phrases = _phrases(docs, wanted, length, seed)
     compared = written(_compared(phrases, length), "compared")
     more = compared.groupBy(F.col("key").alias("more_key")).agg(F.collect_list("start").alias("more_starts"), F.collect_list("end").alias("more_ends"))
