@@ -8,9 +8,13 @@ have received floor(u * C_j / P) of the first u tokens, so the deficit of a queu
 window. So deficits carry across windows and partitions without a walk over the windows: a task needs only where
 its partition begins in each queue (a running sum over partitions). Every window but the last is full.
 
-By default the targets are the sources' shares of all tokens, so that all queues end together. Sources that
-would get under two tokens a window are one queue together. Other weights give phases: when a queue runs dry, the rest
-share on by their weights, and sources without weight come last, as one queue.
+By default the targets are the sources' shares of all tokens, so that all queues end together. Sources that get
+under two tokens a window carry their deficit over several: together they are one queue, which is served in every
+window (first, so that what it has had never falls, however small it is), and the tokens of this queue are dealt
+to them by the same closed form, over so many of its tokens that each gets two. Those of sizes within four times are a
+tier; the smaller ones are again one queue inside it. So a source has had its share, to a few tokens, at any point.
+Other weights give phases: when a queue runs dry, the rest share on by their weights, and sources without weight come
+last, sharing by their sizes.
 
 Token ids are written once as a table in the shared folder; its order (partition, position) is the queues' order.
 
@@ -35,6 +39,8 @@ from leafmark.llm.common import column, slices, table, written
 LENGTH = 2048
 END_ID = 1
 CLASSES = 4096
+#: The tier of the queues that get two tokens a window.
+OWN = 64
 #: How byte-level tokenizers of this kind split a text.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes engines could differ; all others are plain Latin ones.
@@ -118,12 +124,45 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     return written(out.mapInArrow(run, f"doc_id {kind}, queue string, part int, seq bigint, start bigint, n bigint, ids binary"), "tokens")
 
 
-def phases(totals: list[tuple[str, int]], weights: dict[str, int], length: int) -> dict[str, list[tuple[int, int, int, int, int]]]:
-    """For each queue its phases (first token in the queue, lower and upper cumulative amount, the phase's total, its first global position).
+def tiers(sizes: dict[int, tuple[int, int]], length: int) -> dict[int, tuple[int, int, int, list[tuple[int, int, int, int]]]]:
+    """For each tier, of its tokens and its least queue's: (tokens of the tiers below, these and its own, window, steps outwards).
 
-    In a phase a queue takes part that gets two tokens a window at least (then what it has had never
-    falls from window to window); the others' tokens of the phase follow it.
+    A step (lower and upper cumulative amount, total, window) places a queue's tokens among the total's.
     """
+    out, outer, total = {}, [], sum(n for n, _ in sizes.values())
+    for tier in sorted({OWN, *sizes}, reverse=True):
+        amount, least = sizes.get(tier, (0, 1))
+        below = total - amount
+        out[tier] = (below, total, length if tier == OWN else -(-2 * total // least), outer)
+        if tier == OWN or amount:
+            outer = [(0, below, total, out[tier][2]), *outer]
+        total = below
+    return out
+
+
+def tier_of(n: int, total: int, length: int) -> int:
+    return OWN if n * length >= 2 * total else (n.bit_length() + 1) // 2
+
+
+def _shared(amount: dict[str, int], length: int) -> dict[str, list[tuple[int, int, int, int]]]:
+    """The steps of each queue, from its own tier outwards."""
+    total, sizes = sum(amount.values()), {}
+    for n in amount.values():
+        tier = tier_of(n, total, length)
+        had, least = sizes.get(tier, (0, n))
+        sizes[tier] = (had + n, min(least, n))
+    found, out = tiers(sizes, length), {}
+    low = {tier: x[0] for tier, x in found.items()}
+    for q, n in amount.items():
+        tier = tier_of(n, total, length)
+        _, all_, window, outer = found[tier]
+        out[q] = [(low[tier], low[tier] + n, all_, window), *outer]
+        low[tier] += n
+    return out
+
+
+def phases(totals: list[tuple[str, int]], weights: dict[str, int], length: int) -> dict[str, list[tuple[int, int, list[tuple[int, int, int, int]]]]]:
+    """For each queue its phases (first token in the queue, the phase's first global position, steps)."""
     left = {q: n for q, n in sorted(totals) if n}
     out: dict[str, list] = {q: [] for q in left}
     begun, at = dict.fromkeys(left, 0), 0
@@ -132,45 +171,54 @@ def phases(totals: list[tuple[str, int]], weights: dict[str, int], length: int)
         least = min(active, key=lambda q: (left[q] / active[q], q))
         amount = {q: left[q] if q == least else min(left[q], left[least] * w // active[least]) for q, w in active.items()}
         amount = {q: n for q, n in amount.items() if n}
-        total = sum(amount.values())
-        small = [q for q, n in amount.items() if n * length < 2 * total]
-        for group in [[q for q in amount if q not in small], *([q] for q in small)]:
-            low, total = 0, sum(amount[q] for q in group)
-            for q in group:
-                out[q].append((begun[q], low, low + amount[q], total, at))
-                low += amount[q]
-                begun[q] += amount[q]
-                left[q] -= amount[q]
-                if not left[q]:
-                    del left[q]
-            at += total
+        for q, steps in _shared(amount, length).items():
+            out[q].append((begun[q], at, steps))
+            begun[q] += amount[q]
+            left[q] -= amount[q]
+            if not left[q]:
+                del left[q]
+        at += sum(amount.values())
     return out
 
 
-def cut(first: int, n: int, plan: list[tuple[int, int, int, int, int]], length: int) -> list[tuple[int, int, int, int]]:
+def _dealt(own: int, stop: int, low: int, high: int, total: int, window: int, base: int = 0) -> list[tuple[int, int, int]]:
+    """The pieces (first token, size, position) of a queue's tokens own .. stop among the total's, cut where windows end."""
+    out = []
+    share = lambda u: u * high // total - u * low // total  # noqa: E731  what the queue has had of the first u tokens
+    edge = lambda w: min(max(w * window - base, 0), total)
+    # only a queue that comes first can get nothing for many windows; its tokens' windows are known
+    find = lambda own: (base - 1 - (-(own + 1) * total // high) if not low else base + own * total // (high - low)) // window
+    w = find(own)
+    while share(edge(w)) > own:
+        w -= 1
+    while share(edge(w + 1)) <= own:
+        w += 1
+    while own < stop:
+        u, v = edge(w), edge(w + 1)
+        had, has = share(u), share(v)
+        if has > had:
+            to = min(stop, has)
+            out.append((own, to - own, u + v * low // total - u * low // total + own - had))
+            own = to
+            w += 1
+        else:
+            w = w + 1 if low else find(own)
+    return out
+
+
+def cut(first: int, n: int, plan: list[tuple[int, int, list[tuple[int, int, int, int]]]], length: int) -> list[tuple[int, int, int, int]]:
     """The pieces (start, length, sequence, offset) of a document at tokens first .. first + n of its queue."""
     out, at, end = [], first, first + n
-    k = bisect_right(plan, (first, 1 << 200)) - 1
+    k = bisect_right(plan, first, key=lambda p: p[0]) - 1
     while at < end:
-        begun, low, high, total, base = plan[k]
-        own = at - begun
-        share = lambda u: u * high // total - u * low // total  # noqa: E731  what the queue has had of the phase's first u tokens
-        edge = lambda w: min(max(w * length - base, 0), total)
-        w = (base + own * total // (high - low)) // length
-        while share(edge(w)) > own:
-            w -= 1
-        while share(edge(w + 1)) <= own:
-            w += 1
-        stop = min(end, begun + high - low)
-        while at < stop:
-            u, v = edge(w), edge(w + 1)
-            had, has = share(u), share(v)
-            if has > had:
-                to = min(stop, begun + has)
-                before = v * low // total - u * low // total
-                out.append((at - first, to - at, w, max(base - w * length, 0) + before + at - begun - had))
-                at = to
-            w += 1
+        begun, base, steps = plan[k]
+        stop = min(end, begun + steps[0][1] - steps[0][0])
+        pieces = [(at - first, stop - at, at - begun)]
+        for step in steps[:-1]:
+            pieces = [(start + own - pos, size, to) for start, m, pos in pieces for own, size, to in _dealt(pos, pos + m, *step)]
+        for start, m, pos in pieces:
+            out.extend((start + own - pos, size, *divmod(base + to, length)) for own, size, to in _dealt(pos, pos + m, *steps[-1], base))
+        at = stop
         k += 1
     return out
 
@@ -181,29 +229,35 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str, int] | None =
     weights: target proportions of some sources; without it, the sources' shares of all tokens.
     """
     tokens = tokenized(docs, path, end_id)
-    parts = tokens.groupBy("queue", "part").agg(F.sum("n").alias("n"))
+    parts = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "parts")
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = parts.select("queue", "part", F.coalesce(before, F.lit(0)).alias("before"))
     totals = parts.groupBy("queue").agg(F.sum("n").alias("total"))
-    named = {f"s{k}": int(w) for k, w in (weights or {}).items()}
-    if named:
-        own = F.col("queue").isin(list(named))
-    else:
-        every = totals.agg(F.sum("total")).first()[0] or 0
-        own = F.col("total") * length >= 2 * every
-    # the queues to plan for: those named, or those that get two tokens a window (length / 2 at most); all others in a row
-    # (in order of a hash class, so that no task sums up all of them)
-    lumped = totals.withColumn("lump", F.when(own, F.col("queue")).otherwise("")).withColumn("class", F.pmod(F.xxhash64("queue"), F.lit(CLASSES)))
-    classes = lumped.groupBy("lump", "class").agg(F.sum("total").alias("class_total"))
-    up = Window.partitionBy("lump").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("lump", "class", F.coalesce(F.sum("class_total").over(up), F.lit(0)).alias("class_before"))
-    lump = Window.partitionBy("lump", "class").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
-    lumped = lumped.withColumn("own_before", F.coalesce(F.sum("total").over(lump), F.lit(0))).join(classes, ["lump", "class"])
-    lumped = lumped.select("queue", "total", "lump", (F.col("own_before") + F.col("class_before")).alias("lump_before"))
-    planned = phases([tuple(r) for r in lumped.groupBy("lump").agg(F.sum("total")).collect()], named, length)
-    plans = docs.sparkSession.createDataFrame(list(planned.items()), "lump string, plan array<struct<begun:bigint,low:bigint,high:bigint,all:bigint,base:bigint>>")
-    bounds = lumped.join(F.broadcast(plans), "lump").select("queue", "lump_before", "plan")
-    offsets = offsets.join(bounds, "queue").select("queue", "part", (F.col("before") + F.col("lump_before")).alias("before"), "plan")
+    named = {f"s{k}": int(w) for k, w in (weights or {}).items() if int(w) > 0}
+    # the queues that weights name are planned here, the others as one; inside it each by its tier
+    theirs = F.col("queue").isin(list(named)) if named else F.lit(False)
+    rest = totals.where(~theirs)
+    every = rest.agg(F.sum("total")).first()[0] or 0
+    planned = phases([*(tuple(r) for r in totals.where(theirs).collect()), ("", every)], named, length)
+    base = planned.pop("")[0][1] if every else 0
+    rest = rest.withColumn("tier", F.when(F.col("total") * length >= 2 * every, OWN).otherwise(F.floor((F.length(F.bin("total")) + 1) / 2)).cast("int"))
+    sizes = {r.tier: (r.n, r.least) for r in rest.groupBy("tier").agg(F.sum("total").alias("n"), F.min("total").alias("least")).collect()}
+    step = "struct<low:bigint,high:bigint,all:bigint,window:bigint>"
+    plan = f"array<struct<begun:bigint,base:bigint,steps:array<{step}>>>"
+    held = docs.sparkSession.createDataFrame([(tier, *x) for tier, x in tiers(sizes, length).items()], f"tier int, below bigint, all bigint, window bigint, outer array<{step}>")
+    # a tier's queues in a row, in order of a hash class, so that no task sums up all of them
+    rest = rest.withColumn("class", F.pmod(F.xxhash64("queue"), F.lit(CLASSES)))
+    classes = rest.groupBy("tier", "class").agg(F.sum("total").alias("class_total"))
+    up = Window.partitionBy("tier").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("tier", "class", F.coalesce(F.sum("class_total").over(up), F.lit(0)).alias("class_before"))
+    own = Window.partitionBy("tier", "class").orderBy("queue").rowsBetween(Window.unboundedPreceding, -1)
+    rest = rest.withColumn("own_before", F.coalesce(F.sum("total").over(own), F.lit(0))).join(classes, ["tier", "class"]).join(F.broadcast(held), "tier")
+    low = F.col("below") + F.col("class_before") + F.col("own_before")
+    inner = F.struct(low.alias("low"), (low + F.col("total")).alias("high"), "all", "window")
+    bounds = rest.select("queue", F.array(F.struct(F.lit(0), F.lit(base), F.concat(F.array(inner), "outer"))).cast(plan).alias("plan"))
+    if planned:
+        bounds = bounds.unionByName(docs.sparkSession.createDataFrame(list(planned.items()), f"queue string, plan {plan}"))
+    offsets = offsets.join(bounds, "queue").select("queue", "part", "before", "plan")
     placed = written(offsets, "queues")
     ready = tokens.join(placed, ["queue", "part"])
     kind = tokens.schema["doc_id"].dataType.simpleString()
@@ -216,7 +270,7 @@ def pack(docs: DataFrame, length: int = LENGTH, weights: dict[str, int] | None =
             plan_col = column(batch, "plan")
             for i, (doc, n, start, before_, ids) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n", "start", "before", "ids")))):
                 if queue[i] not in plans:
-                    plans[queue[i]] = [(p["begun"], p["low"], p["high"], p["all"], p["base"]) for p in plan_col[i].as_py()]
+                    plans[queue[i]] = [(p["begun"], p["base"], [(x["low"], x["high"], x["all"], x["window"]) for x in p["steps"]]) for p in plan_col[i].as_py()]
                 row = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 for a, size, w, offset in cut(before_ + start, n, plans[queue[i]], length):
                     own = row[a : a + size]

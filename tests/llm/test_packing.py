@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from leafmark.llm import packing
-from tests.llm.helpers import awkward, frame, prose
+from tests.llm.helpers import DOCS, awkward, frame, prose
 
 TEXTS = ["", "a  b", "a \n\n b  ", "  x", "it's I'll we've'''s", "<|endoftext|> hi", "12ab½ é—– x\t\ty \r\n", "\xa0 x", "\x85", "$$$ !!! a%%%", "don't 'S", "字 mixed text", "ÀÉ¼ªº", "x" * 3000]
 
@@ -85,6 +85,63 @@ def test_windows_hold_the_targets(spark, tokenizer):
     assert abs(first["s0"] - 640) < 10 and abs(first["s1"] - 320) < 10 and not first[""]
 
 
+def test_small_sources_keep_their_targets(spark, tokenizer):
+    # 1500 sources of one size, none of which gets two tokens a window, and some of a tenth of it
+    texts = ["a b c d e f g h i j k l m n o p q r s"] * 1500 + ["a b"] * 30
+    docs = spark.createDataFrame([(i, t, "en", f"w{i}", len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    rows = packing.pack(docs, length=2048).collect()
+    _check(rows, texts, tokenizer, 2048)
+    size = [len(_ids(tokenizer, t)) for t in texts]
+    every, had, done = sum(size), Counter(), defaultdict(list)
+    for r in rows:
+        done[r.sequence_id].append(r)
+    for w in range(max(done)):
+        for r in done[w]:
+            had[r.doc_id] += r.length
+        assert all(abs(had[i] - (w + 1) * 2048 * n / every) < 5 for i, n in enumerate(size))
+
+
+def test_one_small_source_is_not_put_last(spark, tokenizer):
+    texts = ["a b c d e f g h"] * 1000 + ["x y"]
+    docs = spark.createDataFrame([(i, t, "en", "small" if t == "x y" else "large", len(t)) for i, t in enumerate(texts)], DOCS)
+    rows = packing.pack(docs, length=64).collect()
+    _check(rows, texts, tokenizer, 64)
+    own = sorted(r.sequence_id for r in rows if r.doc_id == 1000)
+    last = max(r.sequence_id for r in rows)
+    assert own[0] < last / 2 and len(own) == len(_ids(tokenizer, "x y"))
+
+
+def test_weighted_small_source_keeps_its_target():
+    # with weights 1 to 400 and windows of 64, the small one has its share at the end of every window
+    plan, had = packing.phases([("a", 40000), ("b", 100)], {"a": 400, "b": 1}, 64), Counter()
+    for _, size, w, _ in packing.cut(0, 100, plan["b"], 64):
+        had[w] += size
+    assert all(abs(sum(n for k, n in had.items() if k <= w) - (w + 1) * 64 / 401) < 2 for w in range(40100 // 64))
+
+
+def test_gaps_are_not_walked():
+    plan = packing.phases([("a", 10**15), ("b", 3), ("c", 2)], {}, 2048)
+    for q, n in (("b", 3), ("c", 2)):
+        assert [p[:2] for p in packing.cut(0, n, plan[q], 2048)] == [(k, 1) for k in range(n)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(0, 14), min_size=1), st.sampled_from([4, 7, 16]))
+def test_tiers_tile_all_windows(sizes, length):
+    totals = {f"q{k}": 1 + (k * 7919) % (1 << e) for k, e in sizes.items()}
+    plan, taken = packing.phases(list(totals.items()), {}, length), Counter()
+    every, points = sum(totals.values()), []
+    for q, n in totals.items():
+        pieces = packing.cut(0, n, plan[q], length)
+        assert [p[0] for p in pieces] == [sum(x[1] for x in pieces[:k]) for k in range(len(pieces))] and sum(p[1] for p in pieces) == n
+        for start, size, w, offset in pieces:
+            taken.update(range(w * length + offset, w * length + offset + size))
+            points.append((start + size - 1, w, n))
+    assert taken == Counter(range(every))
+    # a piece's window is about where its source's share is reached
+    assert all(abs(own - (w + 0.5) * length * n / every) <= length * n / every / 2 + 10 for own, w, n in points)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 300), min_size=1), st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 4)), st.sampled_from([4, 7, 16]), st.randoms(use_true_random=False))
 def test_cuts_tile_all_windows(totals, weights, length, rnd):
