@@ -6,11 +6,12 @@ its own length. The windows form a hash set that every task holds; the documents
 scanned once, candidates are found by array operations and verified word by word in the set.
 
 The set is broadcast only up to `block_bytes` of benchmark text. A larger benchmark is cut into blocks of
-that size by a hash of the item id, and the documents are scanned once for each block; the hit positions
+that size by a hash of the item id (of the text, where it is null), and the documents are scanned once for each block; the hit positions
 of all blocks are united, so the result does not depend on the number of blocks.
 
-Edge cases: null and empty texts have no words and no hits; null items have no windows; equal item ids are
-counted once; an empty benchmark hits nothing; extra columns are ignored.
+Edge cases: null and empty texts have no words and no hits; items with a null text have no windows; equal item ids are
+counted once; items without an id hit as any other, are counted as one item together (null in hit_items, last) and
+are not in items_sha256; an empty benchmark hits nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +38,10 @@ def words(text: str | None) -> list[bytes]:
 class WindowSet:
     """The benchmark windows: word ids, and for each length a set of id sequences with their items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
         self.width = width
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, tuple[str, ...]]] = {}
+        self.windows: dict[int, dict[bytes, tuple[str | None, ...]]] = {}
         for item, text in items:
             found = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
             if not found:
@@ -55,7 +56,7 @@ class WindowSet:
                 elif item not in names:
                     held[key] = names + own
 
-    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str]]:
+    def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str | None]]:
         """The number of words, the sorted positions of the hit words, the items found."""
         found = words(text)
         get = self.ids.get
@@ -82,10 +83,10 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+    return [rows.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(n)) == k) for k in range(n)]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -105,7 +106,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                     n, positions, own = found.scan(texts[i].as_py())
                     n_words.append(n)
                     hit.append(np.union1d(positions, before[i].as_py() or []).astype(np.int32).tolist())
-                    names.append(sorted(own.union(items[i].as_py() or [])))
+                    names.append(sorted(own.union(items[i].as_py() or []), key=lambda x: (x is None, x or "")))
                 new = {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hit, pa.list_(pa.int32())), "hit_items": pa.array(names, pa.list_(pa.string()))}
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(j)) for j, c in enumerate(batch.schema.names)], names=batch.schema.names)
 

@@ -1,6 +1,8 @@
+import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 
 from leafmark.llm import decontaminate as dc
@@ -47,6 +49,23 @@ def test_hits_equal_brute_force(spark, block_bytes):
     assert got == {i: _plain(t, items) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 100])
+def test_items_without_an_id_equal_the_sql(spark, tmp_path, monkeypatch, block_bytes):
+    texts, items = _case()
+    texts, items = [*texts, "ka1 ka2 ka3"], [(None if i % 2 else i, t) for i, t in items] + [(None, "Ka1 ka2, ka3"), (None, None)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    hits = dc.hits
+    monkeypatch.setattr(dc, "hits", lambda *a: hits(*a, block_bytes=block_bytes))
+    got = sorted(tuple(r) for r in dc.op9_decontamination(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(db.sql(dc.SQL).fetchall())
+    none = hashlib.sha256(b"").hexdigest()
+    assert (len(texts) - 1, 3, 3, 1, none, True) in got  # only an item without an id hits it
+
+
 def test_removal(spark):
     texts, items = _case()
     docs, bench = frame(spark, texts), spark.createDataFrame(items, ITEMS)
