@@ -279,9 +279,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     return placed.join(several, F.col("component") == F.col("c"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"))
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def without_copies(docs: DataFrame, id_col: str = "doc_id", null_ids_stay: bool = True, **options) -> DataFrame:
     """One document of each class (that with the least id), with its columns. Rows that repeat as a whole count once;
-    rows without an id stay."""
+    rows without an id stay, or else (null_ids_stay=False) take part: they come after all ids, by text digest and row number."""
+    if not null_ids_stay and not docs.where(F.col(id_col).isNull()).isEmpty():
+        none = F.col(id_col).isNull()
+        key = F.struct(none.alias("none"), F.col(id_col).alias("id"), F.when(none, F.xxhash64(options.get("text", "text"))).alias("digest"), F.when(none, F.monotonically_increasing_id()).alias("row"))
+        numbered = written(docs.withColumn("row_key", key), "numbered")  # written, so that the row numbers stay
+        return without_copies(numbered, "row_key", **options).drop("row_key")
     kept = classes(docs, id_col=id_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
     chosen = docs.join(kept, F.col(id_col) == F.col("kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():

@@ -118,3 +118,22 @@ def test_null_ids_are_documents_too(spark):
     got = sorted((r.doc_id is None, r.class_id, r.class_size) for r in neardup.classes(docs).collect())
     assert got == [(False, 0, 3), (False, 1, 1), (True, 0, 3), (True, 0, 3)]
     assert neardup.without_copies(docs).count() == 4
+
+
+def test_null_ids_take_part_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(9)
+    same, other, alone = prose(rnd, 50), prose(rnd, 60), prose(rnd, 40)
+    nulls = [_edited(rnd, same, 1), same, other, other, _edited(rnd, other, 1), alone, None, None, ""]
+    docs = frame(spark, [same, prose(rnd, 40), None]).unionByName(frame(spark, nulls).withColumn("doc_id", F.lit(None).cast("bigint")))
+    kept = cp.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [0, 1, 2]
+    left = [r.text for r in rows if r.doc_id is None]
+    assert len(left) == 5 and left.count(None) == 2 and {"", alone} < set(left)  # and one of the three like `other`
+    assert len({other, nulls[4]} & set(left)) == 1
+    # an id beats none, whatever the texts; repeated rows with an id count once
+    again = docs.unionByName(docs.where("doc_id = 0"))
+    assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, again, str(tmp_path)).collect()) == ["0", "1", "2", *["None"] * 5]
