@@ -1,4 +1,4 @@
-"""Exact repeat removal: prefix-free parsing of the corpus, and suffix arrays over the repeated phrases.
+"""Exact repeat removal: prefix-free parsing of the corpus, and sorted windows of the phrases it leaves open.
 
 Removed is every byte that some `length`-byte string covers which also starts anywhere else in the corpus. Matches
 do not cross documents, and strings are judged on the input.
@@ -10,12 +10,11 @@ hash, phrase hash); the distinct pairs are the dictionary.
 1. The parses are counted: each block of documents sends the pairs it has, once each, to the shard of the trigger. A
    trigger with one phrase, seen once, cannot repeat. A phrase seen twice repeats as a whole. What is left are phrases
    that share a trigger with another phrase: windows of theirs may or may not repeat.
-2. Of those, every distinct phrase is sent with its bytes to its trigger's shard. There a suffix array of the trigger's
-   phrases (suffixes at window starts, in the order of their first `length` bytes) brings equal windows together,
-   and neighbours with a common prefix of `length` bytes repeat.
+2. Of those, every distinct phrase is sent with its bytes to its trigger's shard. There the `length`-byte windows of the
+   trigger's phrases are sorted, one distance from the trigger at a time, and equal neighbours repeat.
 3. The covered bytes of both steps are united for each text.
-The global suffix order of the corpus is thus built where it can decide something, shard by shard, and never for
-phrases that the parse has decided already. Windows are compared as bytes; equality of whole phrases is by 64-bit hashes
+Suffix arrays of the dictionary and the parse are not built: windows are put in order where that can decide something,
+shard by shard, and never for phrases that the parse has decided already. Windows are compared as bytes; equality of whole phrases is by 64-bit hashes
 of trigger and phrase together, equality of whole texts by a 128-bit digest.
 
 Hot passages: a block sends a phrase once, however often it has it, so a shard gets at most one row for
