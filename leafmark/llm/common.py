@@ -18,22 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (local tests) gets a temporary folder.
+    Only a local session without that setting (tests, one machine) gets a temporary folder; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the executors share no folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Names this driver's folder inside the shared one.
+RUN = uuid.uuid4().hex
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/leafmark-scratch/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/leafmark-scratch/{RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes what operators have written to the shared folder; for when their results have been used."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmark-scratch")
+    """Deletes what this driver's operators have written to the shared folder; for when their results have been used."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/leafmark-scratch/{RUN}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -41,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,25 +1,31 @@
-"""Exact repeat removal: prefix-free parsing of the corpus, and sorted windows of the phrases it leaves open.
-
-Removed is every byte that some `length`-byte string covers which also starts anywhere else in the corpus. Matches
-do not cross documents, and strings are judged on the input.
-
-Parsing: a rolling hash of 64 bytes runs over each text; the trigger of a window (a `length`-byte string) is the leftmost
-least hash in it, so equal windows have equal triggers at equal places. Neighbouring windows with one trigger
-are an interval, and the bytes that its windows cover are its phrase. Texts become parses, sequences of (trigger
-hash, phrase hash); the distinct pairs are the dictionary.
-1. The parses are counted: each block of documents sends the pairs it has, once each, to the shard of the trigger. A
-   trigger with one phrase, seen once, cannot repeat. A phrase seen twice repeats as a whole. What is left are phrases
-   that share a trigger with another phrase: windows of theirs may or may not repeat.
-2. Of those, every distinct phrase is sent with its bytes to its trigger's shard. There the `length`-byte windows of the
-   trigger's phrases are sorted, one distance from the trigger at a time, and equal neighbours repeat.
-3. The covered bytes of both steps are united for each text.
-Suffix arrays of the dictionary and the parse are not built: windows are put in order where that can decide something,
-shard by shard, and never for phrases that the parse has decided already. Windows are compared as bytes; equality of whole phrases is by 64-bit hashes
-of trigger and phrase together, equality of whole texts by a 128-bit digest.
-
-Hot passages: a block sends a phrase once, however often it has it, so a shard gets at most one row for
-each block and distinct phrase. Edge cases: null is the empty text; texts shorter than `length` keep every byte; repeated
-rows repeat each other; an empty table gives an empty one; extra columns are ignored.
+"""Exact repeat removal by prefix-free parsing.
+
+Removed is every byte that some `length`-byte string (a window) covers which also starts anywhere else in the corpus.
+Matches do not cross documents, and windows are judged on the input.
+
+1. Dealing. A rolling hash of `seed` bytes runs over each text; a window's trigger is the leftmost least hash in it, so
+   equal windows have equal triggers at equal places and can only meet inside a trigger's group. Neighbouring windows with one
+   trigger are an interval, the bytes that they cover its phrase. A text is so parsed into (trigger, phrase) hashes.
+2. The parse is counted by groupBy: a trigger that stands in one place cannot repeat; a phrase that stands in
+   several places repeats as a whole. Open are the phrases that share their trigger with other phrases.
+3. The open phrases, each distinct one once, meet with their bytes, trigger by trigger. There a prefix-free parse is
+   built (corpus_order): triggers, 8 bytes whose hash is 0 modulo 16, cut the phrases into words that overlap by these 8
+   bytes; the distinct words are the dictionary, the phrases' sequences of words the parse. The suffix array of
+   the dictionary and that of the parse, both by prefix doubling, combine into the order of all window
+   starts, in which equal windows are neighbours; neighbours are compared byte by byte.
+4. The covered bytes of steps 2 and 3 are united for each text.
+
+The order is built for sets of triggers of about `SHARD_BYTES`, as no window can equal one of another trigger; a
+single order of the whole corpus is never needed. Whole phrases are compared by 64-bit hashes of trigger and of phrase together,
+texts by a 128-bit digest.
+
+Hot groups: texts that are equal are parsed once a task, and removed whole without a comparison. A phrase that stands very often
+is counted in partial sums and compared once. A trigger with more than `HOT` distinct phrases (the rim of a passage that very
+many documents share) is taken apart: its phrases' windows are dealt by their 128-bit digests, one row each, so that no task
+holds the group. Very long texts are parsed in blocks of `BLOCK_BYTES` that overlap by a window.
+
+Edge cases: null is the empty text; texts shorter than `length` keep every byte; repeated rows and rows without an id repeat
+each other; ties of least hashes go to the left; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import column, grouped_rows, slices, table, written
+from leafmark.llm.common import column, slices, table, written
 
 LENGTH = 200
 SEED = 64
-BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 64 << 20
+BLOCK_BYTES = 2 << 20
+SHARD_BYTES = 2 << 20
+#: Distinct phrases of a trigger beyond which its windows are dealt one by one.
+HOT = 2000
+#: Bytes of a trigger of the prefix-free parse, and the modulus of its hash.
+TRIGGER, MODULUS = 8, 16
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -57,12 +67,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def parse(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The intervals of windows with one trigger: first and last window start, trigger place, trigger hash, phrase hash."""
+def _parsed_block(raw: bytes, length: int, seed: int) -> tuple[np.ndarray, ...]:
     n = len(raw)
-    if n < length:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64, out=total[1:])
@@ -83,21 +89,139 @@ def parse(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarra
     return first, last, at, _mix(h[at] * np.uint64(_BASE)), phrase
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+def parse(raw: bytes, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals of windows with one trigger: first and last window start, trigger place, trigger hash, phrase hash.
 
+    An interval that a block of `BLOCK_BYTES` ends in goes on as another one; the windows and their triggers are the same.
+    """
+    starts = len(raw) - length + 1
+    if starts <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    if starts <= BLOCK_BYTES:
+        return _parsed_block(raw, length, seed)
+    found = []
+    for a in range(0, starts, BLOCK_BYTES):
+        first, last, at, trigger, phrase = _parsed_block(raw[a : min(a + BLOCK_BYTES, starts) + length - 1], length, seed)
+        found.append((first + a, last + a, at + a, trigger, phrase))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _refined(rank: np.ndarray, after, size: int, active: np.ndarray) -> np.ndarray:
+    """Prefix doubling: ranks (the numbers of smaller suffixes) by `size` symbols become ranks by twice as many, for the
+    active suffixes, which are whole classes of equal ones. Returns those that still share a rank."""
+    key = (rank[active].astype(np.uint64) << np.uint64(32)) | after(active, size).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, active = key[order], active[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    own = np.concatenate(([True], np.diff(key >> np.uint64(32)) != 0))  # where a class begins
+    place = np.arange(len(key))
+    rank[active] = rank[active] + (np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(own, place, 0)))
+    alone = new & np.append(new[1:], True)
+    return active[~alone]
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by key, and those that share one."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1])) if len(key) else np.zeros(0, bool)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else 0
+    return rank, order[~(new & np.append(new[1:], True))] if len(key) else order
+
+
+def _sorted_dictionary(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the words as ranks of all their suffixes (equal ones share a rank), and where each word begins."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    symbol = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
+    n = len(symbol)
+    left = np.repeat(begin + sizes, sizes) - np.arange(n)  # symbols up to the word's end
+    padded = np.concatenate((symbol, np.zeros(7, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(7):  # 7 symbols of 9 bits; beyond the end 0
+        key = (key << 9) | np.where(left > k, padded[k : k + n], 0)
+    rank, active = _ranked(key)
+    size = 7
+    while True:
+        active = active[left[active] >= size]  # others have met their word's end: equal suffixes
+        if not len(active):
+            return rank, begin
+
+        def after(at, k):
+            to = at + k
+            return np.where(left[at] > k, rank[np.minimum(to, n - 1)] + 1, 0)
+
+        active = _refined(rank, after, size, active)
+        size *= 2
+
+
+def _sorted_parse(word_rank: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The suffix array of the parse as ranks; left: words up to the phrase's end."""
+    rank, active = _ranked(word_rank)
+    size, n = 1, len(rank)
+    while True:
+        active = active[left[active] >= size]
+        if not len(active):
+            return rank
+
+        def after(at, k):
+            return np.where(left[at] > k, rank[np.minimum(at + k, n - 1)] + 1, 0)
+
+        active = _refined(rank, after, size, active)
+        size *= 2
+
+
+def corpus_order(phrases: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window starts of the phrases (the first ones of each, so many as `windows` says) in the order of the suffixes there:
+    places in the concatenated phrases, with the concatenation (as 8-byte reads) and the phrases' beginnings.
+
+    Each start is a suffix of a dictionary word, followed by a suffix of the parse. No proper suffix longer than a trigger is
+    a prefix of another one, but at the phrases' ends, so the order by (rank of the word's suffix, rank of the rest) is the
+    order of the texts, as far as a phrase goes.
+    """
+    text = b"".join(phrases)
+    sizes = np.array([len(p) for p in phrases], np.int64)
+    end = np.cumsum(sizes)
+    begin = end - sizes
+    reads = np.ndarray((len(text) - 7,), "<u8", text, 0, (1,))
+    hashed = _mix((reads ^ (reads >> np.uint64(33))) * np.uint64(_BASE)) >> np.uint64(40)
+    trigger = np.flatnonzero(hashed % np.uint64(MODULUS) == 0)
+    of = np.searchsorted(end, trigger, side="right")
+    trigger = trigger[trigger + TRIGGER <= end[of]]
+    start = np.union1d(begin, trigger)
+    of = np.searchsorted(end, start, side="right")
+    following = np.append(start[1:], len(text))
+    stop = np.where(following < end[of], following + TRIGGER, end[of])
+    known: dict[bytes, int] = {}
+    word = np.fromiter((known.setdefault(text[a:b], len(known)) for a, b in zip(start.tolist(), stop.tolist())), np.int64, len(start))
+    dictionary, at = _sorted_dictionary(list(known))
+    last = np.searchsorted(of, of, side="right")  # the first word of the next phrase
+    parsed = _sorted_parse(dictionary[at[word]], last - np.arange(len(start)))
+    rest = np.where(np.arange(len(start)) + 1 < last, parsed[np.minimum(np.arange(len(start)) + 1, len(start) - 1)] + 1, 0)
+    place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    k = np.searchsorted(start, place, side="right") - 1
+    key = (dictionary[at[word[k]] + place - start[k]].astype(np.uint64) << np.uint64(32)) | rest[k].astype(np.uint64)
+    return place[np.argsort(key, kind="stable")], reads, begin
 
-def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+def repeated_windows(phrases: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[int]]:
+    """For phrases (bytes, their trigger's place, up to which their windows start): the window starts whose strings stand in more
+    than one place."""
+    out: list[list[int]] = [[] for _ in phrases]
+    if len(phrases) < 2:
+        return out
+    windows = np.array([min(len(p) - length, before) + 1 for p, before in phrases], np.int64)
+    order, reads, begin = corpus_order([p for p, _ in phrases], windows)
+    pair = np.arange(len(order) - 1)
+    for k in [*range(0, length - 7, 8), length - 8]:  # neighbours that agree so far
+        pair = pair[reads[order[pair] + k] == reads[order[pair + 1] + k]]
+    hit = np.unique(np.concatenate((order[pair], order[pair + 1])))
+    own = np.searchsorted(begin, hit, side="right") - 1
+    cuts = np.searchsorted(own, np.arange(len(phrases) + 1))
+    for i in np.unique(own).tolist():
+        out[i] = (hit[cuts[i] : cuts[i + 1]] - begin[i]).tolist()
     return out
 
 
@@ -105,179 +229,155 @@ def _key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def _parsed(docs: DataFrame, shards: int, length: int, seed: int) -> DataFrame:
-    """One table of three kinds of rows: d documents; b blocks (their texts' keys, and intervals that repeat inside the
-    block); e entries (for a block and shard: trigger, phrase, seen twice, interval)."""
+def _arrow(cols: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in types.items()], names=list(types))
+
+
+def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """One table of two kinds of rows: d documents (doc_id, n_bytes, sha256, key); t texts with windows, equal ones once a
+    task (row_id, key, text, triggers, phrases)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["kind", "doc_id", "n_bytes", "sha256", "key", "block", "shard", "blob"]
+    names = ["kind", "doc_id", "n_bytes", "sha256", "key", "row_id", "text", "triggers", "phrases"]
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, count = TaskContext.get().partitionId(), 0
-        doc_type = None
+        row_id, seen = TaskContext.get().partitionId() << 33, set()
         for batch in slices(batches, "text", BLOCK_BYTES):
-            block, count = (part << 24) | count, count + 1
-            doc_type = column(batch, "doc_id").type
-            texts = [(t or "").encode() for t in column(batch, "text").to_pylist()]
-            keys = [_key(t) for t in texts]
-            rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * rows), column(batch, "doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(keys, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
-            found = [parse(t, length, seed) for t in texts]
-            sizes = [len(p[0]) for p in found]
-            if not sum(sizes):
-                continue
-            trigger, phrase = (np.concatenate([p[k] for p in found]) for k in (3, 4))
-            owner = np.repeat(np.arange(rows, dtype=np.uint32), sizes)
-            place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
-            order = np.lexsort((phrase, trigger))
-            trigger, phrase, owner, place = trigger[order], phrase[order], owner[order], place[order]
-            head = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]))))
-            times = np.diff(np.append(head, len(trigger)))
-            twice = np.repeat(times, times) > 1
-            out: list[tuple] = [("b", b"".join(keys), block, None, _pack(owner[twice], place[twice]))]
-            shard = (trigger[head] >> np.uint64(32)).astype(np.int64) * shards >> 32
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.unique(shard).tolist():
-                at = head[cuts[s] : cuts[s + 1]]
-                out.append(("e", None, block, s, _pack(trigger[at], phrase[at], owner[at], place[at], (times[cuts[s] : cuts[s + 1]] > 1).astype(np.uint8))))
-            n = len(out)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.nulls(n, doc_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int32()), pa.array([r[4] for r in out], pa.binary())], names=names)
-
-    return written(docs.mapInArrow(run, f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, block bigint, shard int, blob binary"), "parsed")
-
-
-def _decide(entries: DataFrame, shards: int) -> DataFrame:
-    """For each block the intervals that repeat whole (r), those to be compared (m), and phrases to be sent for comparison (s)."""
+            ids, rows = column(batch, "doc_id"), batch.num_rows
+            own: dict[str, list] = {c: [] for c in ("key", "row_id", "text", "triggers", "phrases")}
+            n_bytes, digests, keys = [], [], []
+            for t in column(batch, "text").to_pylist():
+                raw = (t or "").encode()
+                key = _key(raw)
+                n_bytes.append(len(raw))
+                digests.append(hashlib.sha256(raw).hexdigest())
+                keys.append(key)
+                if len(raw) >= length and key not in seen:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(key)
+                    _, _, _, trigger, phrase = parse(raw, length, seed)
+                    row_id += 1
+                    for c, v in zip(own.values(), (key, row_id, t, trigger.view(np.int64), phrase.view(np.int64))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(["d"] * rows), ids, pa.array(n_bytes, pa.int64()), pa.array(digests), pa.array(keys, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string()), pa.nulls(rows, longs), pa.nulls(rows, longs)], names=names)
+            if n := len(own["key"]):
+                yield pa.RecordBatch.from_arrays([pa.array(["t"] * n), pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(own["key"], pa.binary()), pa.array(own["row_id"], pa.int64()), pa.array(own["text"], pa.string()), pa.array(own["triggers"], longs), pa.array(own["phrases"], longs)], names=names)
+
+    return written(docs.mapInArrow(run, f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, row_id bigint, text string, triggers array<bigint>, phrases array<bigint>"), "parsed")
+
+
+WHOLE, SEND, ASKED, HOT_TRIGGER = 1, 2, 4, 8
+
+
+def _decided(texts: DataFrame) -> DataFrame:
+    """row_id and said array<struct<place, code>>: what is known of the intervals of a text that may repeat.
+
+    Codes add up WHOLE (repeats as a whole), SEND (its bytes are to be compared), ASKED (for its own windows), HOT_TRIGGER.
+    """
+    entries = texts.select("row_id", F.posexplode(F.arrays_zip("triggers", "phrases")).alias("place", "pair")).select("row_id", "place", F.col("pair.triggers").alias("trigger"), F.col("pair.phrases").alias("phrase"))
+    live = entries.groupBy("trigger").count().where("count > 1").select("trigger")
+    entries = written(entries.join(live, "trigger", "left_semi"), "live-parse")
+    here = F.xxhash64("row_id", "place")
+    dictionary = entries.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("places"), F.min(here).alias("sender"))
+    several = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("kinds"))
+    answers = dictionary.join(several, "trigger").where("places > 1 or kinds > 1")
+    found = entries.join(answers, ["trigger", "phrase"])
+    whole, open_ = F.col("places") > 1, F.col("kinds") > 1
+    code = (
+        F.when(whole, WHOLE).otherwise(0)
+        + F.when(open_ & (here == F.col("sender")), SEND).otherwise(0)
+        + F.when(open_ & ~whole, ASKED).otherwise(0)
+        + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
+    )
+    return found.groupBy("row_id").agg(F.collect_list(F.struct("place", code.cast("int").alias("code"))).alias("said"))
+
+
+def _phrases(texts: DataFrame, decided: DataFrame, length: int, seed: int) -> DataFrame:
+    """One table of three kinds of rows: t texts with the spans that repeat whole; p phrases to be compared; h windows of a
+    phrase of a hot trigger, as digests."""
+    rows = texts.join(decided.withColumnRenamed("row_id", "said_of"), F.col("row_id") == F.col("said_of")).select("row_id", "key", "text", "said")
+    ints = pa.list_(pa.int64())
+    types = {"kind": pa.string(), "row_id": pa.int64(), "key": pa.binary(), "text": pa.string(), "starts": ints, "ends": ints, "trigger": pa.int64(), "phrase": pa.binary(), "start": pa.int64(), "asked": pa.bool_(), "high": ints, "low": ints}
 
     def run(batches):
-        for _, rows in grouped_rows(batches, "shard"):
-            parts = [_unpack(r["blob"], "<u8", "<u8", "<u4", "<u4", "u1") for r in rows]
-            trigger, phrase, owner, place, twice = (np.concatenate([p[k] for p in parts]) for k in range(5))
-            block = np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts])
-            order = np.lexsort((block, phrase, trigger))
-            trigger, phrase, owner, place, twice, block = (x[order] for x in (trigger, phrase, owner, place, twice, block))
-            new_trigger = np.concatenate(([True], trigger[1:] != trigger[:-1]))
-            new = new_trigger | np.concatenate(([True], phrase[1:] != phrase[:-1]))
-            head = np.flatnonzero(new)
-            times = np.diff(np.append(head, len(trigger)))
-            whole = np.repeat((times > 1) | np.logical_or.reduceat(twice.astype(bool), head), times)
-            group = np.cumsum(new_trigger) - 1
-            several = np.bincount(group[head])[group] > 1
-            kinds = (("r", whole), ("m", several & ~whole), ("s", several & new))
-            by_block = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[by_block], np.arange(len(rows) + 1))
-            out = {"block": [], "r": [], "m": [], "s": []}
-            for b in range(len(rows)):
-                at = by_block[cuts[b] : cuts[b + 1]]
-                out["block"].append(rows[b]["block"])
-                for k, mask in kinds:
-                    pick = at[mask[at]]
-                    out[k].append(_pack(owner[pick], place[pick]) if len(pick) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(out["block"], pa.int64()), *(pa.array(out[k], pa.binary()) for k in "rms")], names=["block", "r", "m", "s"])
-
-    rows = entries.select("shard", "block", "blob").repartitionById(shards, "shard").sortWithinPartitions("shard")
-    return rows.mapInArrow(run, "block bigint, r binary, m binary, s binary")
-
-
-def _by_text(parsed: DataFrame, decided: DataFrame) -> DataFrame:
-    """key, r, m, s (arrays of interval numbers) for each text that has any."""
-    blocks = parsed.where("kind = 'b'").select("block", "key", F.col("blob").alias("r"), F.lit(None).cast("binary").alias("m"), F.lit(None).cast("binary").alias("s"))
-    answers = decided.select("block", F.lit(None).cast("binary").alias("key"), "r", "m", "s")
+        cols: dict[str, list] = {c: [] for c in types}
+        held = 0
 
-    def run(batches):
-        for _, rows in grouped_rows(batches, "block"):
-            keys = next(r["key"] for r in rows if r["key"] is not None)
-            lists: dict[int, dict[str, np.ndarray]] = {}
-            for k in "rms":
-                parts = [_unpack(r[k], "<u4", "<u4") for r in rows if r[k]]
-                if not parts:
-                    continue
-                owner, place = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
-                both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | place)
-                owner, place = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int32)
-                cuts = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if b > a:
-                        lists.setdefault(int(owner[a]), {})[k] = place[a:b]
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[16 * i : 16 * i + 16] for i in lists], pa.binary()), *(pa.array([x.get(k) for x in lists.values()], pa.list_(pa.int32())) for k in "rms")], names=["key", "r", "m", "s"])
-
-    rows = blocks.unionByName(answers).repartition("block").sortWithinPartitions("block")
-    found = rows.mapInArrow(run, "key binary, r array<int>, m array<int>, s array<int>")
-    # copies of a text in several blocks: all their intervals repeat, in each copy; the phrases to be sent are shared out among them
-    return found.groupBy("key").agg(F.max("r").alias("r"), F.max("m").alias("m"), F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
-
-
-def _phrases(docs: DataFrame, wanted: DataFrame, length: int, seed: int) -> DataFrame:
-    """One table of two kinds of rows: t texts with the spans that are known to repeat; p phrases to be compared."""
-    rows = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "key", "r", "m", "s")
-    names = ["kind", "key", "text", "starts", "ends", "trigger", "phrase", "start", "before", "asked"]
-    ints = pa.list_(pa.int64())
+        def add(**values):
+            for c in types:
+                cols[c].append(values.get(c))
 
-    def run(batches):
         for batch in slices(batches, "text", 2 << 20):
-            cols: dict[str, list] = {c: [] for c in names}
             for row in batch.to_pylist():
-                raw = (row["text"] or "").encode()
-                if _key(raw) != row["key"]:
-                    continue  # another row with this id
-                first, last, at, trigger, _ = parse(raw, length, seed)
-                whole = np.array(row["r"] or [], np.int64)
-                for c, v in zip(names, ("t", row["key"], row["text"], first[whole], last[whole] + length, None, None, None, None, None)):
-                    cols[c].append(v)
-                asked = set(row["m"] or [])
-                for i in sorted(asked.union(row["s"] or [])):
-                    values = ("p", row["key"], None, None, None, int(trigger[i].view(np.int64)), raw[first[i] : last[i] + length], int(first[i]), int(at[i] - first[i]), i in asked)
-                    for c, v in zip(names, values):
-                        cols[c].append(v)
-            types = (pa.string(), pa.binary(), pa.string(), ints, ints, pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in zip(names, types)], names=names)
-
-    return written(rows.mapInArrow(run, "kind string, key binary, text string, starts array<bigint>, ends array<bigint>, trigger bigint, phrase binary, start bigint, before int, asked boolean"), "phrases")
-
-
-def repeated_windows(phrases: list[tuple[bytes, int]], length: int = LENGTH) -> list[list[int]]:
-    """For phrases of one trigger (bytes, the trigger's place in them): the window starts whose strings stand in more than one place.
-
-    A suffix array of the phrases, kept to window starts and `length` bytes, taken apart by the distance to the trigger
-    (equal windows have equal ones), which bounds the strings held at once.
-    """
-    out: list[list[int]] = [[] for _ in phrases]
-    if len(phrases) < 2:
-        return out
-    for back in range(max(before for _, before in phrases), -1, -1):
-        suffixes = sorted((p[before - back : before - back + length], i) for i, (p, before) in enumerate(phrases) if before >= back and before - back + length <= len(p))
-        for (a, i), (b, j) in zip(suffixes, suffixes[1:]):
-            if a == b:
-                for x in (i, j):
-                    start = phrases[x][1] - back
-                    if not out[x] or out[x][-1] != start:
-                        out[x].append(start)
-    return out
+                raw = row["text"].encode()
+                first, last, _, trigger, _ = parse(raw, length, seed)
+                said = np.array([(x["place"], x["code"]) for x in row["said"]], np.int64).reshape(-1, 2)
+                whole = np.sort(said[said[:, 1] & WHOLE > 0, 0])
+                add(kind="t", row_id=row["row_id"], key=row["key"], text=row["text"], starts=first[whole], ends=last[whole] + length)
+                held += len(raw)
+                for i, code in said[said[:, 1] & SEND > 0].tolist():
+                    a, phrase = int(first[i]), raw[first[i] : last[i] + length]
+                    if code & HOT_TRIGGER:
+                        digests = np.frombuffer(b"".join(_key(phrase[k : k + length]) for k in range(len(phrase) - length + 1)), "<i8").reshape(-1, 2)
+                        add(kind="h", row_id=row["row_id"], start=a, asked=bool(code & ASKED), high=digests[:, 0], low=digests[:, 1])
+                        held += 16 * len(digests)
+                    else:
+                        add(kind="p", row_id=row["row_id"], trigger=int(trigger[i].view(np.int64)), phrase=phrase, start=a, asked=bool(code & ASKED))
+                        held += len(phrase)
+                    if held >= 4 << 20:
+                        yield _arrow(cols, types)
+                        cols, held = {c: [] for c in types}, 0
+        if cols["kind"]:
+            yield _arrow(cols, types)
+
+    return written(rows.mapInArrow(run, "kind string, row_id bigint, key binary, text string, starts array<bigint>, ends array<bigint>, trigger bigint, phrase binary, start bigint, asked boolean, high array<bigint>, low array<bigint>"), "phrases")
+
+
+def _shards(batches):
+    """Lists of rows of whole triggers, of about SHARD_BYTES of phrases, from batches that are sorted by trigger."""
+    held: list[dict] = []
+    size, mark, marked = 0, 0, 0  # where the last trigger's rows begin, and the bytes before them
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["trigger"] != held[-1]["trigger"]:
+                if size >= SHARD_BYTES:
+                    yield held
+                    held, size = [], 0
+                mark, marked = len(held), size
+            held.append(row)
+            size += len(row["phrase"])
+            if size >= 2 * SHARD_BYTES and mark:
+                yield held[:mark]
+                held, size, mark, marked = held[mark:], size - marked, 0, 0
+    if held:
+        yield held
 
 
 def _compared(phrases: DataFrame, length: int) -> DataFrame:
-    """key, start, end: spans of repeated windows of the phrases that were asked for."""
+    """row_id, starts, ends: spans of the repeated windows of the phrases that were asked for."""
+    types = {"row_id": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
 
     def run(batches):
-        cols: list[list] = [[], [], []]
-        for _, rows in grouped_rows(batches, "trigger"):
-            if any(r["asked"] for r in rows):
-                for r, found in zip(rows, repeated_windows([(r["phrase"], r["before"]) for r in rows], length)):
-                    if r["asked"] and found:
-                        at = np.array(found, np.int64)
-                        cut = np.flatnonzero(np.diff(at) > 1)
-                        for a, b in zip(at[np.concatenate(([0], cut + 1))], at[np.append(cut, len(at) - 1)]):
-                            for c, v in zip(cols, (r["key"], r["start"] + int(a), r["start"] + int(b) + length)):
-                                c.append(v)
-            if len(cols[0]) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], names=["key", "start", "end"])
-                cols = [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64()))], names=["key", "start", "end"])
-
-    rows = phrases.where("kind = 'p'").select("trigger", "phrase", "before", "key", "start", "asked").repartition("trigger").sortWithinPartitions("trigger")
-    return rows.mapInArrow(run, "key binary, start bigint, end bigint")
+        for rows in _shards(batches):
+            cols: dict[str, list] = {c: [] for c in types}
+            for r, found in zip(rows, repeated_windows([(r["phrase"], len(r["phrase"])) for r in rows], length)):
+                if r["asked"] and found:
+                    at = np.array(found, np.int64) + r["start"]
+                    cut = np.flatnonzero(np.diff(at) > 1)
+                    for c, v in zip(cols.values(), (r["row_id"], at[np.concatenate(([0], cut + 1))], at[np.append(cut, len(at) - 1)] + length)):
+                        c.append(v)
+            yield _arrow(cols, types)
+
+    rows = phrases.where("kind = 'p'").select("trigger", "phrase", "row_id", "start", "asked").repartition("trigger").sortWithinPartitions("trigger")
+    ordered = rows.mapInArrow(run, "row_id bigint, starts array<bigint>, ends array<bigint>")
+    windows = phrases.where("kind = 'h'").select("row_id", "start", "asked", F.posexplode(F.arrays_zip("high", "low")).alias("k", "digest"))
+    windows = windows.select("row_id", (F.col("start") + F.col("k")).alias("at"), "asked", F.col("digest.high").alias("high"), F.col("digest.low").alias("low"))
+    again = windows.groupBy("high", "low").count().where("count > 1").select("high", "low")
+    dealt = windows.where("asked").join(again, ["high", "low"], "left_semi").groupBy("row_id").agg(F.collect_list("at").alias("starts"))
+    return ordered.unionByName(dealt.select("row_id", "starts", F.transform("starts", lambda a: a + length).alias("ends")))
 
 
 def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -294,35 +394,35 @@ def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary; null where nothing was removed), for every row."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(12, -(-total // SHARD_BYTES))
-    parsed = _parsed(docs, shards, length, seed)
-    decided = _decide(parsed.where("kind = 'e'"), shards)
-    texts = written(_by_text(parsed, decided), "repeating-texts")
+    parsed = _parsed(docs, length, seed)
     each = parsed.where("kind = 'd'")
-    wanted = each.groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(texts, "key")
-    phrases = _phrases(docs, wanted, length, seed)
-    compared = written(_compared(phrases, length), "compared")
-    more = compared.groupBy(F.col("key").alias("more_key")).agg(F.collect_list("start").alias("more_starts"), F.collect_list("end").alias("more_ends"))
-    held = phrases.where("kind = 't'").select("key", "text", "starts", "ends")
-    if not held.groupBy("key").count().where("count > 1").isEmpty():  # rows that repeat as a whole
-        held = held.dropDuplicates(["key"])
-    held = held.join(more, F.col("key") == F.col("more_key"), "left").drop("more_key")
+    texts = parsed.where("kind = 't'").select("row_id", "key", "text", "triggers", "phrases")
+    # of equal texts that several tasks parsed, one is asked; their phrases stand in several places, so they repeat as a whole
+    copied = each.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n")).where("copies > 1")
+    phrases = _phrases(texts.drop("triggers", "phrases"), _decided(texts), length, seed)
+    more = written(_compared(phrases, length), "compared").groupBy(F.col("row_id").alias("more_of")).agg(F.flatten(F.collect_list("starts")).alias("more_starts"), F.flatten(F.collect_list("ends")).alias("more_ends"))
+    held = phrases.where("kind = 't'").select("row_id", "key", "text", "starts", "ends")
+    held = held.join(copied.select(F.col("key").alias("copied_key")), F.col("key") == F.col("copied_key"), "left_anti")
+    held = held.join(more, F.col("row_id") == F.col("more_of"), "left").select("key", "text", "starts", "ends", "more_starts", "more_ends")
 
     def run(batches):
+        types = {"removed_key": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "new_sha256": pa.string(), "kept": pa.binary()}
         for batch in slices(batches, "text", 2 << 20):
-            cols: list[list] = [[] for _ in range(5)]
+            cols: dict[str, list] = {c: [] for c in types}
             for row in batch.to_pylist():
-                raw = (row["text"] or "").encode()
+                raw = row["text"].encode()
                 kept, runs = kept_bytes(raw, [*zip(row["starts"], row["ends"]), *zip(row["more_starts"] or [], row["more_ends"] or [])])
-                for c, v in zip(cols, (row["key"], len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["removed_key", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    removed = held.mapInArrow(run, "removed_key binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+                if runs:
+                    for c, v in zip(cols.values(), (row["key"], len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept)):
+                        c.append(v)
+            yield _arrow(cols, types)
+
+    removed = held.mapInArrow(run, "removed_key binary, n_removed bigint, n_spans bigint, new_sha256 string, kept binary")
+    none = F.lit("").cast("binary")
+    removed = removed.unionByName(copied.select(F.col("key").alias("removed_key"), F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(none, 256).alias("new_sha256"), none.alias("kept")))
     out = each.select("doc_id", "n_bytes", "sha256", "key").join(removed, F.col("key") == F.col("removed_key"), "left")
     zero = F.lit(0).cast("bigint")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), "kept")
+    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("new_sha256", "sha256").alias("kept_sha256"), "kept")
 
 
 def op10_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,38 @@ def test_null_ids_are_documents_too(spark):
     docs = frame(spark, ["a" + text]).unionByName(frame(spark, [text + "b", "short"]).withColumn("doc_id", F.lit(None).cast("bigint")))
     got = sorted((r.n_bytes, r.n_removed) for r in rp.repeats(docs).collect())
     assert got == [(5, 0), (len(text) + 1, len(text)), (len(text) + 1, len(text))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab\0", min_size=0, max_size=120).map(str.encode) | st.binary(max_size=120), min_size=1, max_size=8), st.integers(8, 24))
+def test_order_of_dictionary_and_parse_is_the_order_of_texts(texts, length):
+    phrases = [t for t in texts if len(t) >= length]
+    if not phrases:
+        return
+    whole, starts, at = b"".join(phrases), {}, 0
+    for p in phrases:
+        starts |= {at + i: p[i:] for i in range(len(p) - length + 1)}
+        at += len(p)
+    order = rp.corpus_order(phrases, np.array([len(p) - length + 1 for p in phrases]))[0].tolist()
+    assert sorted(order) == list(starts) and [starts[i] for i in order] == sorted(starts.values())
+    count = Counter(t[:length] for t in starts.values())
+    got = rp.repeated_windows([(p, len(p)) for p in phrases], length)
+    assert got == [[i for i in range(len(p) - length + 1) if count[p[i : i + length]] > 1] if len(phrases) > 1 else [] for p in phrases]
+    assert whole
+
+
+def test_hot_triggers_and_long_texts(spark, monkeypatch):
+    rnd = random.Random(4)
+    passage = prose(rnd, 30)
+    texts = [prose(rnd, 12) + passage + prose(rnd, 12) for _ in range(40)] + [prose(rnd, 900) + passage + prose(rnd, 900)] * 2 + ["ab" * 3000 + passage, "c" * 5000]
+    texts += awkward(rnd)
+    monkeypatch.setattr(rp, "HOT", 3)
+    monkeypatch.setattr(rp, "BLOCK_BYTES", 1000)
+    assert _got(spark, texts, length=100, seed=40) == _plain(texts, 100)
+
+
+def test_columns_of_the_same_names(spark):
+    docs = frame(spark, ["x" * 300, "y" + "".join(map(str, range(150)))])
+    for c in ("n_bytes", "n_removed", "key", "kept", "kind", "row_id", "sha256", "trigger"):
+        docs = docs.withColumn(c, docs.doc_id)
+    assert sorted((r.n_bytes, r.n_removed) for r in rp.repeats(docs).collect()) == [(300, 300), (341, 0)]
