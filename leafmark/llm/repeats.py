@@ -20,7 +20,7 @@ single order of the whole corpus is never needed. Whole phrases are compared by
 texts by a 128-bit digest.
 
 Hot groups: texts that are equal are parsed once a task, and removed whole without a comparison. A phrase that stands very often
-is counted in partial sums and compared once. A trigger with more than `HOT` distinct phrases (the rim of a passage that very
+is one row for each block of texts, counted in partial sums and compared once. A trigger with more than `HOT` distinct phrases (the rim of a passage that very
 many documents share) is taken apart: its phrases' windows are dealt by their 128-bit digests, one row each, so that no task
 holds the group. Very long texts are parsed in blocks of `BLOCK_BYTES` that overlap by a window.
 
@@ -234,11 +234,16 @@ def _arrow(cols: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBat
 
 
 def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """One table of two kinds of rows: d documents (doc_id, n_bytes, sha256, key); t texts with windows, equal ones once a
-    task (row_id, key, text, triggers, phrases)."""
+    """One table of three kinds of rows: d documents (doc_id, n_bytes, sha256, key); t texts with windows, equal ones once a
+    task (row_id, key, text); e the distinct entries of a block of texts (triggers, phrases, row_ids, places: where each stands
+    first, times, more: where else)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["kind", "doc_id", "n_bytes", "sha256", "key", "row_id", "text", "triggers", "phrases"]
-    longs = pa.list_(pa.int64())
+    longs, ints, others = pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.list_(pa.struct([("row_id", pa.int64()), ("place", pa.int32())])))
+    types = {"n_bytes": pa.int64(), "sha256": pa.string(), "key": pa.binary(), "row_id": pa.int64(), "text": pa.string(), "triggers": longs, "phrases": longs, "row_ids": longs, "places": ints, "times": ints, "more": others}
+
+    def batch_of(name: str, ids: pa.Array, **columns: list) -> pa.RecordBatch:
+        n = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array([name] * n), ids, *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items())], names=["kind", "doc_id", *types])
 
     def run(batches):
         from pyspark import TaskContext
@@ -246,8 +251,9 @@ def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
         row_id, seen = TaskContext.get().partitionId() << 33, set()
         for batch in slices(batches, "text", BLOCK_BYTES):
             ids, rows = column(batch, "doc_id"), batch.num_rows
-            own: dict[str, list] = {c: [] for c in ("key", "row_id", "text", "triggers", "phrases")}
             n_bytes, digests, keys = [], [], []
+            own: dict[str, list] = {c: [] for c in ("row_id", "key", "text")}
+            found = []
             for t in column(batch, "text").to_pylist():
                 raw = (t or "").encode()
                 key = _key(raw)
@@ -258,41 +264,57 @@ def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
                     if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(key)
-                    _, _, _, trigger, phrase = parse(raw, length, seed)
                     row_id += 1
-                    for c, v in zip(own.values(), (key, row_id, t, trigger.view(np.int64), phrase.view(np.int64))):
+                    for c, v in zip(own.values(), (row_id, key, t)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(["d"] * rows), ids, pa.array(n_bytes, pa.int64()), pa.array(digests), pa.array(keys, pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.string()), pa.nulls(rows, longs), pa.nulls(rows, longs)], names=names)
-            if n := len(own["key"]):
-                yield pa.RecordBatch.from_arrays([pa.array(["t"] * n), pa.nulls(n, ids.type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(own["key"], pa.binary()), pa.array(own["row_id"], pa.int64()), pa.array(own["text"], pa.string()), pa.array(own["triggers"], longs), pa.array(own["phrases"], longs)], names=names)
-
-    return written(docs.mapInArrow(run, f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, row_id bigint, text string, triggers array<bigint>, phrases array<bigint>"), "parsed")
+                    found.append(parse(raw, length, seed)[3:])
+            yield batch_of("d", ids, n_bytes=n_bytes, sha256=digests, key=keys)
+            if not found:
+                continue
+            yield batch_of("t", pa.nulls(len(found), ids.type), **own)
+            sizes = [len(p[0]) for p in found]
+            trigger, phrase = (np.concatenate([p[k] for p in found]).view(np.int64) for k in (0, 1))
+            owner = np.repeat(np.array(own["row_id"], np.int64), sizes)
+            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            order = np.lexsort((phrase, trigger))
+            trigger, phrase, owner, place = trigger[order], phrase[order], owner[order], place[order]
+            head = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]))))
+            times = np.diff(np.append(head, len(trigger)))
+            more = [None] * len(head)
+            for i in np.flatnonzero(times > 1).tolist():
+                a, b = head[i] + 1, head[i] + times[i]
+                more[i] = [{"row_id": r, "place": p} for r, p in zip(owner[a:b].tolist(), place[a:b].tolist())]
+            yield batch_of("e", pa.nulls(1, ids.type), triggers=[trigger[head]], phrases=[phrase[head]], row_ids=[owner[head]], places=[place[head]], times=[times.astype(np.int32)], more=[more])
+
+    schema = f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, row_id bigint, text string, triggers array<bigint>, phrases array<bigint>, row_ids array<bigint>, places array<int>, times array<int>, more array<array<struct<row_id:bigint,place:int>>>"
+    return written(docs.mapInArrow(run, schema), "parsed")
 
 
 WHOLE, SEND, ASKED, HOT_TRIGGER = 1, 2, 4, 8
 
 
-def _decided(texts: DataFrame) -> DataFrame:
+def _decided(blocks: DataFrame) -> DataFrame:
     """row_id and said array<struct<place, code>>: what is known of the intervals of a text that may repeat.
 
     Codes add up WHOLE (repeats as a whole), SEND (its bytes are to be compared), ASKED (for its own windows), HOT_TRIGGER.
+    A block counts as one row for an entry, however often it has it.
     """
-    entries = texts.select("row_id", F.posexplode(F.arrays_zip("triggers", "phrases")).alias("place", "pair")).select("row_id", "place", F.col("pair.triggers").alias("trigger"), F.col("pair.phrases").alias("phrase"))
-    live = entries.groupBy("trigger").count().where("count > 1").select("trigger")
+    names = {"triggers": "trigger", "phrases": "phrase", "row_ids": "row_id", "places": "place", "times": "times", "more": "more"}
+    entries = blocks.select(F.explode(F.arrays_zip(*names)).alias("e")).select(*(F.col(f"e.{c}").alias(n) for c, n in names.items()))
+    live = entries.groupBy("trigger").agg(F.sum("times").alias("n")).where("n > 1").select("trigger")
     entries = written(entries.join(live, "trigger", "left_semi"), "live-parse")
     here = F.xxhash64("row_id", "place")
-    dictionary = entries.groupBy("trigger", "phrase").agg(F.count(F.lit(1)).alias("places"), F.min(here).alias("sender"))
+    dictionary = entries.groupBy("trigger", "phrase").agg(F.sum("times").alias("stands"), F.min(here).alias("sender"))
     several = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("kinds"))
-    answers = dictionary.join(several, "trigger").where("places > 1 or kinds > 1")
+    answers = dictionary.join(several, "trigger").where("stands > 1 or kinds > 1")
     found = entries.join(answers, ["trigger", "phrase"])
-    whole, open_ = F.col("places") > 1, F.col("kinds") > 1
-    code = (
-        F.when(whole, WHOLE).otherwise(0)
-        + F.when(open_ & (here == F.col("sender")), SEND).otherwise(0)
-        + F.when(open_ & ~whole, ASKED).otherwise(0)
-        + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
-    )
-    return found.groupBy("row_id").agg(F.collect_list(F.struct("place", code.cast("int").alias("code"))).alias("said"))
+    whole, open_ = F.col("stands") > 1, F.col("kinds") > 1
+    all_ = F.when(whole, WHOLE).otherwise(0) + F.when(open_ & ~whole, ASKED).otherwise(0) + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
+    send = F.when(open_ & (here == F.col("sender")), SEND).otherwise(0)
+    first = F.struct("row_id", "place", (all_ + send).cast("int").alias("code"))
+    more = F.transform(F.coalesce("more", F.array().cast("array<struct<row_id:bigint,place:int>>")), lambda x: F.struct(x["row_id"].alias("row_id"), x["place"].alias("place"), all_.cast("int").alias("code")))
+    each = found.select(F.explode(F.concat(F.array(first), more)).alias("x"))
+    return each.groupBy(F.col("x.row_id").alias("row_id")).agg(F.collect_list(F.struct(F.col("x.place").alias("place"), F.col("x.code").alias("code"))).alias("said"))
 
 
 def _phrases(texts: DataFrame, decided: DataFrame, length: int, seed: int) -> DataFrame:
@@ -396,10 +418,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     parsed = _parsed(docs, length, seed)
     each = parsed.where("kind = 'd'")
-    texts = parsed.where("kind = 't'").select("row_id", "key", "text", "triggers", "phrases")
+    texts = parsed.where("kind = 't'").select("row_id", "key", "text")
     # of equal texts that several tasks parsed, one is asked; their phrases stand in several places, so they repeat as a whole
     copied = each.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n")).where("copies > 1")
-    phrases = _phrases(texts.drop("triggers", "phrases"), _decided(texts), length, seed)
+    phrases = _phrases(texts, _decided(parsed.where("kind = 'e'")), length, seed)
     more = written(_compared(phrases, length), "compared").groupBy(F.col("row_id").alias("more_of")).agg(F.flatten(F.collect_list("starts")).alias("more_starts"), F.flatten(F.collect_list("ends")).alias("more_ends"))
     held = phrases.where("kind = 't'").select("row_id", "key", "text", "starts", "ends")
     held = held.join(copied.select(F.col("key").alias("copied_key")), F.col("key") == F.col("copied_key"), "left_anti")
