@@ -1,31 +1,34 @@
 """Near-duplicate classes by ProbMinHash signatures, banding and exact verification.
 
 A text's words are what white space parts, in lower case; its shingles are `width` consecutive words (the whole
-sequence if there are fewer). ProbMinHash: every shingle sends points of a Poisson process whose rate is its
-weight to random registers; a register keeps the shingle of its earliest point, and a shingle stops
-as soon as its next point comes after the latest point that any register holds. Two texts agree in a
-register with the probability Jaccard similarity of their weighted shingles. With weight "set" every distinct
-shingle weighs 1 and that is the plain Jaccard similarity; with "count" it weighs its count.
+sequence if there are fewer), weighted by their counts in the text. ProbMinHash: every shingle sends points of a Poisson
+process whose rate is its weight to random registers; a register keeps the shingle of its earliest point, and a shingle
+stops as soon as its next point comes after the latest point that any register holds. Two texts agree in a register with the
+probability Jaccard similarity of their weighted shingles, which does not depend on the texts' lengths. With weight "set" every
+distinct shingle weighs 1, and that is the plain Jaccard similarity.
 
 `bands` of `rows` registers give each text its bucket keys; at the threshold 0.8 a pair misses every bucket with
 probability (1 - 0.8^7)^48, about 1 in 90,000, and less the more alike it is. Texts that are equal are one
 node. Candidates are verified by the exact similarity:
 1. in every bucket each text against two of the bucket's nodes that its key draws; the links give components;
 2. of the texts in buckets that still hold several components, every pair of different components that can
-   reach the threshold: with weight "set" by prefix filtering (such a pair shares one of the rarest shingles of
-   each, early enough for the overlap it needs, and the sizes are near), with weight "count" every pair that shares a bucket.
+   reach the threshold, by prefix filtering. Let u be the share of one text's weight on shingles that the other lacks, v the
+   same the other way; then the similarity is at most (1 - u)(1 - v) / (1 - uv) (for sets it is just that). In a common order
+   of shingles, rarest first, what comes before the first shared one counts to u and v. So the pair shares a shingle with at
+   most 1 - t of the one text's weight before it, at most (1 - t) / (1 + t) of the other's, and both within the bound.
 Pairs inside a component cannot change it. So every bucket pair is verified, excluded by a bound, or joined by links
-already: no link between classes is lost, while many copies cost a few verifications each, not one a pair.
+already: no link between classes is lost, while many copies cost a few verifications each, not one a pair. Texts of one
+template that differ in more than (1 - t) / (1 + t) of their weight, in parts of their own, are never paired by the template.
 
-A node is 64 bits of the text's digest: n texts collide with probability n^2 / 2^65.
+A node is 64 bits of the text's hash: n texts collide with probability n^2 / 2^65.
 
-Edge cases: null texts and texts without words are each a class of their own; extra columns are ignored; an empty
-table gives an empty one. The class id is the least document id of the class; repeated ids share a row's fate.
+Edge cases: null texts and texts without words are each a class of their own; extra columns are ignored, whatever their names; an empty
+table gives an empty one. The class id is the least document id of the class; repeated ids share a row's fate. Similarities within 1e-12
+of the threshold reach it. A very long text is one task's work at a time: its words and shingle hashes are held at once.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -41,6 +44,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 48, 7
 #: Counters by which shingles are ordered for the last step.
 COUNTERS = 1 << 16
+#: Names of our own beside a table's columns.
+_KEPT, _ROW_KEY = "_leafmark_kept_id", "_leafmark_row_key"
 _ODD = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(64)], np.uint64)
 
 
@@ -114,25 +119,23 @@ def similarity(a: np.ndarray, x: np.ndarray | None, b: np.ndarray, y: np.ndarray
 
 def sketches(docs: DataFrame, id_col: str, text: str, width: int, bands: int, rows: int, weight: str) -> DataFrame:
     """doc_id, node (null without words), n_shingles and keys array<bigint>, of every row."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("node"))
     kind = out.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         seen: dict[int, tuple[int, list]] = {}
         for batch in slices(batches, "text", 2 << 20):
             nodes, sizes, keys = [], [], []
-            for t in column(batch, "text").to_pylist():
-                node = n = own = None
+            for t, node in zip(column(batch, "text").to_pylist(), column(batch, "node").to_pylist()):
+                n = own = None
                 if t and not t.isspace():
-                    node = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True)
                     if node not in seen:
                         if len(seen) > 20_000:
                             seen.clear()
                         ids, counts = shingles(t, width)
                         seen[node] = (len(ids), band_keys(signature(ids, counts if weight == "count" else None, bands * rows), bands, rows)) if len(ids) else (0, None)
                     n, own = seen[node]
-                    node = node if n else None
-                nodes.append(node)
+                nodes.append(node if n else None)
                 sizes.append(n)
                 keys.append(own)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "keys"])
@@ -141,18 +144,28 @@ def sketches(docs: DataFrame, id_col: str, text: str, width: int, bands: int, ro
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """node, ids binary, counts binary: the shingles of one document for each wanted node (wanted: doc_id, node)."""
-    rows = docs.select(F.col(id_col).alias("text_id"), F.col(text).alias("text")).join(wanted, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
+    """node, ids binary, counts binary: the shingles of one document for each wanted node (wanted: doc_id, node).
+
+    Joined by text hash and id together, so neither an id nor a text that many rows have brings more than one; where rows repeat
+    in both, a task takes the first.
+    """
+    rows = docs.select(F.col(id_col).alias("text_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("own_node"))
+    rows = rows.join(wanted, (F.col("own_node") == F.col("node")) & F.col("text_id").eqNullSafe(F.col("doc_id"))).select("node", "text")
 
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches, "text", 2 << 20):
             nodes, ids, counts = [], [], []
             for node, t in zip(column(batch, "node").to_pylist(), column(batch, "text").to_pylist()):
-                if t and node == int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little", signed=True):  # an id may stand on other rows too
-                    a, n = shingles(t, width)
-                    nodes.append(node)
-                    ids.append(a.tobytes())
-                    counts.append(b"" if n.max() == 1 else n.astype(np.int32).tobytes())
+                if node in seen:
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(node)
+                a, n = shingles(t, width)
+                nodes.append(node)
+                ids.append(a.tobytes())
+                counts.append(b"" if n.max() == 1 else n.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["node", "ids", "counts"])
 
     return rows.mapInArrow(run, "node bigint, ids binary, counts binary")
@@ -200,23 +213,23 @@ def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     return written(held.join(mixed, F.col("key") == F.col("mixed")).drop("mixed"), "open-buckets")
 
 
-def _cross(rows: DataFrame, threshold: float, weight: str) -> DataFrame:
-    """The pairs (a, b) of nodes of different components that share a key, and whose sizes allow the threshold."""
+def _cross(rows: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes of different components that share a key where the bound allows the threshold."""
     p, q = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "pq")
-    on = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") < F.col("component_q")) & _sizes_allow("n_shingles_p", "n_shingles_q", threshold, weight)
-    if "place" in rows.columns:  # the first shingle that a pair shares: what follows it must do for the overlap
-        on &= F.least(F.col("n_shingles_p") - F.col("place_p"), F.col("n_shingles_q") - F.col("place_q")) * (1 + threshold) >= threshold * (F.col("n_shingles_p") + F.col("n_shingles_q")) - 1e-6
-    return p.join(q, on).select(F.greatest("node_p", "node_q").alias("a"), F.least("node_p", "node_q").alias("b")).distinct()
+    u, v = F.col("before_p"), F.col("before_q")
+    on = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") != F.col("component_q")) & ((1 - u) * (1 - v) >= threshold * (1 - u * v) - 1e-9)
+    on &= ~F.col("early_q") | (F.col("node_p") > F.col("node_q"))  # two early ones meet once
+    return p.where("early_p").join(q, on).select(F.greatest("node_p", "node_q").alias("a"), F.least("node_p", "node_q").alias("b")).distinct()
 
 
-def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The rows (key, place, node, n_shingles, component) with the shingles of the nodes' prefixes as keys, where components share one.
+def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float, weight: str) -> DataFrame:
+    """The rows (key, before, early, node, component) with the shingles of the nodes' prefixes as keys, where components share one.
 
-    Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in any common order. Rare ones come
-    first: the order is by a counter of the shingle's hash class, then by the shingle.
+    before is the share of the node's weight on the shingles before this one; early ones have at most (1 - t) / (1 + t)
+    before them, all have at most 1 - t. The order is by a counter of the shingle's hash class, then by the shingle.
     """
-    nodes = open_.select("node", "n_shingles", "component").distinct()
-    rows = sets.select(F.col("node").alias("set_node"), "ids").join(nodes, F.col("set_node") == F.col("node")).select("node", "n_shingles", "component", "ids")
+    nodes = open_.select("node", "component").distinct()
+    rows = sets.select(F.col("node").alias("set_node"), "ids", "counts").join(nodes, F.col("set_node") == F.col("node")).select("node", "component", "ids", "counts")
     rows = written(rows, "open-sets")
 
     def count(batches):
@@ -231,22 +244,26 @@ def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     for at, n in rows.select("ids").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n")).collect():  # COUNTERS rows at most
         counted[at] = n
     held = open_.sparkSession.sparkContext.broadcast(counted)
+    early, latest = (1 - threshold) / (1 + threshold) + 1e-9, 1 - threshold + 1e-9
 
     def prefix(batches):
         for batch in batches:
-            ids, firsts = column(batch, "ids"), []
+            ids, counts, firsts, befores = column(batch, "ids"), column(batch, "counts"), [], []
             for k in range(batch.num_rows):
-                own = np.frombuffer(ids[k].as_py(), np.uint64)
+                own, said = np.frombuffer(ids[k].as_py(), np.uint64), counts[k].as_py()
+                w = np.frombuffer(said, np.int32).astype(float) if said and weight == "count" else np.ones(len(own))
                 order = np.lexsort((own, held.value[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]))
-                firsts.append(own[order[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]])
-            sizes = [len(x) for x in firsts]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
-            place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes] or [np.zeros(0, np.int32)])
+                before = (np.cumsum(w[order]) - w[order]) / w.sum()
+                n = int(np.searchsorted(before, latest, side="right"))
+                firsts.append(own[order[:n]])
+                befores.append(before[:n])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in firsts]))
+            before = np.concatenate(befores or [np.zeros(0)])
             key = np.concatenate([x.view(np.int64) for x in firsts] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), *(column(batch, c).take(at) for c in ("node", "n_shingles", "component"))], names=["key", "place", "node", "n_shingles", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(before), pa.array(before <= early), *(column(batch, c).take(at) for c in ("node", "component"))], names=["key", "before", "early", "node", "component"])
 
-    keyed = written(rows.mapInArrow(prefix, "key bigint, place int, node bigint, n_shingles int, component bigint"), "prefixes")
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("key").alias("mixed"))
+    keyed = written(rows.mapInArrow(prefix, "key bigint, before double, early boolean, node bigint, component bigint"), "prefixes")
+    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("early").alias("some")).where("low != high and some").select(F.col("key").alias("mixed"))
     return keyed.join(mixed, F.col("key") == F.col("mixed")).drop("mixed")
 
 
@@ -257,7 +274,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select(F.col("key").alias("shared"))
     buckets = written(keyed.join(shared, F.col("key") == F.col("shared")).select("key", "node", "n_shingles").distinct(), "buckets")
     wanted = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(buckets.select("node").distinct(), "node", "left_semi")
-    sets = written(_sets(docs, wanted, id_col, text, width), "sets")
+    sets = _sets(docs, wanted.select("node", "doc_id"), id_col, text, width)
+    again = found.where("node is not null").groupBy("node", "doc_id").count().where("count > 1")
+    sets = written(sets if again.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     sizes = buckets.select(F.col("node").alias("sized"), F.col("n_shingles").alias("n_head")).distinct()
 
     stars = _stars(buckets).join(sizes, F.col("b") == F.col("sized")).where(_sizes_allow("n_shingles", "n_head", threshold, weight))
@@ -266,7 +285,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     joined = components(links)
 
     open_ = _open(buckets, joined)
-    rest = _cross(_prefixes(open_, sets, threshold) if weight == "set" else open_, threshold, weight)
+    rest = _cross(_prefixes(open_, sets, threshold, weight), threshold)
     rest = written(rest.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
     more = written(_verified(rest, sets, threshold, weight), "cross-links")
     if not more.isEmpty():
@@ -285,17 +304,17 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", null_ids_stay: bool
     if not null_ids_stay and not docs.where(F.col(id_col).isNull()).isEmpty():
         none = F.col(id_col).isNull()
         key = F.struct(none.alias("none"), F.col(id_col).alias("id"), F.when(none, F.xxhash64(options.get("text", "text"))).alias("digest"), F.when(none, F.monotonically_increasing_id()).alias("row"))
-        numbered = written(docs.withColumn("row_key", key), "numbered")  # written, so that the row numbers stay
-        return without_copies(numbered, "row_key", **options).drop("row_key")
-    kept = classes(docs, id_col=id_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col) == F.col("kept"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+        numbered = written(docs.withColumn(_ROW_KEY, key), "numbered")  # written, so that the row numbers stay
+        return without_copies(numbered, _ROW_KEY, **options).drop(_ROW_KEY)
+    kept = classes(docs, id_col=id_col, **options).where("doc_id = class_id").select(F.col("doc_id").alias(_KEPT)).distinct()
+    chosen = docs.join(kept, F.col(id_col) == F.col(_KEPT), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return chosen
     return chosen.distinct()
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), weight="count")
 
 
 QUERIES = {"op2_near_duplicates": op2_near_duplicates}

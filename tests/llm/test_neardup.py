@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -137,3 +138,71 @@ def test_null_ids_take_part_in_the_pipeline(spark, tmp_path):
     # an id beats none, whatever the texts; repeated rows with an id count once
     again = docs.unionByName(docs.where("doc_id = 0"))
     assert sorted(str(r.doc_id) for r in cp.near_duplicates(spark, again, str(tmp_path)).collect()) == ["0", "1", "2", *["None"] * 5]
+
+
+def _weighted(text):
+    w = text.lower().encode().split() if text else []
+    n = min(5, len(w))
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else Counter()
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    rnd = random.Random(11)
+    base, line = prose(rnd, 90), prose(rnd, 8)
+    texts = [_edited(rnd, base, rnd.randint(0, 4)) for _ in range(40)]
+    texts += [" ".join([line] * rnd.randint(1, 30) + [prose(rnd, rnd.randint(0, 25))]) for _ in range(50)]
+    texts += [" ".join([base] * rnd.randint(1, 3)) + " " + prose(rnd, rnd.randint(0, 30)) for _ in range(30)] + awkward(rnd)
+    sets = [_weighted(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = set(a) & set(b)
+            if shared and sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in set(a) | set(b)) for d in shared) >= 0.8 - 1e-12:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts), weight="count").collect()}
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(0, 12), st.integers(1, 9), min_size=1), st.dictionaries(st.integers(0, 12), st.integers(1, 9), min_size=1))
+def test_bound_of_the_similarity(a, b):
+    p, q = ({k: v / sum(x.values()) for k, v in x.items()} for x in (a, b))
+    exact = sum(1 / sum(max(p.get(e, 0) / p[d], q.get(e, 0) / q[d]) for e in set(p) | set(q)) for d in set(p) & set(q))
+    u, v = sum(x for k, x in p.items() if k not in q), sum(x for k, x in q.items() if k not in p)
+    assert exact <= ((1 - u) * (1 - v) / (1 - u * v) if u * v < 1 else 0) + 1e-9
+
+
+def test_a_family_of_one_template_is_not_paired(spark):
+    rnd = random.Random(12)
+    template = prose(rnd, 90)
+    texts = [template + " " + " ".join(f"own{i}x{k}" for k in range(14)) for i in range(60)]
+    docs = frame(spark, texts)
+    for weight in ("set", "count"):
+        sets = neardup._sets(docs, docs.select(F.xxhash64("text").alias("node"), "doc_id"), "doc_id", "text", 5)
+        open_ = docs.select(F.xxhash64("text").alias("node"), F.xxhash64("text").alias("component"))
+        assert neardup._cross(neardup._prefixes(open_, sets, 0.8, weight), 0.8).count() == 0
+    assert {r.class_size for r in neardup.classes(docs, weight="count").collect()} == {1}
+
+
+def test_columns_of_the_same_names(spark):
+    docs = frame(spark, ["a b c d e f g", "a b c d e f g", "x y z"])
+    for c in ("kept", "node", "class_id", "class_size", "component", "keys", "key", "n_shingles", "row_key"):
+        docs = docs.withColumn(c, docs.doc_id + 70)
+    kept = neardup.without_copies(docs, weight="count")
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.kept, r.node) for r in kept.collect()) == [(0, 70, 70), (2, 72, 72)]
+    assert neardup.without_copies(docs, null_ids_stay=False).count() == 2
+
+
+def test_rows_that_repeat(spark):
+    docs = frame(spark, ["a b c d e f g h"])
+    for _ in range(4):
+        docs = docs.unionByName(docs)
+    docs = docs.unionByName(frame(spark, ["a b c d e f g h i"], first=5))
+    assert {(r.class_id, r.class_size) for r in neardup.classes(docs, threshold=0.75, weight="count").collect()} == {(0, 17)}
