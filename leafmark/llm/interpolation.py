@@ -1,23 +1,28 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates: bigram c(v w) / c(v), unigram c(w) / N, and uniform 1 / (V + 1), with
-weights that depend on the bucket of the context's frequency (the floor of log2(c(v) + 1)). The weights are learned by
-expectation-maximisation on a deleted part of the training documents, whose counts the estimates there leave out;
-the final estimates count all training documents. Tokens are the words between ASCII white space, A-Z lower-cased, and one
-end after each document; the first context is a start mark.
-
-No count table is broadcast or joined row by row. Documents are dealt by a hash to blocks of about `BLOCK_BYTES`:
-1. a block counts its distinct words and bigrams and sends them, sorted, to shards by hash;
+The model mixes maximum-likelihood estimates of three orders and the uniform one. With c the counts of the training documents,
+P1(w) = l1 c(w) / N + (1 - l1) / (V + 1),
+P2(w | v) = l2 c(v w) / c(v) + (1 - l2) P1(w),
+P(w | u v) = l3 c(u v w) / c(u v) + (1 - l3) P2(w | v);
+l3 depends on the bucket of the context's frequency c(u v) (the floor of log2(c + 1)), l2 on that of c(v); where a context has
+not been seen, its weight is 0. The weights are learned by expectation-maximisation on a deleted part of the training
+documents: the estimates there leave its counts out, and each round sums up the expectations over its exact counts.
+The final estimates count all training documents. Tokens are the words between ASCII white space, A-Z lower-cased, and one
+end after each document; two start marks come before the first token.
+
+No count table is broadcast or joined row by row. Documents are dealt by a hash to blocks of about `BLOCK_BYTES`, which are
+written once:
+1. a block counts its distinct words, bigrams and trigrams and sends them, sorted, to shards by hash;
 2. a shard adds up the counts of all blocks and answers each block, in the order asked;
-3. the deleted blocks, with their answers, are summed up in a histogram of quantised likelihood ratios
-   for each bucket (of bounded size), on which the driver runs EM;
+3. the deleted blocks, with their answers, become a written table of distinct (counts of token and contexts, times), on
+   which every round of EM is one aggregation by bucket pair;
 4. all blocks, with their answers and the weights, are scored.
-A word or bigram is sent once for each block, so frequent ones load no shard. Words are 64-bit hashes, bigrams
-56-bit hashes.
+An n-gram is sent once for each block, so frequent ones load no shard. Words are 64-bit hashes, longer n-grams 56-bit hashes.
 
 Edge cases: null is the empty text (one token, the end); repeated rows count and score each; without training documents all
 counts are 0 and both scores use N = V = 0; without deleted documents default weights hold; an empty table
-gives an empty one; extra columns are ignored.
+gives an empty one; extra columns are ignored, whatever their names. A very long text is in one block, whose tokens and
+distinct n-grams its task holds.
 """
 
 from __future__ import annotations
@@ -27,15 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import column, crc_mod, grouped_rows, table, written
+from leafmark.llm.common import column, crc_mod, grouped_rows, slices, table, written
 
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 32 << 20
 KEPT, DELETED, OTHER = 0, 1, 2
 BUCKETS = 40
-#: Quantised log2 ratios to the uniform estimate, in half bits; 0 stands for an estimate of 0.
-_BINS = 160
-DEFAULT = (0.5, 0.4, 0.1)
+#: Weights of trigram, bigram and unigram before learning.
+DEFAULT = (0.4, 0.5, 0.9)
+#: EM stops after so many rounds, or when no weight moves by more than the step.
+ROUNDS, STEP = 25, 1e-4
+#: The kinds of n-grams and the bits of their hashes.
+KINDS = (("u", 64), ("b", 56), ("t", 56))
 _END, _START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -50,7 +58,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """The tokens of a block's documents: distinct words and bigrams in order, and each token's number in them."""
+    """The tokens of a block's documents: distinct words, bigrams and trigrams in order, and each token's number in them."""
 
     def __init__(self, texts: list[str | None]):
         import xxhash
@@ -65,22 +73,32 @@ class Block:
             word[at : at + len(w)] = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
             at += len(w) + 1
         word[self.ends - 1] = _END
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.ends - self.sizes] = _START
-        self.words, self.word, self.word_times = np.unique(word, return_inverse=True, return_counts=True)
-        pair = _mix(before * np.uint64(0xD6E8FEB86659FD93) + _mix(word)) >> np.uint64(8)
-        self.pairs, self.pair, self.pair_times = np.unique(pair, return_inverse=True, return_counts=True)
-        self.first = before == _START
-        self.end = int(np.searchsorted(self.words, _END))
-
-    def context(self, counts: np.ndarray) -> np.ndarray:
-        """The count of each token's context, from the counts of the distinct words: a start is as frequent as the end."""
-        own = counts[self.word]
-        out = np.empty_like(own)
-        out[1:] = own[:-1]
-        out[self.first] = counts[self.end]
-        return out
+        self.first = np.zeros(n, bool)
+        self.first[self.ends - self.sizes] = True
+        own = _mix(word)
+        self.keys, self.number, self.times = {}, {}, {}
+        key, before = word, None
+        for kind, _ in KINDS:
+            if before is not None:  # the n-gram that ends one token earlier, and this word
+                earlier = np.empty_like(before)
+                earlier[1:] = before[:-1]
+                earlier[self.first] = _START
+                key = _mix(earlier * np.uint64(0xD6E8FEB86659FD93) + own) >> np.uint64(8)
+            self.keys[kind], self.number[kind], self.times[kind] = np.unique(key, return_inverse=True, return_counts=True)
+            before = key
+        self.end = int(np.searchsorted(self.keys["u"], _END))
+
+    def counts(self, told: dict[str, np.ndarray]) -> list[np.ndarray]:
+        """c(u v w), c(u v), c(v w), c(v) and c(w) of each token, from the counts of the distinct n-grams."""
+        three, two, one = (told[k][self.number[k]] for k in "tbu")
+
+        def context(own: np.ndarray) -> np.ndarray:
+            out = np.empty_like(own)
+            out[1:] = own[:-1]
+            out[self.first] = told["u"][self.end]  # start marks are as frequent as the end
+            return out
+
+        return [three, context(two), two, context(one), one]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -120,16 +138,16 @@ def _shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame, role: Column, blocks: int) -> DataFrame:
-    """block, kind "t", shard and blob: the documents of each block, as compressed record batches."""
+    """The written table block, kind "t", shard and blob: the documents of each block, as compressed record batches."""
     share = {KEPT: 0.6, DELETED: 0.2, OTHER: 0.2}
     rows = docs.withColumn("role", role.cast("bigint"))
     n = F.lit(max(1, round(blocks * share[OTHER]))).cast("bigint")
     n = F.when(F.col("role") == KEPT, F.lit(max(1, round(blocks * share[KEPT]))).cast("bigint")).otherwise(n)
-    rows = rows.select("doc_id", "text", (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.octet_length("text")), n) * 3 + F.col("role")).alias("block"))
+    rows = rows.select("doc_id", "text", (F.pmod(F.xxhash64(F.monotonically_increasing_id()), n) * 3 + F.col("role")).alias("block"))  # by row, as equal rows may be many
 
     def run(batches):
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
+        for batch in slices(batches, "text", BLOCK_BYTES):
             block = column(batch, "block").to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)] if len(order) else []
@@ -138,15 +156,20 @@ def _dealt(docs: DataFrame, role: Column, blocks: int) -> DataFrame:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, held.schema, options=options) as w:
                     w.write_batch(held.take(pa.array(order[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array([block[order[a]]], pa.int64()), pa.array(["t"]), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "kind", "shard", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([block[order[a]]], pa.int64()), pa.array(["d"]), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "kind", "shard", "blob"])
 
-    return rows.mapInArrow(run, "block bigint, kind string, shard int, blob binary")
+    return written(rows.mapInArrow(run, "block bigint, kind string, shard int, blob binary"), "dealt")
+
+
+def _by_block(rows: DataFrame, blocks: int) -> DataFrame:
+    """A partition takes a block or a few, at any size of the input."""
+    return rows.repartition(max(blocks, 8), "block").sortWithinPartitions("block")
 
 
 def _documents(rows: list[dict]) -> tuple[list[pa.Array], list[str | None]]:
     ids, texts = [], []
     for r in rows:
-        if r["kind"] == "t":
+        if r["kind"] == "d":
             with pa.ipc.open_stream(r["blob"]) as stream:
                 for batch in stream:
                     ids.append(batch.column(0))
@@ -154,19 +177,20 @@ def _documents(rows: list[dict]) -> tuple[list[pa.Array], list[str | None]]:
     return ids, texts
 
 
-def _requests(dealt: DataFrame, shards: int) -> DataFrame:
-    """block, kind (u: words, b: bigrams), shard, blob."""
+def _requests(dealt: DataFrame, blocks: int, shards: int) -> DataFrame:
+    """block, kind (u: words, b: bigrams, t: trigrams), shard, blob."""
 
     def run(batches):
         for block, rows in grouped_rows(batches, "block"):
             own = Block(_documents(rows)[1])
             out = []
-            for kind, bits, keys, times in (("u", 64, own.words, own.word_times), ("b", 56, own.pairs, own.pair_times)):
+            for kind, bits in KINDS:
+                keys, times = own.keys[kind], own.times[kind]
                 cuts = np.searchsorted(_shard_of(keys, bits, shards), np.arange(shards + 1))
                 out += [(kind, s, _pack_request(keys[a:b], times[a:b])) for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "kind", "shard", "blob"])
 
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, dealt.schema)
+    return _by_block(dealt, blocks).mapInArrow(run, dealt.schema)
 
 
 def _answers(requests: DataFrame, shards: int) -> DataFrame:
@@ -179,7 +203,7 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
                 for i in range(batch.num_rows):
                     yield pa.RecordBatch.from_arrays([c.slice(i, 1) for c in batch.columns], names=batch.schema.names)
 
-        for (shard, kind), rows in _by_two(grouped_rows(held(), "shard")):
+        for (shard, kind), rows in _by_kind(grouped_rows(held(), "shard")):
             parts = [_unpack_request(r["blob"]) for r in rows]
             keys, times = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
             sizes = [len(p[0]) for p in parts]
@@ -205,101 +229,128 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
     return written(rows.mapInArrow(run, requests.schema), "ngram-answers")
 
 
-def _by_two(groups):
+def _by_kind(groups):
     for shard, rows in groups:
-        for kind in ("b", "u"):
+        for kind, _ in KINDS:
             own = [r for r in rows if r["kind"] == kind]
             if own:
                 yield (shard, kind), own
 
 
-def _told(rows: list[dict], kind: str, deleted: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The counts of a block's distinct words or bigrams, in order: of all training documents, and without the deleted ones."""
-    every, kept = [], []
-    for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"]):
-        raw = _open(r["blob"])
-        half = len(raw) // 2 if deleted else len(raw)
-        every.append(_from_planes(raw[:half], "<u4"))
-        kept.append(_from_planes(raw[half:], "<u4") if deleted else every[-1])
-    return np.concatenate(every).astype(np.int64), np.concatenate(kept).astype(np.int64)
+def _told(rows: list[dict], deleted: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The counts of a block's distinct n-grams, in order, by kind: of all training documents, and without the deleted ones."""
+    every, kept = {}, {}
+    for kind, _ in KINDS:
+        parts = [_open(r["blob"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])]
+        half = [len(x) // 2 if deleted else len(x) for x in parts]
+        every[kind] = np.concatenate([_from_planes(x[:n], "<u4") for x, n in zip(parts, half)]).astype(np.int64)
+        kept[kind] = np.concatenate([_from_planes(x[n:], "<u4") for x, n in zip(parts, half)]).astype(np.int64) if deleted else every[kind]
+    return every, kept
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(context + 1.0).astype(np.int64), BUCKETS - 1)
 
 
-def _histogram(dealt: DataFrame, answers: DataFrame, total: int, kinds: int) -> list[tuple[int, int, int, int]]:
-    """(bucket, bigram bin, unigram bin, tokens) over the deleted blocks; as many rows as bins at most."""
+_COUNTS = ("c3", "n3", "c2", "n2", "c1")
+
+
+def _held_out(dealt: DataFrame, answers: DataFrame, blocks: int) -> DataFrame:
+    """The written table b3, b2 (buckets), c3, n3, c2, n2, c1 (counts without the deleted documents) and times, over the
+    tokens of the deleted blocks; equal ones of a block are one row."""
 
     def run(batches):
         for _, rows in grouped_rows(batches, "block"):
             own = Block(_documents(rows)[1])
-            words, pairs = _told(rows, "u", True)[1], _told(rows, "b", True)[1]
-            context = own.context(words)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                two = np.log2(np.where(context > 0, pairs[own.pair] / np.maximum(context, 1), 0) * (kinds + 1))
-                one = np.log2(words[own.word] / max(total, 1) * (kinds + 1))
-            bins = [np.where(np.isfinite(x), np.clip(np.round(2 * np.where(np.isfinite(x), x, 0)) + _BINS // 2, 1, _BINS - 1), 0).astype(np.int64) for x in (two, one)]
-            code, n = np.unique((_bucket(context) * _BINS + bins[0]) * _BINS + bins[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
+            found = own.counts(_told(rows, True)[1])
+            order = np.lexsort(found)
+            found = [x[order] for x in found]
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for x in found:
+                new[1:] |= x[1:] != x[:-1]
+            head = np.flatnonzero(new)
+            found = [x[head] for x in found]
+            columns = [_bucket(found[1]).astype(np.int32), _bucket(found[3]).astype(np.int32), *found, np.diff(np.append(head, len(order)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["b3", "b2", *_COUNTS, "times"])
 
     deleted = F.pmod("block", F.lit(3)) == DELETED
     rows = dealt.where(deleted).unionByName(answers.where(deleted & (F.col("block") >= 0)))
-    found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n"))
-    return [(c // _BINS**2, c // _BINS % _BINS, c % _BINS, n) for c, n in sorted(tuple(r) for r in found.collect())]
+    return written(_by_block(rows, max(8, blocks // 4)).mapInArrow(run, "b3 int, b2 int, c3 bigint, n3 bigint, c2 bigint, n2 bigint, c1 bigint, times bigint"), "held-out")
+
+
+def expectations(held: DataFrame, weights: np.ndarray, total: int, kinds: int) -> list[tuple[int, int, int, float, float, float]]:
+    """(b3, b2, tokens, expected trigram, bigram and unigram uses), one row for each pair of buckets that occurs."""
+    of = lambda k, b: F.element_at(F.array(*(F.lit(float(x)) for x in weights[:, k])), F.col(b) + 1)
+    share = lambda c, n: F.when(n > 0, c / n).otherwise(0.0)
+    l3, l2, l1 = of(0, "b3"), of(1, "b2"), float(weights[0, 2])
+    rows = held.withColumns({"m3": share(F.col("c3"), F.col("n3")) * l3, "r3": 1 - l3, "l2": l2})
+    rows = rows.withColumns({"m2": F.col("r3") * F.col("l2") * share(F.col("c2"), F.col("n2")), "r2": F.col("r3") * (1 - F.col("l2"))})
+    rows = rows.withColumns({"m1": F.col("r2") * (l1 / max(total, 1)) * F.col("c1"), "m0": F.col("r2") * ((1 - l1) / (kinds + 1))})
+    rows = rows.withColumn("per", F.col("times") / (F.col("m3") + F.col("m2") + F.col("m1") + F.col("m0")))
+    found = rows.groupBy("b3", "b2").agg(F.sum("times").alias("n"), *(F.sum(F.col("per") * F.col(m)).alias(m) for m in ("m3", "m2", "m1")))
+    return sorted(tuple(r) for r in found.collect())  # BUCKETS squared rows at most
 
 
-def learn_weights(histogram: list[tuple[int, int, int, int]], rounds: int = 200) -> np.ndarray:
-    """The weights (bigram, unigram, uniform) of each bucket, by expectation-maximisation."""
+def started() -> np.ndarray:
+    """Default weights by bucket: of trigram, bigram, unigram; unseen contexts (bucket 0) have none."""
     out = np.tile(np.array(DEFAULT), (BUCKETS, 1))
-    if not histogram:
-        return out
-    rows = np.array(histogram, np.int64)
-
-    def ratio(bins: np.ndarray) -> np.ndarray:
-        return np.where(bins > 0, np.exp2((bins - _BINS // 2) / 2.0), 0.0)
-
-    def fit(own: np.ndarray, w: np.ndarray) -> np.ndarray:
-        p = np.stack([ratio(own[:, 1]), ratio(own[:, 2]), np.ones(len(own))], axis=1)
-        n = own[:, 3].astype(float)
-        for _ in range(rounds):
-            part = p * w
-            part /= part.sum(axis=1, keepdims=True)
-            new = (part * n[:, None]).sum(axis=0) / n.sum()
-            new = np.maximum(new, 1e-6) / np.maximum(new, 1e-6).sum()
-            if np.abs(new - w).max() < 1e-9:
-                break
-            w = new
-        return new
-
-    pooled = fit(rows, np.array(DEFAULT))
-    for b in range(BUCKETS):
-        own = rows[rows[:, 0] == b]
-        out[b] = fit(own, pooled) if len(own) else pooled
+    out[0, :2] = 0.0
     return out
 
 
-def _scored(dealt: DataFrame, answers: DataFrame, weights: np.ndarray, total: int, kinds: int, id_type: str) -> DataFrame:
+def learn_weights(held: DataFrame, total: int, kinds: int) -> np.ndarray:
+    """The weights (trigram, bigram, unigram) of each bucket, by expectation-maximisation; buckets without held-out tokens
+    take those of all tokens with a seen context."""
+    weights = started()
+    for _ in range(ROUNDS):
+        found = np.array(expectations(held, weights, total, kinds)).reshape(-1, 6)
+        if not len(found):
+            break
+        b3, b2 = found[:, 0].astype(int), found[:, 1].astype(int)
+        n, e3, e2, e1 = found[:, 2:].T
+        new = weights.copy()
+        for k, b, used, of in ((0, b3, e3, n), (1, b2, e2, n - e3)):
+            top, base = np.bincount(b, used, BUCKETS), np.bincount(b, of, BUCKETS)
+            pooled = top[1:].sum() / base[1:].sum() if base[1:].sum() > 1e-9 else DEFAULT[k]
+            new[:, k] = np.clip(np.where(base > 1e-9, top / np.maximum(base, 1e-9), pooled), 0, 1 - 1e-6)
+            new[0, k] = 0.0
+        rest = (n - e3 - e2).sum()
+        new[:, 2] = np.clip(e1.sum() / rest, 0, 1 - 1e-6) if rest > 1e-9 else DEFAULT[2]
+        moved = np.abs(new - weights).max()
+        weights = new
+        if moved < STEP:
+            break
+    return weights
+
+
+def mixed(counts: list[np.ndarray], weights: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """The probability of each token."""
+    c3, n3, c2, n2, c1 = counts
+    l3, l2, l1 = weights[_bucket(n3), 0], weights[_bucket(n2), 1], weights[0, 2]
+    one = l1 * (c1 / max(total, 1)) + (1 - l1) / (kinds + 1)
+    two = l2 * (c2 / np.maximum(n2, 1)) + (1 - l2) * one
+    return l3 * (c3 / np.maximum(n3, 1)) + (1 - l3) * two
+
+
+def _scored(dealt: DataFrame, answers: DataFrame, blocks: int, weights: np.ndarray, total: int, kinds: int, id_type: str) -> DataFrame:
     def run(batches):
         for block, rows in grouped_rows(batches, "block"):
             ids, texts = _documents(rows)
             if not texts:
                 continue
             own = Block(texts)
-            deleted = block % 3 == DELETED
-            words, pairs = _told(rows, "u", deleted)[0], _told(rows, "b", deleted)[0]
-            c, context = words[own.word], own.context(words)
-            w = weights[_bucket(context)]
-            p = w[:, 0] * (pairs[own.pair] / np.maximum(context, 1)) + w[:, 1] * (c / max(total, 1)) + w[:, 2] / (kinds + 1)
-            base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+            found = own.counts(_told(rows, block % 3 == DELETED)[0])
+            base = np.log10((found[4] + 0.5) / (total + 0.5 * (kinds + 1)))
+            score_ = np.log10(mixed(found, weights, total, kinds))
             starts = own.ends - own.sizes
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array([block % 3 == OTHER] * n), pa.array(own.sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts), pa.int64()), pa.array([total] * n, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(np.log10(p), starts))],
+                [pa.concat_arrays(ids), pa.array([block % 3 == OTHER] * n), pa.array(own.sizes, pa.int64()), pa.array(np.add.reduceat((found[4] > 0).astype(np.int64), starts), pa.int64()), pa.array([total] * n, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score_, starts))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    rows = dealt.unionByName(answers.where("block >= 0")).repartition("block").sortWithinPartitions("block")
+    rows = _by_block(dealt.unionByName(answers.where("block >= 0")), blocks)
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
@@ -311,15 +362,16 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     role = F.when(training, F.when(deleted, DELETED).otherwise(KEPT)).otherwise(OTHER)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), role.alias("role"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = _dealt(docs.select("doc_id", "text", "role"), F.col("role"), -(-size // block_bytes) or 1)
+    blocks = -(-size // block_bytes) or 1
+    dealt = _dealt(docs, F.col("role"), blocks)
     shards = max(12, -(-size // shard_bytes))
-    answers = _answers(_requests(dealt, shards), shards)
+    answers = _answers(_requests(dealt, blocks, shards), shards)
     stats = np.zeros(4, np.int64)
     for (blob,) in answers.where("kind = 'n'").select("blob").collect():  # 32 bytes a shard
         stats += np.frombuffer(blob, "<i8")
     total, kinds, kept_total, kept_kinds = stats.tolist()
-    weights = learn_weights(_histogram(dealt, answers, kept_total, kept_kinds))
-    return _scored(dealt, answers, weights, total, kinds, docs.schema["doc_id"].dataType.simpleString())
+    weights = learn_weights(_held_out(dealt, answers, blocks), kept_total, kept_kinds)
+    return _scored(dealt, answers, blocks, weights, total, kinds, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
