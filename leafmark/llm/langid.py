@@ -1,23 +1,22 @@
 """Language identification by prediction by partial matching.
 
 For each language a context tree over bytes of orders 0 to 3 is counted on a bounded sample of labelled
-training texts (`sample_docs` documents and about `sample_bytes` bytes a language, the smallest hashes of the
-id). A byte costs -log2(c / (n + q)) in the longest context in which it was seen, plus -log2(q / (n + q)) for
-each longer known context that it escapes from (n: the context's count, q: its distinct successors, method
-C); contexts never seen cost nothing, and below order 0 a byte costs 8 bits. The statistics are frozen: the
-cost of a byte depends on it and the three bytes before it alone, so the trees of all languages are
-flattened into tables from byte sequences to a row of costs, one for each language, and whole texts are
-scored by table lookups. The predicted language has the shortest exact code length (ties: the first in
-string order); the score is its posterior under equal priors.
-
-Edge cases: null texts and texts without a letter are `und` with score 0; without any training row every text
-is `und`. Repeated rows repeat; an empty table gives an empty one; extra columns are ignored.
+training texts (`sample_docs` distinct rows and about `sample_bytes` bytes a language, the smallest hashes of
+id and text; a language with any training text has one at least). A byte costs -log2(c / (n + q)) in the longest
+context in which it was seen, plus -log2(q / (n + q)) for each longer known context that it escapes from (n: the
+context's count, q: its distinct successors, method C); contexts never seen cost nothing, and below order 0 a byte
+costs 8 bits. The statistics are frozen: the cost of a byte depends on it and the three bytes before it alone, so the trees
+of all languages are flattened into tables from byte sequences to a row of costs, one for each language, and
+whole texts are scored by table lookups, in pieces of `PIECE` bytes with the three before them. The predicted language has the
+shortest exact code length (ties: the first in string order); the score is its posterior under equal priors.
+
+Edge cases: null texts and texts without a letter (Unicode category L) are `und` with score 0; without any training row
+every text is `und`. Repeated rows repeat, and count once in the sample; an empty table gives an empty one; extra columns
+stay, but columns of the names that predict() adds are replaced. A very long text takes its bytes and a piece's costs at a time.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +27,12 @@ from leafmark.llm.common import column, crc_mod, slices, table
 ORDER = 3
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1_500_000
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a text that are scored at once, and costs (bytes times languages) that are held at once.
+PIECE, COSTS = 1 << 14, 1 << 21
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 class HashIndex:
@@ -146,44 +150,68 @@ class Trees:
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each text under each language."""
-        codes, ends = _codes(texts)
-        out = np.zeros((len(texts), len(self.languages)))
-        full = np.flatnonzero(np.diff(ends))
-        if len(full):
-            costs = self._lower(ORDER, codes)
-            out[full] = np.add.reduceat(costs, ends[full], axis=0)
+        return self.measured([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+
+    def measured(self, raws: list[bytes]) -> np.ndarray:
+        """Bits of each lower-cased text, piece by piece; a text's pieces are the same whatever stands beside it."""
+        out = np.zeros((len(raws), len(self.languages)))
+        limit = max(PIECE, COSTS // max(1, len(self.languages)))
+        owner, parts, held = [], [], 0
+
+        def score() -> None:
+            raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+            code = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+            sizes = np.array([len(p) - 3 for p in parts], np.int64)
+            begin = np.cumsum(sizes + 3) - (sizes + 3)
+            keep = np.ones(len(code), bool)
+            for gap in range(3):  # the first three bytes of a piece are context only
+                keep[begin[1:] - 3 + gap] = False
+            costs = self._lower(ORDER, code[keep])
+            np.add.at(out, owner, np.add.reduceat(costs, np.cumsum(sizes) - sizes, axis=0))
+
+        for i, raw in enumerate(raws):
+            for a in range(0, len(raw), PIECE):
+                parts.append(raw[a - 3 : a + PIECE] if a else b"\0\0\0" + raw[:PIECE])
+                owner.append(i)
+                held += len(parts[-1])
+                if held >= limit:
+                    score()
+                    owner, parts, held = [], [], 0
+        if parts:
+            score()
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """(language, score, bits per byte) of each text."""
         out: list[tuple[str, float, float]] = [("und", 0.0, 0.0)] * len(texts)
-        asked = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if asked and self.languages:
-            bits = self.code_lengths([texts[i] for i in asked])
-            for i, row in zip(asked, bits):
+            raws = [texts[i].lower().encode("utf-8", "surrogatepass") for i in asked]
+            for i, raw, row in zip(asked, raws, self.measured(raws)):
                 best = int(np.argmin(row))
-                size = len(texts[i].lower().encode("utf-8", "surrogatepass"))
-                out[i] = (self.languages[best], float(1 / np.exp2(np.clip(row[best] - row, -1000, 0)).sum()), float(row[best] / size))
+                out[i] = (self.languages[best], float(1 / np.exp2(np.clip(row[best] - row, -1000, 0)).sum()), float(row[best] / len(raw)))
         return out
 
 
 def fit(docs: DataFrame, training, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
     """The trees of a bounded sample of the rows for which the condition `training` holds."""
-    rows = docs.where(training).where(F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
+    rows = docs.where(training).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("dice"))
+    found = {r[0]: (r[1], r[2]) for r in rows.groupBy("k").agg(F.approx_count_distinct("dice"), F.min("dice")).collect()}
+    if not found:
         return Trees({})
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample_docs / n)))])
-    dice = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 32))
-    near = rows.where((dice < share[F.col(lang)] * float(1 << 32)) & F.col(text).isNotNull())
-    left, taken, chosen = dict.fromkeys(counts, sample_docs), dict.fromkeys(counts, 0), set()
-    for d, k, i, n in sorted((tuple(r) for r in near.select(dice, lang, F.col(id_col).cast("string"), F.octet_length(text)).collect()), key=lambda r: (r[0], r[2], r[3])):
+    # the smallest hashes: about half as many again as wanted, and the least one in any case
+    spread = lambda n: min(1.0, 1.5 * sample_docs / max(1, n))
+    bound = F.create_map(*[x for k, (n, least) in sorted(found.items()) for x in (F.lit(k), F.lit(max(least, min(int(spread(n) * 2**64) - 2**63, 2**63 - 1))))])
+    near = rows.where(F.col("dice") <= bound[F.col("k")])
+    left, taken, chosen = dict.fromkeys(found, sample_docs), dict.fromkeys(found, 0), []
+    for d, k, n in sorted(tuple(r) for r in near.select("dice", "k", F.octet_length("t")).distinct().collect()):
         if left[k] > 0 and (taken[k] + n <= sample_bytes or not taken[k]):
             left[k] -= 1
             taken[k] += n
-            chosen.add(i)
+            chosen.append(d)
     samples: dict[str, list[str]] = {}
-    for k, t in sorted(tuple(r) for r in near.where(F.col(id_col).cast("string").isin(chosen)).select(lang, text).collect()):
+    texts = near.where(F.col("dice").isin(chosen)).groupBy("k", "dice").agg(F.min("t").alias("t"))
+    for k, t in sorted(tuple(r) for r in texts.select("k", "t").collect()):
         samples.setdefault(k, []).append(t)
     return Trees(samples)
 
@@ -191,6 +219,7 @@ def fit(docs: DataFrame, training, id_col: str = "doc_id", text: str = "text", l
 def predict(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """docs with lang_pred string, score double and bits_per_byte double."""
     held = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+    docs = docs.drop("lang_pred", "score", "bits_per_byte")
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}).schema
 
     def run(batches):

@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,41 @@ def test_ties_take_the_first_language():
     trees = langid.Trees({"b": ["xyz xyz"], "a": ["xyz xyz"]})
     (lang, score, _), = trees.predict(["xyz"])
     assert lang == "a" and score == pytest.approx(0.5)
+
+
+def test_letters(spark):
+    trees = langid.Trees({"de": ["ein text"]})
+    texts = ["½ ²", "①Ⅷ", "", None, "1 2", "ª", "字", "٣", "_", "é", "ᾳ"]
+    assert [r[0] for r in trees.predict(texts)] == ["und"] * 5 + ["de", "de", "und", "und", "de", "de"]
+
+
+def test_no_language_is_lost(spark):
+    for one in (12, 13, 14, 15):
+        rows = [(one, f"ein text {k % 50}", "de") for k in range(2000)] + [(100 + k, f"some text {k}", "en") for k in range(20)] + [(7, None, "fr"), (one, "même", "it")]
+        trees = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), sample_docs=10)
+        assert trees.languages == ["de", "en", "it"]
+
+
+def test_pieces_and_neighbours_do_not_matter(monkeypatch):
+    rnd = random.Random(4)
+    trees = langid.Trees({x: [_text(rnd, x, 40)] for x in SYLLABLES})
+    texts = [_text(rnd, "aa", 700), "", "x", _text(rnd, "cc", 90)]
+    want = [[_plain_bits(trees, t, x) for x in trees.languages] for t in texts]
+    for piece, costs in ((1 << 14, 1 << 21), (7, 40), (64, 1)):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        monkeypatch.setattr(langid, "COSTS", costs)
+        got = trees.code_lengths(texts)
+        assert np.allclose(got, want, rtol=1e-9)
+        assert [trees.code_lengths([t])[0].tolist() for t in texts] == got.tolist()
+
+
+def _plain_bits(trees, text, language):
+    codes = langid._codes([text])[0]
+    return float(trees._lower(langid.ORDER, codes)[:, trees.languages.index(language)].sum()) if len(codes) else 0.0
+
+
+def test_columns_of_the_same_names(spark):
+    docs = spark.createDataFrame([(1, "ka to mi", "aa", 5, "z", None)], "doc_id bigint, text string, lang string, score int, lang_pred string, bits_per_byte string")
+    trees = langid.fit(docs, F.lit(True))
+    row = langid.predict(docs, trees).first()
+    assert row.lang_pred == "aa" and row.score == 1.0 and row.bits_per_byte > 0
