@@ -2,16 +2,20 @@
 
 Words are the maximal runs of 0-9, a-z and non-ASCII characters after A-Z were lower-cased. A benchmark
 window is `width` consecutive words of an item; an item of fewer words, but not none, is one window of
-its own length. The windows form a hash set that every task holds; the documents' word sequences are
-scanned once, candidates are found by array operations and verified word by word in the set.
+its own length. The windows form a hash set that every task holds: sorted 64-bit hashes of word numbers, with the
+place of a window and its items (about 20 bytes a window). The documents' word sequences are scanned once; where
+`width` known words follow each other, their hash is looked up, and a hit is verified word by word.
 
-The set is broadcast only up to `block_bytes` of benchmark text. A larger benchmark is cut into blocks of
-that size by a hash of the item id (of the text, where it is null), and the documents are scanned once for each block; the hit positions
-of all blocks are united, so the result does not depend on the number of blocks.
+The set is broadcast only up to `block_bytes` of benchmark text. A larger benchmark is cut into blocks of that size by a
+hash of the item id (of the text, where it is null). Then the documents are written once with a row number; each block's scan reads
+their texts and returns the hits alone, which are united by row number, so no block carries or rewrites a text, and the result does
+not depend on the number of blocks.
 
 Edge cases: null and empty texts have no words and no hits; items with a null text have no windows; equal item ids are
 counted once; items without an id hit as any other, are counted as one item together (null in hit_items, last) and
-are not in items_sha256; an empty benchmark hits nothing; extra columns are ignored.
+are not in items_sha256; an empty benchmark hits nothing; repeated rows repeat. hits() replaces columns of the names that it adds;
+remove_documents() and remove_spans() leave all columns of the table as they are, whatever their names. A text is scanned as a whole:
+its words and 4 bytes a word are held at once.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import column, table, written
+from leafmark.llm.common import column, slices, table, written
 
 WIDTH = 13
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -36,25 +40,48 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The benchmark windows: word ids, and for each length a set of id sequences with their items."""
+    """The benchmark windows: word numbers, and for each window length the sorted hashes with places and items."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], width: int = WIDTH):
-        self.width = width
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, tuple[str | None, ...]]] = {}
+        self.names: list[str | None] = []
+        known: dict[str | None, int] = {}
+        said, found = {}, []
         for item, text in items:
-            found = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            if not found:
-                continue
-            n = min(width, len(found))
-            row, own, held = np.array(found, np.int32), (item,), self.windows.setdefault(n, {})
-            for i in range(len(found) - n + 1):
-                key = row[i : i + n].tobytes()
-                names = held.get(key)
-                if names is None:
-                    held[key] = own
-                elif item not in names:
-                    held[key] = names + own
+            row = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)], np.int32)
+            if len(row):
+                owner = known.setdefault(item, len(known))
+                n = min(width, len(row))
+                said.setdefault(n, []).append((sum(map(len, found)), len(row) - n + 1, owner))
+                found.append(row)
+        self.names = list(known)
+        self.flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, own in said.items():
+            start = np.concatenate([a + np.arange(m) for a, m, _ in own])
+            owner = np.repeat(np.array([o for _, _, o in own], np.int32), [m for _, m, _ in own])
+            seed = 0
+            while True:  # until hash and window are one to one
+                key = self._hashes(self.flat, start, n, seed)
+                order = np.lexsort((owner, key))
+                key, first, items_ = key[order], start[order], owner[order]
+                new = np.concatenate(([True], key[1:] != key[:-1]))
+                head = np.flatnonzero(new)
+                same = np.repeat(first[head], np.diff(np.append(head, len(key))))
+                if all((self.flat[first + k] == self.flat[same + k]).all() for k in range(n)):
+                    break
+                seed += 1
+            once = new | np.concatenate(([True], items_[1:] != items_[:-1]))  # an item once for each window
+            at = np.cumsum(once)[head] - 1
+            self.windows[n] = (key[head], first[head], np.append(at, once.sum()), items_[once], seed)
+
+    @staticmethod
+    def _hashes(row: np.ndarray, start: np.ndarray, n: int, seed: int) -> np.ndarray:
+        out = np.full(len(start), 0x9E3779B97F4A7C15 * (2 * seed + 1) % 2**64, np.uint64)
+        for k in range(n):
+            out = (out ^ row[start + k].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+        return out
 
     def scan(self, text: str | None) -> tuple[int, np.ndarray, set[str | None]]:
         """The number of words, the sorted positions of the hit words, the items found."""
@@ -62,24 +89,26 @@ class WindowSet:
         get = self.ids.get
         row = np.fromiter((get(w, 0) for w in found), np.int32, len(found))
         known = np.concatenate(([0], np.cumsum(row > 0)))
-        marks, items = None, set()
-        for n, table_ in self.windows.items():
+        edges, items = None, set()
+        for n, (keys, first, at, owners, seed) in self.windows.items():
             if len(row) < n:
                 continue
             starts = np.flatnonzero(known[n:] - known[:-n] == n)
             if not len(starts):
                 continue
-            for a in range(0, len(starts), 65536):
-                part = starts[a : a + 65536]
-                grams = row[part[:, None] + np.arange(n)].tobytes()
-                step = 4 * n
-                for k, at in enumerate(part.tolist()):
-                    hit = table_.get(grams[k * step : k * step + step])
-                    if hit is not None:
-                        marks = np.zeros(len(row), bool) if marks is None else marks
-                        marks[at : at + n] = True
-                        items.update(hit)
-        return len(row), np.flatnonzero(marks) if marks is not None else np.zeros(0, np.int64), items
+            own = self._hashes(row, starts, n, seed)
+            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == own)
+            for k in range(n):  # verified word by word
+                hit = hit[row[starts[hit] + k] == self.flat[first[place[hit]] + k]]
+            if len(hit):
+                edges = np.zeros(len(row) + 1, np.int64) if edges is None else edges
+                np.add.at(edges, starts[hit], 1)
+                np.add.at(edges, starts[hit] + n, -1)
+                for p in np.unique(place[hit]).tolist():
+                    items.update(owners[at[p] : at[p + 1]].tolist())
+        marks = np.flatnonzero(np.cumsum(edges[:-1])) if edges is not None else np.zeros(0, np.int64)
+        return len(row), marks, {self.names[i] for i in items}
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
@@ -89,41 +118,57 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
     return [rows.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(n)) == k) for k in range(n)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words long, hit_words array<int> (positions of hit words) and hit_items array<string>."""
-    spark = docs.sparkSession
-    out = docs.withColumns({"n_words": F.lit(0).cast("bigint"), "hit_words": F.lit(None).cast("array<int>"), "hit_items": F.lit(None).cast("array<string>")})
+def _sorted_items(names) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
+NAMES = ("n_words", "hit_words", "hit_items")
+#: Names of our own beside a table's columns.
+_OWN = ("_leafmark_n_words", "_leafmark_hit_words", "_leafmark_hit_items")
+_ROW = "_leafmark_row"
+_TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+
+
+def _scanned(docs: DataFrame, block: DataFrame, text: str, width: int, names: tuple[str, str, str], every: bool, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with the block's hits; without `every`, only rows with hits."""
+    held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], width))  # block_bytes at most
+    kinds = ("bigint", "array<int>", "array<string>")
+    schema = docs.select(keep).withColumns({n: F.lit(None).cast(k) for n, k in zip(names, kinds)}).schema
+
+    def scan(batches):
+        found = held.value
+        for batch in slices(batches, text):
+            got = [found.scan(t) for t in column(batch, text).to_pylist()]
+            new = [pa.array(x, t) for x, t in zip(([g[0] for g in got], [g[1].astype(np.int32) for g in got], [_sorted_items(g[2]) for g in got]), _TYPES)]
+            out = pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), *new], names=[*keep, *names])
+            yield out if every else out.filter(pa.array([len(g[1]) > 0 for g in got]))
+
+    return docs.mapInArrow(scan, schema)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs with n_words long, hit_words array<int> (positions of hit words) and hit_items array<string>, or such columns of other names."""
+    docs = docs.drop(*names)
     blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        return _scanned(docs, blocks[0], text, width, names, True, docs.columns)
+    docs = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate")
+    some = None
     for k, block in enumerate(blocks):
-        held = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], width))
-
-        def scan(batches, held=held):
-            found = held.value
-            for batch in batches:
-                texts, before, items = column(batch, text), column(batch, "hit_words"), column(batch, "hit_items")
-                n_words, hit, names = [], [], []
-                for i in range(batch.num_rows):
-                    n, positions, own = found.scan(texts[i].as_py())
-                    n_words.append(n)
-                    hit.append(np.union1d(positions, before[i].as_py() or []).astype(np.int32).tolist())
-                    names.append(sorted(own.union(items[i].as_py() or []), key=lambda x: (x is None, x or "")))
-                new = {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hit, pa.list_(pa.int32())), "hit_items": pa.array(names, pa.list_(pa.string()))}
-                yield pa.RecordBatch.from_arrays([new.get(c, batch.column(j)) for j, c in enumerate(batch.schema.names)], names=batch.schema.names)
-
-        out = out.mapInArrow(scan, out.schema)
-        if k + 1 < len(blocks):
-            out = written(out, "decontaminate")
-    return out
-
-
-def contaminated():
+        one = _scanned(docs.select(_ROW, text), block, text, width, names, k == 0, [_ROW])
+        some = one if some is None else some.unionByName(one)
+    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in names[1:]]
+    return docs.join(some.groupBy(_ROW).agg(F.max(names[0]).alias(names[0]), *united), _ROW).drop(_ROW)
+
+
+def contaminated(names: tuple[str, str, str] = NAMES):
     """The rule: some hit, and a twentieth of the words or more are hit."""
-    return (F.size("hit_words") > 0) & (F.size("hit_words").cast("bigint") * 20 >= F.col("n_words"))
+    return (F.size(names[1]) > 0) & (F.size(names[1]).cast("bigint") * 20 >= F.col(names[0]))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that the rule does not hold against, with their columns."""
-    return hits(docs, benchmark, **options).where(~contaminated()).select(*docs.columns)
+    return hits(docs, benchmark, names=_OWN, **options).where(~contaminated(_OWN)).drop(*_OWN)
 
 
 def without_words(text: str, positions: list[int]) -> str:
@@ -141,11 +186,11 @@ def without_words(text: str, positions: list[int]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """All documents with their columns, the hit words cut out of their texts."""
-    found, names = hits(docs, benchmark, text=text, **options), docs.columns
+    found, names = hits(docs, benchmark, text=text, names=_OWN, **options), docs.columns
 
     def cut(batches):
-        for batch in batches:
-            texts, hit = column(batch, text).to_pylist(), column(batch, "hit_words").to_pylist()
+        for batch in slices(batches, text):
+            texts, hit = column(batch, text).to_pylist(), column(batch, _OWN[1]).to_pylist()
             new = pa.array([without_words(t, h) if t and h else t for t, h in zip(texts, hit)], pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text else column(batch, c) for c in names], names=names)
 

@@ -83,3 +83,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert dc.hits(frame(spark, ["a b"]), none).first().hit_words == []
     assert dc.hits(frame(spark, []), none).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 100])
+def test_columns_of_the_same_names(spark, block_bytes):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = frame(spark, [item, "quite clean", None]).selectExpr("*", "doc_id + 70 AS n_words", "'x' AS hit_words", "'y' AS hit_items", "1 AS row", "2 AS n")
+    bench = spark.createDataFrame([(1, item), (2, "other " + item)], ITEMS)
+    kept = dc.remove_documents(docs, bench, block_bytes=block_bytes)
+    assert kept.columns == docs.columns and sorted(r.n_words for r in kept.collect()) == [71, 72]
+    cut = dc.remove_spans(docs, bench, block_bytes=block_bytes)
+    assert cut.columns == docs.columns and sorted((r.n_words, r.text) for r in cut.collect()) == [(70, ""), (71, "quite clean"), (72, None)]
+    assert {r.doc_id: (r.n_words, list(r.hit_items)) for r in dc.hits(docs, bench, block_bytes=block_bytes).collect()} == {0: (13, ["1", "2"]), 1: (2, []), 2: (0, [])}
+
+
+def test_a_long_text_and_a_window_of_many_items(spark):
+    rnd = random.Random(3)
+    item = prose(rnd, 20)
+    text = prose(rnd, 400_000) + " " + item + " " + prose(rnd, 1000)
+    found = dc.WindowSet([(str(i), item) for i in range(500)] + [("own", "zz " + item)]).scan(text)
+    assert found[0] == 401_020 and found[1].tolist() == list(range(400_000, 400_020)) and len(found[2]) == 501
