@@ -10,8 +10,9 @@ frames on. A pair gives the code bin1 * 2**15 + bin2 * 2**6 + frames between, st
 array. Frames are transformed in blocks of a fixed number, so memory does not grow with a text, and equal files
 have equal fingerprints wherever they stand.
 
-Edge cases: null and empty texts give 64 bytes 0; a null media column gives nulls; repeated
-rows repeat; an empty table gives an empty one; extra columns are ignored.
+Edge cases: null and empty texts give 64 bytes 0; a null media column gives nulls; of equally strong bins of a band the lowest is
+taken, and equally strong peaks of neighbouring frames both stay; repeated rows repeat; an empty table gives an empty one; extra
+columns are ignored, whatever their names. A very long text is held with its file, one text at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmark.llm.common import column, slices, table
 
@@ -99,7 +101,7 @@ def pairs(frame: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes long (unpadded) and media binary (the WAV file)."""
-    out = docs.select(id_col, text).withColumnsRenamed({id_col: "doc_id", text: "text"})
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
