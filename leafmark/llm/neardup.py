@@ -15,7 +15,8 @@ node. Candidates are verified by the exact similarity:
    reach the threshold, by prefix filtering. Let u be the share of one text's weight on shingles that the other lacks, v the
    same the other way; then the similarity is at most (1 - u)(1 - v) / (1 - uv) (for sets it is just that). In a common order
    of shingles, rarest first, what comes before the first shared one counts to u and v. So the pair shares a shingle with at
-   most 1 - t of the one text's weight before it, at most (1 - t) / (1 + t) of the other's, and both within the bound.
+   most 1 - t of the one text's weight before it, at most (1 - t) / (1 + t) of the other's, and both within the bound. Shared are
+   no more shingles than either text has from there on, with no more weight than these and the text's repetitions.
 Pairs inside a component cannot change it. So every bucket pair is verified, excluded by a bound, or joined by links
 already: no link between classes is lost, while many copies cost a few verifications each, not one a pair. Texts of one
 template that differ in more than (1 - t) / (1 + t) of their weight, in parts of their own, are never paired by the template.
@@ -216,17 +217,19 @@ def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
 def _cross(rows: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes of different components that share a key where the bound allows the threshold."""
     p, q = (rows.select(*(F.col(c).alias(f"{c}_{s}") for c in rows.columns)) for s in "pq")
-    u, v = F.col("before_p"), F.col("before_q")
-    on = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") != F.col("component_q")) & ((1 - u) * (1 - v) >= threshold * (1 - u * v) - 1e-9)
+    shared = F.least("left_p", "left_q")
+    x, y = (F.least(1 - F.col(f"before_{s}"), (shared + F.col(f"again_{s}")) / F.col(f"total_{s}")) for s in "pq")  # weight that can be shared
+    on = (F.col("key_p") == F.col("key_q")) & (F.col("component_p") != F.col("component_q")) & (x * y >= threshold * (x + y - x * y) - 1e-9)
     on &= ~F.col("early_q") | (F.col("node_p") > F.col("node_q"))  # two early ones meet once
     return p.where("early_p").join(q, on).select(F.greatest("node_p", "node_q").alias("a"), F.least("node_p", "node_q").alias("b")).distinct()
 
 
 def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float, weight: str) -> DataFrame:
-    """The rows (key, before, early, node, component) with the shingles of the nodes' prefixes as keys, where components share one.
+    """The rows (key, before, early, left, total, again, node, component) with the shingles of the nodes' prefixes as keys, where
+    components share one.
 
     before is the share of the node's weight on the shingles before this one; early ones have at most (1 - t) / (1 + t)
-    before them, all have at most 1 - t. The order is by a counter of the shingle's hash class, then by the shingle.
+    before them, all have at most 1 - t. left: the shingles from this one on; total: the node's weight; again: that beyond 1 a shingle. The order is by a counter of the shingle's hash class, then by the shingle.
     """
     nodes = open_.select("node", "component").distinct()
     rows = sets.select(F.col("node").alias("set_node"), "ids", "counts").join(nodes, F.col("set_node") == F.col("node")).select("node", "component", "ids", "counts")
@@ -248,7 +251,7 @@ def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float, weight: str)
 
     def prefix(batches):
         for batch in batches:
-            ids, counts, firsts, befores = column(batch, "ids"), column(batch, "counts"), [], []
+            ids, counts, firsts, befores, lefts, totals, agains = column(batch, "ids"), column(batch, "counts"), [], [], [], [], []
             for k in range(batch.num_rows):
                 own, said = np.frombuffer(ids[k].as_py(), np.uint64), counts[k].as_py()
                 w = np.frombuffer(said, np.int32).astype(float) if said and weight == "count" else np.ones(len(own))
@@ -257,12 +260,16 @@ def _prefixes(open_: DataFrame, sets: DataFrame, threshold: float, weight: str)
                 n = int(np.searchsorted(before, latest, side="right"))
                 firsts.append(own[order[:n]])
                 befores.append(before[:n])
+                lefts.append(len(own) - np.arange(n, dtype=np.int32))
+                totals.append(np.full(n, w.sum()))
+                agains.append(np.full(n, w.sum() - len(own)))
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in firsts]))
-            before = np.concatenate(befores or [np.zeros(0)])
+            before, total, again = (np.concatenate(x or [np.zeros(0)]) for x in (befores, totals, agains))
+            left = np.concatenate(lefts or [np.zeros(0, np.int32)])
             key = np.concatenate([x.view(np.int64) for x in firsts] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(before), pa.array(before <= early), *(column(batch, c).take(at) for c in ("node", "component"))], names=["key", "before", "early", "node", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(before), pa.array(before <= early), pa.array(left), pa.array(total), pa.array(again), *(column(batch, c).take(at) for c in ("node", "component"))], names=["key", "before", "early", "left", "total", "again", "node", "component"])
 
-    keyed = written(rows.mapInArrow(prefix, "key bigint, before double, early boolean, node bigint, component bigint"), "prefixes")
+    keyed = written(rows.mapInArrow(prefix, "key bigint, before double, early boolean, left int, total double, again double, node bigint, component bigint"), "prefixes")
     mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("early").alias("some")).where("low != high and some").select(F.col("key").alias("mixed"))
     return keyed.join(mixed, F.col("key") == F.col("mixed")).drop("mixed")
 
