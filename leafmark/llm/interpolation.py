@@ -17,7 +17,8 @@ written once:
 3. the deleted blocks, with their answers, become a written table of distinct (counts of token and contexts, times), on
    which every round of EM is one aggregation by bucket pair;
 4. all blocks, with their answers and the weights, are scored.
-An n-gram is sent once for each block, so frequent ones load no shard. Words are 64-bit hashes, longer n-grams 56-bit hashes.
+An n-gram is sent once for each block, so frequent ones load no shard. Words are 64-bit hashes; longer n-grams have hashes of as many
+bits as keep the chance that one meets any other below 2^-20 at every size of the corpus (56 at most, from about 250 GB on).
 
 Edge cases: null is the empty text (one token, the end); repeated rows count and score each; without training documents all
 counts are 0 and both scores use N = V = 0; without deleted documents default weights hold; an empty table
@@ -35,15 +36,15 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import column, crc_mod, grouped_rows, slices, table, written
 
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 KEPT, DELETED, OTHER = 0, 1, 2
 BUCKETS = 40
 #: Weights of trigram, bigram and unigram before learning.
 DEFAULT = (0.4, 0.5, 0.9)
 #: EM stops after so many rounds, or when no weight moves by more than the step.
 ROUNDS, STEP = 25, 1e-4
-#: The kinds of n-grams and the bits of their hashes.
-KINDS = (("u", 64), ("b", 56), ("t", 56))
+#: The kinds of n-grams: words, bigrams, trigrams.
+KINDS = "ubt"
 _END, _START = np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -57,10 +58,15 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def hash_bits(size: int) -> int:
+    """Bits of n-gram hashes for a corpus of so many bytes, which has a quarter as many n-grams at most."""
+    return min(56, max(44, 20 + (size // 4).bit_length()))
+
+
 class Block:
     """The tokens of a block's documents: distinct words, bigrams and trigrams in order, and each token's number in them."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], bits: int = 56):
         import xxhash
 
         said = [tokens(t) for t in texts]
@@ -78,12 +84,12 @@ class Block:
         own = _mix(word)
         self.keys, self.number, self.times = {}, {}, {}
         key, before = word, None
-        for kind, _ in KINDS:
+        for kind in KINDS:
             if before is not None:  # the n-gram that ends one token earlier, and this word
                 earlier = np.empty_like(before)
                 earlier[1:] = before[:-1]
                 earlier[self.first] = _START
-                key = _mix(earlier * np.uint64(0xD6E8FEB86659FD93) + own) >> np.uint64(8)
+                key = _mix(earlier * np.uint64(0xD6E8FEB86659FD93) + own) >> np.uint64(64 - bits)
             self.keys[kind], self.number[kind], self.times[kind] = np.unique(key, return_inverse=True, return_counts=True)
             before = key
         self.end = int(np.searchsorted(self.keys["u"], _END))
@@ -146,7 +152,7 @@ def _dealt(docs: DataFrame, role: Column, blocks: int) -> DataFrame:
     rows = rows.select("doc_id", "text", (F.pmod(F.xxhash64(F.monotonically_increasing_id()), n) * 3 + F.col("role")).alias("block"))  # by row, as equal rows may be many
 
     def run(batches):
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))
         for batch in slices(batches, "text", BLOCK_BYTES):
             block = column(batch, "block").to_numpy(zero_copy_only=False)
             order = np.argsort(block, kind="stable")
@@ -177,16 +183,16 @@ def _documents(rows: list[dict]) -> tuple[list[pa.Array], list[str | None]]:
     return ids, texts
 
 
-def _requests(dealt: DataFrame, blocks: int, shards: int) -> DataFrame:
+def _requests(dealt: DataFrame, blocks: int, shards: int, bits: int) -> DataFrame:
     """block, kind (u: words, b: bigrams, t: trigrams), shard, blob."""
 
     def run(batches):
         for block, rows in grouped_rows(batches, "block"):
-            own = Block(_documents(rows)[1])
+            own = Block(_documents(rows)[1], bits)
             out = []
-            for kind, bits in KINDS:
+            for kind in KINDS:
                 keys, times = own.keys[kind], own.times[kind]
-                cuts = np.searchsorted(_shard_of(keys, bits, shards), np.arange(shards + 1))
+                cuts = np.searchsorted(_shard_of(keys, 64 if kind == "u" else bits, shards), np.arange(shards + 1))
                 out += [(kind, s, _pack_request(keys[a:b], times[a:b])) for s, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
             yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([x[0] for x in out]), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["block", "kind", "shard", "blob"])
 
@@ -231,7 +237,7 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
 
 def _by_kind(groups):
     for shard, rows in groups:
-        for kind, _ in KINDS:
+        for kind in KINDS:
             own = [r for r in rows if r["kind"] == kind]
             if own:
                 yield (shard, kind), own
@@ -240,7 +246,7 @@ def _by_kind(groups):
 def _told(rows: list[dict], deleted: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
     """The counts of a block's distinct n-grams, in order, by kind: of all training documents, and without the deleted ones."""
     every, kept = {}, {}
-    for kind, _ in KINDS:
+    for kind in KINDS:
         parts = [_open(r["blob"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])]
         half = [len(x) // 2 if deleted else len(x) for x in parts]
         every[kind] = np.concatenate([_from_planes(x[:n], "<u4") for x, n in zip(parts, half)]).astype(np.int64)
@@ -255,13 +261,13 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 _COUNTS = ("c3", "n3", "c2", "n2", "c1")
 
 
-def _held_out(dealt: DataFrame, answers: DataFrame, blocks: int) -> DataFrame:
+def _held_out(dealt: DataFrame, answers: DataFrame, blocks: int, bits: int) -> DataFrame:
     """The written table b3, b2 (buckets), c3, n3, c2, n2, c1 (counts without the deleted documents) and times, over the
     tokens of the deleted blocks; equal ones of a block are one row."""
 
     def run(batches):
         for _, rows in grouped_rows(batches, "block"):
-            own = Block(_documents(rows)[1])
+            own = Block(_documents(rows)[1], bits)
             found = own.counts(_told(rows, True)[1])
             order = np.lexsort(found)
             found = [x[order] for x in found]
@@ -333,13 +339,13 @@ def mixed(counts: list[np.ndarray], weights: np.ndarray, total: int, kinds: int)
     return l3 * (c3 / np.maximum(n3, 1)) + (1 - l3) * two
 
 
-def _scored(dealt: DataFrame, answers: DataFrame, blocks: int, weights: np.ndarray, total: int, kinds: int, id_type: str) -> DataFrame:
+def _scored(dealt: DataFrame, answers: DataFrame, blocks: int, bits: int, weights: np.ndarray, total: int, kinds: int, id_type: str) -> DataFrame:
     def run(batches):
         for block, rows in grouped_rows(batches, "block"):
             ids, texts = _documents(rows)
             if not texts:
                 continue
-            own = Block(texts)
+            own = Block(texts, bits)
             found = own.counts(_told(rows, block % 3 == DELETED)[0])
             base = np.log10((found[4] + 0.5) / (total + 0.5 * (kinds + 1)))
             score_ = np.log10(mixed(found, weights, total, kinds))
@@ -364,14 +370,14 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     dealt = _dealt(docs, F.col("role"), blocks)
-    shards = max(12, -(-size // shard_bytes))
-    answers = _answers(_requests(dealt, blocks, shards), shards)
+    shards, bits = max(4, -(-size // shard_bytes)), hash_bits(size)
+    answers = _answers(_requests(dealt, blocks, shards, bits), shards)
     stats = np.zeros(4, np.int64)
     for (blob,) in answers.where("kind = 'n'").select("blob").collect():  # 32 bytes a shard
         stats += np.frombuffer(blob, "<i8")
     total, kinds, kept_total, kept_kinds = stats.tolist()
-    weights = learn_weights(_held_out(dealt, answers, blocks), kept_total, kept_kinds)
-    return _scored(dealt, answers, blocks, weights, total, kinds, docs.schema["doc_id"].dataType.simpleString())
+    weights = learn_weights(_held_out(dealt, answers, blocks, bits), kept_total, kept_kinds)
+    return _scored(dealt, answers, blocks, bits, weights, total, kinds, docs.schema["doc_id"].dataType.simpleString())
 
 
 def op4_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
