@@ -64,11 +64,22 @@ def check_digit(text: Column) -> Column:
     return F.when(digits.rlike(r"\A[0-9]*\z"), F.transform(F.array(weighted), total)[0])
 
 
-def td3_checks(second: Column) -> Column:
-    """array<struct<field, value, expected, valid>>: value is the digit that the row has."""
-    parts = [F.struct(F.lit(f).alias("field"), cut(second, at, at + 1).alias("value"), F.concat(*(cut(second, a, b) for a, b in slices)).alias("part")) for f, slices, at in CHECKED]
-    found = F.transform(F.array(*parts), lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), check_digit(c["part"]).alias("expected")))
-    return F.transform(found, lambda c: F.struct(c["field"].alias("field"), c["value"].alias("value"), c["expected"].alias("expected"), F.coalesce(c["value"] == c["expected"], F.lit(False)).alias("valid")))
+def digit_sql(text: str) -> str:
+    """The same as SQL text, for use inside lambdas: one walk over the characters, whose weight follows from the place."""
+    value = f"greatest(instr('{_CHARACTERS[:36]}', substr({text}, i, 1)) - 1, 0)"
+    total = f"aggregate(sequence(1, length({text})), 0, (s, i) -> s + element_at(array(7, 3, 1), (i - 1) % 3 + 1) * {value})"
+    return f"CASE WHEN {text} RLIKE '[^A-Z0-9<]' THEN NULL WHEN length({text}) = 0 THEN '0' ELSE CAST({total} % 10 AS STRING) END"
+
+
+def _part_sql(text: str, slices: tuple[tuple[int, int], ...]) -> str:
+    return " || ".join(f"substr({text}, {a + 1}, {b - a})" for a, b in slices)
+
+
+def td3_checks(second: str) -> Column:
+    """array<struct<field, value, expected, valid>> of a row, given as SQL text: value is the digit that the row has."""
+    parts = ", ".join(f"named_struct('field', '{f}', 'value', substr({second}, {at + 1}, 1), 'part', {_part_sql(second, slices)})" for f, slices, at in CHECKED)
+    found = f"transform(array({parts}), p -> named_struct('field', p.field, 'value', p.value, 'expected', {digit_sql('p.part')}))"
+    return F.expr(f"transform({found}, c -> named_struct('field', c.field, 'value', c.value, 'expected', c.expected, 'valid', coalesce(c.value = c.expected, false)))")
 
 
 def all_valid(checks: Column) -> Column:
@@ -114,8 +125,14 @@ def first_ok(text: Column) -> Column:
     return F.coalesce((F.length(text) == 44) & text.startswith("P") & cut(text, 1, 2).isin("<", "M") & all_allowed(text), F.lit(False))
 
 
-def second_ok(text: Column) -> Column:
-    return F.coalesce((F.length(text) == 44) & all_allowed(text) & all_valid(td3_checks(text)), F.lit(False))
+def first_ok_sql(text: str) -> str:
+    return f"coalesce(length({text}) = 44 AND startswith({text}, 'P') AND substr({text}, 2, 1) IN ('<', 'M') AND NOT {text} RLIKE '[^A-Z0-9<]', false)"
+
+
+def second_ok_sql(text: str) -> str:
+    """All check digits hold; the first that does not ends the test."""
+    tests = " AND ".join(f"substr({text}, {at + 1}, 1) = aggregate(array({_part_sql(text, slices)}), '', (z, p) -> {digit_sql('p')})" for _, slices, at in CHECKED)
+    return f"coalesce(length({text}) = 44 AND NOT {text} RLIKE '[^A-Z0-9<]' AND {tests}, false)"
 
 
 def padded_name(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every code point that counts as white space when words are parted (fixed values).
@@ -77,3 +77,35 @@ def format_elapsed(ms: Column) -> Column:
 def relocated(path: Column, root: str) -> Column:
     """The path from its first output or dataset folder on, under the root; other paths as they are."""
     return F.regexp_replace(path, r"^.*?/(output|dataset)/", f"{root}/$1/")
+
+
+def stays_inside(path: Column) -> Column:
+    """Whether a relative path leads to something below the folder it starts in: no absolute path, drive or backslash, and no
+    step out of it on the way."""
+    steps = F.split(path, "/")
+    depth = lambda s: F.when(s == "..", -1).when(s.isin("", "."), 0).otherwise(1)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("least"))
+    step = lambda a, s: F.struct((a["now"] + depth(s)).alias("now"), F.least(a["least"], a["now"] + depth(s)).alias("least"))
+    end = F.aggregate(steps, start, step)
+    return ~path.startswith("/") & ~path.rlike(r"[\\:]") & (end["least"] >= 0) & (end["now"] > 0)
+
+
+def jobs(uploads: DataFrame, name: str, workers: str, identity: Column, least: int = 1, most: int = 3) -> DataFrame:
+    """Uploads as jobs: the file's name without folders, whether its kind is accepted, workers in their range, and a job id
+    of 12 hex digits of the identity's hash."""
+    file = basename(F.translate(F.col(name), "\\", "/"))
+    accepted = suffix(file).isin(".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff")
+    return uploads.withColumns({"file": file, "accepted": accepted, workers: F.greatest(F.lit(least), F.least(F.lit(most), F.col(workers))), "job_id": F.substring(F.sha2(identity.cast("binary"), 256), 1, 12)})
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000.0
+
+
+def epoch_seconds(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp")) / 1000000.0
+
+
+def now_text() -> Column:
+    """The time now, to the second."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")

@@ -24,8 +24,34 @@ def birth_serial(text: Column) -> Column:
     return F.datediff(day, F.lit("1899-12-30").cast("date"))
 
 
-def crew_list(parsed: DataFrame, alpha2: dict[str, str] = ALPHA2, names: dict[str, str] = NAMES) -> DataFrame:
-    """One row per page, numbered by document and page; fields only of valid and partial pages. parsed: document, page_number, status, fields."""
+#: Documents whose names part the list into ranges (the least hashes; a bounded sample).
+RANGES = 256
+
+
+def _zh(name: str) -> Column:
+    return F.collate(F.col(name), "zh")
+
+
+def numbered_documents(pages: DataFrame) -> DataFrame:
+    """document and before: the pages of the documents before it, in the order of Chinese collation.
+
+    No window runs over all documents: the names of a sample part them into ranges, whose sums are added up.
+    """
+    counts = pages.groupBy("document").agg(F.count(F.lit(1)).alias("pages"))
+    names = sorted(r[0] for r in counts.where("document is not null").orderBy(F.xxhash64("document")).limit(RANGES).select("document").collect())
+    bounds = F.array(*map(F.lit, names)).cast("array<string>")
+    counts = counts.withColumn("range", F.size(F.filter(bounds, lambda n: F.collate(n, "zh") <= F.collate(F.col("document"), "zh"))))
+    ranges = counts.groupBy("range").agg(F.sum("pages").alias("all"))  # RANGES + 1 rows at most
+    ranges = ranges.select("range", F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.sum("pages").over(Window.partitionBy("range").orderBy(_zh("document"), "document").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("own", F.coalesce(own, F.lit(0))).join(F.broadcast(ranges), "range").select("document", (F.col("base") + F.col("own")).alias("before"))
+
+
+def crew_list(parsed: DataFrame, pages: DataFrame | None = None, alpha2: dict[str, str] = ALPHA2, names: dict[str, str] = NAMES) -> DataFrame:
+    """One row per page, numbered by document and page; fields only of valid and partial pages. parsed: document, page_number, status, fields.
+
+    pages: the documents of the same pages, where they can be had without parsing them.
+    """
     spark = parsed.sparkSession
     codes = F.broadcast(spark.createDataFrame(list(alpha2.items()), "alpha3 string, alpha2 string"))  # fixed lists
     printed = F.broadcast(spark.createDataFrame(list(names.items()), "named string, printed string"))
@@ -34,10 +60,7 @@ def crew_list(parsed: DataFrame, alpha2: dict[str, str] = ALPHA2, names: dict[st
     code = F.translate(F.upper(field("nationality")), "01", "OI")
     rows = parsed.withColumn("code", code).join(codes, F.col("code") == F.col("alpha3"), "left").withColumn("short", F.coalesce("alpha2", "code"))
     rows = rows.join(printed, F.col("short") == F.col("named"), "left")
-    # numbers over all pages: those of the documents before, of which there are fewer, and the place in the document
-    before = F.coalesce(F.sum("pages").over(Window.orderBy("document").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    documents = parsed.groupBy("document").agg(F.count(F.lit(1)).alias("pages")).select("document", before.alias("before"))
-    rows = rows.join(documents, "document")
+    rows = rows.join(numbered_documents(parsed if pages is None else pages), "document")
     number = F.col("before") + F.row_number().over(Window.partitionBy("document").orderBy("page_number"))
     blank = lambda c: F.nullif(c, F.lit(""))
     empty = F.lit(None).cast("string")

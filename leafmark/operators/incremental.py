@@ -37,3 +37,52 @@ def reusable(inputs: DataFrame, saved: DataFrame, path: str, signature: list[str
 def since(events: DataFrame, seq: str, cursor: int) -> DataFrame:
     """A subscriber's next events, in order."""
     return events.where(F.col(seq) > cursor).orderBy(seq)
+
+
+def resumed(inputs: DataFrame, saved: DataFrame, path: str, signature: list[str]) -> DataFrame:
+    """The saved results that stay, marked as reused."""
+    _, done = reusable(inputs, saved, path, signature)
+    return saved.join(done.select(path), path, "left_semi").withColumn("reused", F.lit(True))
+
+
+def resume_levels(inputs: DataFrame, saved: DataFrame, path: str, first: list[str], second: list[str]) -> DataFrame:
+    """inputs with level: reuse (both signatures are those of a saved result), analyse (only the first, so recognition can
+    stay and the analysis runs anew), or run."""
+    good = saved.where("status <> 'error'").select(path, *(F.col(c).alias(f"saved_{c}") for c in (*first, *second))).dropDuplicates([path])
+    held = inputs.join(good.withColumn("known", F.lit(True)), path, "left")
+
+    def same(columns: list[str]):
+        out = F.coalesce("known", F.lit(False))
+        for c in columns:
+            out = out & F.col(c).eqNullSafe(F.col(f"saved_{c}"))
+        return out
+
+    level = F.when(same([*first, *second]), "reuse").when(same(first), "analyse").otherwise("run")
+    return held.withColumn("level", level).select(*inputs.columns, "level")
+
+
+def append_reviews(events: DataFrame, reviews: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """The event table with new reviews (keys, review, failure_reason, ...) behind each key's last event; a column `latest`
+    points to the last event. Reviews of another outcome than correct or incorrect fail; only rejections keep a reason."""
+    outcome = F.when(F.col("review").isin("correct", "incorrect"), F.col("review")).otherwise(F.raise_error(F.concat(F.lit("unsupported review outcome: "), F.coalesce("review", F.lit("null")))))
+    last = events.groupBy(*keys).agg(F.max(seq).alias("last"))
+    placed = reviews.withColumn("review", outcome).withColumn("failure_reason", F.when(F.col("review") == "incorrect", F.col("failure_reason")))
+    order = Window.partitionBy(*keys).orderBy(*(c for c in placed.columns if c not in keys))
+    placed = placed.join(last, keys, "left").withColumn(seq, F.coalesce("last", F.lit(0)) + F.row_number().over(order)).drop("last")
+    both = events.unionByName(placed, allowMissingColumns=True)
+    return both.withColumn("latest", F.col(seq) == F.max(seq).over(Window.partitionBy(*keys)))
+
+
+def review_files(events: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """For each key what its review file holds: the number of events, the latest one, and all in order."""
+    event = F.struct(seq, *(c for c in events.columns if c not in (*keys, seq, "latest")))
+    return events.groupBy(*keys).agg(F.lit(2).alias("schema_version"), F.max_by(event, seq).alias("latest"), F.array_sort(F.collect_list(event)).alias("history"))
+
+
+def write_reviews(events: DataFrame, path: str, keys: list[str], seq: str = "seq") -> None:
+    review_files(events, keys, seq).write.mode("overwrite").json(path)
+
+
+def completion(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """How many of a key's events are done with each, in the order of completion."""
+    return events.withColumn("done", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

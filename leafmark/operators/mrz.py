@@ -13,7 +13,9 @@ def page_rows(lines: DataFrame) -> DataFrame:
     """doc_id and texts: the rows of each document in order of row_index (lines: doc_id, row_index, normalized_text, raw_text)."""
     text = F.coalesce(F.nullif("normalized_text", F.lit("")), "raw_text", F.lit(""))
     held = F.array_sort(F.collect_list(F.struct(F.coalesce("row_index", F.lit(0)).alias("row_index"), text.alias("text"))))
-    return lines.groupBy("doc_id").agg(held.alias("held")).select("doc_id", F.transform("held", lambda x: x["text"]).alias("texts"))
+    # by number, so that the few bytes of a page do not merge the partitions: a page's parse is the cost
+    dealt = lines.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.groupBy("doc_id").agg(held.alias("held")).select("doc_id", F.transform("held", lambda x: x["text"]).alias("texts"))
 
 
 def _laid(frame: DataFrame, *steps: dict) -> DataFrame:
@@ -55,7 +57,7 @@ def repaired(pages: DataFrame) -> DataFrame:
     names = [("first", ""), ("first_padded", "validated_filler_padding"), ("first_marked", "validated_structural_marker"), ("first_both", "validated_filler_padding+validated_structural_marker")]
     option = lambda text, method: F.struct(text.alias("text"), F.lit(method).alias("method"))
     firsts = F.array_compact(F.array(*(F.when(M.first_ok(c(x)), option(c(x), m)) for x, m in names)))
-    doubtful = M.failed_fields(c("second_checks")) == F.array(F.lit("composite"), F.lit("passport_number"))
+    doubtful = c("failed") == F.array(F.lit("composite"), F.lit("passport_number"))
     seconds = F.concat(
         F.array_compact(F.array(option(c("second"), ""), F.when(c("zero").isNotNull(), option(c("zero"), "validated_optional_data_check")))),
         F.when(F.coalesce(doubtful, F.lit(False)), F.transform(M.confused_numbers(c("second")), lambda t: option(t, "validated_passport_character_correction"))).otherwise(F.array().cast("array<struct<text:string,method:string>>")),
@@ -64,17 +66,17 @@ def repaired(pages: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform("firsts", lambda x: F.transform("seconds", lambda y: both(x, y))))
     one = (c("n") == 1) & F.length("a").between(80, 88) & c("a").startswith("P")
     splits = F.transform(F.sequence(F.lit(40), F.lit(44)), lambda k: F.struct(F.array(F.rpad(F.substr("a", F.lit(1), k), 44, "<"), F.substr("a", k + 1)).alias("rows"), F.lit("validated_concatenated_split").alias("method")))
-    splits = F.filter(F.transform(F.filter(splits, lambda x: F.length(x["rows"][1]) <= 44), lambda x: F.struct(F.array(x["rows"][0], F.rpad(x["rows"][1], 44, "<")).alias("rows"), x["method"].alias("method"))), lambda x: M.first_ok(x["rows"][0]) & M.second_ok(x["rows"][1]))
-    helpers = ["a", "b", "first", "second", "first_padded", "first_marked", "first_both", "zero", "second_checks", "firsts", "seconds", "proven"]
+    splits = F.transform(F.filter(splits, lambda x: F.length(x["rows"][1]) <= 44), lambda x: F.struct(F.array(x["rows"][0], F.rpad(x["rows"][1], 44, "<")).alias("rows"), x["method"].alias("method")))
+    helpers = ["a", "b", "first", "second", "first_padded", "first_marked", "first_both", "zero", "failed", "splits", "firsts", "seconds", "proven"]
     return _laid(
         pages,
         {"a": F.get("rows", F.lit(0)), "b": F.get("rows", F.lit(1))},
         {"first": F.when(c("n") == 2, F.when(turned, c("b")).otherwise(c("a"))), "second": F.when(c("n") == 2, F.when(turned, c("a")).otherwise(c("b")))},
-        {"first_padded": M.padded_name(c("first")), "first_marked": M.marked_name(c("first")), "zero": M.zero_optional(c("second")), "second_checks": F.when(F.length("second") == 44, M.td3_checks(c("second")))},
-        {"first_both": M.marked_name(c("first_padded"))},
+        {"first_padded": M.padded_name(c("first")), "first_marked": M.marked_name(c("first")), "zero": M.zero_optional(c("second")), "failed": F.when(F.length("second") == 44, M.failed_fields(M.td3_checks("second")))},
+        {"first_both": M.marked_name(c("first_padded")), "splits": F.when(one, splits)},
         {"firsts": firsts, "seconds": seconds},
-        {"seconds": F.when(F.size("firsts") > 0, F.filter("seconds", lambda y: M.second_ok(y["text"])))},
-        {"proven": F.when(c("n") == 2, F.filter(pairs, lambda p: p["method"] != "")).when(one, splits)},
+        {"seconds": F.when(F.size("firsts") > 0, F.expr(f"filter(seconds, y -> {M.second_ok_sql('y.text')})"))},
+        {"proven": F.when(c("n") == 2, F.filter(pairs, lambda p: p["method"] != "")).when(one, F.expr(f"filter(splits, x -> {M.first_ok_sql('x.rows[0]')} AND {M.second_ok_sql('x.rows[1]')})"))},
         {"repair": F.try_element_at("proven", F.lit(1))},
     ).drop(*helpers)
 
@@ -104,11 +106,11 @@ def parse(pages: DataFrame, texts: str = "texts") -> DataFrame:
     out = _laid(
         _fenced(repaired(reconstructed(pages, texts))),
         {"padded": F.when(pm, F.array(M.fill(a), b)), "plain_format": M.detect_format(c("rows")), "code": M.document_code(c("rows"))},
-        {"padded_good": M.essential_valid(M.td3_checks(c("padded")[1]))},
+        {"padded_good": M.essential_valid(M.td3_checks("padded[1]"))},
         {"route": route},
         {"rows": F.when(c("route") == "repair", c("repair.rows")).when(c("route") == "padded", c("padded")).otherwise(c("rows"))},
         {"name_row": F.when(taken, a), "data_row": F.when(taken, b)},
-        {"checks": F.when(taken, M.td3_checks(c("data_row"))), "fields": F.when(taken, M.td3_fields(c("name_row"), c("data_row")))},
+        {"checks": F.when(taken, M.td3_checks("data_row")), "fields": F.when(taken, M.td3_fields(c("name_row"), c("data_row")))},
         {"all_good": good, "essential_good": essential},
         {"status": status},
         {

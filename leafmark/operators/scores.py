@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,3 +100,29 @@ def merged_config(known: dict, given: dict, path: str = "") -> dict:
     if unknown:
         raise ValueError(f"unknown configuration keys: {', '.join(path + k for k in unknown)}")
     return {k: merged_config(v, given[k], f"{path}{k}.") if isinstance(v, dict) and k in given else given.get(k, v) for k, v in known.items()}
+
+
+def faces(boxes: DataFrame, width: int, height: int, most: float = 0.12, lowest: float = 0.83) -> DataFrame:
+    """The boxes (x, y, w, h) that can be faces of a page: by their share of it, and not too low."""
+    share = F.col("w") * F.col("h") / (width * height)
+    return boxes.where(share.between(0.001, most) & (F.col("y") <= height * lowest))
+
+
+def line_seam(segments: DataFrame, length: int, across: int, start: float = 0.28, end: float = 0.72, degrees: float = 5.0) -> DataFrame:
+    """For each key the segment (x1, y1, x2, y2) that best parts the axis x: nearly upright, in the middle, long, near the
+    centre; the first (least i) of equals. Half values round to even."""
+    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
+    seam = F.bround((F.col("x1") + F.col("x2")) / 2).cast("int")
+    rows = segments.where(~(dx > dy * math.tan(math.radians(degrees)))).select("key", "i", seam.alias("seam"), (dy / across).alias("covered"))
+    rows = rows.where((F.col("seam") >= int(length * start)) & (F.col("seam") < int(length * end)))
+    rows = rows.withColumn("score", F.col("covered") - F.abs(F.col("seam") - length / 2) / (length / 2) * 0.08).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "i"))
+    return rows.withColumn("rank", rank).where("rank = 1").select("key", "seam", F.round("score", 6).alias("score"))
+
+
+def text_bands(boxes: DataFrame, width: int, height: int, long_line: float = 0.58) -> DataFrame:
+    """For each key the number of boxes that can be lines, and the shares of long ones and of those of a field's length."""
+    share = F.col("w") / width
+    lines = boxes.where((F.col("h") >= max(2, height * 0.003)) & (F.col("w") >= width * 0.025))
+    of = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
+    return lines.groupBy("key").agg(F.count(F.lit(1)).alias("line_count"), of(share >= long_line).alias("long_line_ratio"), of((share >= 0.06) & (share < long_line)).alias("field_line_ratio"))

@@ -98,3 +98,31 @@ def promotable(judged: DataFrame) -> DataFrame:
     """Pages whose image becomes the expected one: confirmed, with a data page, and of full quality or without a quality review."""
     whole = F.col("page_complete") & F.col("portrait_complete") & F.col("mrz_complete") & F.col("ocr_ready")
     return judged.where((F.col("review") == "correct") & F.col("contains_data_page") & (~F.col("has_quality") | whole)).select("source_file", "source_page")
+
+
+def seeded_labels(spec: DataFrame, excluded: DataFrame | None = None, rotations: DataFrame | None = None, remarks: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Labels of every page of a spec (dataset, pages): excluded ones (dataset, page) have no data page; rotations and remarks
+    where given (dataset, page, value), else 0 and empty; labels that are known (dataset, page) stay as they are and are left out."""
+    key = ["dataset", "page"]
+    out = spec.select("dataset", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page")).where("page >= 1")
+    if excluded is not None:
+        out = out.join(excluded.select(*key).distinct().withColumn("out", F.lit(True)), key, "left")
+    for name, given in (("rotation", rotations), ("remarks", remarks)):
+        if given is not None:
+            out = out.join(given.select(*key, F.col("value").alias(name)), key, "left")
+    if known is not None:
+        out = out.join(known.select(*key), key, "left_anti")
+    column = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in out.columns else F.lit(default)
+    data = ~column("out", False)
+    return out.select(*key, data.alias("contains_data_page"), data.cast("int").alias("expected_pages"), F.pmod(column("rotation", 0), F.lit(360)).alias("rotation"), column("remarks", "").alias("remarks"))
+
+
+def first_label(pages: DataFrame, truth: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The pages with the first label, by order, of their keys."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return pages.join(truth.withColumn("rank", rank).where("rank = 1").drop("rank"), keys)
+
+
+def with_runs(truth: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """The labels whose page has a run."""
+    return truth.join(runs.select(*keys).distinct(), keys, "left_semi")

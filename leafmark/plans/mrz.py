@@ -18,7 +18,7 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mrz_check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.view(spark, sf_dir, "mrz_input").where("row_index = 2").select("doc_id", sanitize(F.col("raw_text")).alias("row")).where("length(row) = 44")
-    return rows.select("doc_id", F.explode(M.td3_checks(F.col("row"))).alias("c")).select("doc_id", "c.field", "c.value", "c.expected", "c.valid")
+    return rows.select("doc_id", F.explode(M.td3_checks("row")).alias("c")).select("doc_id", "c.field", "c.value", "c.expected", "c.valid")
 
 
 def mrz_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,8 +38,9 @@ def mrz_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mrz_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = parsed(spark, sf_dir).withColumns({"document": F.concat(F.lit("crew "), (F.col("doc_id") % 97).cast("string")), "page_number": F.col("doc_id")})
-    return crew_list(rows)
+    placed = {"document": F.concat(F.lit("crew "), (F.col("doc_id") % 97).cast("string")), "page_number": F.col("doc_id")}
+    pages = derived.view(spark, sf_dir, "mrz_input").select("doc_id").distinct().withColumns(placed)
+    return crew_list(parsed(spark, sf_dir).withColumns(placed), pages)
 
 
 # The same in DuckDB, written as candidate rows instead of arrays.

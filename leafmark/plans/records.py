@@ -16,7 +16,8 @@ from leafmark.streaming import jobs
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    name = F.concat(F.lit("C:/runs/output/Crew "), (F.col("page_id") % 9).cast("string"), F.lit("/DataPage_"), F.lpad(F.col("page_id").cast("string"), 3, "0"), F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".tif").otherwise(".json"))
+    number = F.when(F.col("page_id") < 1000, F.lpad(F.col("page_id").cast("string"), 3, "0")).otherwise(F.col("page_id").cast("string"))
+    name = F.concat(F.lit("C:/runs/output/Crew "), (F.col("page_id") % 9).cast("string"), F.lit("/DataPage_"), number, F.when(F.col("page_id") % 3 == 0, ".PNG").when(F.col("page_id") % 3 == 1, ".tif").otherwise(".json"))
     return pages.select("page_id", "url", F.replace("html", F.lit("ß"), F.lit("ss")).alias("html"), name.alias("path"))
 
 
@@ -111,12 +112,16 @@ def _folder(spark: SparkSession, path: str) -> str:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: the executors share no folder")
+        root = tempfile.mkdtemp(prefix="leafmark-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 _J = f"({derived.oracle('job_event')})"
-_PATHS = "p AS (SELECT page_id, url, replace(html, 'ß', 'ss') AS html, 'C:/runs/output/Crew ' || CAST(page_id % 9 AS VARCHAR) || '/DataPage_' || CASE WHEN page_id < 1000 THEN lpad(CAST(page_id AS VARCHAR), 3, '0') ELSE CAST(page_id AS VARCHAR)[1:3] END || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tif' ELSE '.json' END AS path FROM pages)"
+_PATHS = "p AS (SELECT page_id, url, replace(html, 'ß', 'ss') AS html, 'C:/runs/output/Crew ' || CAST(page_id % 9 AS VARCHAR) || '/DataPage_' || CASE WHEN page_id < 1000 THEN lpad(CAST(page_id AS VARCHAR), 3, '0') ELSE CAST(page_id AS VARCHAR) END || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tif' ELSE '.json' END AS path FROM pages)"
 _ESC = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
 QUERIES = {f.__name__: f for f in (page_numbers, file_names, image_paths, html_escape, formats, config_signature, json_props, event_counts, job_state, artifact_changes, next_events, last_artifacts, page_state, orders_by_nation, stream_event_counts, stream_changes)}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.plans import lines, mrz, profiles, records, scores, validate
+from leafmark.plans import lines, mrz, profiles, records, rows, scores, validate
 
-_MODULES = (mrz, lines, validate, profiles, records, scores)
+_MODULES = (mrz, lines, rows, validate, profiles, records, scores)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -56,31 +56,6 @@ def unlabelled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.view(spark, sf_dir, "prediction").join(labelled, "page", "left_anti").select("document", "page")
 
 
-def seeded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels from a spec: a page range for each nation, without excluded pages, with rotations and remarks where given."""
-    spec = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("dataset"), (F.col("n_nationkey") % 7 + 3).alias("pages"), F.col("n_regionkey").alias("kind"))
-    pages = spec.select("dataset", "kind", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("page"))
-    turned = F.when((F.col("kind") == 2) & (F.col("page") == 3), 270).otherwise(0)
-    return pages.where(~((F.col("kind") == 1) & F.col("page").isin(2, 4))).select("dataset", "page", turned.alias("rotation"), F.when(F.col("page") == 1, "cover").otherwise("").alias("remarks"))
-
-
-def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose saved fingerprint (price, date) is missing, changed or of a failed run."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("stamp"), "o_orderstatus")
-    saved = orders.where("o_orderkey % 5 <> 0").select("o_orderkey", (F.col("size") + F.when(F.col("o_orderkey") % 7 == 0, 1.0).otherwise(0.0)).alias("saved_size"), F.col("stamp").alias("saved_stamp"), F.when(F.col("o_orderkey") % 11 == 0, "error").otherwise("ok").alias("saved_status"))
-    good = saved.where("saved_status <> 'error'")
-    same = (orders.o_orderkey == good.o_orderkey) & orders["size"].eqNullSafe(good.saved_size) & orders.stamp.eqNullSafe(good.saved_stamp)
-    return orders.join(good, same, "left_anti").select("o_orderkey")
-
-
-def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """History by label: rows of labels that come again are replaced by the new ones."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    old = orders.groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.lit("old").alias("run"))
-    new = orders.where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.lit("new").alias("run")).where("label < '3'")
-    return old.join(new.select("label"), "label", "left_anti").unionByName(new)
-
-
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     share = lambda k, m: (F.pmod(F.col("doc_id") * k + F.col("n_chars"), F.lit(m))).cast("double")
@@ -144,7 +119,7 @@ _SUMMARY = """SELECT count(*) AS pages, count(*) FILTER (ok) AS detection_correc
   count(*) FILTER (rated AND page_complete AND portrait_complete AND mrz_complete AND ocr_ready) AS ocr_ready FROM j"""
 _BEST = "SELECT *, row_number() OVER w AS k, lead(l_quantity) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey)"
 
-QUERIES = {f.__name__: f for f in (latest_review, validate_pages, validate_summary, failure_taxonomy, failure_folders, promoted_pages, elapsed_per_page, labels_of_sources, unlabelled_runs, seeded_labels, resume_todo, history_upsert, acceptance_decision, select_candidate, runner_up, page_orientation, safe_level, eye_pair_quality)}
+QUERIES = {f.__name__: f for f in (latest_review, validate_pages, validate_summary, failure_taxonomy, failure_folders, promoted_pages, elapsed_per_page, labels_of_sources, unlabelled_runs, acceptance_decision, select_candidate, runner_up, page_orientation, safe_level, eye_pair_quality)}
 ORACLES = {
     "latest_review": f"WITH {_JUDGED} SELECT * EXCLUDE (k) FROM lr",
     "validate_pages": f"WITH {_JUDGED} SELECT source_file, source_page, v[1] AS result, v[2] AS reason, v[3] AS note, CASE WHEN page IS NULL THEN '' ELSE concat_ws(',', CASE WHEN abs(score_1 - score_2) <= 5 THEN 'multiple_candidates' END, CASE WHEN NOT ocr_safe THEN 'normalization_warning' END) END AS flags, ok AS detection_correct FROM j",
@@ -156,10 +131,6 @@ ORACLES = {
     "elapsed_per_page": f"WITH {_JUDGED} SELECT round(coalesce(avg(elapsed_ms), 0), 6) AS mean_ms, count(elapsed_ms) AS pages FROM j",
     "labels_of_sources": f"SELECT * FROM {_T} WHERE source_file IN (SELECT source_file FROM {_R} WHERE review = 'incorrect')",
     "unlabelled_runs": f"SELECT document, page FROM {_P} WHERE page NOT IN (SELECT source_page FROM {_T})",
-    "seeded_labels": """SELECT n_name AS dataset, CAST(page AS INT) AS page, CAST(CASE WHEN n_regionkey = 2 AND page = 3 THEN 270 ELSE 0 END AS INT) AS rotation, CASE WHEN page = 1 THEN 'cover' ELSE '' END AS remarks
-        FROM (SELECT *, unnest(range(1, n_nationkey % 7 + 4)) AS page FROM nation) WHERE NOT (n_regionkey = 1 AND page IN (2, 4))""",
-    "resume_todo": "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0",
-    "history_upsert": "WITH n AS (SELECT o_orderpriority AS label, count(*) AS n, 'new' AS run FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority < '3' GROUP BY 1) SELECT * FROM n UNION ALL SELECT o_orderpriority, count(*), 'old' FROM orders WHERE o_orderpriority NOT IN (SELECT label FROM n) GROUP BY 1",
     "acceptance_decision": """WITH s AS (SELECT doc_id, (doc_id * 7 + n_chars) % 101 AS p, (doc_id * 3 + n_chars) % 31 AS m, (doc_id * 11 + n_chars) % 101 AS l, (doc_id * 5 + n_chars) % 41 + 35 AS f, ((doc_id * 13 + n_chars) % 11) / 10 AS e, (doc_id * 2 + n_chars) % 97 AS c FROM documents),
         d AS (SELECT *, CASE WHEN c >= 50 AND e <= 0.2::DOUBLE AND m <= 10 THEN 'narrative_page_rejection' WHEN f >= 58 THEN 'standard_threshold' WHEN f >= 55 AND p >= 90 AND l >= 65 THEN 'strong_portrait_layout_fallback' WHEN f >= 50 AND p >= 85 AND l >= 65 AND e >= 0.8::DOUBLE THEN 'verified_face_layout_fallback' ELSE 'low_confidence' END AS path FROM s)
         SELECT doc_id, path NOT IN ('narrative_page_rejection', 'low_confidence') AS accepted, path, round(f + 12 * e, 6) AS selection_score FROM d""",

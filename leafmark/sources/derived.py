@@ -62,20 +62,26 @@ FROM ({_ROWS}) AS r CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n) AS two
 PAGE_WIDTH = 1000
 OCR_LINE = """
 SELECT doc_id, idx, text, confidence, x, y, x + w AS x2, y + h AS y2, CAST(greatest(n, 1) * 40 AS INT) AS page_height FROM (
-  SELECT doc_id, idx, CASE WHEN idx % 5 = 3 THEN upper(replace(substr(replace(replace(text, 'ß', 'ss'), ' ', '<'), 1, 40), '.', '<')) || CAST(doc_id % 10 AS STRING) ELSE replace(text, 'ß', 'ss') END AS text,
+  SELECT doc_id, idx, CASE WHEN coded THEN upper(replace(replace(text, ' ', '<'), '.', '<')) || CAST(doc_id % 10 AS STRING) ELSE text END AS text,
     (30 + ((doc_id * 31 + idx * 17) % 70)) / 100e0 AS confidence,
     CAST(20 + doc_id % 7 + (idx % 3) * 5 AS INT) AS x, CAST(40 * idx - CASE WHEN idx % 4 = 3 THEN 30 ELSE 0 END AS INT) AS y,
     CAST(least(8 * length(text), 900) AS INT) AS w, 24 AS h, n
   FROM ({lines}) AS l
 ) AS m
 """
+#: Every fifth line of a text is cut into pieces of this length, which are coded lines.
+PIECE = 40
 
 
 def lines(dialect: str) -> str:
-    """doc_id, idx (from 0), text and the number of lines n of the documents."""
+    """doc_id, idx (from 0), text, whether it is a piece of a coded line, and the number of lines n of the documents."""
     if dialect == "spark":
-        return "SELECT doc_id, CAST(pos AS BIGINT) AS idx, col AS text, n FROM (SELECT doc_id, parts, size(parts) AS n FROM (SELECT doc_id, split(text, '\\n') AS parts FROM {documents}) AS d) AS c LATERAL VIEW posexplode(parts) AS pos, col"
-    return "SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, parts[i] AS text, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {documents}) AS d) AS e"
+        pieces = f"transform(sequence(0, greatest(CAST(ceil(length(t) / {PIECE}) AS INT) - 1, 0)), k -> named_struct('text', substr(t, k * {PIECE} + 1, {PIECE}), 'coded', true))"
+        parts = f"flatten(transform(split(replace(text, 'ß', 'ss'), '\\n'), (t, i) -> CASE WHEN i % 5 = 3 THEN {pieces} ELSE array(named_struct('text', t, 'coded', false)) END))"
+        return f"SELECT doc_id, CAST(pos AS BIGINT) AS idx, col.text AS text, col.coded AS coded, n FROM (SELECT doc_id, parts, size(parts) AS n FROM (SELECT doc_id, {parts} AS parts FROM {{documents}}) AS d) AS c LATERAL VIEW posexplode(parts) AS pos, col"
+    pieces = f"list_transform(range(0, greatest(CAST(ceil(length(t) / {PIECE}) AS BIGINT), 1)), lambda k: {{'text': substr(t, k * {PIECE} + 1, {PIECE}), 'coded': true}})"
+    parts = f"flatten(list_transform(string_split(replace(text, 'ß', 'ss'), chr(10)), lambda t, i: CASE WHEN i % 5 = 4 THEN {pieces} ELSE [{{'text': t, 'coded': false}}] END))"
+    return f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, parts[i].text AS text, parts[i].coded AS coded, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts} AS parts FROM {{documents}}) AS d) AS e"
 
 
 GROUND_TRUTH = """
@@ -84,17 +90,17 @@ SELECT 'set' || CAST(doc_id % 4 AS STRING) || '/Crew book ' || CAST(doc_id % 23
 FROM {labels}
 """
 PREDICTION = """
-SELECT 'Crew_book_' || CAST(doc_id % 23 AS STRING) AS document, CAST(doc_id AS INT) AS page, n_chars % 7 > 1 AS selected,
+SELECT CASE WHEN doc_id % 11 = 0 THEN 'Unsorted' ELSE 'Crew_book_' || CAST(doc_id % 23 AS STRING) END AS document, CAST(doc_id AS INT) AS page, n_chars % 7 > 1 AS selected,
   CAST(CASE WHEN doc_id % 17 = 0 THEN 90 WHEN doc_id % 13 = 0 THEN 90 ELSE 0 END AS INT) AS rotation,
   CAST(n_chars % 100 AS DOUBLE) AS score_1, CAST((n_chars + doc_id % 9) % 100 AS DOUBLE) AS score_2, n_chars % 5 > 0 AS ocr_safe, CAST(n_chars % 1000 AS DOUBLE) AS elapsed_ms
-FROM {documents} WHERE doc_id % 11 <> 0
+FROM {documents}
 """
 REVIEW_EVENT = """
 SELECT 'set' || CAST(doc_id % 4 AS STRING) || '/Crew book ' || CAST(doc_id % 23 AS STRING) || '.pdf' AS source_file, CAST(doc_id AS INT) AS source_page, n AS seq,
   CASE WHEN (doc_id + n) % 4 = 0 THEN 'incorrect' ELSE 'correct' END AS review,
   CASE WHEN (doc_id + n) % 4 = 0 AND doc_id % 8 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN 'crop' WHEN 1 THEN 'rotation' ELSE 'ocr' END END AS failure_reason,
   doc_id % 5 > 0 AS has_quality, doc_id % 2 = 0 OR n = 1 AS page_complete, doc_id % 7 > 0 AS portrait_complete, doc_id % 9 > 0 AS mrz_complete, n <> 2 AS ocr_ready
-FROM (SELECT doc_id FROM {labels} WHERE doc_id % 3 = 0) AS d CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n) AS three WHERE n <= doc_id % 3 + 1 + doc_id % 2
+FROM (SELECT doc_id FROM {labels}) AS d CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 AS n UNION ALL SELECT 3 AS n) AS three WHERE n <= doc_id % 4
 """
 JOB_EVENT = """
 SELECT user_id % 50 AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'status' WHEN 'click' THEN 'artifact' WHEN 'purchase' THEN 'mrz_page' ELSE 'log' END AS type,
