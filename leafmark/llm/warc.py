@@ -3,9 +3,10 @@
 `write_archives` stores one gzip member per page in .warc.gz files of the shared folder (real WARC 1.1 records:
 response with an HTTP block, or revisit by identical payload digest). `read_archives` streams the files back,
 checks the payload digests and emits for each archive a run of captures sorted locally by URL key,
-timestamp and page id. `merge_runs` deals the runs' rows into key ranges, and in each range a k-way loser tree
-merges the pieces of the runs, so that the ranges in order, and the rows in each in order, are the
-globally ordered capture histories. A hot URL is cut by timestamp and page id like any other range.
+timestamp and page id. `merge_runs` deals the runs' rows into key ranges; in each range Spark sorts by run and place (spilling
+to disk), so that the pieces of the runs arrive whole and in their own order, and a k-way loser tree
+merges them. The merged index is written with range and rank; the sums of the ranges before turn these into the place of each
+capture in the globally ordered capture histories. A hot URL is cut by timestamp and page id like any other range.
 
 Records are written once: the manifest of archives is a table that Spark commits, files of failed attempts
 are not in it. Tasks hold one record and the index rows of one archive (`archive_bytes` at most) at a time.
@@ -13,7 +14,9 @@ are not in it. Tasks hold one record and the index rows of one archive (`archive
 Of pages with equal payloads of at least `least_bytes` bytes, the one with the largest page id is the response and
 the others revisit it. Edge cases: null html is the empty payload; a null url gives no target URI and the empty URL
 key; rows that repeat a page id are records of their own, and if it is the largest of its payload all
-of them are responses; a null page id is a response; an empty table gives an empty index; extra columns are ignored.
+of them are responses; a null page id is a response; an empty table gives an empty index; extra columns are ignored, whatever
+their names. Captures with equal URL key, time and page id keep the order of their archives. Times are `EPOCH` plus the page id,
+unless a column of seconds is named (`captured`): the pages table has none. A payload is held as a whole, one record at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import column, scratch_path, table, written
@@ -162,9 +165,10 @@ class LoserTree:
             self._play(i)
 
 
-def with_record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null for responses)."""
-    raw = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+def with_record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES, captured: str | None = None) -> DataFrame:
+    """page_id, url, payload, digest, refers_to (null for responses) and seconds."""
+    seconds = F.col(captured).cast("bigint") if captured else F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)) + EPOCH
+    raw = pages.select(seconds.alias("seconds"), F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     # digests are taken below the joins, once for each side; the grouped side reads the html column alone
     keyed = raw.withColumn("digest", F.sha1("payload"))
     heads = (
@@ -175,7 +179,7 @@ def with_record_types(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataF
         .select("head_digest", "head")
     )
     joined = keyed.join(heads, F.col("digest") == F.col("head_digest"), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("head"), F.col("head")).alias("refers_to"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") < F.col("head"), F.col("head")).alias("refers_to"), "seconds")
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, level: int = 6) -> DataFrame:
@@ -189,9 +193,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
         fs.create_dir(base, recursive=True)
         done, stream, name, size, n = [], None, "", 0, 0
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
+            for page_id, url, payload, digest, refers_to, seconds in zip(*(column(batch, c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "seconds"))):
                 zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
-                member = zipped.compress(record(page_id, url, payload, digest, refers_to, EPOCH + (page_id or 0))) + zipped.flush()
+                member = zipped.compress(record(page_id, url, payload, digest, refers_to, seconds or 0)) + zipped.flush()
                 if stream is None or size + len(member) > archive_bytes:
                     if stream is not None:
                         stream.close()
@@ -241,44 +245,61 @@ def _order(row) -> tuple:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The runs' rows in global order: by key range, and within it as the loser tree yields them (column rank)."""
+    """The written rows of the runs in global order: range, rank in it as the loser tree yields them, and capture_order, the
+    place among all captures, from 1."""
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
+        from pyspark import TaskContext
+
+        pieces: list[pa.RecordBatch] = []
+        cuts, keys, name = [0], [], None
+        for batch in batches:  # in order of run and place
+            if not batch.num_rows:
+                continue
+            pieces.append(batch)
+            for own, *key in zip(*(column(batch, c).to_pylist() for c in ("run", "url_key", "seconds", "page_id"))):
+                if own != name and keys:
+                    cuts.append(len(keys))
+                name = own
+                keys.append((key[0].encode(), key[1], -1 if key[2] is None else key[2], len(keys)))
+        if not keys:
             return
-        held = pa.Table.from_batches(batches)
-        held = held.combine_chunks().sort_by([("run", "ascending"), ("pos", "ascending")])
-        names = np.array(held.column("run").to_pylist(), object)
-        cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
-        keys = [(k.encode(), s, -1 if p is None else p, o, i) for i, (k, s, p, o) in enumerate(zip(*(held.column(c).to_pylist() for c in ("url_key", "seconds", "page_id", "offset"))))]
+        cuts.append(len(keys))
         order = [x[-1] for x in LoserTree([keys[a:b] for a, b in zip(cuts, cuts[1:])])]
-        out = held.take(pa.array(order, pa.int64())).append_column("rank", pa.array(range(len(order)), pa.int64()))
+        out = pa.Table.from_batches(pieces).take(pa.array(order, pa.int64()))
+        out = out.append_column("range", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32())).append_column("rank", pa.array(range(len(order)), pa.int64()))
         yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
     ranges = max(8, -(-runs.count() // RANGE_ROWS))
-    dealt = runs.repartitionByRange(ranges, "url_key", "seconds", "page_id", "run", "pos")
-    return dealt.mapInArrow(run, _RUN + ", rank bigint")
+    dealt = runs.repartitionByRange(ranges, "url_key", "seconds", "page_id", "run", "pos").sortWithinPartitions("run", "pos")
+    merged = written(dealt.mapInArrow(run, _RUN + ", range int, rank bigint"), "warc-index")
+    sizes = merged.groupBy("range").count()  # a row for RANGE_ROWS captures
+    before = F.coalesce(F.sum("count").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return merged.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").withColumn("capture_order", F.col("before") + F.col("rank") + 1).drop("before")
 
 
-def capture_histories(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
+def capture_histories(pages: DataFrame, folder: str | None = None, captured: str | None = None, **options) -> DataFrame:
     """Writes the pages' archives, reads them back and merges their indexes."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    return merge_runs(read_archives(write_archives(with_record_types(pages), folder, **options), folder))
+    return merge_runs(read_archives(write_archives(with_record_types(pages, captured=captured), folder, **options), folder))
 
 
 def op1_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = capture_histories(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "capture_order")
 
 
 SQL = """
-WITH p AS (SELECT page_id, CASE WHEN html IS NULL THEN '' ELSE html END AS html FROM pages),
-k AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p),
+WITH p AS (SELECT page_id, CASE WHEN html IS NULL THEN '' ELSE html END AS html, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www[.]', '') AS host FROM pages),
+k AS (
+  SELECT page_id, strlen(html) AS n, sha1(html) AS digest, CASE WHEN url IS NULL THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+    coalesce(nullif(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)), ''), '/') || lower(regexp_extract(url, '^[^?#]*([?][^#]+)', 1)) END AS key FROM p
+),
 h AS (SELECT digest, max(page_id) AS head FROM k WHERE n >= 1000 GROUP BY digest)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, k.digest AS payload_digest,
   CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id < head THEN CAST(head AS BIGINT) END AS refers_to
+  CASE WHEN page_id < head THEN CAST(head AS BIGINT) END AS refers_to,
+  row_number() OVER (ORDER BY key, coalesce(page_id, 0), coalesce(page_id, -1)) AS capture_order
 FROM k LEFT JOIN h ON k.digest = h.digest
 """
 

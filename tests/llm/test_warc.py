@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import random
 
+import duckdb
 import pytest
 
 from leafmark.llm import warc
@@ -34,8 +35,10 @@ def test_round_trip_and_order(spark, tmp_path):
     found = warc.capture_histories(pages, folder=str(tmp_path / "w"), archive_bytes=2000)
     got = found.collect()
     assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == _expected(rows)
+    got.sort(key=lambda r: r.capture_order)
+    assert [r.capture_order for r in got] == list(range(1, len(rows) + 1))
     order = [(r.url_key.encode(), r.seconds, r.page_id) for r in got]
-    assert order == sorted(order)  # ranges in order, rows in order in each
+    assert order == sorted(order) and [(r.range, r.rank) for r in got] == sorted((r.range, r.rank) for r in got)
     for r in got:  # an entry of the index leads to its record
         raw = (tmp_path / "w" / r.run).read_bytes()[r.offset : r.offset + r.length]
         fields, payload = warc.parse(gzip.decompress(raw))
@@ -69,3 +72,23 @@ def test_cut_archive_is_found(tmp_path):
     (tmp_path / "a").write_bytes(raw[:-5])
     with (tmp_path / "a").open("rb") as f, pytest.raises(ValueError):
         list(warc.members(f))
+
+
+def test_query_equals_its_sql(spark, tmp_path):
+    rnd = random.Random(5)
+    long = "y" * 1500
+    hosts = ["www.b.example.com", "B.example.com", "a.example.org", "example.net"]
+    ends = ["", "/", "/X/1", "/x/1?q=A&b", "/x/1#top", "?q=1"]
+    rows = [(i, f"http{'s' * rnd.randint(0, 1)}://{rnd.choice(hosts)}{rnd.choice(ends)}", rnd.choice([long, long + "é", "z" * rnd.randint(0, 40), None]), "e") for i in range(120)]
+    rows += [(500, None, long, "e"), (501, "http://a.example.org", "", "e")]
+    spark.createDataFrame(rows, PAGES).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in warc.op1_warc_merge(spark, str(tmp_path)).collect()) == sorted(db.sql(warc.SQL).fetchall())
+
+
+def test_named_times_and_columns_of_the_same_names(spark, tmp_path):
+    rows = [(i, "http://a/", "x", 100 - i) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, at int").selectExpr("*", "1 AS digest", "2 AS rank", "3 AS run", "4 AS refers_to", "5 AS seconds", "6 AS payload")
+    got = sorted(warc.capture_histories(pages, folder=str(tmp_path / "n"), captured="at").collect(), key=lambda r: r.capture_order)
+    assert [r.page_id for r in got] == list(range(8, -1, -1)) and got[0].seconds == 92
