@@ -5,14 +5,15 @@ character classes, alternatives and optional parts give sets of strings, whateve
 Each task builds the postings of a block of documents (trigram -> documents, as bit rows over the block),
 for the trigrams that the queries name, over the block's UTF-8 bytes with A-Z lower-cased; the queries are
 evaluated by and/or of postings, and only the candidates are verified by the expression itself, on the
-whole text. A rule without mandatory trigrams (the plain hex run) scans every document. The index
-is a superset filter, so the spans are those of a full scan.
+whole text. A rule without mandatory trigrams (the plain hex run) scans every document, and so does one that ignores
+case beyond ASCII, as other letters fold to i, k and s there. The index is a superset filter, so the spans are those of a full scan.
 
 Spans count code points, end exclusive. Within a kind they are leftmost and do not overlap; a rule's
 `least` is applied to the matches afterwards. Kinds may overlap each other.
 
 Edge cases: null counts as the empty text and has no spans; repeated rows give repeated results; an empty
-table gives an empty one; extra columns are ignored by `scan` and carried by `redact`.
+table gives an empty one; extra columns are ignored by `scan` and carried by `redact`, whatever their names. A very long text is
+held as a whole, with 5 bytes a byte of it for the postings.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmark.llm.common import column, slices, table
 
@@ -134,6 +136,9 @@ def _node(op, arg) -> tuple[set[bytes] | None, object]:
 
 def trigram_query(pattern: str):
     """The Boolean trigram query that every text with a match of the pattern satisfies."""
+    flags = re.compile(pattern).flags
+    if not flags & re.ASCII and (flags & re.IGNORECASE or re.search(r"\(\?[a-zA-Z]*i", pattern)):
+        return True  # other letters fold to ASCII ones
     return _walk(sre_parse.parse(pattern))[1]
 
 
@@ -201,7 +206,7 @@ class Scanner:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id and found array<struct<kind, start, end>> for every row."""
-    out = docs.select(id_col, text).withColumnsRenamed({id_col: "doc_id", text: "text"})
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     kind = out.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

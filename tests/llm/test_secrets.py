@@ -64,3 +64,18 @@ def test_redaction(spark):
 @pytest.mark.parametrize("rule", secrets.RULES, ids=lambda r: r.kind)
 def test_rules_without_trigrams_scan_fully(rule):
     assert (secrets.trigram_query(rule.pattern) is True) == (rule.kind == "hex")
+
+
+def test_rules_that_fold_other_letters_scan_fully():
+    for pattern in ("(?i)secret[a-z]+", "(?i:secret)[a-z]+", "x(?i:k)ey"):
+        assert secrets.trigram_query(pattern) is True
+    rules = (secrets.Rule("own", "(?i)secret[a-z]+"),)
+    texts = ["ſecretabc", "ſEcretabc x", "SECRETx", "sécretab"]
+    assert secrets.Scanner(rules).spans(texts) == [_plain(t, rules) for t in texts] and secrets.Scanner(rules).spans(texts)[0]
+
+
+def test_columns_of_the_same_names_and_a_long_text(spark):
+    docs = frame(spark, ["a token=abcdefghijklmnop b"]).selectExpr("*", "1 AS found", "2 AS kind", "3 AS spans")
+    assert secrets.redact(docs, length="n_chars").first().found == 1 and len(secrets.scan(docs).first().found) == 1
+    text = "x y " * 1_000_000 + "token=abcdefghijklmnop"
+    assert secrets.Scanner().spans([text]) == [[(4_000_000, 0, 4_000_022)]]
