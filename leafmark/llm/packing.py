@@ -18,7 +18,10 @@ last, sharing by their sizes.
 
 Token ids are written once as a table in the shared folder; its order (partition, position) is the queues' order.
 
-Edge cases: null and empty texts are one end id; a null source is a queue of its own; repeated rows are packed each
+The output is the pieces; padding has no rows. Every sequence is full but the last, which a user pads with any id up to `length`,
+unless its tokens come to a power of two.
+
+Edge cases: null and empty texts are one end id; a very long text is encoded as a whole; a null source is a queue of its own; repeated rows are packed each
 as a document of its own; an empty table gives no pieces; extra columns are ignored.
 """
 
@@ -45,7 +48,6 @@ OWN = 64
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters on whose classes engines could differ; all others are plain Latin ones.
 _OTHER = re.compile("[^\\t\\n\\r\x20-\x7e\xa1-ɏ‐-‧‰-⁞€]")
-_SPECIAL = "<|"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,6 +63,21 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def plain_ranks(said: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE whose ids are its merge ranks: bytes first, then one token for each merge, in order."""
+    model, split = said["model"], said.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or said.get("normalizer"):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    vocab, pairs = model["vocab"], [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
+    made = [vocab.get(a + b, -1) for a, b in pairs]
+    special = {t["content"] for t in said["added_tokens"]}
+    bytes_ = sorted(vocab.get(c, -1) for c in _byte_names())
+    known = {*bytes_, *made}
+    return bytes_[0] >= 0 and made == sorted(set(made)) and (not made or made[0] > bytes_[-1]) and all(i in known for t, i in vocab.items() if t not in special)
+
+
 class Encoder:
     """Texts to little-endian token ids, the same as the tokenizer's own.
 
@@ -78,8 +95,9 @@ class Encoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in said["added_tokens"]) or r"(?!)")
         self.fast = None
-        if said["model"]["type"] == "BPE" and (said.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not said.get("normalizer") and not said["pre_tokenizer"]["add_prefix_space"]:
+        if plain_ranks(said):
             names, special = _byte_names(), {t["content"] for t in said["added_tokens"]}
             ranks = {bytes(names[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
             self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -87,7 +105,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if self.fast is None or _SPECIAL in text or _OTHER.search(text):
+        if self.fast is None or _OTHER.search(text) or self.special.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_to_numpy(text, disallowed_special=())

@@ -164,3 +164,27 @@ def test_cuts_tile_all_windows(totals, weights, length, rnd):
 
 def test_empty_table(spark):
     assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_only_ranked_merges_use_the_faster_engine():
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        said = json.load(f)
+    assert packing.plain_ranks(said) and packing.encoder(packing.tokenizer_path(), 1).fast is not None
+    merges = said["model"]["merges"]
+    for change in (
+        {"merges": [merges[1], merges[0], *merges[2:]]},
+        {"merges": merges[:-1]},
+        {"type": "Unigram"},
+        {"dropout": 0.1},
+        {"ignore_merges": True},
+    ):
+        assert not packing.plain_ranks(said | {"model": said["model"] | change})
+    assert not packing.plain_ranks(said | {"pre_tokenizer": said["pre_tokenizer"] | {"use_regex": False}})
+    assert not packing.plain_ranks(said | {"normalizer": {"type": "NFC"}})
+
+
+def test_columns_of_the_same_names(spark):
+    docs = frame(spark, ["one two", None]).selectExpr("*", "1 AS queue", "2 AS ids", "3 AS start", "4 AS part", "5 AS tier")
+    assert sorted(r.doc_tokens for r in packing.pack(docs).collect())[0] == 1
