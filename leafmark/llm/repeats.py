@@ -297,9 +297,9 @@ def _decided(blocks: DataFrame) -> DataFrame:
     """row_id and said array<struct<place, code>>: what is known of the intervals of a text that may repeat.
 
     Codes add up WHOLE (repeats as a whole), SEND (its bytes are to be compared), ASKED (for its own windows), HOT_TRIGGER.
-    A block counts as one row for an entry, however often it has it.
+    A block counts as one row for an entry, however often it has it; its other places repeat as a whole without being asked.
     """
-    names = {"triggers": "trigger", "phrases": "phrase", "row_ids": "row_id", "places": "place", "times": "times", "more": "more"}
+    names = {"triggers": "trigger", "phrases": "phrase", "row_ids": "row_id", "places": "place", "times": "times"}
     entries = blocks.select(F.explode(F.arrays_zip(*names)).alias("e")).select(*(F.col(f"e.{c}").alias(n) for c, n in names.items()))
     live = entries.groupBy("trigger").agg(F.sum("times").alias("n")).where("n > 1").select("trigger")
     entries = written(entries.join(live, "trigger", "left_semi"), "live-parse")
@@ -307,14 +307,16 @@ def _decided(blocks: DataFrame) -> DataFrame:
     dictionary = entries.groupBy("trigger", "phrase").agg(F.sum("times").alias("stands"), F.min(here).alias("sender"))
     several = dictionary.groupBy("trigger").agg(F.count(F.lit(1)).alias("kinds"))
     answers = dictionary.join(several, "trigger").where("stands > 1 or kinds > 1")
-    found = entries.join(answers, ["trigger", "phrase"])
     whole, open_ = F.col("stands") > 1, F.col("kinds") > 1
-    all_ = F.when(whole, WHOLE).otherwise(0) + F.when(open_ & ~whole, ASKED).otherwise(0) + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
-    send = F.when(open_ & (here == F.col("sender")), SEND).otherwise(0)
-    first = F.struct("row_id", "place", (all_ + send).cast("int").alias("code"))
-    more = F.transform(F.coalesce("more", F.array().cast("array<struct<row_id:bigint,place:int>>")), lambda x: F.struct(x["row_id"].alias("row_id"), x["place"].alias("place"), all_.cast("int").alias("code")))
-    each = found.select(F.explode(F.concat(F.array(first), more)).alias("x"))
-    return each.groupBy(F.col("x.row_id").alias("row_id")).agg(F.collect_list(F.struct(F.col("x.place").alias("place"), F.col("x.code").alias("code"))).alias("said"))
+    code = (
+        F.when(whole, WHOLE).otherwise(0)
+        + F.when(open_ & (here == F.col("sender")), SEND).otherwise(0)
+        + F.when(open_ & ~whole, ASKED).otherwise(0)
+        + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
+    )
+    each = entries.join(answers, ["trigger", "phrase"]).select("row_id", "place", code.cast("int").alias("code"))
+    again = blocks.select(F.explode(F.flatten(F.filter("more", lambda x: x.isNotNull()))).alias("x")).select("x.row_id", "x.place", F.lit(WHOLE).alias("code"))
+    return each.unionByName(again).groupBy("row_id").agg(F.collect_list(F.struct("place", "code")).alias("said"))
 
 
 def _phrases(texts: DataFrame, decided: DataFrame, length: int, seed: int) -> DataFrame:
