@@ -104,7 +104,7 @@ def seeded_labels(spec: DataFrame, excluded: DataFrame | None = None, rotations:
     """Labels of every page of a spec (dataset, pages): excluded ones (dataset, page) have no data page; rotations and remarks
     where given (dataset, page, value), else 0 and empty; labels that are known (dataset, page) stay as they are and are left out."""
     key = ["dataset", "page"]
-    out = spec.select("dataset", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page")).where("page >= 1")
+    out = spec.where("pages >= 1").select("dataset", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page"))
     if excluded is not None:
         out = out.join(excluded.select(*key).distinct().withColumn("out", F.lit(True)), key, "left")
     for name, given in (("rotation", rotations), ("remarks", remarks)):

@@ -97,13 +97,19 @@ def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(_folder(spark, folder))
     counted = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    return jobs.run_available(counted, f"counts_{uuid.uuid4().hex}", _checkpoint(spark), "complete")
+    return jobs.run_available(counted, _shared(spark), _shared(spark), "complete")
 
 
 def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of each user's event type, by keyed streaming state."""
     events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_folder(spark, f"{sf_dir}/events.parquet"))
-    return jobs.run_available(jobs.changed(events, "user_id", "event_id", "event_type"), f"changes_{uuid.uuid4().hex}", _checkpoint(spark))
+    return jobs.run_available(jobs.changed(events, "user_id", "event_id", "event_type"), _shared(spark), _shared(spark))
+
+
+def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the last event of each type, as a stream run to its end, and their numbers."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_folder(spark, f"{sf_dir}/events.parquet"))
+    return jobs.run_available(jobs.page_states(events, ["user_id", "event_type"], "event_id", "value"), _shared(spark), _shared(spark), "complete")
 
 
 def _folder(spark: SparkSession, path: str) -> str:
@@ -111,7 +117,8 @@ def _folder(spark: SparkSession, path: str) -> str:
     return path.replace("events.parquet", "events.parque[t]")
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def _shared(spark: SparkSession) -> str:
+    """A folder of its own in the shared one, for a stream's checkpoint or table."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -124,7 +131,7 @@ _J = f"({derived.oracle('job_event')})"
 _PATHS = "p AS (SELECT page_id, url, replace(html, 'ß', 'ss') AS html, 'C:/runs/output/Crew ' || CAST(page_id % 9 AS VARCHAR) || '/DataPage_' || CASE WHEN page_id < 1000 THEN lpad(CAST(page_id AS VARCHAR), 3, '0') ELSE CAST(page_id AS VARCHAR) END || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tif' ELSE '.json' END AS path FROM pages)"
 _ESC = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
-QUERIES = {f.__name__: f for f in (page_numbers, file_names, image_paths, html_escape, formats, config_signature, json_props, event_counts, job_state, artifact_changes, next_events, last_artifacts, page_state, orders_by_nation, stream_event_counts, stream_changes)}
+QUERIES = {f.__name__: f for f in (page_numbers, file_names, image_paths, html_escape, formats, config_signature, json_props, event_counts, job_state, artifact_changes, next_events, last_artifacts, page_state, orders_by_nation, stream_event_counts, stream_changes, stream_page_state)}
 ORACLES = {
     "page_numbers": f"""WITH {_PATHS} SELECT page_id, CAST(regexp_extract_all(regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', ''), '[0-9]+')[-1] AS INT) AS last_number, CAST(regexp_extract_all(path, '(?i)(?:page|DataPage_)([0-9]+)', 1)[-1] AS INT) AS tagged_number,
         coalesce(CAST(regexp_extract_all(url, '[0-9]+')[-1] AS INT), 0) AS url_number FROM p""",
@@ -142,5 +149,6 @@ ORACLES = {
     "page_state": f"SELECT job_id, count(*) FILTER (s = 0) AS valid, count(*) FILTER (s <> 0) AS not_valid FROM (SELECT job_id, item, arg_max(size, seq) AS s FROM {_J} WHERE type = 'mrz_page' GROUP BY 1, 2) GROUP BY 1",
     "orders_by_nation": "SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "stream_page_state": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, count(*) AS events FROM events GROUP BY 1, 2",
     "stream_changes": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +40,55 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
     return found.where(suffix(F.col("path")).isin(*IMAGE_SUFFIXES)).orderBy("path")
 
 
-def images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images below root (BGR); files that cannot be decoded are left out."""
-    return spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
+def images(spark: SparkSession, root: str, drop_invalid: bool = False) -> DataFrame:
+    """Decoded images below root (BGR); a file that cannot be decoded fails, or is left out if that is asked for."""
+    found = spark.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True).load(root)
+    bad = F.raise_error(F.concat(F.lit("not an image: "), F.col("image.origin")))
+    return found if drop_invalid else found.select(F.when(F.col("image.height") > 0, F.col("image")).otherwise(bad).alias("image"))
+
+
+def pages_of(files: DataFrame, decode: Callable[[bytes], Iterable[np.ndarray]]) -> DataFrame:
+    """path, page (from 1) and image of each frame or page of binaryFile rows; a file without any fails.
+
+    decode turns a file's bytes into BGR or gray arrays (a TIFF's frames, a PDF's rendered pages); it is loaded in the workers,
+    and its library is the caller's.
+    """
+
+    def run(batches):
+        kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = 0
+                for page in decode(content):
+                    n += 1
+                    channels = 1 if page.ndim == 2 else page.shape[2]
+                    image = {"origin": path, "height": page.shape[0], "width": page.shape[1], "nChannels": channels, "mode": 8 * (channels - 1), "data": np.ascontiguousarray(page, np.uint8).tobytes()}
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int32()), pa.array([image], kind)], names=["path", "page", "image"])
+                if not n:
+                    raise ValueError(f"no pages in {path}")
+
+    schema = "path string, page int, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def page_scale(width: float, height: float, dpi: int = 220, most: int = 2800) -> float:
+    """The scale at which a page of points is rendered: by the resolution, but no side longer than most."""
+    return min(dpi / 72, most / max(width, height, 1))
+
+
+def merged_config(defaults: dict, text: str) -> dict:
+    """A YAML text laid over typed defaults, section by section; keys that the defaults lack fail."""
+    try:
+        import yaml
+    except ImportError as e:  # an optional reader
+        raise RuntimeError("reading YAML needs PyYAML") from e
+    return _laid_over(defaults, yaml.safe_load(text) or {}, "")
+
+
+def _laid_over(defaults: dict, given: dict, at: str) -> dict:
+    if unknown := sorted(set(given) - set(defaults)):
+        raise ValueError(f"unknown configuration keys: {', '.join(at + k for k in unknown)}")
+    return {k: _laid_over(v, given.get(k) or {}, f"{at}{k}.") if isinstance(v, dict) else given.get(k, v) for k, v in defaults.items()}
 
 
 def routed(paths: DataFrame, path: str = "path") -> DataFrame:
