@@ -224,12 +224,12 @@ def test_streams(spark, tmp_path):
     for k, part in enumerate((rows[:2], rows[2:])):  # a change back counts, across batches too
         spark.createDataFrame(part, "key int, seq int, mark string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = jobs.event_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    out = jobs.run_available(jobs.changed(stream, "key", "seq", "mark"), "changes_test", str(tmp_path / "c"))
+    out = jobs.run_available(jobs.changed(stream, "key", "seq", "mark"), str(tmp_path / "changes"), str(tmp_path / "c"))
     assert sorted(r.seq for r in out.collect()) == [1, 3, 4, 5]
     timed = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:20:00", "x"), ("2024-01-01 05:00:00", "y")], "at string, kind string").selectExpr("cast(at as timestamp) at", "kind")
     timed.write.parquet(str(tmp_path / "t"))
     counts = jobs.counts_by_type(jobs.event_stream(spark, str(tmp_path / "t")), "at", "kind")
-    got = jobs.run_available(counts, "counts_test", str(tmp_path / "d"), "complete").collect()
+    got = jobs.run_available(counts, str(tmp_path / "counts"), str(tmp_path / "d"), "complete").collect()
     assert sorted((r.kind, r.n) for r in got) == [("x", 2), ("y", 1)]
 
 
