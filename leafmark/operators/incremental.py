@@ -86,3 +86,12 @@ def write_reviews(events: DataFrame, path: str, keys: list[str], seq: str = "seq
 def completion(events: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """How many of a key's events are done with each, in the order of completion."""
     return events.withColumn("done", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def found_jobs(asked: DataFrame, running: DataFrame, saved: DataFrame, key: str = "job_id") -> DataFrame:
+    """The asked jobs with status and workers: of a running job its own, of one that only its results are left of done and 1;
+    a job of neither fails."""
+    held = asked.join(running.select(key, "status", "workers"), key, "left").join(saved.select(key).distinct().withColumn("saved", F.lit(True)), key, "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown job: "), F.col(key).cast("string")))
+    status = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("saved"), "done").otherwise(unknown)
+    return held.select(*asked.columns, status.alias("status"), F.coalesce("workers", F.lit(1)).alias("workers"))

@@ -126,6 +126,23 @@ def valley(image: np.ndarray, axis: int, radius: int, most_ink: float = 0.012) -
 Box = tuple[int, int, int, int]
 
 
+def texture_rows(ink: np.ndarray, start: float = 0.55, tallest: float = 0.06, dense: float = 0.008, least_ink: float = 0.0, least_width: float = 0.35) -> list[Box]:
+    """The boxes of the low, wide runs of rows with ink in the lower part of a page (ink: true where dark), from top to bottom."""
+    h, w = ink.shape
+    top = round(h * start)
+    lower = ink[top:]
+    busy = np.concatenate(([False], lower.mean(axis=1) > dense, [False]))
+    edges = np.flatnonzero(busy[1:] != busy[:-1])
+    out = []
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        part = lower[a:b]
+        if 2 <= b - a <= max(3, round(h * tallest)) and part.mean() >= least_ink:
+            x = np.flatnonzero(part.any(axis=0))
+            if (x[-1] - x[0] + 1) / w >= least_width:
+                out.append((int(x[0]), top + a, int(x[-1] - x[0] + 1), b - a))
+    return out
+
+
 @dataclass(frozen=True)
 class TrimConfig:
     """Fixed values of border trimming."""

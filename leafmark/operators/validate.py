@@ -10,6 +10,16 @@ from leafmark.functions.text import safe_name, stem
 #: Reasons of failures, in the order of reports (fixed values).
 REASONS = ("classifier", "rotation", "segmentation", "crop", "ocr", "unknown")
 QUALITY = ("page_complete", "portrait_complete", "mrz_complete", "ocr_ready")
+#: The notes of verdicts (fixed values).
+MISSING = "Missing pipeline output"
+NOT_READY = "Selection confirmed but output is not OCR ready"
+CONFIRMED = "Confirmed by reviewer"
+REJECTED = "Rejected by reviewer"
+FALSE_POSITIVE = "False positive on a non-data page"
+CORRECTLY_REJECTED = "Correctly rejected"
+NOT_SELECTED = "Data page was not selected"
+TURNED = "Incorrect cardinal orientation"
+CANDIDATE = "Detection and rotation pass; image crop requires Review confirmation"
 
 
 def latest_reviews(events: DataFrame) -> DataFrame:
@@ -40,15 +50,15 @@ def verdicts(pages: DataFrame) -> DataFrame:
     turned = F.col("predicted_rotation") != F.col("rotation")
     say = lambda result, reason, note: F.struct(F.lit(result).alias("result"), (reason if isinstance(reason, Column) else F.lit(reason).cast("string")).alias("reason"), F.lit(note).alias("note"))
     verdict = (
-        F.when(F.col("predicted").isNull(), say("automatic_fail", "unknown", "Missing pipeline output"))
-        .when((F.col("review") == "correct") & data & F.col("has_quality") & ~whole, say("verified_fail", "crop", "Selection confirmed but output is not OCR ready"))
-        .when(F.col("review") == "correct", say("verified_pass", None, "Confirmed by reviewer"))
-        .when(F.col("review").isNotNull(), say("verified_fail", F.coalesce("failure_reason", F.lit("unknown")), "Rejected by reviewer"))
-        .when(~data & selected, say("automatic_fail", "classifier", "False positive on a non-data page"))
-        .when(~data, say("automatic_pass", None, "Correctly rejected"))
-        .when(~selected, say("automatic_fail", F.when(turned, "rotation").otherwise("classifier"), "Data page was not selected"))
-        .when(turned, say("automatic_fail", "rotation", "Incorrect cardinal orientation"))
-        .otherwise(say("candidate", None, "Detection and rotation pass; image crop requires Review confirmation"))
+        F.when(F.col("predicted").isNull(), say("automatic_fail", "unknown", MISSING))
+        .when((F.col("review") == "correct") & data & F.col("has_quality") & ~whole, say("verified_fail", "crop", NOT_READY))
+        .when(F.col("review") == "correct", say("verified_pass", None, CONFIRMED))
+        .when(F.col("review").isNotNull(), say("verified_fail", F.coalesce("failure_reason", F.lit("unknown")), REJECTED))
+        .when(~data & selected, say("automatic_fail", "classifier", FALSE_POSITIVE))
+        .when(~data, say("automatic_pass", None, CORRECTLY_REJECTED))
+        .when(~selected, say("automatic_fail", F.when(turned, "rotation").otherwise("classifier"), NOT_SELECTED))
+        .when(turned, say("automatic_fail", "rotation", TURNED))
+        .otherwise(say("candidate", None, CANDIDATE))
     )
     out = pages.withColumn("verdict", verdict)
     right = F.coalesce(selected == data, F.lit(False))
@@ -126,3 +136,8 @@ def first_label(pages: DataFrame, truth: DataFrame, keys: list[str], order: str)
 def with_runs(truth: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """The labels whose page has a run."""
     return truth.join(runs.select(*keys).distinct(), keys, "left_semi")
+
+
+def successful_pages(predictions: DataFrame, by: str = "document") -> DataFrame:
+    """The pages of each document, and those with a selected data page."""
+    return predictions.groupBy(by).agg(F.count(F.lit(1)).alias("pages"), F.count_if("selected").alias("successful"))

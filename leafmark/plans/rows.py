@@ -140,12 +140,24 @@ def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels_with_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = derived.view(spark, sf_dir, "ground_truth").withColumn("page", F.col("source_page"))
-    return V.with_runs(truth, derived.view(spark, sf_dir, "prediction").where("selected"), ["page"]).select("source_file", "source_page")
+    return V.with_runs(truth, derived.view(spark, sf_dir, "prediction").where("selected"), ["page"]).select("source_file", "source_page").orderBy("source_page")
+
+
+def successful_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.successful_pages(derived.view(spark, sf_dir, "prediction"))
+
+
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as asked jobs: some run, the others have left results."""
+    k = F.col("s_suppkey")
+    asked = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(k.alias("job_id"), "s_nationkey")
+    running = asked.select(F.when(F.col("job_id") % 3 == 0, F.col("job_id")).otherwise(-F.col("job_id")).alias("job_id"), F.lit("running").alias("status"), (F.col("s_nationkey") % 3 + 1).alias("workers"))
+    return I.found_jobs(asked.select("job_id"), running, asked)
 
 
 def completion_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.view(spark, sf_dir, "prediction").select("document", "page", "elapsed_ms")
-    return I.completion(rows, ["document"], "elapsed_ms", "page").select("document", "page", "done")
+    return I.completion(rows, ["document"], "elapsed_ms", "page").select("document", "page", "done").orderBy("document", "page")
 
 
 def mrz_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mrz_row_crops, mrz_row_texts, row_variants, mrz_warnings, mrz_run_summary, mrz_page_reports, ocr_page_reports, review_append, review_files, resume_todo, resume_reused, resume_levels,
-        history_upsert, seeded_labels, label_lookup, labels_with_runs, completion_order, mrz_members, printed_values, artifact_paths, upload_jobs, elapsed_times, face_boxes, line_seams, text_bands,
+        history_upsert, seeded_labels, label_lookup, labels_with_runs, completion_order, mrz_members, printed_values, artifact_paths, upload_jobs, elapsed_times, face_boxes, line_seams, text_bands, successful_pages, job_lookup,
     )
 }
 ORACLES = {
@@ -278,6 +290,8 @@ ORACLES = {
         CASE WHEN n_regionkey = 2 AND page = 3 THEN 270 ELSE 0 END AS rotation, CASE WHEN page = 1 THEN 'cover' ELSE '' END AS remarks FROM (SELECT *, unnest(range(1, n_nationkey % 7 + 4)) AS page FROM nation) WHERE NOT (n_regionkey = 3 AND page = 1)""",
     "label_lookup": f"SELECT document, page, t.source_file, t.rotation FROM ({derived.oracle('prediction')}) JOIN (SELECT source_page AS page, min(source_file) AS source_file, arg_min(rotation, source_file) AS rotation FROM ({derived.oracle('ground_truth')}) GROUP BY 1) AS t USING (page)",
     "labels_with_runs": f"SELECT source_file, source_page FROM ({derived.oracle('ground_truth')}) WHERE source_page IN (SELECT page FROM ({derived.oracle('prediction')}) WHERE selected)",
+    "successful_pages": f"SELECT document, count(*) AS pages, count(*) FILTER (selected) AS successful FROM ({derived.oracle('prediction')}) GROUP BY 1",
+    "job_lookup": "SELECT s_suppkey AS job_id, CASE WHEN s_suppkey % 3 = 0 THEN 'running' ELSE 'done' END AS status, CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey % 3 + 1 ELSE 1 END AS INT) AS workers FROM supplier",
     "completion_order": f"SELECT document, page, CAST(row_number() OVER (PARTITION BY document ORDER BY elapsed_ms, page) AS INT) AS done FROM ({derived.oracle('prediction')})",
     "mrz_members": f"WITH {line_plans._CAND} SELECT doc_id, idx, coalesce(candidate, false) AS in_mrz FROM cand",
     "printed_values": f"""SELECT c_custkey, {[*R.STAGES.values(), "07_other"]}[c_custkey % 12 + 1] AS stage,

@@ -180,3 +180,30 @@ def test_large_reports_fail(spark, monkeypatch):
     monkeypatch.setattr(sinks, "MOST_PAGES", 2)
     with pytest.raises(ValueError):
         sinks.summary_json(spark.range(1), spark.range(3), "id")
+
+
+def test_texture_rows():
+    ink = np.zeros((500, 400), bool)
+    ink[100:104, 10:390] = True  # not in the lower part
+    ink[380:390, 20:380] = True
+    ink[400:410, 30:370] = True
+    ink[430:480, 20:380] = True  # too tall
+    ink[485:489, 20:60] = True  # too narrow
+    assert K.texture_rows(ink) == [(20, 380, 360, 10), (30, 400, 340, 10)]
+
+
+def test_unknown_jobs_fail(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "job_id string")
+    running = spark.createDataFrame([("a", "running", 2)], "job_id string, status string, workers int")
+    assert [(r.status, r.workers) for r in incremental.found_jobs(asked, running, asked).orderBy("job_id").collect()] == [("running", 2), ("done", 1)]
+    with pytest.raises(Exception, match="unknown job: b"):
+        incremental.found_jobs(asked, running, running).collect()
+
+
+def test_command_line(tmp_path, capsys):
+    from leafmark.__main__ import main
+
+    main(["list"])
+    assert "mrz_parse_status" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "no_such_query", "in", "out"])
