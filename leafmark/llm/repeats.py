@@ -22,7 +22,8 @@ texts by a 128-bit digest.
 Hot groups: texts that are equal are parsed once a task, and removed whole without a comparison. A phrase that stands very often
 is one row for each block of texts, counted in partial sums and compared once. A trigger with more than `HOT` distinct phrases (the rim of a passage that very
 many documents share) is taken apart: its phrases' windows are dealt by their 128-bit digests, one row each, so that no task
-holds the group. Very long texts are parsed in blocks of `BLOCK_BYTES` that overlap by a window.
+holds the group. Very long texts are parsed in blocks of `BLOCK_BYTES` that overlap by a window; a stretch of one repeated
+character has an interval for each byte, of some 100 bytes of memory, so a text of tens of MB of it does not fit a small task.
 
 Edge cases: null is the empty text; texts shorter than `length` keep every byte; repeated rows and rows without an id repeat
 each other; ties of least hashes go to the left; an empty table gives an empty one; extra columns are ignored.
@@ -243,7 +244,7 @@ def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def batch_of(name: str, ids: pa.Array, **columns: list) -> pa.RecordBatch:
         n = len(ids)
-        return pa.RecordBatch.from_arrays([pa.array([name] * n), ids, *(pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items())], names=["kind", "doc_id", *types])
+        return pa.RecordBatch.from_arrays([pa.array([name] * n), ids, *(pa.nulls(n, t) if c not in columns else columns[c].cast(t) if isinstance(columns[c], pa.Array) else pa.array(columns[c], t) for c, t in types.items())], names=["kind", "doc_id", *types])
 
     def run(batches):
         from pyspark import TaskContext
@@ -280,11 +281,12 @@ def _parsed(docs: DataFrame, length: int, seed: int) -> DataFrame:
             trigger, phrase, owner, place = trigger[order], phrase[order], owner[order], place[order]
             head = np.flatnonzero(np.concatenate(([True], (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1]))))
             times = np.diff(np.append(head, len(trigger)))
-            more = [None] * len(head)
-            for i in np.flatnonzero(times > 1).tolist():
-                a, b = head[i] + 1, head[i] + times[i]
-                more[i] = [{"row_id": r, "place": p} for r, p in zip(owner[a:b].tolist(), place[a:b].tolist())]
-            yield batch_of("e", pa.nulls(1, ids.type), triggers=[trigger[head]], phrases=[phrase[head]], row_ids=[owner[head]], places=[place[head]], times=[times.astype(np.int32)], more=[more])
+            other = np.ones(len(trigger), bool)
+            other[head] = False
+            where = pa.StructArray.from_arrays([pa.array(owner[other], pa.int64()), pa.array(place[other], pa.int32())], names=["row_id", "place"])
+            more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(times - 1))), pa.int32()), where)
+            more = pa.ListArray.from_arrays(pa.array([0, len(head)], pa.int32()), more)
+            yield batch_of("e", pa.nulls(1, ids.type), triggers=[trigger[head]], phrases=[phrase[head]], row_ids=[owner[head]], places=[place[head]], times=[times.astype(np.int32)], more=more)
 
     schema = f"kind string, doc_id {kind}, n_bytes bigint, sha256 string, key binary, row_id bigint, text string, triggers array<bigint>, phrases array<bigint>, row_ids array<bigint>, places array<int>, times array<int>, more array<array<struct<row_id:bigint,place:int>>>"
     return written(docs.mapInArrow(run, schema), "parsed")
@@ -315,7 +317,7 @@ def _decided(blocks: DataFrame) -> DataFrame:
         + F.when(F.col("kinds") > HOT, HOT_TRIGGER).otherwise(0)
     )
     each = entries.join(answers, ["trigger", "phrase"]).select("row_id", "place", code.cast("int").alias("code"))
-    again = blocks.select(F.explode(F.flatten(F.filter("more", lambda x: x.isNotNull()))).alias("x")).select("x.row_id", "x.place", F.lit(WHOLE).alias("code"))
+    again = blocks.select(F.explode(F.flatten("more")).alias("x")).select("x.row_id", "x.place", F.lit(WHOLE).alias("code"))
     return each.unionByName(again).groupBy("row_id").agg(F.collect_list(F.struct("place", "code")).alias("said"))
 
 
