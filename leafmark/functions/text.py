@@ -66,12 +66,35 @@ def url_quote(path: Column) -> Column:
     return out
 
 
+def fixed(value: Column, places: int) -> Column:
+    """The double with so many decimals, as C and Python print it: its exact binary value is rounded, exact halves to even.
+
+    (format_string and bround round the shortest decimal text of a double instead.) From 1e13 on, and for what is not a number, as format_string does.
+    """
+    scale = float(10**places)
+
+    def printed(v: Column) -> Column:
+        size = F.abs(v)
+        high = size * 134217729.0 - (size * 134217729.0 - size)  # its upper 26 bits, so that both partial products are exact
+        scaled, low = size * scale, size - high
+        error = (high * scale - scaled) + low * scale  # of the product; it decides what only looks like a half
+        whole = F.floor(scaled)
+        tie = scaled - whole == 0.5
+        n = F.when(tie & (error > 0), whole + 1).when(tie & (error < 0), whole).otherwise(F.rint(scaled).cast("bigint")).cast("string")
+        digits = F.lpad(n, F.greatest(F.lit(places + 1), F.length(n)), F.lit("0"))
+        sign = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+        point = F.concat(sign, F.left(digits, F.length(digits) - places), F.lit("."), F.right(digits, F.lit(places)))
+        return F.when(size < 1e13, point).when(v.isNotNull(), F.format_string(f"%.{places}f", v))
+
+    return F.transform(F.array(value.cast("double")), printed)[0]  # so that the value is computed once
+
+
 def format_rate(rate: Column) -> Column:
-    return F.when(rate.isNotNull(), F.format_string("%.1f%%", rate * 100)).otherwise("N/A")
+    return F.when(rate.isNotNull(), F.concat(fixed(rate * 100, 1), F.lit("%"))).otherwise("N/A")
 
 
 def format_elapsed(ms: Column) -> Column:
-    return F.when(ms.isNotNull(), F.format_string("%.2f s", ms / 1000)).otherwise("N/A")
+    return F.when(ms.isNotNull(), F.concat(fixed(ms / 1000, 2), F.lit(" s"))).otherwise("N/A")
 
 
 def relocated(path: Column, root: str) -> Column:

@@ -9,7 +9,7 @@ import platform
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import html_escape, now_text, url_quote
+from leafmark.functions.text import fixed, format_rate, html_escape, now_text, url_quote
 
 #: Printed names of saved stages (fixed values); others are printed as they are.
 STAGES = {
@@ -58,7 +58,7 @@ def tail(text: Column, n: int = 1000) -> Column:
 
 
 def seconds(ms: Column) -> Column:
-    return F.when(ms.isNull(), "N/A").otherwise(F.concat(F.format_string("%.1f", F.bround(ms / 1000, 1)), F.lit("s")))
+    return F.when(ms.isNull(), "N/A").otherwise(F.concat(fixed(ms / 1000, 1), F.lit("s")))
 
 
 def _row(*cells: Column) -> Column:
@@ -85,7 +85,7 @@ def _picture(path: Column) -> Column:
 def ocr_report_rows(pages: DataFrame) -> DataFrame:
     """An HTML row for each page. pages: document, page_number, status, accepted_line_count, mrz_candidate_count, mean_confidence,
     elapsed_ms, warnings, overlay_path, text, error."""
-    rate = F.when(F.col("mean_confidence").isNull(), "N/A").otherwise(F.format_string("%.1f%%", F.col("mean_confidence") * 100))
+    rate = format_rate(F.col("mean_confidence"))
     text = html_escape(F.coalesce(F.nullif("text", F.lit("")), "error", F.lit("-")))
     cells = (_page("document", "page_number"), _badge(F.col("status")), F.col("accepted_line_count").cast("string"), F.col("mrz_candidate_count").cast("string"), rate, seconds(F.col("elapsed_ms")), _warnings("warnings"), _picture(F.col("overlay_path")), text)
     return pages.select("document", "page_number", _row(*cells).alias("html"))

@@ -207,3 +207,12 @@ def test_command_line(tmp_path, capsys):
     assert "mrz_parse_status" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "no_such_query", "in", "out"])
+
+
+def test_decimals_round_the_exact_value(spark):
+    values = [56.65, 70.35, 71.25, 71.35, 0.05, 99.95, 12.5, 0.0, -0.25, -0.04, 1e9 + 0.05, 123456.789, *(k / 20 for k in range(500))]
+    for places in (1, 2):
+        got = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", T.fixed(F.col("v"), places).alias("t")).collect()
+        assert [r.t for r in got] == [f"{r.v:.{places}f}" for r in got]
+    got = spark.sql("SELECT 0.5665D AS rate, 50.0D AS ms UNION ALL SELECT NULL, NULL").select(T.format_rate(F.col("rate")).alias("rate"), report.seconds(F.col("ms")).alias("s"), T.fixed(F.col("ms"), 1).alias("t"))
+    assert [tuple(r) for r in got.collect()] == [(f"{0.5665 * 100:.1f}%", f"{50.0 / 1000:.1f}s", "50.0"), ("N/A", "N/A", None)]
