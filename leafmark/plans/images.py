@@ -11,25 +11,28 @@ from leafmark.operators import kernels as K
 
 HEIGHT, WIDTH = 300, 400
 GUARD = 12
+#: A page is 120 kB, so a batch of input rows is drawn in parts.
+PAGES_AT_ONCE = 32
 IMAGE = "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """White pages with a black block each, in Spark's image format; the origin is the vector's id."""
-    k = F.col("vec_id")
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(k.cast("string").alias("origin"), *((k * m % n + a).cast("int").alias(c) for c, m, n, a in (("x", 17, 340, 0), ("y", 31, 260, 0), ("w", 13, 150, 1), ("h", 7, 120, 1))))
-
-    def draw(batches):
-        for batch in batches:
+def _drawn(batches):
+    kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
             out = []
-            for r in batch.to_pylist():
+            for r in batch.slice(at, PAGES_AT_ONCE).to_pylist():
                 page = np.full((HEIGHT, WIDTH), 255, np.uint8)
                 page[r["y"] : r["y"] + r["h"], r["x"] : r["x"] + r["w"]] = 0
                 out.append({"origin": r["origin"], "height": HEIGHT, "width": WIDTH, "nChannels": 1, "mode": 0, "data": page.tobytes()})
-            kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
             yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["image"])
 
-    return rows.mapInArrow(draw, IMAGE)
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White pages with a black block each, in Spark's image format; the origin is the vector's id."""
+    k = F.col("vec_id")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(k.cast("string").alias("origin"), *((k * m % n + a).cast("int").alias(c) for c, m, n, a in (("x", 17, 340, 0), ("y", 31, 260, 0), ("w", 13, 150, 1), ("h", 7, 120, 1))))
+    return rows.mapInArrow(_drawn, IMAGE)
 
 
 def _trim(image: np.ndarray) -> list:

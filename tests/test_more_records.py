@@ -5,12 +5,14 @@ import zipfile
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 from leafmark.operators import export, incremental, kernels as K, report, validate
 from leafmark.operators import rows as W
+from leafmark.plans import images
 from leafmark.sources import files, sinks
 from leafmark.streaming import jobs
 
@@ -216,3 +218,11 @@ def test_decimals_round_the_exact_value(spark):
         assert [r.t for r in got] == [f"{r.v:.{places}f}" for r in got]
     got = spark.sql("SELECT 0.5665D AS rate, 50.0D AS ms UNION ALL SELECT NULL, NULL").select(T.format_rate(F.col("rate")).alias("rate"), report.seconds(F.col("ms")).alias("s"), T.fixed(F.col("ms"), 1).alias("t"))
     assert [tuple(r) for r in got.collect()] == [(f"{0.5665 * 100:.1f}%", f"{50.0 / 1000:.1f}s", "50.0"), ("N/A", "N/A", None)]
+
+
+def test_pages_are_drawn_in_small_batches():
+    rows = pa.RecordBatch.from_pylist([{"origin": str(k), "x": k, "y": 2, "w": 3, "h": 4} for k in range(200)])
+    parts = list(images._drawn(iter([rows])))
+    assert max(p.nbytes for p in parts) < 8 << 20
+    drawn = [K.pixels(r["image"]) for p in parts for r in p.to_pylist()]
+    assert [K.content_box(page) for page in drawn] == [(k, 2, 3, 4) for k in range(200)]
