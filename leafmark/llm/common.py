@@ -77,11 +77,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
 
 
 def grouped_rows(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[object, list[dict]]]:
-    """Lists of rows that share the value of a column, from batches that are sorted by it."""
+    """Lists of rows that share the value of a column, from batches that are sorted by it; a batch's rows are taken out one at a time."""
     held: list[dict] = []
     value = None
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            (row,) = batch.slice(at, 1).to_pylist()
             if held and row[name] != value:
                 yield value, held
                 held = []

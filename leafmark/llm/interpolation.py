@@ -23,7 +23,7 @@ bits as keep the chance that one meets any other below 2^-20 at every size of th
 Edge cases: null is the empty text (one token, the end); repeated rows count and score each; without training documents all
 counts are 0 and both scores use N = V = 0; without deleted documents default weights hold; an empty table
 gives an empty one; extra columns are ignored, whatever their names. A very long text is in one block, whose tokens and
-distinct n-grams its task holds.
+distinct n-grams its task holds: hashes, 32-bit numbers and counts; of the words those of one text at a time.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 16 << 20
 KEPT, DELETED, OTHER = 0, 1, 2
 BUCKETS = 40
+#: Tokens scored at once, so that the terms of the mixture stay small.
+PART = 1 << 16
 #: Weights of trigram, bigram and unigram before learning.
 DEFAULT = (0.4, 0.5, 0.9)
 #: EM stops after so many rounds, or when no weight moves by more than the step.
@@ -69,28 +71,33 @@ class Block:
     def __init__(self, texts: list[str | None], bits: int = 56):
         import xxhash
 
-        said = [tokens(t) for t in texts]
+        said = []  # hashes: the words of one text are held at a time
+        for t in texts:
+            w = tokens(t)
+            said.append(np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w)))
         self.sizes = np.array([len(w) + 1 for w in said], np.int64)
         self.ends = np.cumsum(self.sizes)
         n = int(self.ends[-1]) if len(said) else 0
         word = np.empty(n, np.uint64)
-        at = 0
-        for w in said:
-            word[at : at + len(w)] = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-            at += len(w) + 1
+        for end, w in zip(self.ends.tolist(), said):
+            word[end - 1 - len(w) : end - 1] = w
         word[self.ends - 1] = _END
+        del said
         self.first = np.zeros(n, bool)
         self.first[self.ends - self.sizes] = True
         own = _mix(word)
         self.keys, self.number, self.times = {}, {}, {}
         key, before = word, None
+        del word
         for kind in KINDS:
             if before is not None:  # the n-gram that ends one token earlier, and this word
                 earlier = np.empty_like(before)
                 earlier[1:] = before[:-1]
                 earlier[self.first] = _START
                 key = _mix(earlier * np.uint64(0xD6E8FEB86659FD93) + own) >> np.uint64(64 - bits)
-            self.keys[kind], self.number[kind], self.times[kind] = np.unique(key, return_inverse=True, return_counts=True)
+                del earlier, before
+            self.keys[kind], number, self.times[kind] = np.unique(key, return_inverse=True, return_counts=True)
+            self.number[kind] = number.astype(np.uint32)
             before = key
         self.end = int(np.searchsorted(self.keys["u"], _END))
 
@@ -249,8 +256,8 @@ def _told(rows: list[dict], deleted: bool) -> tuple[dict[str, np.ndarray], dict[
     for kind in KINDS:
         parts = [_open(r["blob"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])]
         half = [len(x) // 2 if deleted else len(x) for x in parts]
-        every[kind] = np.concatenate([_from_planes(x[:n], "<u4") for x, n in zip(parts, half)]).astype(np.int64)
-        kept[kind] = np.concatenate([_from_planes(x[n:], "<u4") for x, n in zip(parts, half)]).astype(np.int64) if deleted else every[kind]
+        every[kind] = np.concatenate([_from_planes(x[:n], "<u4") for x, n in zip(parts, half)])
+        kept[kind] = np.concatenate([_from_planes(x[n:], "<u4") for x, n in zip(parts, half)]) if deleted else every[kind]
     return every, kept
 
 
@@ -268,7 +275,10 @@ def _held_out(dealt: DataFrame, answers: DataFrame, blocks: int, bits: int) -> D
     def run(batches):
         for _, rows in grouped_rows(batches, "block"):
             own = Block(_documents(rows)[1], bits)
-            found = own.counts(_told(rows, True)[1])
+            told = _told(rows, True)[1]
+            rows.clear()
+            found = own.counts(told)
+            del own, told
             order = np.lexsort(found)
             found = [x[order] for x in found]
             new = np.zeros(len(order), bool)
@@ -276,7 +286,7 @@ def _held_out(dealt: DataFrame, answers: DataFrame, blocks: int, bits: int) -> D
             for x in found:
                 new[1:] |= x[1:] != x[:-1]
             head = np.flatnonzero(new)
-            found = [x[head] for x in found]
+            found = [x[head].astype(np.int64) for x in found]
             columns = [_bucket(found[1]).astype(np.int32), _bucket(found[3]).astype(np.int32), *found, np.diff(np.append(head, len(order)))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["b3", "b2", *_COUNTS, "times"])
 
@@ -334,7 +344,7 @@ def mixed(counts: list[np.ndarray], weights: np.ndarray, total: int, kinds: int)
     """The probability of each token."""
     c3, n3, c2, n2, c1 = counts
     l3, l2, l1 = weights[_bucket(n3), 0], weights[_bucket(n2), 1], weights[0, 2]
-    one = l1 * (c1 / max(total, 1)) + (1 - l1) / (kinds + 1)
+    one = l1 * (c1 / float(max(total, 1))) + (1 - l1) / (kinds + 1)
     two = l2 * (c2 / np.maximum(n2, 1)) + (1 - l2) * one
     return l3 * (c3 / np.maximum(n3, 1)) + (1 - l3) * two
 
@@ -345,14 +355,20 @@ def _scored(dealt: DataFrame, answers: DataFrame, blocks: int, bits: int, weight
             ids, texts = _documents(rows)
             if not texts:
                 continue
-            own = Block(texts, bits)
-            found = own.counts(_told(rows, block % 3 == DELETED)[0])
-            base = np.log10((found[4] + 0.5) / (total + 0.5 * (kinds + 1)))
-            score_ = np.log10(mixed(found, weights, total, kinds))
-            starts = own.ends - own.sizes
-            n = len(texts)
+            own, n = Block(texts, bits), len(texts)
+            told = _told(rows, block % 3 == DELETED)[0]
+            rows.clear()
+            del texts
+            found, sizes = own.counts(told), own.sizes
+            starts = own.ends - sizes
+            del own, told
+            base, score_ = np.empty(len(found[4])), np.empty(len(found[4]))
+            for at in range(0, len(base), PART):
+                part = [x[at : at + PART] for x in found]
+                base[at : at + PART] = np.log10((part[4] + 0.5) / (total + 0.5 * (kinds + 1)))
+                score_[at : at + PART] = np.log10(mixed(part, weights, total, kinds))
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(ids), pa.array([block % 3 == OTHER] * n), pa.array(own.sizes, pa.int64()), pa.array(np.add.reduceat((found[4] > 0).astype(np.int64), starts), pa.int64()), pa.array([total] * n, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score_, starts))],
+                [pa.concat_arrays(ids), pa.array([block % 3 == OTHER] * n), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((found[4] > 0).astype(np.int64), starts), pa.int64()), pa.array([total] * n, pa.int64()), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(score_, starts))],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 

@@ -1,14 +1,16 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from leafmark.llm import interpolation as lm
-from leafmark.llm.common import crc_mod
+from leafmark.llm.common import crc_mod, grouped_rows
 from tests.llm.helpers import awkward, frame, prose
 
 
@@ -168,3 +170,19 @@ def test_held_out_beats_the_unigram_base(spark):
 def test_columns_of_the_same_names(spark):
     docs = frame(spark, ["a b", "a c"]).selectExpr("*", "1 AS role", "2 AS block", "3 AS blob", "4 AS score", "5 AS kind")
     assert lm.score(docs, training=F.col("doc_id") == 0, deleted=F.lit(False)).count() == 2
+
+
+def _peak(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_one_block():
+    batch = pa.RecordBatch.from_pylist([{"block": k, "blob": bytes(1 << 20)} for k in range(10)])
+    assert _peak(lambda: [None for _ in grouped_rows(iter([batch]), "block")]) < 4 << 20  # not all rows of the batch
+    texts = [" ".join(f"w{k * j % 997}" for j in range(20_000)) for k in range(1, 21)]
+    assert _peak(lambda: lm.Block(texts)) < 110 * 20 * 20_001  # bytes a token
