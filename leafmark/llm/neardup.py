@@ -10,8 +10,10 @@ distinct shingle weighs 1, and that is the plain Jaccard similarity.
 `bands` of `rows` registers give each text its bucket keys; at the threshold 0.8 a pair misses every bucket with
 probability (1 - 0.8^7)^48, about 1 in 90,000, and less the more alike it is. Texts that are equal are one
 node. Candidates are verified by the exact similarity:
-1. in every bucket each text against two of the bucket's nodes that its key draws; the links give components;
-2. of the texts in buckets that still hold several components, every pair of different components that can
+1. in every bucket each text against the bucket's least node, which the buckets of many near copies share, so that these cost
+   a few pairs each; the links give components;
+2. in the buckets that still hold several components, each text against two of the bucket's nodes that its key draws, if of other components;
+3. of the texts in buckets that then hold several components, every pair of different components that can
    reach the threshold, by prefix filtering. Let u be the share of one text's weight on shingles that the other lacks, v the
    same the other way; then the similarity is at most (1 - u)(1 - v) / (1 - uv) (for sets it is just that). In a common order
    of shingles, rarest first, what comes before the first shared one counts to u and v. So the pair shares a shingle with at
@@ -199,14 +201,20 @@ def _sizes_allow(n: str, m: str, threshold: float, weight: str):
     return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9 if weight == "set" else F.lit(True)
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """a, b, n_shingles: every node of a bucket with two heads that the bucket's key draws."""
-    drawn = F.col("node").bitwiseXOR(F.col("key"))
-    heads = buckets.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
-    heads = heads.select(F.col("key").alias("head_key"), F.explode(F.array(F.col("low").bitwiseXOR(F.col("key")), F.col("high").bitwiseXOR(F.col("key")))).alias("b"))
+def _firsts(buckets: DataFrame) -> DataFrame:
+    """a, b, n_shingles: every node of a bucket with its least node, which buckets of much the same nodes have in common."""
+    heads = buckets.groupBy("key").agg(F.min("node").alias("b")).select(F.col("key").alias("head_key"), "b")
     return buckets.join(heads, F.col("key") == F.col("head_key")).select(F.col("node").alias("a"), "b", "n_shingles").where("a != b").distinct()
 
 
+def _stars(open_: DataFrame) -> DataFrame:
+    """a, b, n_shingles: every node of a bucket with two heads that the bucket's key draws, where they are of other components."""
+    drawn = F.struct(F.col("node").bitwiseXOR(F.col("key")).alias("at"), F.col("node").alias("b"), F.col("component").alias("c"))
+    heads = open_.groupBy("key").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"))
+    heads = heads.select(F.col("key").alias("head_key"), F.explode(F.array("low", "high")).alias("head")).select("head_key", "head.b", "head.c")
+    return open_.join(heads, (F.col("key") == F.col("head_key")) & (F.col("component") != F.col("c"))).select(F.col("node").alias("a"), "b", "n_shingles").distinct()
+
+
 def _open(buckets: DataFrame, joined: DataFrame) -> DataFrame:
     """The buckets that hold more than one component."""
     held = buckets.join(joined, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
@@ -286,17 +294,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     sets = written(sets if again.isEmpty() else sets.dropDuplicates(["node"]), "sets")
     sizes = buckets.select(F.col("node").alias("sized"), F.col("n_shingles").alias("n_head")).distinct()
 
-    stars = _stars(buckets).join(sizes, F.col("b") == F.col("sized")).where(_sizes_allow("n_shingles", "n_head", threshold, weight))
-    stars = written(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star-pairs")
-    links = written(_verified(stars, sets, threshold, weight), "links")
-    joined = components(links)
+    def allowed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sizes, F.col("b") == F.col("sized")).where(_sizes_allow("n_shingles", "n_head", threshold, weight))
+        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+        return components(joined.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    firsts = written(allowed(_firsts(buckets)), "first-pairs")
+    joined = components(written(_verified(firsts, sets, threshold, weight), "links"))
 
     open_ = _open(buckets, joined)
+    stars = written(allowed(_stars(open_)).join(firsts, ["a", "b"], "left_anti"), "star-pairs")
+    more = written(_verified(stars, sets, threshold, weight), "star-links")
+    if not more.isEmpty():
+        joined = merged(joined, more)
+        open_ = _open(open_.drop("component"), joined)
+
     rest = _cross(_prefixes(open_, sets, threshold, weight), threshold)
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "cross-pairs")
+    rest = written(rest.join(firsts.unionByName(stars), ["a", "b"], "left_anti"), "cross-pairs")
     more = written(_verified(rest, sets, threshold, weight), "cross-links")
     if not more.isEmpty():
-        joined = components(links.unionByName(more))
+        joined = merged(joined, more)
 
     placed = found.select("doc_id", "node").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     named = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

@@ -206,3 +206,17 @@ def test_rows_that_repeat(spark):
         docs = docs.unionByName(docs)
     docs = docs.unionByName(frame(spark, ["a b c d e f g h i"], first=5))
     assert {(r.class_id, r.class_size) for r in neardup.classes(docs, threshold=0.75, weight="count").collect()} == {(0, 17)}
+
+
+def test_many_near_copies_cost_a_few_pairs_each(spark, monkeypatch):
+    words, count, n = [f"w{k}" for k in range(200)], [], 300
+    docs = frame(spark, [" ".join([*words[:20], f"own{k}", *words[20:]]) for k in range(n)])
+    verified = neardup._verified
+
+    def counted(pairs, *more):
+        count.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    assert {(r.class_id, r.class_size) for r in neardup.classes(docs, weight="count").collect()} == {(0, n)}
+    assert sum(count) < 15 * n, count
