@@ -1,20 +1,21 @@
 """Image kernels over pixel arrays (height x width or height x width x 3, 8 bits, BGR) and their use on image columns.
 
 Each kernel is a plain NumPy function; `apply` runs one over Spark's image struct (origin, height, width, nChannels, mode, data) in Arrow
-batches. Contours, line transforms, cascades and recognition models need libraries that are not part of this engine; see ocr.py for the interface.
+batches. What a page's pixels say (components, thresholds, lines, trimming) is measured on relations, in raster.py; cascades and recognition
+models need libraries that are not part of this engine; see ocr.py for the interface.
 """
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
 def gray(image: np.ndarray) -> np.ndarray:
@@ -81,19 +82,6 @@ def white_padded(image: np.ndarray, ratio: float = 0.04, least: int = 24) -> np.
     return np.pad(image, ((pad, pad), (pad, pad), *([(0, 0)] * (image.ndim - 2))), constant_values=255)
 
 
-def ink_profiles(image: np.ndarray, white: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Share of ink in each row and in each column."""
-    ink = gray(image) < white
-    return ink.mean(axis=1), ink.mean(axis=0)
-
-
-def edge_ink(image: np.ndarray, guard: int, white: int = 200) -> dict[str, float]:
-    """Share of ink in the guard strips along the four edges."""
-    ink = gray(image) < white
-    strips = {"top": ink[:guard], "bottom": ink[-guard:], "left": ink[:, :guard], "right": ink[:, -guard:]}
-    return {k: float(s.mean()) if s.size else 0.0 for k, s in strips.items()}
-
-
 def otsu(image: np.ndarray) -> tuple[int, np.ndarray]:
     """The threshold of the largest variance between the classes, and the image in black and white."""
     g = gray(image)
@@ -111,177 +99,6 @@ def lower_band(image: np.ndarray, start: float = 0.50, end: float = 0.98) -> np.
     return image[round(h * start) : max(round(h * start) + 1, round(h * end))].copy()
 
 
-def valley(image: np.ndarray, axis: int, radius: int, most_ink: float = 0.012) -> int | None:
-    """The place with the least mean ink around it in the middle half of an axis (1: columns), the last of equals; None if all have more."""
-    ink = ink_profiles(image)[axis]
-    n = len(ink)
-    total = np.concatenate(([0.0], np.cumsum(ink)))
-    at = np.arange(n // 4, n - n // 4)
-    lo, hi = np.maximum(0, at - radius), np.minimum(n, at + radius + 1)
-    mean = (total[hi] - total[lo]) / (hi - lo)
-    good = np.flatnonzero(mean <= most_ink)
-    return None if not len(good) else int(at[good[len(good) - 1 - int(mean[good][::-1].argmin())]])
-
-
-Box = tuple[int, int, int, int]
-
-
-def texture_rows(ink: np.ndarray, start: float = 0.55, tallest: float = 0.06, dense: float = 0.008, least_ink: float = 0.0, least_width: float = 0.35) -> list[Box]:
-    """The boxes of the low, wide runs of rows with ink in the lower part of a page (ink: true where dark), from top to bottom."""
-    h, w = ink.shape
-    top = round(h * start)
-    lower = ink[top:]
-    busy = np.concatenate(([False], lower.mean(axis=1) > dense, [False]))
-    edges = np.flatnonzero(busy[1:] != busy[:-1])
-    out = []
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        part = lower[a:b]
-        if 2 <= b - a <= max(3, round(h * tallest)) and part.mean() >= least_ink:
-            x = np.flatnonzero(part.any(axis=0))
-            if (x[-1] - x[0] + 1) / w >= least_width:
-                out.append((int(x[0]), top + a, int(x[-1] - x[0] + 1), b - a))
-    return out
-
-
-@dataclass(frozen=True)
-class TrimConfig:
-    """Fixed values of border trimming."""
-
-    white: int = 245
-    least_content: float = 0.006
-    margin: float = 0.015
-    least_margin: int = 12
-    most_cut: float = 0.96
-    extent: float = 0.98
-    rim: float = 0.02
-    ink: float = 0.008
-    smooth: float = 0.01
-    least_gain: float = 0.55
-    least_kept: float = 0.995
-
-
-TRIM = TrimConfig()
-
-
-def _with_margin(box: tuple[int, int, int, int], shape: tuple[int, int], config: TrimConfig) -> Box:
-    """x1, y1, x2, y2 widened and clipped, as x, y, w, h."""
-    h, w = shape
-    m = max(config.least_margin, round(min(h, w) * config.margin))
-    x1, y1, x2, y2 = max(0, box[0] - m), max(0, box[1] - m), min(w, box[2] + m), min(h, box[3] + m)
-    return x1, y1, x2 - x1, y2 - y1
-
-
-def _busy(profile: np.ndarray, config: TrimConfig) -> tuple[int, int] | None:
-    """From the first to behind the last place where the smoothed share of ink is enough."""
-    n = max(3, round(len(profile) * config.smooth))
-    at = np.flatnonzero(np.convolve(profile, np.full(n, 1 / n, np.float32), mode="same") >= config.ink)
-    return (int(at[0]), int(at[-1]) + 1) if len(at) else None
-
-
-def projected_box(dark: np.ndarray, config: TrimConfig = TRIM) -> Box | None:
-    """The box of rows and columns with enough ink, the rim left out; None unless it is much smaller and keeps nearly all ink inside the rim."""
-    h, w = dark.shape
-    ex, ey = max(1, round(w * config.rim)), max(1, round(h * config.rim))
-    if w <= 2 * ex or h <= 2 * ey:
-        return None
-    rows, cols = _busy(dark[:, ex : w - ex].mean(axis=1), config), _busy(dark[ey : h - ey].mean(axis=0), config)
-    if rows is None or cols is None:
-        return None
-    box = x, y, bw, bh = _with_margin((cols[0], rows[0], cols[1], rows[1]), (h, w), config)
-    inner = np.zeros_like(dark)
-    inner[ey : h - ey, ex : w - ex] = dark[ey : h - ey, ex : w - ex]
-    ink = int(inner.sum())
-    kept = int(inner[y : y + bh, x : x + bw].sum()) / ink if ink else 1.0
-    return box if 1 - bw * bh / (w * h) >= config.least_gain and kept >= config.least_kept else None
-
-
-def trimmed_box(image: np.ndarray, config: TrimConfig = TRIM) -> tuple[Box, float]:
-    """The box of the content with a margin, and the share of the page that it leaves out.
-
-    Marks near the rim that stretch the box over nearly a whole side give way to the projected box; a page with next to no
-    content, or of which next to nothing would stay, is left whole.
-    """
-    dark = gray(image) < config.white
-    h, w = dark.shape
-    whole = (0, 0, w, h), 0.0
-    x, y, bw, bh = content_box(image, config.white)
-    if not dark.any() or bw * bh / (w * h) < config.least_content:
-        return whole
-    box = _with_margin((x, y, x + bw, y + bh), (h, w), config)
-    if max(box[2] / w, box[3] / h) >= config.extent:
-        box = projected_box(dark, config) or box
-    share = box[2] * box[3] / (w * h)
-    return whole if share < 1 - config.most_cut else (box, 1 - share)
-
-
-def outside_ink(image: np.ndarray, box: Box, dark: int = 205) -> float:
-    """The share of dark pixels outside the box."""
-    ink = gray(image) < dark
-    x, y, w, h = box
-    area = ink.size - ink[y : y + h, x : x + w].size
-    return float((ink.sum() - ink[y : y + h, x : x + w].sum()) / area) if area else 0.0
-
-
-def grown_box(image: np.ndarray, box: Box, steps: int = 8, guard: float = 0.012, dense: float = 0.012, step: float = 0.04, dark: int = 205) -> Box:
-    """The box, moved outwards at the sides whose strip holds ink, up to so many times."""
-    h, w = image.shape[:2]
-    x1, y1, x2, y2 = box[0], box[1], box[0] + box[2], box[1] + box[3]
-    by = 3 * max(16, round(min(h, w) * step))
-    for _ in range(steps):
-        part = image[y1:y2, x1:x2]
-        ink = edge_ink(part, max(6, round(min(part.shape[:2]) * guard)), dark)
-        moved = (
-            max(0, x1 - by) if ink["left"] >= dense else x1, max(0, y1 - by) if ink["top"] >= dense else y1,
-            min(w, x2 + by) if ink["right"] >= dense else x2, min(h, y2 + by) if ink["bottom"] >= dense else y2,
-        )
-        if moved == (x1, y1, x2, y2):
-            break
-        x1, y1, x2, y2 = moved
-    return x1, y1, x2 - x1, y2 - y1
-
-
-def document_region(image: np.ndarray, box: Box, most_outside: float = 0.05) -> tuple[Box, str]:
-    """The grown box of a document, or the whole image if too much ink lies outside."""
-    grown = grown_box(image, box)
-    if outside_ink(image, grown) > most_outside:
-        return (0, 0, image.shape[1], image.shape[0]), "fallback_content_outside_roi"
-    return grown, "largest_rectangular_contour"
-
-
-def blurred(channel: np.ndarray, size: int = 31) -> np.ndarray:
-    """Gaussian, with the usual width for the kernel's size; mirrored at the rim."""
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    weight = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma**2))
-    weight /= weight.sum()
-    out = channel.astype(np.float64)
-    for axis in (0, 1):
-        pad = [(size // 2, size // 2) if a == axis else (0, 0) for a in (0, 1)]
-        wide = np.pad(out, pad, mode="reflect" if out.shape[axis] > size // 2 else "edge")
-        n = out.shape[axis]
-        out = sum(k * (wide[i : i + n] if axis == 0 else wide[:, i : i + n]) for i, k in enumerate(weight))
-    return np.rint(out).astype(np.uint8)
-
-
-def gradient_seam(image: np.ndarray, axis: int, start: float = 0.28, end: float = 0.72, step: float = 1.0, covered: float = 0.90) -> tuple[float, int]:
-    """The place in the middle of an axis (1: between columns) with the steepest mean change along nearly the whole seam, and its
-    score; 0 and -1 without one."""
-    change = np.abs(np.diff(blurred(gray(image)).astype(np.float64), axis=axis))
-    profile = change.mean(axis=1 - axis)
-    n = image.shape[axis]
-    a, b = int(n * start), int(n * end)
-    middle = profile[a:b]
-    if not len(middle):
-        return 0.0, -1
-    at = a + int(middle.argmax())
-    usual, top = float(np.median(middle)), float(np.percentile(middle, 99))
-    if profile[at] <= usual or top <= usual:
-        return 0.0, -1
-    share = float((np.take(change, at, axis=axis) >= step).mean())
-    if share < covered:
-        return 0.0, -1
-    return 0.62 * min(1.0, (float(profile[at]) - usual) / (top - usual)) + 0.38 * share, at
-
-
 def _taps(n: int, m: int, a: float = -0.75) -> tuple[np.ndarray, np.ndarray]:
     """For each of n places over m pixels the four pixels around it and their cubic weights."""
     at = (np.arange(n) + 0.5) * m / n - 0.5
@@ -321,27 +138,6 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
     return np.rint(out).astype(np.uint8)
 
 
-def skew(image: np.ndarray, most: float = 6.0, step: float = 0.25, dark: int = 200) -> tuple[float, float]:
-    """The angle, in degrees, by which turning the image gives its rows the sharpest profile, and how much sharper than as it is (0 to 1).
-
-    Measured on row profiles of the ink, in place of a line transform.
-    """
-    ink = np.argwhere(gray(shrunk(image, 800)[0]) < dark)
-    if len(ink) < 50:
-        return 0.0, 0.0
-    y, x = ink[:, 0] - ink[:, 0].mean(), ink[:, 1] - ink[:, 1].mean()
-
-    def sharp(angle: float) -> float:
-        rows = np.rint(y * np.cos(np.radians(angle)) - x * np.sin(np.radians(angle))).astype(int)
-        n = np.bincount(rows - rows.min())
-        return float((n.astype(float) ** 2).sum())
-
-    angles = np.arange(-most, most + step / 2, step)
-    said = [sharp(a) for a in angles]
-    best = int(np.argmax(said))
-    return float(angles[best]), 1 - sharp(0.0) / said[best]
-
-
 def png(image: np.ndarray, level: int = 3) -> bytes:
     """The image as a PNG file, compressed by a level from 0 to 9."""
     if not 0 <= level <= 9:
@@ -360,8 +156,9 @@ def pixels(row: dict) -> np.ndarray:
     return image[..., 0] if row["nChannels"] == 1 else image
 
 
-def apply(images: DataFrame, kernel: Callable[[np.ndarray], object], name: str) -> DataFrame:
-    """origin and the kernel's result as JSON, for a DataFrame of Spark's image format; one image at a time is taken out of its batch."""
+def apply(images: DataFrame, kernel: Callable[[np.ndarray], object], name: str, kind: str = "array<int>") -> DataFrame:
+    """origin and the kernel's result, of a Spark type, for a DataFrame of Spark's image format; one image at a time is taken out of its batch."""
+    shape = StructType.fromDDL(f"{name} {kind}")[0].dataType
 
     def run(batches):
         for batch in batches:
@@ -369,7 +166,7 @@ def apply(images: DataFrame, kernel: Callable[[np.ndarray], object], name: str)
             for image in batch.column(batch.schema.get_field_index("image")):
                 r = image.as_py()
                 origins.append(r and r["origin"])
-                out.append(None if r is None or not r["data"] else json.dumps(kernel(pixels(r)), default=lambda x: x.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(origins, pa.string()), pa.array(out, pa.string())], names=["origin", name])
+                out.append(None if r is None or not r["data"] else kernel(pixels(r)))
+            yield pa.RecordBatch.from_arrays([pa.array(origins, pa.string()), pa.array(out, to_arrow_type(shape))], names=["origin", name])
 
-    return images.select("image").mapInArrow(run, f"origin string, {name} string")
+    return images.select("image").mapInArrow(run, f"origin string, {name} {kind}")

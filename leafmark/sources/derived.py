@@ -84,6 +84,22 @@ def lines(dialect: str) -> str:
     return f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, parts[i].text AS text, parts[i].coded AS coded, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts} AS parts FROM {{documents}}) AS d) AS e"
 
 
+#: A page of pixels is 48 words wide and 64 high; a word is a pixel, the darker the longer it is, and a page's last row ends in white ones.
+RASTER_WIDTH, RASTER_PAGE = 48, 48 * 64
+
+
+def word_pages(dialect: str) -> str:
+    """key (doc_id and number of the page), pw and px, the gray values row by row, of the pages of all texts."""
+    if dialect == "spark":
+        words = "transform(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+', 0), w -> 255 - 20 * least(length(w), 12))"
+        filled = f"concat(gray, array_repeat(255, CAST(pmod(-size(gray), {RASTER_WIDTH}) AS INT)))"
+        cut = f"transform(sequence(0, CAST((size(gray) - 1) DIV {RASTER_PAGE} AS INT)), p -> slice(gray, p * {RASTER_PAGE} + 1, {RASTER_PAGE}))"
+        return f"SELECT doc_id * 1000000 + pos AS key, {RASTER_WIDTH} AS pw, col AS px FROM (SELECT doc_id, {cut} AS pages FROM (SELECT doc_id, {filled} AS gray FROM (SELECT doc_id, {words} AS gray FROM {{documents}}) AS w) AS f WHERE size(gray) > 0) AS c LATERAL VIEW posexplode(pages) AS pos, col"
+    words = "list_transform(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'), lambda w: CAST(255 - 20 * least(length(w), 12) AS INT))"
+    filled = f"list_concat(gray, list_transform(range(0, (({RASTER_WIDTH} - len(gray) % {RASTER_WIDTH}) % {RASTER_WIDTH})), lambda z: 255::INT))"
+    return f"SELECT doc_id * 1000000 + p AS key, {RASTER_WIDTH} AS pw, gray[p * {RASTER_PAGE} + 1:(p + 1) * {RASTER_PAGE}] AS px FROM (SELECT doc_id, gray, unnest(range(0, (len(gray) - 1) // {RASTER_PAGE} + 1)) AS p FROM (SELECT doc_id, {filled} AS gray FROM (SELECT doc_id, {words} AS gray FROM {{documents}}) AS w) AS f WHERE len(gray) > 0) AS c"
+
+
 GROUND_TRUTH = """
 SELECT 'set' || CAST(doc_id % 4 AS STRING) || '/Crew book ' || CAST(doc_id % 23 AS STRING) || '.pdf' AS source_file, CAST(doc_id AS INT) AS source_page, quality = 1 AS contains_data_page,
   CAST(CASE WHEN doc_id % 13 = 0 THEN 90 ELSE 0 END AS INT) AS rotation
@@ -108,16 +124,16 @@ SELECT user_id % 50 AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN
 FROM {events}
 """
 
-VIEWS = {"mrz_input": MRZ_INPUT, "ocr_line": OCR_LINE, "ground_truth": GROUND_TRUTH, "prediction": PREDICTION, "review_event": REVIEW_EVENT, "job_event": JOB_EVENT}
+VIEWS = {"word_page": "{word_pages}", "mrz_input": MRZ_INPUT, "ocr_line": OCR_LINE, "ground_truth": GROUND_TRUTH, "prediction": PREDICTION, "review_event": REVIEW_EVENT, "job_event": JOB_EVENT}
 
 
 def oracle(name: str) -> str:
     """The view as a DuckDB subquery."""
-    return re.sub(r"\{(\w+)\}", r"\1", VIEWS[name].replace("{lines}", lines("duckdb")))
+    return re.sub(r"\{(\w+)\}", r"\1", VIEWS[name].replace("{lines}", lines("duckdb")).replace("{word_pages}", word_pages("duckdb")))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view over the tables in sf_dir."""
-    text = VIEWS[name].replace("{lines}", lines("spark"))
+    text = VIEWS[name].replace("{lines}", lines("spark")).replace("{word_pages}", word_pages("spark"))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **tables)

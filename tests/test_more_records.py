@@ -5,14 +5,12 @@ import zipfile
 from xml.etree import ElementTree
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as T
 from leafmark.operators import export, incremental, kernels as K, report, validate
 from leafmark.operators import rows as W
-from leafmark.plans import images
 from leafmark.sources import files, sinks
 from leafmark.streaming import jobs
 
@@ -100,39 +98,7 @@ def test_row_choice(spark):
     assert one.second == ["x", "mrz_parse_partial"] and one.fast[-1] == "mrz_parse_invalid" and one.again == ["x"]
 
 
-def test_border_trim():
-    page = np.full((800, 1000), 255, np.uint8)
-    assert K.trimmed_box(page) == ((0, 0, 1000, 800), 0.0)
-    page[400:402, 500:502] = 0
-    assert K.trimmed_box(page)[0] == (0, 0, 1000, 800)  # next to no content
-    page[300:420, 350:600] = 60
-    assert K.trimmed_box(page)[0] == (338, 288, 274, 144)
-    page[:, 2:5] = 0  # the edge of a scanner, over the whole height
-    x, y, w, h = K.trimmed_box(page)[0]
-    assert x == 0 and w < 640 and 250 <= y <= 300 and h < 180
-
-
-def test_regions_grow_and_fall_back():
-    page = np.full((900, 700), 255, np.uint8)
-    page[300:600, 200:500] = 30
-    grown = K.grown_box(page, (250, 350, 100, 100))
-    assert grown[0] <= 200 and grown[1] <= 300 and grown[0] + grown[2] >= 500 and grown[1] + grown[3] >= 600
-    assert K.document_region(page, (250, 350, 100, 100))[1] == "largest_rectangular_contour"
-    page[:, 620:] = 30
-    assert K.document_region(page, (250, 350, 100, 100)) == ((0, 0, 700, 900), "fallback_content_outside_roi")
-
-
-def test_seam_skew_and_enlargement():
-    two = np.concatenate([np.full((480, 500), 250, np.uint8), np.full((480, 500), 205, np.uint8)], axis=1)
-    score, at = K.gradient_seam(two, 1)
-    assert score > 0.72 and abs(at - 500) < 20 and K.gradient_seam(np.full((400, 700), 255, np.uint8), 1) == (0.0, -1)
-    lines = np.full((600, 900), 255, np.uint8)
-    for k in range(60, 540, 40):
-        lines[k : k + 6, 80:820] = 0
-    turned = K.rotated(lines, 4.0)
-    angle, sure = K.skew(turned)
-    assert abs(abs(angle) - 4) <= 0.25 and sure > 0.3 and K.skew(lines)[0] == 0
-    assert abs(K.skew(K.rotated(turned, angle))[0]) <= 0.5
+def test_enlargement():
     small = np.random.default_rng(2).integers(0, 256, (6, 7, 3)).astype(np.uint8)
     big = K.enlarged(small, 3)
     assert big.shape == (18, 21, 3) and (K.enlarged(small, 1) == small).all()
@@ -184,15 +150,6 @@ def test_large_reports_fail(spark, monkeypatch):
         sinks.summary_json(spark.range(1), spark.range(3), "id")
 
 
-def test_texture_rows():
-    ink = np.zeros((500, 400), bool)
-    ink[100:104, 10:390] = True  # not in the lower part
-    ink[380:390, 20:380] = True
-    ink[400:410, 30:370] = True
-    ink[430:480, 20:380] = True  # too tall
-    ink[485:489, 20:60] = True  # too narrow
-    assert K.texture_rows(ink) == [(20, 380, 360, 10), (30, 400, 340, 10)]
-
 
 def test_unknown_jobs_fail(spark):
     asked = spark.createDataFrame([("a",), ("b",)], "job_id string")
@@ -218,11 +175,3 @@ def test_decimals_round_the_exact_value(spark):
         assert [r.t for r in got] == [f"{r.v:.{places}f}" for r in got]
     got = spark.sql("SELECT 0.5665D AS rate, 50.0D AS ms UNION ALL SELECT NULL, NULL").select(T.format_rate(F.col("rate")).alias("rate"), report.seconds(F.col("ms")).alias("s"), T.fixed(F.col("ms"), 1).alias("t"))
     assert [tuple(r) for r in got.collect()] == [(f"{0.5665 * 100:.1f}%", f"{50.0 / 1000:.1f}s", "50.0"), ("N/A", "N/A", None)]
-
-
-def test_pages_are_drawn_in_small_batches():
-    rows = pa.RecordBatch.from_pylist([{"origin": str(k), "x": k, "y": 2, "w": 3, "h": 4} for k in range(200)])
-    parts = list(images._drawn(iter([rows])))
-    assert max(p.nbytes for p in parts) < 8 << 20
-    drawn = [K.pixels(r["image"]) for p in parts for r in p.to_pylist()]
-    assert [K.content_box(page) for page in drawn] == [(k, 2, 3, 4) for k in range(200)]
