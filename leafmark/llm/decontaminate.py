@@ -6,8 +6,9 @@ its own length. The windows form a hash set that every task holds: sorted 64-bit
 place of a window and its items (about 20 bytes a window). The documents' word sequences are scanned once; where
 `width` known words follow each other, their hash is looked up, and a hit is verified word by word.
 
-The set is broadcast only up to `block_bytes` of benchmark text. A larger benchmark is cut into blocks of that size by a
-hash of the item id (of the text, where it is null). Then the documents are written once with a row number; each block's scan reads
+The set is broadcast only up to `block_bytes` of benchmark text. A larger benchmark is dealt into blocks of at most that size by a running sum
+of bytes, so that many rows of one item id fall into many blocks; a text of more than half a block is cut into pieces that share
+width - 1 words, so that no window is lost (a single word is never cut). Then the documents are written once with a row number; each block's scan reads
 their texts and returns the hits alone, which are united by row number, so no block carries or rewrites a text, and the result does
 not depend on the number of blocks.
 
@@ -21,6 +22,7 @@ its words and 4 bytes a word are held at once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,11 +113,56 @@ class WindowSet:
         return len(row), marks, {self.names[i] for i in items}
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
+def pieces(text: str, width: int, block_bytes: int) -> Iterator[str]:
+    """The text, or, if it is longer than half a block, pieces of its words that share width - 1 words, so that each of its windows lies in
+    one of them whole."""
+    if len(text.encode()) * 2 <= block_bytes or len(found := words(text)) <= 2 * width:
+        yield text
+        return
+    ends = np.cumsum([len(w) + 1 for w in found])
+    start = 0
+    while True:
+        base = int(ends[start - 1]) if start else 0
+        end = max(start + 2 * width, int(np.searchsorted(ends, base + block_bytes // 2, "right")))
+        if end >= len(found):
+            yield b" ".join(found[max(0, min(start, len(found) - width)) :]).decode()
+            return
+        yield b" ".join(found[start:end]).decode()
+        start = end - width + 1
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int, width: int) -> list[DataFrame]:
+    """The benchmark's item and text in blocks of at most block_bytes (or one piece of a text): rows are dealt by a running sum of their
+    bytes, whatever their ids. The driver sees a row for each part of a block."""
     rows = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
-    return [rows.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(n)) == k) for k in range(n)]
+    if total <= block_bytes:
+        return [rows]
+
+    def deal(batches):
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches, "text"):
+            out = []
+            for item, whole in zip(column(batch, "item").to_pylist(), column(batch, "text").to_pylist()):
+                for piece in pieces(whole, width, block_bytes):
+                    size = len(piece.encode())
+                    if held and held + size > block_bytes:
+                        part, held = part + 1, 0
+                    held += size
+                    out.append((item, piece, part, size))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["item", "text", "part", "size"])
+
+    dealt = written(rows.repartition(-(-total // block_bytes)).mapInArrow(deal, "item string, text string, part bigint, size bigint"), "decontaminate-benchmark")
+    bins: list[list] = []  # bytes and parts
+    for r in dealt.groupBy("part").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "part").collect():
+        room = next((b for b in bins if b[0] + r["size"] <= block_bytes), None)
+        if room is None:
+            bins.append(room := [0, []])
+        room[0] += r["size"]
+        room[1].append(r.part)
+    return [dealt.where(F.col("part").isin(parts)).select("item", "text") for _, parts in bins]
 
 
 def _sorted_items(names) -> list[str | None]:
@@ -131,7 +178,7 @@ _TYPES = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()))
 
 def _scanned(docs: DataFrame, block: DataFrame, text: str, width: int, names: tuple[str, str, str], every: bool, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs with the block's hits; without `every`, only rows with hits."""
-    held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], width))  # block_bytes at most
+    held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in block.collect()], width))  # a block's rows, see _blocks
     kinds = ("bigint", "array<int>", "array<string>")
     schema = docs.select(keep).withColumns({n: F.lit(None).cast(k) for n, k in zip(names, kinds)}).schema
 
@@ -149,7 +196,7 @@ def _scanned(docs: DataFrame, block: DataFrame, text: str, width: int, names: tu
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
     """docs with n_words long, hit_words array<int> (positions of hit words) and hit_items array<string>, or such columns of other names."""
     docs = docs.drop(*names)
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes, width)
     if len(blocks) == 1:
         return _scanned(docs, blocks[0], text, width, names, True, docs.columns)
     docs = written(docs.withColumn(_ROW, F.monotonically_increasing_id()), "decontaminate")

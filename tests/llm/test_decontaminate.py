@@ -103,3 +103,32 @@ def test_a_long_text_and_a_window_of_many_items(spark):
     text = prose(rnd, 400_000) + " " + item + " " + prose(rnd, 1000)
     found = dc.WindowSet([(str(i), item) for i in range(500)] + [("own", "zz " + item)]).scan(text)
     assert found[0] == 401_020 and found[1].tolist() == list(range(400_000, 400_020)) and len(found[2]) == 501
+
+
+def test_blocks_are_bounded_for_any_item_ids(spark):
+    """One item id on every row, and one text longer than a block."""
+    rnd = random.Random(8)
+    items = [("task", prose(rnd, rnd.randint(1, 30))) for _ in range(200)] + [("task", prose(rnd, 900)), (None, prose(rnd, 400))]
+    frame_ = spark.createDataFrame(items, "item_id string, text string")
+    blocks = dc._blocks(frame_, "item_id", "text", 1000, 13)
+    held = [[(r.item, r.text) for r in b.collect()] for b in blocks]
+    sizes = [sum(len(t.encode()) for _, t in b) for b in held]
+    assert len(blocks) > 10 and max(sizes) <= 1000 and min(map(len, held)) > 0
+    windows = lambda texts: {(i, tuple(w[k : k + 13])) for i, t in texts for w in [_words(t)] for k in range(max(1, len(w) - 12))}
+    assert windows(x for b in held for x in b) == windows(items)
+    texts = [prose(rnd, 20) + " " + " ".join(t.split()[a : a + 25]) for _, t in items[190:] for a in (0, 5, 300)]
+    found = dc.hits(frame(spark, texts), frame_, block_bytes=1000).collect()
+    for r in found:
+        n, hit, _ = _plain(texts[r.doc_id], items)
+        assert (r.n_words, list(r.hit_words)) == (n, hit)
+    assert {tuple(r.hit_items) for r in found} <= {("task",), (None,), ("task", None), ()}
+
+
+def test_pieces_of_a_text_keep_its_windows():
+    rnd = random.Random(9)
+    for n, width, size in ((5, 13, 10), (27, 13, 10), (28, 13, 10), (200, 13, 100), (1000, 4, 300), (60, 1, 7)):
+        text = prose(rnd, n)
+        whole = _words(text)
+        cut = [_words(p) for p in dc.pieces(text, width, size)]
+        assert {tuple(w[k : k + width]) for w in cut for k in range(max(1, len(w) - width + 1))} == {tuple(whole[k : k + width]) for k in range(max(1, n - width + 1))}
+        assert all(len(w) >= min(width, n) for w in cut)
