@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import text as T
 from leafmark.operators import incremental as I
 from leafmark.sources import derived
-from leafmark.streaming import jobs
+from leafmark.streaming import jobs, state
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +112,27 @@ def stream_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_available(jobs.page_states(events, ["user_id", "event_type"], "event_id", "value"), _shared(spark), _shared(spark), "complete")
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(_folder(spark, f"{sf_dir}/events.parquet"))
+
+
+def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users as jobs: views and clicks set their status, a cheap purchase is an error, a dear one ends the job."""
+    kind, status = F.col("event_type"), F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "click", "recognising")
+    kind = F.when(status.isNotNull(), "status").when((kind == "purchase") & (F.col("value") >= 40), "done").when((kind == "purchase") & (F.col("value") < 2), "error").otherwise("log")
+    events = _stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("type"), status.alias("status"))
+    with state.stores(spark):
+        return jobs.run_available(state.job_states(events), _shared(spark), _shared(spark))
+
+
+def stream_page_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users as jobs and the numbers in their properties as pages, valid or not by value: the counters after each change."""
+    page = F.concat(F.lit("page"), F.get_json_object("props", "$.k"))
+    events = _stream(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), page.alias("page"), (F.col("value") < 10).alias("valid"))
+    with state.stores(spark):
+        return jobs.run_available(state.page_counters(events.where("page IS NOT NULL AND valid IS NOT NULL")), _shared(spark), _shared(spark))
+
+
 def _folder(spark: SparkSession, path: str) -> str:
     """A stream reads folders: a table that is one file is named by a pattern."""
     return path.replace("events.parquet", "events.parque[t]")
@@ -131,7 +152,7 @@ _J = f"({derived.oracle('job_event')})"
 _PATHS = "p AS (SELECT page_id, url, replace(html, 'ß', 'ss') AS html, 'C:/runs/output/Crew ' || CAST(page_id % 9 AS VARCHAR) || '/DataPage_' || CASE WHEN page_id < 1000 THEN lpad(CAST(page_id AS VARCHAR), 3, '0') ELSE CAST(page_id AS VARCHAR) END || CASE page_id % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.tif' ELSE '.json' END AS path FROM pages)"
 _ESC = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 
-QUERIES = {f.__name__: f for f in (page_numbers, file_names, image_paths, html_escape, formats, config_signature, json_props, event_counts, job_state, artifact_changes, next_events, last_artifacts, page_state, orders_by_nation, stream_event_counts, stream_changes, stream_page_state)}
+QUERIES = {f.__name__: f for f in (page_numbers, file_names, image_paths, html_escape, formats, config_signature, json_props, event_counts, job_state, artifact_changes, next_events, last_artifacts, page_state, orders_by_nation, stream_event_counts, stream_changes, stream_page_state, stream_job_states, stream_page_counters)}
 ORACLES = {
     "page_numbers": f"""WITH {_PATHS} SELECT page_id, CAST(regexp_extract_all(regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', ''), '[0-9]+')[-1] AS INT) AS last_number, CAST(regexp_extract_all(path, '(?i)(?:page|DataPage_)([0-9]+)', 1)[-1] AS INT) AS tagged_number,
         coalesce(CAST(regexp_extract_all(url, '[0-9]+')[-1] AS INT), 0) AS url_number FROM p""",
@@ -150,5 +171,15 @@ ORACLES = {
     "orders_by_nation": "SELECT r_name, n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "stream_page_state": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value, count(*) AS events FROM events GROUP BY 1, 2",
+    "stream_job_states": """WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'recognising' ELSE CASE WHEN event_type = 'purchase' AND value < 2 THEN 'error' END END AS status,
+          CASE WHEN event_type = 'purchase' AND value >= 40 THEN 'done' WHEN event_type = 'purchase' AND value < 2 THEN 'error' WHEN event_type IN ('view', 'click') THEN 'status' ELSE 'log' END AS type FROM events),
+        k AS (SELECT *, min(seq) FILTER (type = 'done') OVER (PARTITION BY job_id) AS ended FROM e), l AS (SELECT * FROM k WHERE ended IS NULL OR seq <= ended),
+        s AS (SELECT *, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS b FROM l WHERE status IS NOT NULL)
+        SELECT job_id, seq, type, status FROM s WHERE b IS NULL OR b <> status
+        UNION ALL SELECT job_id, seq, 'done' AS type, CASE WHEN (SELECT arg_max(status, o.seq) FROM l AS o WHERE o.job_id = l.job_id AND o.status IS NOT NULL) = 'error' THEN 'error' ELSE 'done' END AS status FROM l WHERE type = 'done'""",
+    "stream_page_counters": """WITH e AS (SELECT user_id AS job_id, event_id AS seq, 'page' || (props->>'k') AS page, value < 10 AS valid FROM events WHERE props->>'k' IS NOT NULL AND value IS NOT NULL),
+        c AS (SELECT *, lag(valid) OVER (PARTITION BY job_id, page ORDER BY seq) AS b FROM e),
+        d AS (SELECT job_id, seq, page, CASE WHEN valid THEN 1 WHEN b THEN -1 ELSE 0 END AS v, CASE WHEN NOT valid THEN 1 WHEN NOT b THEN -1 ELSE 0 END AS n FROM c WHERE b IS NULL OR b <> valid)
+        SELECT job_id, seq, page, CAST(sum(v) OVER w AS BIGINT) AS valid, CAST(sum(n) OVER w AS BIGINT) AS not_valid FROM d WINDOW w AS (PARTITION BY job_id ORDER BY seq)""",
     "stream_changes": "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b IS NULL OR b <> event_type",
 }
