@@ -1,8 +1,7 @@
 """Machine-readable zone grammar as column expressions.
 
-Everything is one expression over an array of rows: reconstruction, repairs, check digits, fields and the parse
-status. Repairs are enumerated as small arrays in a fixed order and the first one that all check digits prove is taken, so
-no row leaves the JVM.
+Check digits, fields, formats and the repairs of single rows. operators/mrz.py puts them together for whole pages: repairs are enumerated as
+small arrays in a fixed order and the first one that all check digits prove is taken, so no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -125,16 +124,6 @@ def first_ok(text: Column) -> Column:
     return F.coalesce((F.length(text) == 44) & text.startswith("P") & cut(text, 1, 2).isin("<", "M") & all_allowed(text), F.lit(False))
 
 
-def first_ok_sql(text: str) -> str:
-    return f"coalesce(length({text}) = 44 AND startswith({text}, 'P') AND substr({text}, 2, 1) IN ('<', 'M') AND NOT {text} RLIKE '[^A-Z0-9<]', false)"
-
-
-def second_ok_sql(text: str) -> str:
-    """All check digits hold; the first that does not ends the test."""
-    tests = " AND ".join(f"substr({text}, {at + 1}, 1) = aggregate(array({_part_sql(text, slices)}), '', (z, p) -> {digit_sql('p')})" for _, slices, at in CHECKED)
-    return f"coalesce(length({text}) = 44 AND NOT {text} RLIKE '[^A-Z0-9<]' AND {tests}, false)"
-
-
 def padded_name(text: Column) -> Column:
     """A short name row with its missing fillers, else null."""
     return F.when(F.length(text).between(15, 43) & text.startswith("P"), fill(text))
