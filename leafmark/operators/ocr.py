@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINES = "array<struct<polygon:array<array<int>>,text:string,confidence:double>>"
-PAYLOAD = "res struct<rec_texts:array<string>,rec_scores:array<double>,rec_polys:array<array<array<double>>>,dt_polys:array<array<array<double>>>>, rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>, dt_polys array<array<array<double>>>"
 
 
 class Engine(Protocol):
@@ -44,17 +43,33 @@ def recognized(pages: DataFrame, factory: Callable[[], Engine] = not_configured,
     return pages.mapInArrow(run, f"{schema}, lines {LINES}, error string")
 
 
-def payload_lines(payload: Column) -> Column:
-    """The lines of an engine's JSON payload: missing scores are 0, missing polygons empty, coordinates rounded half to even."""
-    p = F.from_json(payload, PAYLOAD)
-    pick = lambda c: F.coalesce(p["res"][c], p[c])
-    texts, scores, polygons = pick("rec_texts"), pick("rec_scores"), F.coalesce(pick("rec_polys"), pick("dt_polys"))
+def payload_results(payload: Column) -> Column:
+    """The results that a JSON payload of an engine holds, as VARIANTs: itself if it is an object, its elements if it is a list, and what
+    it says if it is a text that holds JSON once more. Any other payload fails."""
+    first = F.parse_json(payload)
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    v = F.when(kind(first) == "STRING", F.parse_json(F.try_variant_get(first, "$", "string"))).otherwise(first)
+    known = F.when(kind(v) == "OBJECT", F.array(v)).when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return F.when(v.isNotNull(), F.coalesce(known, F.raise_error(F.concat(F.lit("unsupported payload: "), kind(v)))))
+
+
+def result_lines(result: Column) -> Column:
+    """The lines of one result: texts of any kind become text, missing scores are 0, missing or empty polygons give way to the detected ones and then
+    are empty, coordinates are rounded half to even."""
+    pick = lambda name, kind: F.coalesce(*(F.try_variant_get(result, f"$.{at}{name}", kind) for at in ("res.", "")))
+    some = lambda name: F.when(F.size(pick(name, "array<variant>")) > 0, pick(name, "array<array<array<double>>>"))
+    texts, scores, polygons = pick("rec_texts", "array<variant>"), pick("rec_scores", "array<double>"), F.coalesce(some("rec_polys"), some("dt_polys"))
     whole = lambda polygon: F.transform(polygon, lambda point: F.transform(point, lambda v: F.bround(v).cast("int")))
     empty = F.array().cast("array<array<int>>")
-    line = lambda t, i: F.struct(F.coalesce(whole(F.get(polygons, i)), empty).alias("polygon"), t.alias("text"), F.coalesce(F.get(scores, i), F.lit(0.0)).alias("confidence"))
+    line = lambda t, i: F.struct(F.coalesce(whole(F.get(polygons, i)), empty).alias("polygon"), F.coalesce(t.cast("string"), F.lit("None")).alias("text"), F.coalesce(F.get(scores, i), F.lit(0.0)).alias("confidence"))
     return F.coalesce(F.transform(texts, line), F.array().cast(LINES))
 
 
+def payload_lines(payload: Column) -> Column:
+    """The lines of all results of an engine's JSON payload, one after the other; none for a null payload."""
+    return F.coalesce(F.flatten(F.transform(payload_results(payload), result_lines)), F.array().cast(LINES))
+
+
 def extents(lines: DataFrame, key: str, column: str = "lines") -> DataFrame:
     """One row per line: key, idx, text, confidence and the extents of its polygon (null without points)."""
     out = lines.select(key, F.posexplode(column).alias("idx", "line"))

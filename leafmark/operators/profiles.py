@@ -58,6 +58,33 @@ def weighted_median(values: DataFrame) -> DataFrame:
     return out.withColumn("k", F.row_number().over(up)).where("k = 1").select("key", F.col("value").alias("median"))
 
 
+def weighted_quantile(values: DataFrame, cut, share: float = 0.5, buckets: int = 1024) -> DataFrame:
+    """key and the first value at which `share` of the key's weight (key, value, weight) is reached, without the rows of a key in one place.
+
+    Each round cuts the range of values that is still open for a key into buckets of equal width and adds up their weights, first within each
+    task; the bucket in which the share is reached is the next round's range, until its least and greatest value are one. Keys with
+    a value or weight missing leave those rows out. `cut` writes a table and reads it back, for a row of state a key.
+    """
+    rows = values.where("value IS NOT NULL AND NOT isnan(value) AND weight IS NOT NULL").select("key", F.col("value").cast("double").alias("value"), "weight")
+    state = cut(rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), (F.sum("weight") * share).alias("want"), F.lit(0.0).alias("before")))
+    done = state.where("lo = hi").select("key", F.col("lo").alias("value"))
+    state = state.where("lo < hi")
+    along = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    while not state.isEmpty():
+        own = rows.join(state, "key").where("value BETWEEN lo AND hi")
+        # by halves, so that the width of no range overflows; both ends have buckets of their own, so each round leaves less
+        place = F.when(F.col("value") == F.col("lo"), -1).when(F.col("value") == F.col("hi"), buckets).otherwise(F.least(F.lit(buckets - 1), F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets)))
+        parts = own.withColumn("bucket", place).groupBy("key", "want", "before", "bucket").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("w"))
+        upto = parts.withColumn("upto", F.col("before") + F.sum("w").over(along))
+        last = F.max("bucket").over(Window.partitionBy("key"))
+        hit = upto.withColumn("last", last).where((F.col("upto") >= F.col("want")) | (F.col("bucket") == F.col("last")))
+        first = hit.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("bucket"))).where("k = 1")
+        state = cut(first.select("key", "lo", "hi", "want", (F.col("upto") - F.col("w")).alias("before")))
+        done = done.unionByName(state.where("lo = hi").select("key", F.col("lo").alias("value")))
+        state = state.where("lo < hi")
+    return done
+
+
 def skew(angles: DataFrame, most: float) -> DataFrame:
     """Estimate and confidence of a page's skew from line angles (key, i, value, weight): weighted median, agreement and support."""
     near = angles.where(F.abs("value") <= most)

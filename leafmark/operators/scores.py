@@ -99,7 +99,7 @@ def merged_config(known: dict, given: dict, path: str = "") -> dict:
     unknown = sorted(set(given) - set(known))
     if unknown:
         raise ValueError(f"unknown configuration keys: {', '.join(path + k for k in unknown)}")
-    return {k: merged_config(v, given[k], f"{path}{k}.") if isinstance(v, dict) and k in given else given.get(k, v) for k, v in known.items()}
+    return {k: merged_config(v, given[k] or {}, f"{path}{k}.") if isinstance(v, dict) and k in given else given.get(k, v) for k, v in known.items()}
 
 
 def faces(boxes: DataFrame, width: int, height: int, most: float = 0.12, lowest: float = 0.83) -> DataFrame:

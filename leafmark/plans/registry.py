@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmark.plans import images, lines, mrz, profiles, records, rows, scores, validate
+from leafmark.plans import exchange, images, lines, mrz, profiles, records, rows, scores, validate
 
-_MODULES = (mrz, lines, rows, images, validate, profiles, records, scores)
+_MODULES = (mrz, lines, rows, images, validate, profiles, records, scores, exchange)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import suffix
+from leafmark.operators import scores
 
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
 DOCUMENT_SUFFIXES = (".pdf", *IMAGE_SUFFIXES)
@@ -26,7 +27,8 @@ LOG = "status string, message string, source_page int, metrics struct<selected_s
 
 def _json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     found = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
-    return found.withColumn("path", F.col("_metadata.file_path"))
+    # the file's address has its special characters encoded; a plus sign stands for itself
+    return found.withColumn("path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
 
 
 def _folder(path: Column, up: int) -> Column:
@@ -77,18 +79,12 @@ def page_scale(width: float, height: float, dpi: int = 220, most: int = 2800) ->
 
 
 def merged_config(defaults: dict, text: str) -> dict:
-    """A YAML text laid over typed defaults, section by section; keys that the defaults lack fail."""
+    """A YAML text laid over typed defaults by `scores.merged_config`."""
     try:
         import yaml
     except ImportError as e:  # an optional reader
         raise RuntimeError("reading YAML needs PyYAML") from e
-    return _laid_over(defaults, yaml.safe_load(text) or {}, "")
-
-
-def _laid_over(defaults: dict, given: dict, at: str) -> dict:
-    if unknown := sorted(set(given) - set(defaults)):
-        raise ValueError(f"unknown configuration keys: {', '.join(at + k for k in unknown)}")
-    return {k: _laid_over(v, given.get(k) or {}, f"{at}{k}.") if isinstance(v, dict) else given.get(k, v) for k, v in defaults.items()}
+    return scores.merged_config(defaults, yaml.safe_load(text) or {})
 
 
 def routed(paths: DataFrame, path: str = "path") -> DataFrame:
