@@ -8,7 +8,8 @@ context's count, q: its distinct successors, method C); contexts never seen cost
 costs 8 bits. The statistics are frozen: the cost of a byte depends on it and the three bytes before it alone, so the trees
 of all languages are flattened into tables from byte sequences to a row of costs, one for each language, and
 whole texts are scored by table lookups, in pieces of `PIECE` bytes with the three before them. The predicted language has the
-shortest exact code length (ties: the first in string order); the score is its posterior under equal priors.
+shortest exact code length (ties: the first in string order); the score is its posterior under equal priors. `rejected` names the
+rows that are in none of the languages: their best code is far longer than that of training texts.
 
 Edge cases: null texts and texts without a letter (Unicode category L) are `und` with score 0; without any training row
 every text is `und`. Repeated rows repeat, and count once in the sample; an empty table gives an empty one; extra columns
@@ -232,6 +233,28 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Rows whose cost tells what is usual, the share of them that is within it, and bits that any text may need beyond its bound.
+USUAL_DOCS, USUAL_SHARE, START_BITS = 4000, 0.99, 256
+
+
+def usual_cost(docs: DataFrame, trees: Trees, training, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = USUAL_DOCS) -> float | None:
+    """The bits a byte within which the best language codes nearly all of about sample_docs labelled training texts; None without any."""
+    rows = docs.where(training).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    share = min(1.0, sample_docs / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64(F.lit("usual"), F.col(id_col).cast("string"), text), F.lit(1 << 20)) <= int(share * (1 << 20))).select(text)
+    return predict(some, trees, text).where("lang_pred <> 'und'").agg(F.percentile("bits_per_byte", F.lit(USUAL_SHARE))).first()[0]
+
+
+def rejected(usual: float | None, text: str = "text"):
+    """Whether a row of predict() has no language of the trees: no letter, or a code that is far longer than usual. The bound lies halfway
+    between the usual cost and the 8 bits of a byte that says nothing; START_BITS keep short texts and single odd passages."""
+    none = F.col("lang_pred") == "und"
+    if usual is None:
+        return none
+    size = F.octet_length(text)
+    return none | (F.col("bits_per_byte") * size > F.lit((usual + 8) / 2) * size + START_BITS)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = fit(docs.select("doc_id", "text", "lang"), crc_mod("doc_id", 5) != 0)
