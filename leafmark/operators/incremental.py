@@ -34,6 +34,22 @@ def reusable(inputs: DataFrame, saved: DataFrame, path: str, signature: list[str
     return inputs.join(good, same, "left_anti"), inputs.join(good, same, "left_semi")
 
 
+def saved_in_buckets(saved: DataFrame, name: str, path: str, folder: str, buckets: int) -> DataFrame:
+    """The saved results as a table in a shared folder, dealt to buckets of the path once and for all."""
+    saved.write.bucketBy(buckets, path).sortBy(path).option("path", f"{folder.rstrip('/')}/{name}").mode("overwrite").saveAsTable(name)
+    return saved.sparkSession.table(name)
+
+
+def todo_of_buckets(inputs: DataFrame, saved: DataFrame, path: str, signature: list[str], buckets: int) -> DataFrame:
+    """The inputs without a saved result of their signature. The saved table stays in its buckets: the join is on the path alone, and
+    the signatures of a path (few) are compared within its row."""
+    marks = lambda: F.struct(*(F.col(c).alias(f"m{i}") for i, c in enumerate(signature)))
+    good = saved.where("status <> 'error'").groupBy(path).agg(F.collect_set(marks()).alias("known"))
+    held = inputs.repartition(buckets, path).join(good, path, "left")
+    same = F.exists(F.coalesce("known", F.array()), lambda k: k.eqNullSafe(marks()))
+    return held.where(~same).select(*inputs.columns)
+
+
 def since(events: DataFrame, seq: str, cursor: int) -> DataFrame:
     """A subscriber's next events, in order."""
     return events.where(F.col(seq) > cursor).orderBy(seq)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,10 @@ from leafmark.operators import report as R
 from leafmark.operators import rows as W
 from leafmark.operators import scores as S
 from leafmark.operators import validate as V
+from leafmark.operators.cascade import cascade
 from leafmark.plans import lines as line_plans
 from leafmark.plans import mrz as mrz_plans
+from leafmark.plans.records import _shared
 from leafmark.sources import derived
 
 
@@ -43,6 +47,17 @@ def row_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.chosen_rows(first, second).select("doc_id", "row_index", "normalized_text", "confidence", "variant")
 
 
+def _reread(doc_id: int, row_index: int, text: str) -> tuple[str, float]:
+    """The second reading of `row_variants`."""
+    return text.ljust(44, "<")[:44], (doc_id * 13 + row_index * 7) % 100 / 100
+
+
+def row_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops, pieces, merged rows and second readings in one lateral query of table functions."""
+    lines = derived.view(spark, sf_dir, "ocr_line")
+    return cascade(W.into_crops(lines, _crops(lines)), _reread)
+
+
 _SAID = {0: ("mrz_region_not_located",), 1: ("low", "mrz_region_not_located_after_fast_retry"), 2: ("mrz_parse_partial", "low"), 3: (), 4: ("mrz_parse_invalid",)}
 
 
@@ -107,6 +122,13 @@ def resume_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.reusable(*_saved(spark, sf_dir), "o_orderkey", ["size", "stamp"])[0].select("o_orderkey")
 
 
+def resume_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resume_todo over saved results that lie in buckets of their key, so that only the inputs are dealt."""
+    inputs, saved = _saved(spark, sf_dir)
+    kept = I.saved_in_buckets(saved, f"saved_{uuid.uuid4().hex}", "o_orderkey", _shared(spark), 16)
+    return I.todo_of_buckets(inputs, kept, "o_orderkey", ["size", "stamp"], 16).select("o_orderkey")
+
+
 def resume_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.resumed(*_saved(spark, sf_dir), "o_orderkey", ["size", "stamp"]).select("o_orderkey", "status", "reused")
 
@@ -247,7 +269,7 @@ _S = "s AS (SELECT o_orderkey AS k, o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AN
 QUERIES = {
     f.__name__: f
     for f in (
-        mrz_row_crops, mrz_row_texts, row_variants, mrz_warnings, mrz_run_summary, mrz_page_reports, ocr_page_reports, review_append, review_files, resume_todo, resume_reused, resume_levels,
+        mrz_row_crops, mrz_row_texts, row_variants, row_cascade, mrz_warnings, mrz_run_summary, mrz_page_reports, ocr_page_reports, review_append, review_files, resume_todo, resume_bucketed, resume_reused, resume_levels,
         history_upsert, seeded_labels, label_lookup, labels_with_runs, completion_order, mrz_members, printed_values, artifact_paths, upload_jobs, elapsed_times, face_boxes, line_seams, text_bands, successful_pages, job_lookup,
     )
 }
@@ -282,6 +304,7 @@ ORACLES = {
         a AS (SELECT * FROM e UNION ALL SELECT n.source_file, n.source_page, CAST(coalesce((SELECT max(seq) FROM e WHERE e.source_file = n.source_file AND e.source_page = n.source_page), 0) + 1 AS INT), n.review, n.failure_reason FROM n)
         SELECT *, seq = max(seq) OVER (PARTITION BY source_file, source_page) AS latest FROM a""",
     "review_files": f"WITH {_EVENTS} SELECT source_file, source_page, 2 AS schema_version, max(seq) AS seq, arg_max(review, seq) AS review, string_agg(CAST(seq AS VARCHAR) || ':' || review, ',' ORDER BY seq) AS events FROM e GROUP BY ALL",
+    "resume_bucketed": f"WITH {_S} SELECT k AS o_orderkey FROM s WHERE NOT good",
     "resume_todo": f"WITH {_S} SELECT k AS o_orderkey FROM s WHERE NOT good",
     "resume_reused": f"WITH {_S} SELECT k AS o_orderkey, 'ok' AS status, true AS reused FROM s WHERE good",
     "resume_levels": f"WITH {_S} SELECT k AS o_orderkey, CASE WHEN good AND k % 3 > 0 THEN 'reuse' WHEN good THEN 'analyse' ELSE 'run' END AS level FROM s",
@@ -309,3 +332,4 @@ ORACLES = {
     "text_bands": f"""WITH {_B}, t AS (SELECT *, w / 1000 AS s FROM b WHERE h >= 800 * 0.003::DOUBLE AND w >= 1000 * 0.025::DOUBLE)
         SELECT key, count(*) AS line_count, round(avg(CASE WHEN s >= 0.58::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS long_line_ratio, round(avg(CASE WHEN s >= 0.06::DOUBLE AND s < 0.58::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS field_line_ratio FROM t GROUP BY key""",
 }
+ORACLES["row_cascade"] = ORACLES["row_variants"]

@@ -100,3 +100,44 @@ def test_weighted_quantiles_by_refinement(spark):
     same = P.weighted_median(frame.where("key = 'hot'").withColumn("i", F.monotonically_increasing_id())).first().median
     assert same == P.weighted_quantile(frame.where("key = 'hot'"), _cut(spark)).first().value
     assert P.weighted_quantile(frame.where("false"), _cut(spark)).count() == 0
+
+
+def test_row_cascade_equals_the_chain(spark):
+    from leafmark.operators import cascade as C
+    from leafmark.operators import rows as W
+
+    rnd = random.Random(7)
+    rows = []
+    for doc in range(12):
+        for row in (1, 2):
+            for idx in range(rnd.randint(0, 4)):
+                text = rnd.choice(["P<UTO", "AB <12", "x", "  ", "ab\tc", "---", "M" * 22, "<" * 30, "É9"])
+                rows.append((doc, row, idx, text, rnd.choice([None, 0.5, 0.9, 1.0]), rnd.choice([None, 1, 5, 9]), 50.0 + rnd.choice([0, 10, 60]), 100))
+    rows.append((99, 1, 0, "Q" * 44, 1.0, 1, 50.0, 100))
+    pieces = spark.createDataFrame(rows, "doc_id bigint, row_index int, idx bigint, text string, confidence double, left int, centre double, height int")
+    first = W.row_texts(pieces)
+    read = lambda d, r, t: (t.ljust(44, "<")[:44], (d * 7 + r) % 10 / 10)
+    second = first.withColumns({"normalized_text": F.rpad("normalized_text", 44, "<"), "confidence": ((F.col("doc_id") * 7 + F.col("row_index")) % 10) / 10})
+    want = sorted((r.doc_id, r.row_index, r.normalized_text, r.confidence, r.variant) for r in W.chosen_rows(first, second).collect())
+    assert sorted(tuple(r) for r in C.cascade(pieces, read).collect()) == want and {r[-1] for r in want} == {0, 1}
+    with pytest.raises(Exception, match="misses the columns"):
+        spark.sql("SELECT * FROM merged_rows(TABLE(SELECT 1 AS doc_id))")
+
+
+def test_saved_buckets_are_not_dealt_again(spark, tmp_path):
+    from leafmark.operators import incremental as I
+
+    inputs = spark.createDataFrame([(i, float(i % 7), i % 3 or None) for i in range(200)], "k bigint, size double, stamp int")
+    saved = spark.createDataFrame([(i, float(i % 7 + (i % 10 == 0)), i % 3 or None, "error" if i % 11 == 0 else "ok") for i in range(0, 250, 2)] + [(4, 9.0, 9, "ok")], "k bigint, size double, stamp int, status string")
+    want = sorted(r.k for r in I.reusable(inputs, saved, "k", ["size", "stamp"])[0].collect())
+    kept = I.saved_in_buckets(saved, "saved_results", "k", str(tmp_path), 8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = I.todo_of_buckets(inputs, kept, "k", ["size", "stamp"], 8)
+        plan = todo._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.k for r in todo.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE saved_results")
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, plan
