@@ -101,6 +101,11 @@ def run_summary(pages: DataFrame) -> DataFrame:
     )
 
 
+def for_second_pass(pages: DataFrame, all_pages: bool = False) -> DataFrame:
+    """The pages that are read a second time: those with a single candidate, or all."""
+    return pages if all_pages else pages.where(F.array_contains("warnings", "mrz_candidate_incomplete"))
+
+
 def candidate_histogram(pages: DataFrame) -> DataFrame:
     return pages.where("status != 'error'").groupBy("mrz_candidate_count").agg(F.count(F.lit(1)).alias("pages"))
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.operators import profiles
+from leafmark.operators import profiles, scores
 from leafmark.operators import raster as R
 from leafmark.sources import derived
 
@@ -74,6 +74,18 @@ def raster_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.components(_ink(spark, sf_dir), _cut(spark)).select("key", "component", "area", "x", "y", "w", "h")
 
 
+def raster_text_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of the closed black-and-white pages as text lines: their number, and the shares of long and of field-like ones."""
+    parts = R.components(R.closed(_binary(spark, sf_dir), CLOSE), _cut(spark))
+    return scores.text_bands(parts, derived.RASTER_WIDTH, derived.RASTER_PAGE // derived.RASTER_WIDTH)
+
+
+def raster_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of the pages whose size and place a face can have."""
+    parts = R.components(_ink(spark, sf_dir), _cut(spark))
+    return scores.faces(parts, derived.RASTER_WIDTH, derived.RASTER_PAGE // derived.RASTER_WIDTH, lowest=0.5).select("key", "component", "x", "y", "w", "h")
+
+
 def _segments(spark: SparkSession, sf_dir: str, level: bool) -> DataFrame:
     return R.segments(R.edges(_pixels(spark, sf_dir), EDGE, level), LEVEL if level else UPRIGHT, VOTES, GAP, LENGTH)
 
@@ -89,9 +101,7 @@ def raster_skew(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The upright segment that best parts each page that has one in its middle."""
-    from leafmark.operators.scores import line_seam
-
-    return line_seam(_segments(spark, sf_dir, False), derived.RASTER_WIDTH, derived.RASTER_PAGE // derived.RASTER_WIDTH)
+    return scores.line_seam(_segments(spark, sf_dir, False), derived.RASTER_WIDTH, derived.RASTER_PAGE // derived.RASTER_WIDTH)
 
 
 def raster_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +199,11 @@ FROM o JOIN d ON o.key = d.key GROUP BY o.key"""
 _SEAM = f"""m AS (SELECT key, i, CAST(round_even((x1 + x2) / 2.0::DOUBLE, 0) AS INT) AS seam, abs(y2 - y1) / {derived.RASTER_PAGE // derived.RASTER_WIDTH} AS covered FROM seg WHERE NOT abs(x2 - x1) > abs(y2 - y1) * tan(radians(5))),
 s AS (SELECT *, covered - abs(seam - {derived.RASTER_WIDTH / 2}::DOUBLE) / {derived.RASTER_WIDTH / 2}::DOUBLE * 0.08::DOUBLE AS score FROM m WHERE seam >= {int(derived.RASTER_WIDTH * 0.28)} AND seam < {int(derived.RASTER_WIDTH * 0.72)})
 SELECT key, seam, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, i) AS k FROM s WHERE score > 0) WHERE k = 1"""
-_LAYOUT = f"""gapped AS (SELECT *, coalesce(x1 - lag(x2) OVER (PARTITION BY key, y ORDER BY x1) >= {CLOSE}, false) AS new FROM bin),
+_SHUT = f"""gapped AS (SELECT *, coalesce(x1 - lag(x2) OVER (PARTITION BY key, y ORDER BY x1) >= {CLOSE}, false) AS new FROM bin),
 shut AS MATERIALIZED (SELECT key, pw, ph, y, min(x1) AS x1, max(x2) AS x2 FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY key, y ORDER BY x1) AS k FROM gapped) GROUP BY key, pw, ph, y, k),
-{_PARTS.format(runs="shut")},
+{_PARTS.format(runs="shut")}"""
+_W, _H = derived.RASTER_WIDTH, derived.RASTER_PAGE // derived.RASTER_WIDTH
+_LAYOUT = f"""{_SHUT},
 hor AS (SELECT key, coalesce(sum(area) FILTER (w >= h * 1.6::DOUBLE AND w >= pw * 0.025::DOUBLE), 0) / sum(area) AS horizontal FROM part GROUP BY key),
 whole AS (SELECT key, pw, ph, (max(x2) - min(x1)) * (max(y) - min(y) + 1) / (pw * ph) AS compact, greatest(1, floor(ph * 0.35::DOUBLE)) AS t, floor(ph * 0.65::DOUBLE) AS b FROM bin GROUP BY key, pw, ph),
 dens AS (SELECT w.key, any_value(compact) AS compact, 0.5 + 5 * (sum(CASE WHEN y >= b THEN x2 - x1 ELSE 0 END) / any_value(bin.pw * (bin.ph - b)) - sum(CASE WHEN y < t THEN x2 - x1 ELSE 0 END) / any_value(bin.pw * t)) AS lower FROM bin JOIN whole AS w ON bin.key = w.key GROUP BY w.key),
@@ -225,7 +237,7 @@ ct2 AS (SELECT sz.key, pw, ph, x1, y1, x2, y2, coalesce((x2 - x1) * (y2 - y1) /
 SELECT key, CAST(CASE WHEN cuts THEN x1 ELSE 0 END AS INT) AS x, CAST(CASE WHEN cuts THEN y1 ELSE 0 END AS INT) AS y, CAST(CASE WHEN cuts THEN x2 - x1 ELSE pw END AS INT) AS w, CAST(CASE WHEN cuts THEN y2 - y1 ELSE ph END AS INT) AS h,
   CASE WHEN cuts THEN round(1 - (x2 - x1) * (y2 - y1) / (pw * ph), 6) ELSE 0::DOUBLE END AS cut FROM ct2"""
 
-QUERIES = {f.__name__: f for f in (raster_adaptive, raster_otsu, raster_edge_ink, raster_components, raster_lines, raster_skew, raster_seams, raster_layout, raster_trim, image_border_trim, image_edge_safety)}
+QUERIES = {f.__name__: f for f in (raster_adaptive, raster_otsu, raster_edge_ink, raster_components, raster_lines, raster_skew, raster_seams, raster_text_bands, raster_faces, raster_layout, raster_trim, image_border_trim, image_edge_safety)}
 ORACLES = {
     "raster_adaptive": f"WITH {_PX}, {_NEAR}, {_RUNS.format(name='bin', of='bw')} SELECT key, y, x1, x2 FROM bin",
     "raster_otsu": f"""WITH {_PX}, h AS (SELECT key, g, count(*) AS n FROM px GROUP BY key, g),
@@ -238,6 +250,10 @@ ORACLES = {
     "raster_skew": f"WITH {_PX}, {_lines(LEVEL, True)}, {_SKEW}",
     "raster_seams": f"WITH {_PX}, {_lines(UPRIGHT, False)}, {_SEAM}",
     "raster_layout": f"WITH RECURSIVE {_PX}, {_NEAR}, {_RUNS.format(name='bin', of='bw')}, {_LAYOUT}",
+    "raster_text_bands": f"""WITH RECURSIVE {_PX}, {_NEAR}, {_RUNS.format(name='bin', of='bw')}, {_SHUT} SELECT key, count(*) AS line_count, round(avg(CASE WHEN w / {_W} >= 0.58::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS long_line_ratio,
+        round(avg(CASE WHEN w / {_W} >= 0.06::DOUBLE AND w / {_W} < 0.58::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS field_line_ratio FROM part WHERE h >= greatest(2, {_H} * 0.003::DOUBLE) AND w >= {_W} * 0.025::DOUBLE GROUP BY key""",
+    "raster_faces": f"""WITH RECURSIVE {_PX}, {_RUNS.format(name='ink', of=f'(SELECT * FROM px WHERE g < {INK})')}, {_PARTS.format(runs='ink')} SELECT key, CAST(component AS INT) AS component, x, y, w, h FROM part
+        WHERE w * h / {_W * _H} BETWEEN 0.001::DOUBLE AND 0.12::DOUBLE AND y <= {_H} * 0.5::DOUBLE""",
     "raster_trim": f"WITH {_PX}, {_TRIM}",
     "image_border_trim": f"""WITH {_BOX}, m AS (SELECT vec_id, (x2 - x) * (y2 - y) / {HEIGHT * WIDTH} >= 0.006::DOUBLE AS filled, greatest(0, x - 12) AS a, greatest(0, y - 12) AS b, least({WIDTH}, x2 + 12) AS c, least({HEIGHT}, y2 + 12) AS d FROM b),
         t AS (SELECT *, filled AND (c - a) * (d - b) / {HEIGHT * WIDTH} >= 1 - 0.96::DOUBLE AS cuts FROM m)

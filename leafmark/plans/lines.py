@@ -33,7 +33,12 @@ def ocr_candidate_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incomplete_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark, sf_dir).where(F.array_contains("warnings", "mrz_candidate_incomplete")).select("doc_id", "status")
+    return L.for_second_pass(_pages(spark, sf_dir)).select("doc_id", "status")
+
+
+def second_pass_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of a second pass over all pages, with their number of candidates."""
+    return L.for_second_pass(_pages(spark, sf_dir), all_pages=True).select("doc_id", "mrz_candidate_count")
 
 
 def mrz_row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +100,7 @@ frag AS (
 ), rws AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS row_no, row_number() OVER (PARTITION BY doc_id ORDER BY g DESC) AS below FROM wide WHERE w / 1000 >= 0.18)"""
 _DIRECT = "SELECT doc_id, idx + 1 AS row_index, text AS raw_text, c AS normalized_text, CAST(length(c) AS BIGINT) AS length, confidence FROM al WHERE length(c) BETWEEN 28 AND 46 AND ratio >= 0.65 AND (instr(c, '<') > 0 OR (length(c) = 44 AND regexp_matches(c, '^[A-Z0-9]') AND length(regexp_replace(c, '[^0-9]', '', 'g')) >= 8))"
 
-QUERIES = {f.__name__: f for f in (ocr_page_metrics, ocr_run_summary, ocr_candidate_histogram, incomplete_pages, mrz_row_clusters, mrz_region, row_neighbor, direct_rows, second_pass_metrics, fragment_merge)}
+QUERIES = {f.__name__: f for f in (ocr_page_metrics, ocr_run_summary, ocr_candidate_histogram, incomplete_pages, second_pass_pages, mrz_row_clusters, mrz_region, row_neighbor, direct_rows, second_pass_metrics, fragment_merge)}
 ORACLES = {
     "ocr_page_metrics": f"WITH {_CAND} SELECT * REPLACE (array_to_string(warnings, ',') AS warnings) FROM page",
     "ocr_run_summary": f"""WITH {_CAND} SELECT count(*) AS pages, count(*) FILTER (status <> 'error') AS completed, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status <> 'error' AND len(warnings) > 0) AS warnings,
@@ -103,6 +108,7 @@ ORACLES = {
         count(*) FILTER (status <> 'error' AND list_contains(warnings, 'ocr_detection_no_text')) AS pages_without_text, round(avg(mean_confidence) FILTER (status <> 'error'), 6) AS mean_page_confidence,
         round(coalesce(sum(elapsed_ms), 0), 2) AS total_elapsed_ms, round(coalesce(avg(elapsed_ms), 0), 2) AS mean_elapsed_ms, count(*) FILTER (reused) AS reused_pages FROM run""",
     "ocr_candidate_histogram": f"WITH {_CAND} SELECT mrz_candidate_count, count(*) AS pages FROM run WHERE status <> 'error' GROUP BY mrz_candidate_count",
+    "second_pass_pages": f"WITH {_CAND} SELECT doc_id, mrz_candidate_count FROM run",
     "incomplete_pages": f"WITH {_CAND} SELECT doc_id, status FROM run WHERE list_contains(warnings, 'mrz_candidate_incomplete')",
     "mrz_row_clusters": f"WITH {_ROWS} SELECT doc_id, row_no, x, y, w, h, text, round(confidence, 6) AS confidence, array_to_string(line_indices, ',') AS line_indices FROM rws",
     "mrz_region": f"""WITH {_ROWS}, reg AS (

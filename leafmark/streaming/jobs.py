@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,6 +74,22 @@ def reported(events: DataFrame, path: str, report: Callable[[DataFrame], None],
     report(spark.read.schema(events.schema).parquet(path))
 
 
+def reported_sums(events: DataFrame, sums: dict[str, Column], path: str, report: Callable[[DataFrame], None], checkpoint: str, every: int = 10) -> None:
+    """As `reported`, for reports of sums and counts: a micro-batch leaves one row of them (a repeated one replaces it), and the report gets
+    their totals in one row. No event is read twice."""
+    spark = events.sparkSession
+    totals = lambda: spark.read.parquet(path).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums))
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.agg(*(v.alias(k) for k, v in sums.items())).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % every == 0:
+            report(totals())
+
+    query = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    report(totals())
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there, into a table in the shared folder; returns the table. Complete results replace it."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+from pyspark.sql import functions as F
+
 from leafmark.streaming import jobs, state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -89,3 +91,13 @@ def test_watcher(spark, tmp_path):
     os.utime(root / "a.png", (1_700_000_000, 1_700_000_000))  # back to an older time is a change too
     assert changes(5) == ["a.png"]
     assert spark.read.parquet(out).count() == 6
+
+
+def test_reported_sums(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for k in range(5):
+        spark.createDataFrame([(i, i % 3 == 0) for i in range(10 * k, 10 * k + 10)], "n int, bad boolean").coalesce(1).write.mode("append").parquet(folder)
+    seen = []
+    sums = {"pages": F.count(F.lit(1)), "errors": F.count_if("bad"), "total": F.sum("n")}
+    jobs.reported_sums(jobs.event_stream(spark, folder, 1), sums, str(tmp_path / "sums"), lambda t: seen.append(t.first().asDict()), str(tmp_path / "point"), every=2)
+    assert [s["pages"] for s in seen] == [20, 40, 50] and seen[-1] == {"pages": 50, "errors": 17, "total": 1225}
