@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import format_elapsed, format_rate, html_escape
+from leafmark.operators import kernels
 
 
 def write_pages(pages: DataFrame, path: str, document: str = "document", form: str = "json") -> None:
@@ -51,6 +54,35 @@ def write_failures(judged: DataFrame, path: str) -> None:
     failed.write.mode("overwrite").partitionBy("failure_reason", "dataset").parquet(path)
 
 
+def write_png(images: DataFrame, folder: str, name: str = "name", level: int = 3) -> DataFrame:
+    """Writes image structs as PNG files named by a column, one after the other in their tasks, and returns the manifest (file, size), written
+    once. A file appears by a rename, so an attempt that is lost leaves none half written, and a repeated one replaces what it wrote."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs.create_dir(base, recursive=True)
+        hidden = f"{base}/_{TaskContext.get().taskAttemptId()}.png"
+        for batch in batches:
+            names, sizes = [], []
+            for to, image in zip(batch.column(batch.schema.get_field_index(name)), batch.column(batch.schema.get_field_index("image"))):
+                to, row = to.as_py(), image.as_py()
+                if not to or row is None or "/" in to or to.startswith((".", "_")):
+                    raise ValueError(f"no image or no file name: {to!r}")
+                raw = kernels.png(kernels.pixels(row), level)
+                with fs.open_output_stream(hidden, compression=None) as stream:
+                    stream.write(raw)
+                fs.move(hidden, f"{base}/{to}.png")
+                names.append(f"{to}.png")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["file", "size"])
+
+    path = f"{folder.rstrip('/')}/_manifest"
+    images.select(name, "image").mapInArrow(run, "file string, size bigint").write.mode("overwrite").parquet(path)
+    return images.sparkSession.read.parquet(path)
+
+
 _SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _PARTS = "http://schemas.openxmlformats.org/package/2006"
 #: Rows that a sheet can hold.

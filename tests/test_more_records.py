@@ -45,6 +45,24 @@ def test_png_round_trip(spark, tmp_path):
         K.png(image, 10)
 
 
+def test_png_files_are_written_and_read(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    drawn = {f"p {k}": rnd.integers(0, 256, (k + 1, 4, 3) if k % 2 else (k + 1, 4)).astype(np.uint8) for k in range(6)}
+    rows = [(n, ("", p.shape[0], p.shape[1], p.ndim if p.ndim == 3 else 1, 16 if p.ndim == 3 else 0, p.tobytes())) for n, p in drawn.items()]
+    images = spark.createDataFrame(rows, "name string, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>").repartition(3)
+    for _ in range(2):  # a second run replaces the files
+        made = sinks.write_png(images, str(tmp_path / "out"))
+    assert {r.file: r.size for r in made.collect()} == {p.name: p.stat().st_size for p in (tmp_path / "out").glob("[!_.]*.png")}
+    back = files.images(spark, str(tmp_path / "out")).collect()
+    assert len(back) == 6
+    for r in back:
+        page = K.pixels(r.image.asDict())
+        want = drawn[next(n for n in drawn if r.image.origin.replace("%20", " ").endswith(f"{n}.png"))]
+        assert (page == want).all()
+    with pytest.raises(Exception, match="no file name"):
+        sinks.write_png(images.withColumn("name", F.lit("../x")), str(tmp_path / "bad"))
+
+
 def test_config_is_laid_over_defaults():
     pytest.importorskip("yaml")
     base = {"a": {"x": 1, "y": 2}, "b": 3}
