@@ -29,15 +29,6 @@ def cut(text: Column, start: int, end: int) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
-def fill(text: Column, length: int = 44) -> Column:
-    """Padded with fillers, never cut."""
-    return F.when(F.length(text) < length, F.rpad(text, length, "<")).otherwise(text)
-
-
-def all_allowed(text: Column) -> Column:
-    return text.rlike(r"\A[A-Z0-9<]+\z")
-
-
 #: Values of the characters, modulo 10 (0-9, then A as 10 to Z as 35; a filler is 0).
 _CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ<"
 _VALUES = "0123456789" + "0123456789" * 2 + "012345" + "0"
@@ -81,18 +72,6 @@ def td3_checks(second: str) -> Column:
     return F.expr(f"transform({found}, c -> named_struct('field', c.field, 'value', c.value, 'expected', c.expected, 'valid', coalesce(c.value = c.expected, false)))")
 
 
-def all_valid(checks: Column) -> Column:
-    return F.forall(checks, lambda c: c["valid"])
-
-
-def essential_valid(checks: Column) -> Column:
-    return F.forall(checks, lambda c: c["valid"] | ~c["field"].isin(*ESSENTIAL))
-
-
-def failed_fields(checks: Column) -> Column:
-    return F.array_sort(F.transform(F.filter(checks, lambda c: ~c["valid"]), lambda c: c["field"]))
-
-
 def name_field(first: Column) -> Column:
     """What stands before noise that follows a run of fillers, without trailing fillers."""
     return F.rtrim(F.regexp_replace(cut(first, 5, 44), "<{3}[A-Z0-9].*$", ""), F.lit("<"))
@@ -108,44 +87,3 @@ def td3_fields(first: Column, second: Column) -> Column:
         F.rtrim(cut(second, 0, 9), F.lit("<")), cut(second, 10, 13), cut(second, 13, 19), sex, code, cut(second, 21, 27), F.rtrim(cut(second, 28, 42), F.lit("<")),
     )
     return F.struct(*(c.alias(n) for n, c in zip(FIELDS, columns)))
-
-
-def detect_format(rows: Column) -> Column:
-    full = lambda k: F.forall(rows, lambda r: F.length(r) == k)
-    return F.coalesce(*(F.when((F.size(rows) == n) & full(k), name) for name, n, k in FORMATS))
-
-
-def document_code(rows: Column) -> Column:
-    first = F.coalesce(F.get(rows, F.lit(0)), F.lit(""))
-    return F.when(F.length(first) >= 2, cut(first, 0, 2)).otherwise("")
-
-
-def first_ok(text: Column) -> Column:
-    return F.coalesce((F.length(text) == 44) & text.startswith("P") & cut(text, 1, 2).isin("<", "M") & all_allowed(text), F.lit(False))
-
-
-def padded_name(text: Column) -> Column:
-    """A short name row with its missing fillers, else null."""
-    return F.when(F.length(text).between(15, 43) & text.startswith("P"), fill(text))
-
-
-def marked_name(text: Column) -> Column:
-    """A full name row whose second character is no marker, with a filler there; else null."""
-    return F.when(text.startswith("P") & (F.length(text) == 44) & ~cut(text, 1, 2).isin("<", "M"), F.concat(F.lit("P<"), cut(text, 2, 44)))
-
-
-def zero_optional(text: Column) -> Column:
-    """A data row with blank optional data and a filler as its digit, with the digit 0; else null."""
-    blank = (F.length(text) == 44) & (cut(text, 28, 43) == "<" * 15) & cut(text, 43, 44).rlike("[0-9]")
-    return F.when(blank, F.concat(cut(text, 0, 42), F.lit("0"), cut(text, 43, 44)))
-
-
-def confused_numbers(text: Column) -> Column:
-    """The row with one confused character of the document number replaced, for each such character in order."""
-    other = F.create_map(*(F.lit(x) for a, b in CONFUSED for x in (a, b, b, a)))
-    tried = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.try_element_at(other, F.substr(text, i, F.lit(1))), F.substr(text, i + 1)))
-    return F.array_compact(tried)
-
-
-def reasons(*said: tuple[Column, str]) -> Column:
-    return F.array_compact(F.array(*(F.when(c, r) for c, r in said)))
