@@ -92,15 +92,16 @@ def otsu(raster: DataFrame) -> DataFrame:
 def components(ink: DataFrame, cut) -> DataFrame:
     """key, pw, ph, component (its first pixel, counted row by row), area and box of the components of runs that touch along an edge.
 
-    Runs of neighbouring rows that overlap are links. In each round runs get an order by a hash, and a run that comes before all its
+    Runs of neighbouring rows that share a column are links: a window down each column sees them, in the partition of the page. In each round runs get an order by their links and a hash, and a run that comes before all its
     neighbours attracts them (of several such neighbours the first one wins); the links between what is left go on to the next
-    round. Long chains fall into short pieces at once, and the links become fewer by a factor in each round. At last the rounds' tables are put together, the last first, and tell each run its component.
+    round. Long chains fall into short pieces and stars together at once, so the links become fewer by a factor in each round. At last the rounds' tables are put together, the last first, and tell each run its component.
     `cut` writes a table and reads it back: it cuts the lineage, and a round begins only while links are left.
     """
-    own = ink.select("key", (F.col("y") * F.col("pw") + F.col("x1")).alias("a"), "y", "x1", "x2")
-    below = own.select("key", F.col("a").alias("b"), (F.col("y") - 1).alias("y"), F.col("x1").alias("u1"), F.col("x2").alias("u2"))
-    touching = own.join(below, ["key", "y"]).where((F.col("x1") < F.col("u2")) & (F.col("u1") < F.col("x2"))).select("key", "a", "b")
-    links = cut(touching.unionByName(touching.select("key", F.col("b").alias("a"), F.col("a").alias("b"))))
+    ink = cut(ink)
+    own = ink.repartition("key").select("key", "y", (F.col("y") * F.col("pw") + F.col("x1")).alias("a"), F.explode(F.sequence("x1", F.col("x2") - 1)).alias("x"))
+    over = own.withColumn("over", F.lag(F.struct("y", "a")).over(_column())).where(F.col("over.y") == F.col("y") - 1)
+    both = F.explode(F.array(F.struct(F.col("over.a").alias("a"), F.col("a").alias("b")), F.struct(F.col("a"), F.col("over.a").alias("b")))).alias("l")
+    links = cut(over.select("key", both).select("key", "l.a", "l.b").distinct())
     rounds: list[DataFrame] = []
     while not links.isEmpty():
         rounds.append(cut(_attracted(links, len(rounds))))
@@ -119,10 +120,12 @@ def components(ink: DataFrame, cut) -> DataFrame:
 
 
 def _attracted(links: DataFrame, turn: int) -> DataFrame:
-    """The links (both ways round) with what each end becomes in a round."""
-    order = lambda x: F.struct(F.hash(x, F.lit(turn)).alias("h"), F.col(x).alias("at"))
+    """The links (both ways round) with what each end becomes in a round. Runs with many neighbours come first, so that a star falls together
+    at once; a hash decides between the others."""
     by_a, by_b = Window.partitionBy("key", "a"), Window.partitionBy("key", "b")
-    out = links.repartition("key").withColumn("b_first", F.min(order("a")).over(by_b) > order("b"))
+    order = lambda x: F.struct((-F.col(f"{x}_links")).alias("few"), F.hash(x, F.lit(turn)).alias("h"), F.col(x).alias("at"))
+    out = links.repartition("key").withColumn("a_links", F.count(F.lit(1)).over(by_a)).withColumn("b_links", F.count(F.lit(1)).over(by_b))
+    out = out.withColumn("b_first", F.min(order("a")).over(by_b) > order("b"))
     out = out.withColumns({"a_first": F.min(order("b")).over(by_a) > order("a"), "a_to": F.min(F.when(F.col("b_first"), order("b"))).over(by_a)})
     out = out.withColumn("b_to", F.min(F.when(F.col("a_first"), order("a"))).over(by_b))
     return out.select("key", "a", "b", F.coalesce("a_to.at", "a").alias("a_to"), F.coalesce("b_to.at", "b").alias("b_to"))
