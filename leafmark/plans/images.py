@@ -39,8 +39,14 @@ def _cut(spark: SparkSession):
     return cut
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The pages, and to how many tasks their pixels are dealt."""
+    parts = derived.dealt_to(spark, sf_dir, "documents")
+    return derived.view(spark, sf_dir, "word_page", parts), parts
+
+
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.pixels(derived.view(spark, sf_dir, "word_page"))
+    return R.pixels(*_pages(spark, sf_dir))
 
 
 def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +70,9 @@ def raster_otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_edge_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of long words in the two rows and columns along the edges of each page."""
-    pages = derived.view(spark, sf_dir, "word_page")
+    pages, parts = _pages(spark, sf_dir)
     sizes = pages.select("key", "pw", F.expr("CAST(size(px) DIV pw AS INT)").alias("ph"))
-    found = R.edge_ink(R.runs(R.pixels(pages), F.col("g") < INK), sizes, 2)
+    found = R.edge_ink(R.runs(R.pixels(pages, parts), F.col("g") < INK), sizes, 2)
     return found.select("key", *(F.round(c, 6).alias(f"at_{c}") for c in ("top", "bottom", "left", "right")))
 
 
@@ -113,9 +119,9 @@ def raster_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Border trimming of the pages' longest words, with margins that fit their size."""
-    pages = derived.view(spark, sf_dir, "word_page")
+    pages, parts = _pages(spark, sf_dir)
     sizes = pages.select("key", "pw", F.expr("CAST(size(px) DIV pw AS INT)").alias("ph"))
-    found = R.trimmed(R.runs(R.pixels(pages), F.col("g") < 56), sizes, R.Trim(least_margin=1, ink=0.05, smooth=0.08, least_gain=0.05))
+    found = R.trimmed(R.runs(R.pixels(pages, parts), F.col("g") < 56), sizes, R.Trim(least_margin=1, ink=0.05, smooth=0.08, least_gain=0.05))
     return found.select("key", *"xywh", F.round("cut", 6).alias("cut"))
 
 

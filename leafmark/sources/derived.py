@@ -73,12 +73,18 @@ SELECT doc_id, idx, text, confidence, x, y, x + w AS x2, y + h AS y2, CAST(great
 PIECE = 40
 
 
+def _once(expression: str, name: str, rows: str) -> str:
+    """doc_id and the expression of rows, made once whatever it is used for: as a plain column it is put in the place of each use, and into a
+    condition that an inner explode takes to the reading of the table."""
+    return f"SELECT doc_id, col AS {name} FROM (SELECT doc_id, array({expression}) AS held FROM {rows}) AS h LATERAL VIEW OUTER explode(held) AS col"
+
+
 def lines(dialect: str) -> str:
     """doc_id, idx (from 0), text, whether it is a piece of a coded line, and the number of lines n of the documents."""
     if dialect == "spark":
         pieces = f"transform(sequence(0, greatest(CAST(ceil(length(t) / {PIECE}) AS INT) - 1, 0)), k -> named_struct('text', substr(t, k * {PIECE} + 1, {PIECE}), 'coded', true))"
         parts = f"flatten(transform(split(replace(text, 'ß', 'ss'), '\\n'), (t, i) -> CASE WHEN i % 5 = 3 THEN {pieces} ELSE array(named_struct('text', t, 'coded', false)) END))"
-        return f"SELECT doc_id, CAST(pos AS BIGINT) AS idx, col.text AS text, col.coded AS coded, n FROM (SELECT doc_id, parts, size(parts) AS n FROM (SELECT doc_id, {parts} AS parts FROM {{documents}}) AS d) AS c LATERAL VIEW posexplode(parts) AS pos, col"
+        return f"SELECT doc_id, CAST(pos AS BIGINT) AS idx, col.text AS text, col.coded AS coded, n FROM (SELECT doc_id, parts, size(parts) AS n FROM ({_once(parts, 'parts', '{documents}')}) AS d) AS c LATERAL VIEW OUTER posexplode(parts) AS pos, col WHERE pos IS NOT NULL"
     pieces = f"list_transform(range(0, greatest(CAST(ceil(length(t) / {PIECE}) AS BIGINT), 1)), lambda k: {{'text': substr(t, k * {PIECE} + 1, {PIECE}), 'coded': true}})"
     parts = f"flatten(list_transform(string_split(replace(text, 'ß', 'ss'), chr(10)), lambda t, i: CASE WHEN i % 5 = 4 THEN {pieces} ELSE [{{'text': t, 'coded': false}}] END))"
     return f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS idx, parts[i].text AS text, parts[i].coded AS coded, len(parts) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {parts} AS parts FROM {{documents}}) AS d) AS e"
@@ -91,10 +97,12 @@ RASTER_WIDTH, RASTER_PAGE = 48, 48 * 64
 def word_pages(dialect: str) -> str:
     """key (doc_id and number of the page), pw and px, the gray values row by row, of the pages of all texts."""
     if dialect == "spark":
-        words = "transform(regexp_extract_all(text, '[^ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+', 0), w -> 255 - 20 * least(length(w), 12))"
+        words = "transform(filter(split(text, '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+'), w -> w <> ''), w -> 255 - 20 * least(length(w), 12))"
         filled = f"concat(gray, array_repeat(255, CAST(pmod(-size(gray), {RASTER_WIDTH}) AS INT)))"
         cut = f"transform(sequence(0, CAST((size(gray) - 1) DIV {RASTER_PAGE} AS INT)), p -> slice(gray, p * {RASTER_PAGE} + 1, {RASTER_PAGE}))"
-        return f"SELECT doc_id * 1000000 + pos AS key, {RASTER_WIDTH} AS pw, col AS px FROM (SELECT doc_id, {cut} AS pages FROM (SELECT doc_id, {filled} AS gray FROM (SELECT doc_id, {words} AS gray FROM {{documents}}) AS w) AS f WHERE size(gray) > 0) AS c LATERAL VIEW posexplode(pages) AS pos, col"
+        gray = _once(words, "gray", "{documents}")
+        whole = _once(filled, "gray", f"({gray}) AS w")
+        return f"SELECT doc_id * 1000000 + pos AS key, {RASTER_WIDTH} AS pw, col AS px FROM (SELECT doc_id, {cut} AS pages FROM ({whole}) AS f) AS c LATERAL VIEW OUTER posexplode(pages) AS pos, col WHERE size(col) > 0"
     words = "list_transform(regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+'), lambda w: CAST(255 - 20 * least(length(w), 12) AS INT))"
     filled = f"list_concat(gray, list_transform(range(0, (({RASTER_WIDTH} - len(gray) % {RASTER_WIDTH}) % {RASTER_WIDTH})), lambda z: 255::INT))"
     return f"SELECT doc_id * 1000000 + p AS key, {RASTER_WIDTH} AS pw, gray[p * {RASTER_PAGE} + 1:(p + 1) * {RASTER_PAGE}] AS px FROM (SELECT doc_id, gray, unnest(range(0, (len(gray) - 1) // {RASTER_PAGE} + 1)) AS p FROM (SELECT doc_id, {filled} AS gray FROM (SELECT doc_id, {words} AS gray FROM {{documents}}) AS w) AS f WHERE len(gray) > 0) AS c"
@@ -124,6 +132,24 @@ SELECT user_id % 50 AS job_id, event_id AS seq, CASE event_type WHEN 'view' THEN
 FROM {events}
 """
 
+#: What the rows of the views' tables are dealt by, and what they weigh. A file may be one row group, which one task reads: what costs time or
+#: memory comes after rows are dealt, to as many tasks as their weight asks for.
+_DEALT = {"documents": ("doc_id", "coalesce(octet_length(text), 0) + 200"), "customer": ("c_custkey", "200")}
+#: Weight for a task, that for a task of few (SPREAD at most), and the views whose tables are dealt.
+TASK, LEAST_TASK, SPREAD = 4 << 20, 1 << 20, 32
+_DEALT_VIEWS = ("word_page", "ocr_line", "mrz_input")
+
+
+def tasks(weight: int, task: int = TASK, least: int = LEAST_TASK) -> int:
+    """How many tasks a weight is dealt to: what a task gets stays the same however much there is."""
+    return max(1, -(-weight // task), min(SPREAD, -(-weight // least)))
+
+
+def dealt_to(spark: SparkSession, sf_dir: str, table: str, task: int = TASK) -> int:
+    """The tasks that the table's weight asks for."""
+    return tasks(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"sum({_DEALT[table][1]})").first()[0] or 0, task)
+
+
 VIEWS = {"word_page": "{word_pages}", "mrz_input": MRZ_INPUT, "ocr_line": OCR_LINE, "ground_truth": GROUND_TRUTH, "prediction": PREDICTION, "review_event": REVIEW_EVENT, "job_event": JOB_EVENT}
 
 
@@ -132,8 +158,10 @@ def oracle(name: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", VIEWS[name].replace("{lines}", lines("duckdb")).replace("{word_pages}", word_pages("duckdb")))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view over the tables in sf_dir."""
+def view(spark: SparkSession, sf_dir: str, name: str, parts: int | None = None) -> DataFrame:
+    """The view over the tables in sf_dir; those of _DEALT_VIEWS are dealt by their key to so many tasks, or what their weight asks for."""
     text = VIEWS[name].replace("{lines}", lines("spark")).replace("{word_pages}", word_pages("spark"))
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
+    if name in _DEALT_VIEWS:
+        tables = {t: rows.repartition(parts or dealt_to(spark, sf_dir, t), _DEALT[t][0]) for t, rows in tables.items()}
     return spark.sql(text, **tables)
