@@ -110,19 +110,24 @@ class _Pages(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         counts = list(self.counts.get()) if self.counts.exists() else [0, 0]
-        last = None
+        # a job's pages are few beside its events: the stores are asked once for all of them, and told once what has changed
+        held = {page: tuple(state) for (page,), state in self.pages.iterator()} if self.counts.exists() else {}
+        changed, last = set(), None
         for r in sorted(rows, key=lambda r: r.seq):
-            old = self.pages.getValue((r.page,)) if self.pages.containsKey((r.page,)) else None
+            old = held.get(r.page)
             if old is not None and r.seq <= old[0]:
                 continue
             last = r.at if last is None else max(last, r.at)
-            self.pages.updateValue((r.page,), (r.seq, r.valid))
+            held[r.page] = (r.seq, r.valid)
+            changed.add(r.page)
             if old is not None and old[1] == r.valid:
                 continue
             counts[0 if r.valid else 1] += 1
             if old is not None:
                 counts[0 if old[1] else 1] -= 1
             yield Row(job_id=key[0], seq=r.seq, page=r.page, valid=counts[0], not_valid=counts[1])
+        for page in sorted(changed):
+            self.pages.updateValue((page,), held[page])
         if last is not None:
             self.seen(last)
             self.counts.update(tuple(counts))

@@ -101,3 +101,21 @@ def test_reported_sums(spark, tmp_path):
     sums = {"pages": F.count(F.lit(1)), "errors": F.count_if("bad"), "total": F.sum("n")}
     jobs.reported_sums(jobs.event_stream(spark, folder, 1), sums, str(tmp_path / "sums"), lambda t: seen.append(t.first().asDict()), str(tmp_path / "point"), every=2)
     assert [s["pages"] for s in seen] == [20, 40, 50] and seen[-1] == {"pages": 50, "errors": 17, "total": 1225}
+
+
+def test_page_counters_ask_the_stores_once_for_a_batch():
+    """Each call of a store is a message to the JVM: a batch of events costs as many as its pages, not as its events."""
+    import datetime
+    from types import SimpleNamespace
+
+    from leafmark.streaming import state as streaming
+
+    calls, held = [], {}
+    of = streaming._Pages(1000)
+    of.pages = SimpleNamespace(iterator=lambda: (calls.append("all"), iter([((k,), v) for k, v in held.items()]))[1], updateValue=lambda k, v: (calls.append("one"), held.update({k[0]: v})))
+    of.counts = SimpleNamespace(exists=lambda: False, update=lambda v: held.setdefault("counts", v))
+    of.seen = lambda at: None
+    at = datetime.datetime(2024, 1, 1)
+    out = list(of.handleInputRows((7,), iter([SimpleNamespace(seq=i, at=at, page="a", valid=i % 2 == 0) for i in range(100)]), None))
+    assert len(out) == 100 and (out[-1].valid, out[-1].not_valid) == (0, 1)
+    assert calls == ["one"] and held == {"a": (99, False), "counts": (0, 1)}
