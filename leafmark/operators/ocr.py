@@ -46,11 +46,15 @@ def recognized(pages: DataFrame, factory: Callable[[], Engine] = not_configured,
 def payload_results(payload: Column) -> Column:
     """The results that a JSON payload of an engine holds, as VARIANTs: itself if it is an object, its elements if it is a list, and what
     it says if it is a text that holds JSON once more. Any other payload fails."""
-    first = F.parse_json(payload)
     kind = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
-    v = F.when(kind(first) == "STRING", F.parse_json(F.try_variant_get(first, "$", "string"))).otherwise(first)
-    known = F.when(kind(v) == "OBJECT", F.array(v)).when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
-    return F.when(v.isNotNull(), F.coalesce(known, F.raise_error(F.concat(F.lit("unsupported payload: "), kind(v)))))
+    inner = _once(F.parse_json(payload), lambda v: F.when(kind(v) == "STRING", F.parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v))
+    known = lambda v: F.when(kind(v) == "OBJECT", F.array(v)).when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return _once(inner, lambda v: F.when(v.isNotNull(), F.coalesce(known(v), F.raise_error(F.concat(F.lit("unsupported payload: "), kind(v))))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being made once for each row however often it is used: an element of an array that is gone through."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def result_lines(result: Column) -> Column:
@@ -61,8 +65,10 @@ def result_lines(result: Column) -> Column:
     texts, scores, polygons = pick("rec_texts", "array<variant>"), pick("rec_scores", "array<double>"), F.coalesce(some("rec_polys"), some("dt_polys"))
     whole = lambda polygon: F.transform(polygon, lambda point: F.transform(point, lambda v: F.bround(v).cast("int")))
     empty = F.array().cast("array<array<int>>")
-    line = lambda t, i: F.struct(F.coalesce(whole(F.get(polygons, i)), empty).alias("polygon"), F.coalesce(t.cast("string"), F.lit("None")).alias("text"), F.coalesce(F.get(scores, i), F.lit(0.0)).alias("confidence"))
-    return F.coalesce(F.transform(texts, line), F.array().cast(LINES))
+    line = lambda r: lambda t, i: F.struct(F.coalesce(whole(F.get(r["polygons"], i)), empty).alias("polygon"), F.coalesce(t.cast("string"), F.lit("None")).alias("text"), F.coalesce(F.get(r["scores"], i), F.lit(0.0)).alias("confidence"))
+    # the arrays are read out of the result once, not for each line
+    held = F.struct(texts.alias("texts"), scores.alias("scores"), polygons.alias("polygons"))
+    return _once(held, lambda r: F.coalesce(F.transform(r["texts"], line(r)), F.array().cast(LINES)))
 
 
 def payload_lines(payload: Column) -> Column:
@@ -72,6 +78,7 @@ def payload_lines(payload: Column) -> Column:
 
 def extents(lines: DataFrame, key: str, column: str = "lines") -> DataFrame:
     """One row per line: key, idx, text, confidence and the extents of its polygon (null without points)."""
-    out = lines.select(key, F.posexplode(column).alias("idx", "line"))
+    # an inner explode would make the lines once more, for a condition on their number
+    out = lines.select(key, F.posexplode_outer(column).alias("idx", "line")).where("idx IS NOT NULL")
     x, y = F.transform("line.polygon", lambda p: p[0]), F.transform("line.polygon", lambda p: p[1])
     return out.select(key, F.col("idx").cast("bigint").alias("idx"), "line.text", "line.confidence", F.array_min(x).alias("x"), F.array_min(y).alias("y"), F.array_max(x).alias("x2"), F.array_max(y).alias("y2"))

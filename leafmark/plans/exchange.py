@@ -15,7 +15,7 @@ from leafmark.streaming import progress
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An engine's payload for each text, its lines being the recognised ones: objects, texts of JSON and lists in turn, with the wrapper or
     without, polygons as recognised or as detected, and none for the last line."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").repartition(derived.dealt_to(spark, sf_dir, "documents"), "doc_id")
     texts = F.split(F.replace("text", F.lit("ß"), F.lit("ss")), "\n")
     corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
     polygon = lambda t, i: F.array(corner(i % 7 + 0.5, i * 40), corner(i % 7 + 0.5 + F.least(F.length(t) * 8, F.lit(900)), i * 40), corner(i % 7 + 0.5 + F.least(F.length(t) * 8, F.lit(900)), i * 40 + 24))
@@ -25,9 +25,10 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
     body = F.struct("rec_texts", "rec_scores", F.when(even, F.col("polys")).otherwise(F.array().cast("array<array<array<double>>>")).alias("rec_polys"), F.when(~even, F.col("polys")).alias("dt_polys"))
     text = F.when(F.col("doc_id") % 5 < 3, F.to_json(F.struct(body.alias("res")))).otherwise(F.to_json(body))
-    quoted = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
-    said = held.select("doc_id", text.alias("text"))
-    return said.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, quoted).otherwise(F.concat(F.lit("["), "text", F.lit("]"))).alias("payload"))
+    quoted = F.expr("element_at(transform(array(to_json(array(text))), q -> substring(q, 2, length(q) - 2)), 1)")
+    said = held.select("doc_id", F.explode_outer(F.array(text)).alias("text"))
+    said = said.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, quoted).otherwise(F.concat(F.lit("["), "text", F.lit("]"))).alias("payload"))
+    return said.select("doc_id", F.explode_outer(F.array("payload")).alias("payload"))
 
 
 def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,3 +141,11 @@ def test_saved_buckets_are_not_dealt_again(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("DROP TABLE saved_results")
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan, plan
+
+
+def test_a_payload_is_parsed_once(spark):
+    """Twice at most in the plan (an object, and a text that holds one); each line took the arrays out of the payload anew before."""
+    rows = spark.createDataFrame([(1, '{"rec_texts": ["a", "b"], "rec_scores": [0.5], "dt_polys": [[[1, 2], [3, 4]]]}')], "doc_id bigint, payload string")
+    lines = rows.select("doc_id", ocr.payload_lines(F.col("payload")).alias("lines"))
+    assert lines._jdf.queryExecution().analyzed().toString().count("parse_json(") <= 2
+    assert [(r.idx, r.text, r.confidence, r.x, r.y2) for r in ocr.extents(lines, "doc_id").collect()] == [(0, "a", 0.5, 1, 4), (1, "b", 0.0, None, None)]
