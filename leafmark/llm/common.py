@@ -76,6 +76,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
                 yield batch.slice(a, b - a)
 
 
+def quantile(values: DataFrame, share: float, bins: int = 4096, few: int = 10_000) -> float | None:
+    """The exact quantile of a column of doubles, between two values in proportion; None without any. Each round counts the values by bins of the
+    range that is open and goes on in the bin that holds the place, until it has few values or one; no task or driver sees more of them."""
+    (name,) = values.columns
+    values, v = values.where(F.col(name).isNotNull()), F.col(name)
+    n, least, most = values.agg(F.count(v), F.min(v), F.max(v)).first()
+
+    def at(place: int) -> float:
+        lo, hi, before, held = least, most, 0, n
+        while lo < hi:
+            own = values.where(v.between(lo, hi))
+            if held <= few:
+                return sorted(r[0] for r in own.collect())[place - before]
+            # both ends have bins of their own, so each round leaves less; by halves, so that no width overflows
+            part = F.when(v == lo, -1).when(v == hi, bins).otherwise(F.least(F.lit(bins - 1), F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * bins)))
+            for _, held, lo, hi in sorted(tuple(r) for r in own.groupBy(part.alias("part")).agg(F.count(v), F.min(v), F.max(v)).collect()):
+                if place < before + held:
+                    break
+                before += held
+        return lo
+
+    if not n:
+        return None
+    place = share * (n - 1)
+    low = at(int(place))
+    return low if place == int(place) else low + (at(int(place) + 1) - low) * (place - int(place))
+
+
 def grouped_rows(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[object, list[dict]]]:
     """Lists of rows that share the value of a column, from batches that are sorted by it; a batch's rows are taken out one at a time."""
     held: list[dict] = []

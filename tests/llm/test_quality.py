@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from leafmark.llm import quality
+from leafmark.llm.common import quantile as quality_quantile
 from tests.llm.helpers import awkward, frame, prose
 
 
@@ -93,3 +94,37 @@ def test_repeated_ids_and_columns_of_the_same_names(spark):
     assert np.allclose(model.w, quality.fit(docs, labels, F.lit(True)).w)
     row = quality.score(docs.selectExpr("*", "'x' AS score", "3 AS features"), model).first()
     assert 0 <= row.score <= 1 and row.features == 3
+
+
+def test_every_label_row_counts(spark, monkeypatch):
+    """More label rows than the 4000 that were once sampled, the rare label in every group; the threshold is the quantile of all strengths."""
+    rnd = random.Random(5)
+    n = 9000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('word', id % 97, CASE WHEN id % 300 = 0 THEN ' !!' ELSE ' and more' END) AS text")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 300 > 0 AS INT) AS quality").union(spark.createDataFrame([(300, 0)] * 5, "doc_id bigint, quality int"))
+    seen = []
+    monkeypatch.setattr(quality, "quantile", lambda values, share: seen.append((values.count(), share)) or quality_quantile(values, share))
+    model = quality.fit(docs, labels, F.lit(True), group=1000)
+    assert seen == [(n + 5, 35 / (n + 5))]
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all((got[i] >= 0.5) == (i % 300 > 0) for i in rnd.sample(range(n), 500) + list(range(0, n, 300)))
+    assert quality.fit(docs, labels.where("quality = 1"), F.lit(True)).threshold < 0
+
+
+def test_groups_learn_what_one_matrix_does(spark):
+    docs, labels = _labelled(spark, random.Random(6), 120)
+    rows = sorted((r.doc_id, r.quality, quality.text_features(r.text)) for r in docs.join(labels.where("quality is not null"), "doc_id").collect())
+    one = quality.Ranking(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]))
+    model = quality.fit(docs, labels, F.lit(True))
+    assert np.allclose(model.w, one.w, atol=1e-5) and abs(model.threshold - one.threshold) < 1e-4
+    several = quality.fit(docs, labels, F.lit(True), group=30)  # other partners are drawn
+    assert np.allclose(several.mean, one.mean) and np.corrcoef(several.w, one.w)[0, 1] > 0.9
+
+
+def test_quantiles_by_refinement(spark):
+    rnd = np.random.default_rng(1)
+    for x in (rnd.normal(size=3000), np.repeat([1.0, 2.0, 1e300], [500, 1500, 7]), np.array([4.0]), np.array([-1e308, 0.0, 1e308] * 20), rnd.integers(0, 5, 900) * 1.0):
+        frame = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        for share in (0.0, 0.37, 0.5, 0.99, 1.0):
+            assert quality_quantile(frame, share, bins=8, few=10) == float(np.quantile(x, share)) or np.isclose(quality_quantile(frame, share, bins=8, few=10), np.quantile(x, share), rtol=1e-12)
+    assert quality_quantile(frame.where("false"), 0.5) is None
