@@ -29,9 +29,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, training = docs.select(COLUMNS), crc_mod("doc_id", 5) != 0
-    known = docs.select("doc_id", "text", "lang")
-    trees = langid.fit(known, training)
-    return langid.predict(docs, trees).where(~langid.rejected(langid.usual_cost(known, trees, training))).select(COLUMNS)
+    trees = langid.fit(docs.select("doc_id", "text", "lang"), training)
+    found = written(langid.predict(docs, trees), "pipeline-languages")
+    return found.where(~langid.rejected(langid.usual_cost(found, training))).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Language identification by prediction by partial matching.
 
-For each language a context tree over bytes of orders 0 to 3 is counted on a bounded sample of labelled
-training texts (`sample_docs` distinct rows and about `sample_bytes` bytes a language, the smallest hashes of
-id and text; a language with any training text has one at least). A byte costs -log2(c / (n + q)) in the longest
+For each language a context tree over bytes of orders 0 to 3 is counted on all labelled training texts: tasks count the sequences
+of four bytes, which are added up by language, and the lower orders are their sums. The driver and each worker hold the distinct
+sequences, not the texts. (With `sample_docs`, on that many distinct rows and about `sample_bytes` bytes a language, the smallest hashes of
+id and text; a language with any training text has one at least.) A byte costs -log2(c / (n + q)) in the longest
 context in which it was seen, plus -log2(q / (n + q)) for each longer known context that it escapes from (n: the
 context's count, q: its distinct successors, method C); contexts never seen cost nothing, and below order 0 a byte
 costs 8 bits. The statistics are frozen: the cost of a byte depends on it and the three bytes before it alone, so the trees
@@ -12,7 +13,7 @@ shortest exact code length (ties: the first in string order); the score is its p
 rows that are in none of the languages: their best code is far longer than that of training texts.
 
 Edge cases: null texts and texts without a letter (Unicode category L) are `und` with score 0; without any training row
-every text is `und`. Repeated rows repeat, and count once in the sample; an empty table gives an empty one; extra columns
+every text is `und`. Repeated rows repeat, and count as often (once in a sample); an empty table gives an empty one; extra columns
 stay, but columns of the names that predict() adds are replaced. A very long text takes its bytes and a piece's costs at a time.
 """
 
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import column, crc_mod, slices, table
+from leafmark.llm.common import column, crc_mod, quantile, slices, table
 
 ORDER = 3
-SAMPLE_DOCS = 400
 SAMPLE_BYTES = 1_500_000
 #: Bytes of a text that are scored at once, and costs (bytes times languages) that are held at once.
 PIECE, COSTS = 1 << 14, 1 << 21
+#: Bytes of texts that are counted at once, and sequences that a task holds before it hands their counts on.
+COUNTED, HELD = 1 << 20, 1 << 22
 
 
 def has_letter(text: str) -> bool:
@@ -81,13 +83,42 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], np.cumsum(np.concatenate(([0], sizes)))
 
 
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of pieces with the three before each as uint32, and how many are of each; a piece's first three bytes are context only."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
+    code = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
+    sizes = np.array([len(p) - 3 for p in parts], np.int64)
+    begin = np.cumsum(sizes + 3) - (sizes + 3)
+    keep = np.ones(len(code), bool)
+    for gap in range(3):
+        keep[begin[1:] - 3 + gap] = False
+    return code[keep], sizes
+
+
+def _folded(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    found, first = np.unique(codes[order], return_index=True)
+    return found, np.add.reduceat(n[order], first) if len(n) else n
+
+
 class Trees:
     """The languages' context trees, flattened to tables of costs in bits."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
+        self._count({k: np.unique(_codes(texts)[0], return_counts=True) for k, texts in samples.items()})
+
+    @classmethod
+    def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees:
+        """The trees of each language's sequences of four bytes (uint32, ascending) and how often they stand in its texts."""
+        trees = cls.__new__(cls)
+        trees._count(counts)
+        return trees
+
+    def _count(self, every: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.languages = sorted(every)
         width = len(self.languages)
-        seen = [_codes(samples[x])[0] for x in self.languages]
+        seen = [every[x] for x in self.languages]
         cost = np.full((256, width), 8.0)
         self.dense: list[np.ndarray] = []
         self.keys: list[HashIndex] = []
@@ -98,7 +129,7 @@ class Trees:
             return
         for order in range(ORDER + 1):
             mask = np.uint32((1 << (8 * (order + 1))) - 1)
-            counts = [np.unique(s & mask, return_counts=True) for s in seen]
+            counts = [_folded(codes & mask, n) for codes, n in seen]
             contexts = []
             for codes, n in counts:
                 ctx, first = np.unique(codes >> 8, return_index=True)
@@ -160,14 +191,8 @@ class Trees:
         owner, parts, held = [], [], 0
 
         def score() -> None:
-            raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-            code = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-            sizes = np.array([len(p) - 3 for p in parts], np.int64)
-            begin = np.cumsum(sizes + 3) - (sizes + 3)
-            keep = np.ones(len(code), bool)
-            for gap in range(3):  # the first three bytes of a piece are context only
-                keep[begin[1:] - 3 + gap] = False
-            costs = self._lower(ORDER, code[keep])
+            code, sizes = _joined(parts)
+            costs = self._lower(ORDER, code)
             np.add.at(out, owner, np.add.reduceat(costs, np.cumsum(sizes) - sizes, axis=0))
 
         for i, raw in enumerate(raws):
@@ -194,9 +219,54 @@ class Trees:
         return out
 
 
-def fit(docs: DataFrame, training, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Trees:
-    """The trees of a bounded sample of the rows for which the condition `training` holds."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """k, code and n of rows (k, t): how often each sequence of four bytes stands in the texts of k, added up in each task."""
+
+    def run(batches):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def out():
+            for k, (codes, n) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["k", "code", "n"])
+            held.clear()
+
+        def count(k: str, parts: list[bytes]):
+            codes, n = np.unique(_joined(parts)[0], return_counts=True)
+            held[k] = _folded(np.concatenate([held[k][0], codes]), np.concatenate([held[k][1], n])) if k in held else (codes, n)
+            if sum(len(c) for c, _ in held.values()) > HELD:
+                yield from out()
+
+        parts: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
+        for batch in slices(batches, "t", COUNTED):
+            for k, text in zip(column(batch, "k").to_pylist(), column(batch, "t").to_pylist()):
+                raw = text.lower().encode("utf-8", "surrogatepass")
+                parts.setdefault(k, []), sizes.setdefault(k, 0)
+                for at in range(0, max(1, len(raw)), COUNTED):
+                    parts[k].append(raw[at - 3 : at + COUNTED] if at else b"\0\0\0" + raw[:COUNTED])
+                    sizes[k] += len(parts[k][-1])
+                    if sizes[k] >= COUNTED:
+                        yield from count(k, parts[k])
+                        parts[k], sizes[k] = [], 0
+        for k in parts:
+            if parts[k]:
+                yield from count(k, parts[k])
+        # a language whose texts are all empty has a row too
+        yield from out()
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array([0] * len(parts), pa.int64()), pa.array([0] * len(parts), pa.int64())], names=["k", "code", "n"])
+
+    return rows.mapInArrow(run, "k string, code bigint, n bigint")
+
+
+def fit(docs: DataFrame, training, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int | None = None, sample_bytes: int = SAMPLE_BYTES) -> Trees:
+    """The trees of all rows for which the condition `training` holds, or of a bounded sample of them."""
     rows = docs.where(training).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text).alias("dice"))
+    if sample_docs is None:
+        total = _counted(rows.select("k", "t")).groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
+        names = total.column("k").combine_chunks().dictionary_encode()
+        which, codes, n = (x.to_numpy(zero_copy_only=False) for x in (names.indices, total.column("code").combine_chunks(), total.column("n").combine_chunks()))
+        own = lambda i: (which == i) & (n > 0)
+        return Trees.of({k: _folded(codes[own(i)].astype(np.uint32), n[own(i)]) for i, k in enumerate(names.dictionary.to_pylist())})
     found = {r[0]: (r[1], r[2]) for r in rows.groupBy("k").agg(F.approx_count_distinct("dice"), F.min("dice")).collect()}
     if not found:
         return Trees({})
@@ -219,7 +289,7 @@ def fit(docs: DataFrame, training, id_col: str = "doc_id", text: str = "text", l
 
 def predict(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     """docs with lang_pred string, score double and bits_per_byte double."""
-    held = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+    held = docs.sparkSession.sparkContext.broadcast(trees)  # a row for each distinct sequence of bytes
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
     schema = docs.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)}).schema
 
@@ -233,16 +303,14 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-#: Rows whose cost tells what is usual, the share of them that is within it, and bits that any text may need beyond its bound.
-USUAL_DOCS, USUAL_SHARE, START_BITS = 4000, 0.99, 256
+#: The share of training texts whose cost is usual, and bits that any text may need beyond its bound.
+USUAL_SHARE, START_BITS = 0.99, 256
 
 
-def usual_cost(docs: DataFrame, trees: Trees, training, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = USUAL_DOCS) -> float | None:
-    """The bits a byte within which the best language codes nearly all of about sample_docs labelled training texts; None without any."""
-    rows = docs.where(training).where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64(F.lit("usual"), F.col(id_col).cast("string"), text), F.lit(1 << 20)) <= int(share * (1 << 20))).select(text)
-    return predict(some, trees, text).where("lang_pred <> 'und'").agg(F.percentile("bits_per_byte", F.lit(USUAL_SHARE))).first()[0]
+def usual_cost(found: DataFrame, training, text: str = "text", lang: str = "lang") -> float | None:
+    """The bits a byte within which the best language codes nearly all labelled training texts of found, a table of predict(); None without any."""
+    rows = found.where(training).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col("lang_pred") != "und"))
+    return quantile(rows.select("bits_per_byte"), USUAL_SHARE)
 
 
 def rejected(usual: float | None, text: str = "text"):

@@ -112,3 +112,23 @@ def test_columns_of_the_same_names(spark):
     trees = langid.fit(docs, F.lit(True))
     row = langid.predict(docs, trees).first()
     assert row.lang_pred == "aa" and row.score == 1.0 and row.bits_per_byte > 0
+
+
+def test_trees_count_every_training_text(spark, monkeypatch):
+    """One rare word in each of many texts: all are in the trees, whatever is counted at once; a language of empty texts is kept."""
+    monkeypatch.setattr(langid, "COUNTED", 40)
+    monkeypatch.setattr(langid, "HELD", 60)
+    rnd = random.Random(7)
+    rows = [(i, f"{_text(rnd, x, 9)} q{i}x", x) for i, x in enumerate(list(SYLLABLES) * 300)] + [(5000, "", "zz"), (5001, None, "yy"), (5002, "none", None)]
+    trees = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), F.lit(True))
+    whole = langid.Trees({x: [t for _, t, y in rows if y == x] for x in (*SYLLABLES, "zz")})
+    assert trees.languages == whole.languages
+    texts = [t for _, t, _ in rows if t][::7] + ["é ß 字", "qq"]
+    assert np.array_equal(trees.code_lengths(texts), whole.code_lengths(texts))
+
+
+def test_usual_cost_is_of_all_training_texts(spark):
+    rows = [(i, "t", "en", "en", float(i)) for i in range(10_001)] + [(1, "t", None, "en", 1e9), (1, None, "en", "en", 1e9), (1, "t", "en", "und", 1e9), (-1, "t", "en", "en", 1e9)]
+    found = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, lang_pred string, bits_per_byte double").repartition(3)
+    assert langid.usual_cost(found, F.col("doc_id") >= 0) == 9900.0
+    assert langid.usual_cost(found.where("false"), F.lit(True)) is None
