@@ -112,10 +112,12 @@ def candidate_histogram(pages: DataFrame) -> DataFrame:
 
 def fragments(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
     """The lines that can be parts of MRZ rows, with the content box of all lines."""
-    out = _content(lines, F.col("x").isNotNull(), config, 1).withColumn("compact", compact(F.col("text")))
+    out = _content(lines, F.col("x").isNotNull(), config, 1)
+    # what costs little comes first: neither upper case nor the loss of white space makes or takes a filler or a digit
+    placed = (F.col("confidence") >= config.fragment_confidence) & (F.col("y2") >= F.col("by") + F.col("bh") * config.fragment_from)
+    out = out.where(placed & (F.col("text").contains("<") | F.col("text").rlike("[0-9]"))).withColumn("compact", compact(F.col("text")))
     marked = F.col("compact").contains("<") | ((F.length("compact") >= 20) & F.col("compact").rlike("[0-9]"))
-    keep = (F.col("confidence") >= config.fragment_confidence) & (F.length("compact") >= 3) & (allowed_ratio(F.col("compact")) >= config.fragment_ratio) & marked
-    return out.where(keep & (F.col("y2") >= F.col("by") + F.col("bh") * config.fragment_from))
+    return out.where((F.length("compact") >= 3) & marked & (allowed_ratio(F.col("compact")) >= config.fragment_ratio))
 
 
 def row_clusters(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
@@ -156,12 +158,16 @@ def neighbours(rows: DataFrame, lines: DataFrame, config: LineConfig = CONFIG) -
     return found.withColumn("best", best).where("best = 1").drop("best")
 
 
-def regions(rows: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
-    """One crop rectangle per page around its last rows: padded, clipped, of a least height. A lone row needs a filler and some height."""
+def regions(rows: DataFrame, config: LineConfig = CONFIG, held: tuple[str, ...] = ()) -> DataFrame:
+    """One crop rectangle per page around its last rows: padded, clipped, of a least height. A lone row needs a filler and some height.
+
+    With `held`, these columns of the last rows stay with the region, as an array of structs in their order.
+    """
     width = F.lit(config.page_width)
+    kept = [F.array_sort(F.collect_list(F.struct(*held))).alias("held")] if held else []
     page = last_rows(rows, config).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("x").alias("x1"), F.min("y").alias("y1"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"),
-        F.avg("confidence").alias("confidence"), F.max("h").alias("h"), F.max(F.col("text").contains("<")).alias("marked"), *(F.first(c).alias(c) for c in ("bx", "bw", "page_height")),
+        F.avg("confidence").alias("confidence"), F.max("h").alias("h"), F.max(F.col("text").contains("<")).alias("marked"), *(F.first(c).alias(c) for c in ("bx", "bw", "page_height")), *kept,
     )
     page = page.where((F.col("n_rows") > 1) | (F.col("marked") & (F.col("h") >= 2 * config.row_height)))
     pad_x, pad_y = F.greatest(F.lit(8), F.bround(width * config.pad_x)).cast("int"), F.greatest(F.lit(8), F.bround(F.col("page_height") * config.pad_y)).cast("int")
@@ -175,7 +181,7 @@ def regions(rows: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
     end = F.when(small, F.least("page_height", top + F.col("least"))).otherwise(F.col("cy2"))
     begin = F.when(small, F.greatest(F.lit(0), F.least("page_height", top + F.col("least")) - F.col("least"))).otherwise(F.col("cy1"))
     page = page.withColumns({"top": begin, "end": end})
-    return page.select("doc_id", "n_rows", F.round("confidence", 6).alias("confidence"), F.col("cx1").alias("x"), F.col("top").alias("y"), F.greatest(F.lit(1), F.col("cx2") - F.col("cx1")).alias("w"), F.greatest(F.lit(1), F.col("end") - F.col("top")).alias("h"))
+    return page.select("doc_id", "n_rows", F.round("confidence", 6).alias("confidence"), F.col("cx1").alias("x"), F.col("top").alias("y"), F.greatest(F.lit(1), F.col("cx2") - F.col("cx1")).alias("w"), F.greatest(F.lit(1), F.col("end") - F.col("top")).alias("h"), *("held" for _ in kept))
 
 
 def direct_rows(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:

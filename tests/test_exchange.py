@@ -149,3 +149,13 @@ def test_a_payload_is_parsed_once(spark):
     lines = rows.select("doc_id", ocr.payload_lines(F.col("payload")).alias("lines"))
     assert lines._jdf.queryExecution().analyzed().toString().count("parse_json(") <= 2
     assert [(r.idx, r.text, r.confidence, r.x, r.y2) for r in ocr.extents(lines, "doc_id").collect()] == [(0, "a", 0.5, 1, 4), (1, "b", 0.0, None, None)]
+
+
+def _row_plan(spark, name):
+    from leafmark.plans import rows as plans
+
+    return plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_crops_measure_pages_once(spark):
+    assert _row_plan(spark, "mrz_row_crops").count("posexplode(parts") == 1
