@@ -180,3 +180,7 @@ def test_second_readings_as_columns_equal_the_chain(spark):
         want = W.chosen_rows(first, first.withColumns({"normalized_text": text, "confidence": sure})).collect()
         assert sorted(map(str, W.chosen_readings(first, text, sure).collect())) == sorted(map(str, want))
     assert _row_plan(spark, "row_variants").count("posexplode(parts") == 2
+
+
+def test_row_cascade_makes_its_lines_twice(spark):
+    assert _row_plan(spark, "row_cascade").count("posexplode(parts") == 2
