@@ -1,9 +1,9 @@
 """The row cascade as table functions: pieces of crops are merged to rows, doubtful rows are read a second time, the better reading stays.
 
-    SELECT r.doc_id, r.row_index, s.* FROM merged_rows(TABLE(pieces)) AS r, LATERAL second_look(r.doc_id, r.row_index, r.normalized_text, r.confidence) AS s
+    SELECT r.doc_id, r.row_index, s.* FROM merged_rows(TABLE(crops)) AS r, LATERAL second_look(r.doc_id, r.row_index, r.normalized_text, r.confidence) AS s
 
-`register` makes both known to a session; the second reading is a function that the caller gives. merged_rows asks for its table
-dealt by row and in order of place, so a task holds the pieces of one row.
+`register` makes both known to a session; the second reading is a function that the caller gives. merged_rows takes a row for each crop,
+with its pieces from left to right as arrays; only these rows are dealt to the functions, in tasks of the size that they ask for.
 """
 
 from __future__ import annotations
@@ -12,15 +12,15 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
-from leafmark.functions.text import SPACES
-from leafmark.operators.rows import CONFIG, RowConfig
+from leafmark.operators.rows import CONFIG, RowConfig, row_pieces
 
 MERGED = StructType().add("doc_id", LongType()).add("row_index", IntegerType()).add("raw_text", StringType()).add("normalized_text", StringType()).add("fragment_count", LongType()).add("confidence", DoubleType())
 CHOSEN = "normalized_text string, confidence double, variant int"
-_PIECE = ("doc_id", "row_index", "idx", "text", "confidence", "left", "centre", "height")
+_CROP = ("doc_id", "row_index", "texts", "confidences")
 
 
 def _clean(text: str) -> str:
@@ -32,35 +32,21 @@ def _share(text: str) -> float:
 
 
 class MergedRows:
-    """The pieces of a crop near its middle, from left to right, as one text."""
-
-    config = CONFIG
+    """The pieces of a crop as one text."""
 
     @staticmethod
-    def analyze(pieces: AnalyzeArgument) -> AnalyzeResult:
-        if not pieces.isTable:
-            raise ValueError("merged_rows takes a table of pieces")
-        missing = [c for c in _PIECE if c not in pieces.dataType.fieldNames()]
+    def analyze(crops: AnalyzeArgument) -> AnalyzeResult:
+        if not crops.isTable:
+            raise ValueError("merged_rows takes a table of crops")
+        missing = [c for c in _CROP if c not in crops.dataType.fieldNames()]
         if missing:
             raise ValueError(f"merged_rows misses the columns {', '.join(missing)}")
-        return AnalyzeResult(MERGED, partitionBy=[PartitioningColumn("doc_id"), PartitioningColumn("row_index")], orderBy=[OrderingColumn("left"), OrderingColumn("idx")])
-
-    def __init__(self):
-        self.key, self.texts, self.sure = None, [], []
+        return AnalyzeResult(MERGED)
 
     def eval(self, row):
-        c = self.config
-        fits = row["left"] is not None and len((row["text"] or "").strip(SPACES)) >= c.shortest and abs(row["centre"] - row["height"] / 2) <= row["height"] * c.off_centre
-        if fits and _share(re.sub(f"[{re.escape(SPACES)}]+", "", row["text"]).upper()) >= c.ratio:
-            self.key = row["doc_id"], row["row_index"]
-            self.texts.append(re.sub(r"\s+", "", row["text"], flags=re.ASCII))
-            if row["confidence"] is not None:
-                self.sure.append(row["confidence"])
-
-    def terminate(self):
-        if self.key is not None:
-            raw = "".join(self.texts)
-            yield *self.key, raw, _clean(raw), len(self.texts), round(sum(self.sure) / len(self.sure), 6) if self.sure else None
+        raw = re.sub(r"\s+", "", "".join(row["texts"]), flags=re.ASCII)
+        sure = [c for c in row["confidences"] if c is not None]
+        yield row["doc_id"], row["row_index"], raw, _clean(raw), len(row["texts"]), round(sum(sure) / len(sure), 6) if sure else None
 
 
 def _second_look(read: Callable[[int, int, str], tuple[str, float | None]], config: RowConfig):
@@ -81,8 +67,7 @@ def _second_look(read: Callable[[int, int, str], tuple[str, float | None]], conf
 
 def register(spark: SparkSession, read: Callable[[int, int, str], tuple[str, float | None]], config: RowConfig = CONFIG) -> None:
     """Makes merged_rows and second_look known to the session; read gives text and confidence of a row's second reading."""
-    merged = type("MergedRows", (MergedRows,), {"config": config})
-    spark.udtf.register("merged_rows", udtf(merged))
+    spark.udtf.register("merged_rows", udtf(MergedRows))
     spark.udtf.register("second_look", udtf(_second_look(read, config), returnType=CHOSEN))
 
 
@@ -90,5 +75,9 @@ def cascade(pieces: DataFrame, read: Callable[[int, int, str], tuple[str, float
     """doc_id, row_index and the chosen reading of the rows that the pieces (of `rows.into_crops`) make."""
     spark = pieces.sparkSession
     register(spark, read, config)
-    text = "SELECT r.doc_id, r.row_index, s.* FROM merged_rows(TABLE({pieces})) AS r, LATERAL second_look(r.doc_id, r.row_index, r.normalized_text, r.confidence) AS s"
-    return spark.sql(text, pieces=pieces)
+    held = F.sort_array(F.collect_list(F.struct("left", "idx", "text", "confidence")))
+    crops = row_pieces(pieces, config).groupBy("doc_id", "row_index").agg(held.alias("held")).select("doc_id", "row_index", F.col("held.text").alias("texts"), F.col("held.confidence").alias("confidences"))
+    # crops are small against their pages: in the pages' own tasks the start of the functions would take longer than their rows
+    crops = crops.repartition("doc_id", "row_index")
+    text = "SELECT r.doc_id, r.row_index, s.* FROM merged_rows(TABLE({crops})) AS r, LATERAL second_look(r.doc_id, r.row_index, r.normalized_text, r.confidence) AS s"
+    return spark.sql(text, crops=crops)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import allowed_ratio, compact
@@ -47,9 +47,8 @@ def _content(lines: DataFrame, accepted, config: LineConfig, least: int) -> Data
     """The lines with bx, by, bw, bh: the box of the lines that count, clipped to the page; null without any."""
     page = Window.partitionBy("doc_id")
     box = lambda f, c: f(F.when(accepted, F.col(c))).over(page)
-    out = lines.withColumns({"bx": F.greatest(F.lit(0), box(F.min, "x")), "by": F.greatest(F.lit(0), box(F.min, "y")), "ex": F.least(F.lit(config.page_width), box(F.max, "x2")), "ey": F.least("page_height", box(F.max, "y2"))})
-    some = box(F.max, "x2").isNotNull()
-    return out.withColumns({"bw": F.greatest(F.lit(least), F.col("ex") - F.col("bx")), "bh": F.greatest(F.lit(least), F.col("ey") - F.col("by"))}).withColumns({c: F.when(some, F.col(c)) for c in ("bx", "by", "bw", "bh")}).drop("ex", "ey")
+    out = lines.withColumns({"bx": F.greatest(F.lit(0), box(F.min, "x")), "by": F.greatest(F.lit(0), box(F.min, "y")), "ex": F.least(F.lit(config.page_width), box(F.max, "x2")), "ey": F.least("page_height", box(F.max, "y2")), "some": box(F.max, "x2").isNotNull()})
+    return out.withColumns({"bw": F.greatest(F.lit(least), F.col("ex") - F.col("bx")), "bh": F.greatest(F.lit(least), F.col("ey") - F.col("by"))}).withColumns({c: F.when(F.col("some"), F.col(c)) for c in ("bx", "by", "bw", "bh")}).drop("ex", "ey", "some")
 
 
 def candidates(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
@@ -115,9 +114,14 @@ def fragments(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:
     out = _content(lines, F.col("x").isNotNull(), config, 1)
     # what costs little comes first: neither upper case nor the loss of white space makes or takes a filler or a digit
     placed = (F.col("confidence") >= config.fragment_confidence) & (F.col("y2") >= F.col("by") + F.col("bh") * config.fragment_from)
-    out = out.where(placed & (F.col("text").contains("<") | F.col("text").rlike("[0-9]"))).withColumn("compact", compact(F.col("text")))
-    marked = F.col("compact").contains("<") | ((F.length("compact") >= 20) & F.col("compact").rlike("[0-9]"))
-    return out.where((F.length("compact") >= 3) & marked & (allowed_ratio(F.col("compact")) >= config.fragment_ratio))
+    out = out.where(placed & (F.col("text").contains("<") | F.col("text").rlike("[0-9]")))
+
+    def fits(text: Column) -> Column:
+        marked = text.contains("<") | ((F.length(text) >= 20) & text.rlike("[0-9]"))
+        return (F.length(text) >= 3) & marked & (allowed_ratio(text) >= config.fragment_ratio)
+
+    # the compact text as an array's element: as a column it would be made anew for each use
+    return out.where(F.exists(F.array(compact(F.col("text"))), fits)).withColumn("compact", compact(F.col("text")))
 
 
 def row_clusters(lines: DataFrame, config: LineConfig = CONFIG) -> DataFrame:

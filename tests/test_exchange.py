@@ -184,3 +184,33 @@ def test_second_readings_as_columns_equal_the_chain(spark):
 
 def test_row_cascade_makes_its_lines_twice(spark):
     assert _row_plan(spark, "row_cascade").count("posexplode(parts") == 2
+
+
+def test_row_cascade_deals_crops_only(spark):
+    """The functions get a row for each crop, of the pieces that count; every line in a crop was dealt and ordered for them before."""
+    from leafmark.plans import rows as plans
+
+    plan = plans.QUERIES["row_cascade"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    above, below = plan[: plan.index("REPARTITION_BY_COL")], plan[plan.index("REPARTITION_BY_COL") :]
+    assert "Sort [" not in above
+    assert "collect_list(struct(left" in below and "trim(" in below
+    assert plan.count("REPARTITION_BY_COL") == 1 and "SortMergeJoin" not in plan
+
+
+def test_merged_rows_takes_pieces_in_order_of_place(spark):
+    from leafmark.operators import cascade as C
+
+    rows = [(1, 1, i, t, c, x, 50.0, 100) for i, t, c, x in ((0, "CD", 0.5, 9), (1, " A\tB", None, 2), (2, "EF", 0.7, 9), (3, "G", 0.9, 1), (4, "HI", 0.9, None), (5, "----", 0.9, 0))]
+    rows += [(1, 2, 0, "FAR", 0.9, 1, 95.0, 100), (2, 1, 0, "P<X", None, 1, 50.0, 100)]
+    pieces = spark.createDataFrame(rows, "doc_id bigint, row_index int, idx bigint, text string, confidence double, left int, centre double, height int")
+    assert sorted(map(tuple, C.cascade(pieces, lambda d, r, t: ("", None)).collect())) == [(1, 1, "ABCDEF", 0.6, 0), (2, 1, "P<X", None, 0)]
+
+
+def test_fragments_make_the_compact_text_once(spark):
+    from leafmark.operators import lines as L
+
+    rows = [(1, i, t, c, 10, 40 * i, 300, 40 * i + 24, 800) for i, (t, c) in enumerate([("top", 0.9)] + [("plain", 0.9)] * 11 + [("a<b", 0.9), ("a<", 0.9), ("a 1", 0.9), ("x" * 19 + "1", 0.9), ("ä" * 9 + "<", 0.9), ("<<<", 0.3), (None, 0.9), ("< < <", 0.9)])]
+    found = L.fragments(spark.createDataFrame(rows, "doc_id bigint, idx bigint, text string, confidence double, x int, y int, x2 int, y2 int, page_height int"))
+    assert sorted((r.idx, r.compact) for r in found.collect()) == [(12, "A<B"), (15, "X" * 19 + "1"), (19, "<<<")]
+    plan = found.select("idx")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(translate(") == 1 and plan.count("Window [") == 1
