@@ -58,6 +58,14 @@ def weighted_median(values: DataFrame) -> DataFrame:
     return out.withColumn("k", F.row_number().over(up)).where("k = 1").select("key", F.col("value").alias("median"))
 
 
+def _with_median(values: DataFrame, value: str, name: str) -> DataFrame:
+    """The rows (key, i, weight) with the weighted median of a column of theirs; no join, which would make the rows anew for each side."""
+    whole, up = Window.partitionBy("key"), Window.partitionBy("key").orderBy(value, "i").rowsBetween(Window.unboundedPreceding, 0)
+    out = values.withColumns({"reached": F.sum("weight").over(up), "all": F.sum("weight").over(whole)})
+    half = F.when(F.col("reached") >= F.col("all") / 2, F.col(value))
+    return out.withColumn(name, F.min(half).over(whole)).where(F.col(name).isNotNull()).drop("reached", "all")
+
+
 def weighted_quantile(values: DataFrame, cut, share: float = 0.5, buckets: int = 1024) -> DataFrame:
     """key and the first value at which `share` of the key's weight (key, value, weight) is reached, without the rows of a key in one place.
 
@@ -88,10 +96,8 @@ def weighted_quantile(values: DataFrame, cut, share: float = 0.5, buckets: int =
 def skew(angles: DataFrame, most: float) -> DataFrame:
     """Estimate and confidence of a page's skew from line angles (key, i, value, weight): weighted median, agreement and support."""
     near = angles.where(F.abs("value") <= most)
-    middle = weighted_median(near).withColumnRenamed("median", "estimate")
-    spread = near.join(middle, "key").withColumn("off", F.abs(F.col("value") - F.col("estimate")))
-    dispersion = weighted_median(spread.select("key", "i", F.col("off").alias("value"), "weight")).withColumnRenamed("median", "dispersion")
-    out = spread.join(dispersion, "key").groupBy("key", "estimate", "dispersion").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("off") <= F.greatest(F.lit(0.6), F.col("dispersion") * 2.5)).alias("support"))
+    spread = _with_median(near, "value", "estimate").withColumn("off", F.abs(F.col("value") - F.col("estimate")))
+    out = _with_median(spread, "off", "dispersion").groupBy("key", "estimate", "dispersion").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("off") <= F.greatest(F.lit(0.6), F.col("dispersion") * 2.5)).alias("support"))
     sure = F.least(F.lit(1.0), F.col("support") / 8) * F.greatest(F.lit(0.0), 1 - F.col("dispersion") / 1.5)
     few = F.col("n") < 3
     return out.select("key", F.round(F.when(few, 0.0).otherwise(F.col("estimate")), 6).alias("estimate"), F.round(F.when(few, 0.0).otherwise(sure), 6).alias("confidence"))

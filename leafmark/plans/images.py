@@ -93,7 +93,8 @@ def raster_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str, level: bool) -> DataFrame:
-    return R.segments(R.edges(_pixels(spark, sf_dir), EDGE, level), LEVEL if level else UPRIGHT, VOTES, GAP, LENGTH)
+    pages, parts = _pages(spark, sf_dir)
+    return R.segments(R.page_edges(pages, EDGE, level, parts), LEVEL if level else UPRIGHT, VOTES, GAP, LENGTH)
 
 
 def raster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
